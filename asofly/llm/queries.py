@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from asofly.llm.common import table
 from asofly.llm.sharding import shard_documents
+from asofly.llm.toxicity import toxicity
+
+
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op9_vector_sharding": op9_vector_sharding,
 }
 
