@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from asofly.llm.common import table
+from asofly.llm.quality import quality
 from asofly.llm.sharding import shard_documents
+from asofly.llm.token_spans import attribute_tokens
 from asofly.llm.toxicity import toxicity
 
 
@@ -15,13 +18,24 @@ def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return attribute_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, rule="majority", unit="sentences")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op9_vector_sharding": op9_vector_sharding,
+    "op10_token_attribution": op10_token_attribution,
 }
 
 ORACLE_SQL: dict[str, str] = {}
