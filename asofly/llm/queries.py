@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from asofly.llm.common import table
+from asofly.llm.decontamination import contaminated
 from asofly.llm.quality import quality
 from asofly.llm.sharding import shard_documents
 from asofly.llm.token_spans import attribute_tokens
@@ -22,6 +23,10 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -34,6 +39,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_vector_sharding": op9_vector_sharding,
     "op10_token_attribution": op10_token_attribution,
 }
