@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from asofly.llm.common import table
 from asofly.llm.decontamination import contaminated
+from asofly.llm.parity_join import jaccard_components
 from asofly.llm.quality import quality
 from asofly.llm.sharding import shard_documents
 from asofly.llm.token_spans import attribute_tokens
@@ -23,6 +24,10 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n_words=4, num=85, den=100)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_vector_sharding": op9_vector_sharding,
     "op10_token_attribution": op10_token_attribution,
