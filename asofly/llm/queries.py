@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from asofly.llm.common import table
 from asofly.llm.decontamination import contaminated
+from asofly.llm.packing import pack_documents
 from asofly.llm.parity_join import jaccard_components
 from asofly.llm.quality import quality
 from asofly.llm.sharding import shard_documents
@@ -24,6 +26,11 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n_words=4, num=85, den=100)
 
@@ -44,6 +51,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op3_retrieval_packing": op3_retrieval_packing,
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_vector_sharding": op9_vector_sharding,
