@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from asofly.llm.common import table
 from asofly.llm.decontamination import contaminated
+from asofly.llm.html_mincut import extract_pages
 from asofly.llm.packing import pack_documents
 from asofly.llm.parity_join import jaccard_components
 from asofly.llm.quality import quality
@@ -31,6 +32,10 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_mincut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n_words=4, num=85, den=100)
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_ordinal_quality": op2_ordinal_quality,
     "op3_retrieval_packing": op3_retrieval_packing,
+    "op5_mincut_extraction": op5_mincut_extraction,
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_vector_sharding": op9_vector_sharding,
