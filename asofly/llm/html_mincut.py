@@ -161,7 +161,7 @@ def log_odds(b: Block) -> float:
     """The classifier: positive if a block looks like article text."""
     words = b.text.count(" ") + 1
     share = b.link / b.total
-    own = min(words / 12, 2.5) + min(len(_STOP.findall(b.text)), 4) * 0.4 - 4 * share - (0.5 if b.tag in HEADS or not b.parent else 1.0)
+    own = min(words / 12, 2.5) + min(len(_STOP.findall(b.text)), 4) * 0.4 - 4 * share - (0.0 if not b.parent else 0.5 if b.tag in HEADS else 1.0)
     return b.odds + (max(own, -1.0 - 2 * share) if b.inside else own)
 
 
@@ -229,7 +229,7 @@ def label(found: list[Block]) -> list[bool]:
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
-            near = 1.5 if a.parent == b.parent or a.up == b.up and a.tag == b.tag else 1.2 if a.up == b.up and a.tag in HEADS else 0.6 if a.up == b.up else 0.2
+            near = 1.5 if a.parent == b.parent or a.up == b.up and a.tag == b.tag else 1.2 if a.up == b.up and a.tag in HEADS else 0.3 if a.up == b.up else 0.1
             ties.append((i - 1, i, near))
         j = last.get((b.up, b.tag))
         if j is not None and j != i - 1:
