@@ -13,6 +13,7 @@ from asofly.llm.decontamination import contaminated
 from asofly.llm.html_mincut import extract_pages
 from asofly.llm.packing import pack_documents
 from asofly.llm.parity_join import jaccard_components
+from asofly.llm.pivot_index import near_duplicates
 from asofly.llm.quality import quality
 from asofly.llm.sharding import shard_documents
 from asofly.llm.token_spans import attribute_tokens
@@ -44,6 +45,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mincut_extraction": op5_mincut_extraction,
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pivot_permutation": op8_pivot_permutation,
     "op9_vector_sharding": op9_vector_sharding,
     "op10_token_attribution": op10_token_attribution,
 }
