@@ -13,6 +13,7 @@ from asofly.llm.decontamination import contaminated
 from asofly.llm.html_mincut import extract_pages
 from asofly.llm.packing import pack_documents
 from asofly.llm.parity_join import jaccard_components
+from asofly.llm.pii import personal_data
 from asofly.llm.pivot_index import near_duplicates
 from asofly.llm.quality import quality
 from asofly.llm.sharding import shard_documents
@@ -33,6 +34,10 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_mincut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_ordinal_quality": op2_ordinal_quality,
     "op3_retrieval_packing": op3_retrieval_packing,
+    "op4_disclosure_sanitisation": op4_disclosure_sanitisation,
     "op5_mincut_extraction": op5_mincut_extraction,
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
