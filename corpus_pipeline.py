@@ -1,15 +1,70 @@
-"""The corpus pipeline: documents in, packed training windows out."""
+"""The corpus pipeline: documents in, packed training windows out.
+
+Each stage takes (spark, docs, sf_dir) and works on every document that the one before kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from asofly.llm.common import stash, table
+from asofly.llm.decontamination import contaminated
+from asofly.llm.packing import pack_documents
+from asofly.llm.parity_join import jaccard_components
+from asofly.llm.pii import sanitise
+from asofly.llm.toxicity import fit, score_documents
+
+ORACLE_SQL = None  # the stages learn, align and pack, which SQL can't express; tests hold them against plain versions
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7, the model learned from all labels."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model, keep=True).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the lowest doc_id) of each group linked by five-word shingles and a similarity of 0.8 or more.
+
+    Documents without words link with nothing and stay, so do those without an id. Repeated rows count once.
+    """
+    found = jaccard_components(docs, n_words=5, num=80, den=100)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    one = named.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    return one.unionByName(docs.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found, whole or edited."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, identifiers and disclosing terms replaced in their texts."""
+    return sanitise(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in training windows of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", hide_personal_data),
+    ("packing", pack_windows),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
