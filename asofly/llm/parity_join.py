@@ -165,7 +165,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(near: Near, *, across: bool):
     """Pairs (a, b) to verify among rows sorted by cell: key, cell, rep, n, sketch, comp.
 
-    First look (across false): a set near earlier leaders of its cell is paired with them; one near none leads itself.
+    First look (across false): a set near earlier leaders of its cell is paired with the first; one near none leads itself.
     Second look: pairs of near sets in different components.
     """
 
@@ -177,7 +177,7 @@ def _candidates(near: Near, *, across: bool):
             if across:
                 pool = pool[[rows[j][3] != comp for j in pool]] if i else pool
             got = near(n, sketch, sizes[pool], [rows[j][2] for j in pool]) if len(pool) else pool
-            for j in got:
+            for j in got if across else got[:1]:
                 other = rows[pool[j]][0]
                 yield min(rep, other), max(rep, other)
             if not len(got):
@@ -244,18 +244,21 @@ def jaccard_components(docs: DataFrame, *, n_words: int = 4, num: int = 85, den:
     wide = keep_ids(feats.filter("n > 0"), classes.select(F.col("rep").alias("doc_id")), "doc_id")
     keyed = wide.filter(F.length("keys") > 0).select("doc_id", "keys").mapInArrow(_keys, "key long, rep long")
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = stash(keyed.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_shared, "key long, rep long"), "shared").distinct()
-    big = shared.groupBy("key").count().filter(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("g"))
+    shared = stash(keyed.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_shared, "key long, rep long"), "shared")
+    # Blocks shared by just the same sets give the same pairs: one of them is enough.
+    blocks = shared.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("r"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"))
+    blocks = blocks.groupBy("m", "r", "s").agg(F.min("key").alias("key")).select("key", F.when(F.col("m") > CELL, F.ceil(F.col("m") / CELL).cast("int")).alias("g"))
     own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
-    grid = shared.join(big, "key", "left").withColumn(
+    grid = shared.distinct().join(blocks, "key").withColumn(
         "cell",
         F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(own, j) * F.col("g") + F.greatest(own, j)))),
     )
-    sketches = wide.select(F.col("doc_id").alias("rep"), "n", "sketch").dropDuplicates(["rep", "n"])
-    cells = stash(grid.select("key", "cell", "rep").join(sketches, "rep"), "cells")
+    cells = stash(grid.select("key", "cell", "rep"), "cells")
+    sketches = wide.select(F.col("doc_id").alias("rep"), "n", "sketch")
 
     def pairs(frame: DataFrame, across: bool) -> DataFrame:
-        frame = frame.select("key", "cell", "rep", "n", "sketch", "comp").repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "n", "rep")
+        frame = frame.join(sketches, "rep").select("key", "cell", "rep", "n", "sketch", "comp")
+        frame = frame.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "rep")
         return stash(frame.mapInArrow(_candidates(near, across=across), "a long, b long").distinct(), "pairs")
 
     def linked(found: DataFrame) -> DataFrame:
