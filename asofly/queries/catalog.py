@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from asofly.queries import base, core  # noqa: F401  the modules register their queries
+from asofly.queries.base import Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["D15_factor_evaluation"](spark, sf_dir)
+    return base.QUERIES["D15_factor_evaluation"](spark, sf_dir)
