@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.functions.factors import W
+from asofly.functions.factors import W, change, compounded, drawdown
 
 
 def vector_backtest(frame: DataFrame, *, cost_bps: float) -> DataFrame:
@@ -15,3 +15,108 @@ def vector_backtest(frame: DataFrame, *, cost_bps: float) -> DataFrame:
     out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(W), F.lit(0.0))))
     out = out.withColumn("gross", F.col("position") * F.coalesce("ret", F.lit(0.0)))
     return out.withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 10000)
+
+
+def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
+    """Counts, win rate, averages, profit factor (null without losses), totals, best and worst."""
+    win, loss = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") <= 0, F.col("pnl"))
+    return trades.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_trades"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"),
+        F.try_divide(F.sum(win), F.nullif(-F.sum(loss), F.lit(0.0))).alias("profit_factor"), F.sum("pnl").alias("total"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"),
+    )
+
+
+def variant_metrics(decisions: DataFrame) -> DataFrame:
+    """Final equity, return and deepest drawdown of each run."""
+    order = F.struct("slot", "seq")
+    w = Window.partitionBy("run_id").orderBy("slot", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = decisions.withColumn("_dd", F.col("equity_after") / F.max("equity_after").over(w) - 1)
+    first, last = F.min_by("equity_after", order), F.max_by("equity_after", order)
+    return out.groupBy("run_id").agg(last.alias("final_equity"), (last / first - 1).alias("total_return"), F.min("_dd").alias("max_drawdown"), F.count(F.lit(1)).alias("n"))
+
+
+def with_returns(prices: DataFrame) -> DataFrame:
+    return prices.withColumn("ret", change("close", 1)).withColumn("dd", drawdown("close"))
+
+
+def equity_metrics(prices: DataFrame, days: int = 365) -> DataFrame:
+    """Annualised volatility (population), Sharpe-like ratio, drawdown and days that moved; the first return counts as 0."""
+    r = F.coalesce("ret", F.lit(0.0))
+    vol = F.stddev_pop(r) * F.sqrt(F.lit(days))
+    return with_returns(prices).groupBy("asset").agg(vol.alias("volatility"), (F.avg(r) * days / F.nullif(vol, F.lit(0.0))).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.count_if(F.abs(r) > 0).alias("active_days"))
+
+
+def sharpe_and_drawdown(prices: DataFrame, days: int) -> DataFrame:
+    """Annualised Sharpe ratio (sample deviation; 0 when flat) and the deepest drawdown."""
+    return with_returns(prices).groupBy("asset").agg(sharpe(days).alias("sharpe"), F.min("dd").alias("max_drawdown"))
+
+
+def sharpe(days: int) -> Column:
+    return F.when(F.stddev_samp("ret") > 0, F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(days))).otherwise(0.0)
+
+
+def portfolio_kpis(trades: DataFrame) -> DataFrame:
+    return trades.agg(F.countDistinct("asset").alias("assets"), F.count(F.lit(1)).alias("n_trades"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.sum("pnl").alias("total"))
+
+
+def fold_metrics(frame: DataFrame, days: int = 365) -> DataFrame:
+    return frame.groupBy("asset", "fold").agg(sharpe(days).alias("sharpe"), F.sum("ret").alias("total"), F.min("ret").alias("worst"))
+
+
+def promotion(folds: DataFrame, *, positive: float = 0.70, median_sharpe: float = 0.80, worst: float = -0.25) -> DataFrame:
+    """Reasons against promoting each asset's strategy, from its folds."""
+    a = folds.groupBy("asset").agg(F.avg(F.when(F.col("total") > 0, 1.0).otherwise(0.0)).alias("positive_ratio"), F.median("sharpe").alias("median_sharpe"), F.min("worst").alias("worst"))
+    rules = [("POSITIVE_FOLDS", F.col("positive_ratio") < positive), ("MEDIAN_SHARPE", F.col("median_sharpe") < median_sharpe), ("WORST_DRAWDOWN", F.col("worst") < worst)]
+    return a.withColumn("reasons", F.array_compact(F.array(*(F.when(rule, code) for code, rule in rules))))
+
+
+def equal_weight(prices: DataFrame) -> DataFrame:
+    """Mean return across assets per time, and its compounded equity. One row per time, so one small window."""
+    r = with_returns(prices).filter("ret is not null").groupBy("event_time").agg(F.avg("ret").alias("ret"))
+    return r.withColumn("equity", compounded("ret", 1.0, Window.orderBy("event_time")))
+
+
+def daily_pnl(trades: DataFrame) -> DataFrame:
+    return trades.groupBy("asset", F.date_format("exit_time", "yyyy-MM-dd").alias("day")).agg(F.sum("pnl").alias("pnl"))
+
+
+def portfolio_state(decisions: DataFrame, *, pause_at: float) -> DataFrame:
+    """High-water mark, drawdown, change since the day's first decision, and the pause that a deep drawdown starts."""
+    run = Window.partitionBy("run_id").orderBy("slot", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    day = Window.partitionBy("run_id", F.date_trunc("day", F.col("slot"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = decisions.withColumn("high_water", F.max("equity_after").over(run)).withColumn("drawdown", F.col("equity_after") / F.col("high_water") - 1)
+    out = out.withColumn("day_change", F.col("equity_after") - F.first("equity_after").over(day))
+    return out.withColumn("paused_until", F.when(F.col("drawdown") <= pause_at, F.expr("date_trunc('day', slot) + interval 1 day")))
+
+
+def neutral_targets(signals: DataFrame, *, q: float, least: int) -> DataFrame:
+    """Weights of a dollar-neutral book per time: the n highest and n lowest signals, n = max(least, floor(q N)).
+
+    The bottom is taken from the reverse of the same total order; with fewer than 2 x least assets all are flat.
+    """
+    w = Window.partitionBy("event_time")
+    out = signals.withColumns({"_top": F.row_number().over(w.orderBy(F.desc("signal"), "asset")), "_low": F.row_number().over(w.orderBy("signal", F.desc("asset"))), "_n": F.count(F.lit(1)).over(w)})
+    leg = F.greatest(F.lit(least), F.floor(q * F.col("_n")))
+    weight = F.when(F.col("_n") < 2 * least, 0.0).when(F.col("_top") <= leg, 0.5 / leg).when(F.col("_low") <= leg, -0.5 / leg).otherwise(0.0)
+    return out.withColumn("weight", weight).drop("_top", "_low", "_n")
+
+
+def last_rows(frame: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
+    return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def every_kth(frame: DataFrame, k: int) -> DataFrame:
+    """Every k-th row of each asset, the first one included."""
+    return frame.withColumn("_rn", F.row_number().over(W) - 1).filter(F.col("_rn") % k == 0).drop("_rn")
+
+
+def ranked_signals(frame: DataFrame) -> DataFrame:
+    """Assets ranked by the size of a factor per time, zeros dropped, direction by its sign."""
+    w = Window.partitionBy("event_time").orderBy(F.desc(F.abs("factor")), "asset")
+    return frame.filter("factor <> 0").withColumn("rank", F.row_number().over(w)).withColumn("direction", F.when(F.col("factor") > 0, 1).otherwise(-1))
+
+
+def latest_state(events: DataFrame) -> DataFrame:
+    """Latest event of each run, and how many there were."""
+    return events.groupBy("run_id").agg(F.max_by(F.struct("seq", "slot"), F.struct("slot", "seq")).alias("r"), F.count(F.lit(1)).alias("history")).select("run_id", "r.seq", "r.slot", "history")

@@ -30,9 +30,8 @@ def trailing_stats(days: DataFrame, rows: DataFrame, value: str, window_days: in
 
     Each row is sent to the days whose window holds it, so the work is rows times window_days and one exchange.
     """
-    # date_trunc'ed event day d serves selections d+1 .. d+window_days
     span = F.sequence(F.expr("date_trunc('day', event_time) + interval 1 day").cast("timestamp"), F.expr(f"date_trunc('day', event_time) + interval {window_days} days").cast("timestamp"), F.expr("interval 1 day"))
-    sent = rows.withColumn("selection_time", F.explode(span).cast("timestamp_ntz")).filter("event_time < selection_time and available_time <= selection_time")
+    sent = rows.withColumn("_s", F.explode(span)).withColumn("selection_time", F.col("_s").cast("timestamp_ntz")).filter("event_time < selection_time and available_time <= selection_time")
     sent = sent.join(days.select("selection_time").distinct(), "selection_time", "left_semi")
     return sent.groupBy("selection_time", "asset").agg(F.countDistinct(F.to_date("event_time")).alias("days"), F.median(value).alias("median"))
 
@@ -58,3 +57,16 @@ def core_plus_top(volumes: DataFrame, core: list[str], k: int = 8, least: int =
     chosen = extra.crossJoin(n).filter(F.col("n") >= least).select("asset", "rank")
     fixed = volumes.filter(F.col("asset").isin(core)).select("asset", F.lit(0).alias("rank"))
     return fixed.unionByName(chosen)
+
+
+def listings(bars: DataFrame) -> DataFrame:
+    """First event of each asset, and when it was available."""
+    return bars.groupBy("asset").agg(F.min("event_time").alias("listing_time"), F.min_by("available_time", "event_time").alias("listing_available_time"))
+
+
+def migration_universe(daily: DataFrame, hourly: DataFrame, t: str, *, least_days: int = 180, most_missing: float = 0.01, window_days: int = 30) -> DataFrame:
+    """Completed daily bars, share of hourly bars missing in the last days, median volume, and whether an asset may stay."""
+    at = F.lit(t).cast("timestamp_ntz")
+    days = daily.filter(F.col("available_time") <= at).groupBy("asset").agg(F.count(F.lit(1)).alias("daily_bars"), F.median("volume").alias("median_volume"))
+    hours = hourly.filter((F.col("event_time") >= at - F.make_dt_interval(days=F.lit(window_days))) & (F.col("available_time") <= at)).groupBy("asset").agg((1 - F.count(F.lit(1)) / (24.0 * window_days)).alias("missing_share"))
+    return days.join(hours, "asset").withColumn("eligible", (F.col("daily_bars") >= least_days) & (F.col("missing_share") <= most_missing))
