@@ -97,17 +97,20 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, *, support: int = SUP
     one = mentions.select("h", F.explode("base").alias("s")).select("h", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.col("s.near").alias("near"))
     entities = one.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
     pairs = one.select("entity", "h", F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    pairs = stash(pairs.join(entities, "entity"), "pairs")
+    total = mentions.select("h").distinct().count()
+    ic = F.log2(F.lit(total) / F.col("n_e"))
+    disclosure = lambda n: F.when(F.col("n_e") < total, F.log2(F.col("both") * total / (F.col("n_e") * F.col(n))) / ic).otherwise(0.0)
+    # A term is in at least as many texts as it stands by some entity in, so pairs under the threshold by that number fall.
+    beside = one.select("h", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
+    pairs = pairs.join(entities, "entity").join(beside, "term").filter(disclosure("beside") >= threshold)
+    pairs = stash(pairs, "pairs")
     terms = pairs.select("term").distinct()
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     spread = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.explode(words).alias("term"))
     occurs = stash(spread.join(F.broadcast(terms) if few else terms, "term", "left_semi"), "occurs")
     n_t = occurs.select("term", "h").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = mentions.select("h").distinct().count()
-    pmi = F.log2(F.col("both") * total / (F.col("n_e") * F.col("n_t")))
-    ic = F.log2(F.lit(total) / F.col("n_e"))
-    scored = pairs.join(n_t, "term").withColumn("disclosure", F.when(F.col("n_e") < total, pmi / ic).otherwise(0.0))
+    scored = pairs.join(n_t, "term").withColumn("disclosure", disclosure("n_t"))
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold), occurs
 
 
