@@ -96,9 +96,9 @@ def _compile(node: Node, known: dict[str, str]) -> Column:
         case "clip":
             return F.least(F.greatest(x[0], F.lit(p[0])), F.lit(p[1]))
         case "lag":
-            return F.lag(x[0], p[0]).over(fx.W)
+            return F.lag(x[0], p[0]).over(fx.W())
         case "delta":
-            return x[0] - F.lag(x[0], p[0]).over(fx.W)
+            return x[0] - F.lag(x[0], p[0]).over(fx.W())
         case "percent_change":
             return fx.change(x[0], p[0])
         case "rolling_mean":

@@ -7,26 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("asset").orderBy("event_time")
+
+def W() -> WindowSpec:  # noqa: N802
+    """Each asset's rows in order of time."""
+    return Window.partitionBy("asset").orderBy("event_time")
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def rows(n: int, w: WindowSpec = W) -> WindowSpec:
-    return w.rowsBetween(-(n - 1), 0)
+def rows(n: int, w: WindowSpec | None = None) -> WindowSpec:
+    return (w or W()).rowsBetween(-(n - 1), 0)
 
 
-def full(agg: Callable[[Column], Column], x: Column | str, n: int, w: WindowSpec = W, least: int | None = None) -> Column:
+def full(agg: Callable[[Column], Column], x: Column | str, n: int, w: WindowSpec | None = None, least: int | None = None) -> Column:
     """An aggregate over the last n rows, null unless `least` (n) of them have a value."""
     x = col(x)
     return F.when(F.count(x).over(rows(n, w)) >= (least or n), agg(x).over(rows(n, w)))
 
 
-def change(x: Column | str, n: int, w: WindowSpec = W) -> Column:
+def change(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     """x over x n rows ago, less one; a zero base gives null."""
-    return F.try_divide(col(x), F.nullif(F.lag(col(x), n).over(w), F.lit(0.0))) - 1
+    return F.try_divide(col(x), F.nullif(F.lag(col(x), n).over(w or W()), F.lit(0.0))) - 1
 
 
 def momentum(close: str, n: int) -> Column:
@@ -37,8 +40,8 @@ def reversal(close: str, n: int) -> Column:
     return -momentum(close, n)
 
 
-def log_return(close: str, w: WindowSpec = W) -> Column:
-    return F.ln(F.col(close) / F.nullif(F.lag(close, 1).over(w), F.lit(0.0)))
+def log_return(close: str, w: WindowSpec | None = None) -> Column:
+    return F.ln(F.col(close) / F.nullif(F.lag(close, 1).over(w or W()), F.lit(0.0)))
 
 
 def realized_volatility(log_ret: str, n: int) -> Column:
@@ -65,7 +68,7 @@ def robust_z(x: Column, valid: Column, *, least: int = 2, peers: WindowSpec | No
 
 
 def forward_log_return(close: str, n: int) -> Column:
-    return F.ln(F.lead(close, n).over(W) / F.nullif(F.col(close), F.lit(0.0)))
+    return F.ln(F.lead(close, n).over(W()) / F.nullif(F.col(close), F.lit(0.0)))
 
 
 def rolling_rank(x: str, n: int) -> Column:
@@ -80,18 +83,18 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
-def drawdown(equity: str, w: WindowSpec = W) -> Column:
-    return F.col(equity) / F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+def drawdown(equity: str, w: WindowSpec | None = None) -> Column:
+    return F.col(equity) / F.max(equity).over((w or W()).rowsBetween(Window.unboundedPreceding, 0)) - 1
 
 
-def compounded(ret: str, initial: float = 1.0, w: WindowSpec = W) -> Column:
+def compounded(ret: str, initial: float = 1.0, w: WindowSpec | None = None) -> Column:
     """initial times the running product of 1 + r; null from the first r <= -1 on."""
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = (w or W()).rowsBetween(Window.unboundedPreceding, 0)
     ruined = F.max(F.when(F.col(ret) <= -1, 1).otherwise(0)).over(run) == 1
     return F.when(~ruined, initial * F.exp(F.sum(F.when(F.col(ret) > -1, F.log1p(F.col(ret)))).over(run)))
 
 
-def episodes(label: str, w: WindowSpec = W) -> tuple[Column, Callable[[str], Column]]:
+def episodes(label: str, w: WindowSpec | None = None) -> tuple[Column, Callable[[str], Column]]:
     """Whether a row's label differs from the one before, and from that the number of its episode."""
-    changed = F.when(F.lag(label, 1).over(w).isNull() | (F.lag(label, 1).over(w) != F.col(label)), 1).otherwise(0)
-    return changed, lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    changed = F.when(F.lag(label, 1).over(w or W()).isNull() | (F.lag(label, 1).over(w or W()) != F.col(label)), 1).otherwise(0)
+    return changed, lambda c: F.sum(c).over((w or W()).rowsBetween(Window.unboundedPreceding, 0))

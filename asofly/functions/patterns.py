@@ -9,7 +9,7 @@ from asofly.functions.factors import W
 
 
 def before(c: str) -> Column:
-    return F.lag(c, 1).over(W)
+    return F.lag(c, 1).over(W())
 
 
 def engulfing() -> Column:

@@ -18,8 +18,8 @@ def open_to_open(bars: DataFrame, *, holding_bars: int, bar_hours: int = 1, leas
     good = (F.col("open") > 0) & (F.col("volume") > least_volume) & (F.col("quote_volume") > 0)
     gap = F.expr("timestampdiff(SECOND, lag(event_time) over (partition by asset order by event_time), event_time)") != bar_hours * 3600
     out = bars.withColumn("_bad", F.when(good, 0).otherwise(1)).withColumn("_gap", F.when(gap, 1).otherwise(0))
-    out = out.withColumn("_nb", F.sum("_bad").over(W)).withColumn("_ng", F.sum("_gap").over(W))
-    gaps, bads = F.lead("_ng", end).over(W) - F.col("_ng"), F.lead("_nb", end).over(W) - F.col("_nb")
-    label = F.when((gaps == 0) & (bads == 0), F.ln(F.lead("open", end).over(W) / F.lead("open", 1).over(W)))
+    out = out.withColumn("_nb", F.sum("_bad").over(W())).withColumn("_ng", F.sum("_gap").over(W()))
+    gaps, bads = F.lead("_ng", end).over(W()) - F.col("_ng"), F.lead("_nb", end).over(W()) - F.col("_nb")
+    label = F.when((gaps == 0) & (bads == 0), F.ln(F.lead("open", end).over(W()) / F.lead("open", 1).over(W())))
     reason = F.when(gaps.isNull() | (gaps > 0), "MISSING_NEXT_BAR").when(bads > 0, "EXECUTION_BAR_INVALID").otherwise("")
     return out.withColumn("label", label).withColumn("reason", reason).drop("_bad", "_gap", "_nb", "_ng")

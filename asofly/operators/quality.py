@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("asset").orderBy("event_time")
-DAY = F.date_format("event_time", "yyyy-MM-dd")
+
+def day() -> Column:
+    return F.date_format("event_time", "yyyy-MM-dd").alias("period")
 
 
 def seconds_since(column: str = "event_time") -> Column:
@@ -40,14 +41,14 @@ def source_reasons(frame: DataFrame, *, step_hours: int) -> DataFrame:
 
 def coverage(frame: DataFrame, *, expected: int, threshold: float, warn: Column) -> DataFrame:
     """Observed rows of each asset and day against the expected number; short days block, or warn where `warn` holds."""
-    out = frame.groupBy("asset", DAY.alias("period")).agg(F.count(F.lit(1)).alias("observed")).withColumn("coverage", F.col("observed") / expected)
+    out = frame.groupBy("asset", day()).agg(F.count(F.lit(1)).alias("observed")).withColumn("coverage", F.col("observed") / expected)
     return out.withColumn("status", F.when(F.col("coverage") >= threshold, "PASSED").when(warn, "EXCLUDED").otherwise("BLOCKING"))
 
 
 def inspect_funding(frame: DataFrame) -> DataFrame:
     """Per asset and day: duplicates, rows known before their event, odd intervals and coverage by the first interval."""
     first = F.min_by("funding_interval_hours", "event_time")
-    out = frame.groupBy("asset", DAY.alias("period")).agg(
+    out = frame.groupBy("asset", day()).agg(
         F.count(F.lit(1)).alias("observed"), (F.count(F.lit(1)) - F.countDistinct("event_time")).alias("duplicates"), F.count_if(F.col("available_time") < F.col("event_time")).alias("not_causal"),
         F.count_if(~F.col("funding_interval_hours").isin(1, 4, 8)).alias("bad_interval"), F.ceil(24.0 / first).cast("long").alias("expected"), F.countDistinct("event_time").alias("_n"),
     )
@@ -56,7 +57,7 @@ def inspect_funding(frame: DataFrame) -> DataFrame:
 
 def inspect_metrics(frame: DataFrame, *, least: float = 0.0, per_day: int = 288) -> DataFrame:
     """Per asset and day: values under `least`, duplicates, rows known before their event, coverage of the cadence."""
-    return frame.groupBy("asset", DAY.alias("period")).agg(
+    return frame.groupBy("asset", day()).agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(F.col("open_interest") < least).alias("low_values"), (F.count(F.lit(1)) - F.countDistinct("event_time")).alias("duplicates"),
         F.count_if(F.col("available_time") < F.col("event_time")).alias("not_causal"), (F.countDistinct("event_time") / per_day).alias("coverage"),
     )

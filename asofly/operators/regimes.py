@@ -40,7 +40,7 @@ def expanding_thresholds(frame: DataFrame, *, initial: int, every: int) -> DataF
 
     A row at position p serves every later block, so it's sent to those: rows times blocks over two, one grouped pass.
     """
-    pos = frame.withColumn("pos", F.row_number().over(fx.W) - 1)
+    pos = frame.withColumn("pos", F.row_number().over(fx.W()) - 1)
     last = F.floor((F.max("pos").over(Window.partitionBy("asset")) - initial) / every).cast("int")
     first = F.greatest(F.floor((F.col("pos") - initial) / every).cast("int") + 1, F.lit(0))
     sent = pos.withColumn("_last", last).withColumn("_first", first).filter("_first <= _last").withColumn("block", F.explode(F.sequence("_first", "_last")))

@@ -10,9 +10,9 @@ from asofly.functions.factors import W, change, compounded, drawdown
 
 def vector_backtest(frame: DataFrame, *, cost_bps: float) -> DataFrame:
     """Position (the last signal, clipped to one), turnover, gross and net return of each bar. Needs signal and ret."""
-    position = F.greatest(F.least(F.coalesce(F.lag("signal", 1).over(W), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+    position = F.greatest(F.least(F.coalesce(F.lag("signal", 1).over(W()), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
     out = frame.withColumn("position", position)
-    out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(W), F.lit(0.0))))
+    out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(W()), F.lit(0.0))))
     out = out.withColumn("gross", F.col("position") * F.coalesce("ret", F.lit(0.0)))
     return out.withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 10000)
 
@@ -108,7 +108,7 @@ def last_rows(frame: DataFrame, by: list[str], order: list[str], n: int) -> Data
 
 def every_kth(frame: DataFrame, k: int) -> DataFrame:
     """Every k-th row of each asset, the first one included."""
-    return frame.withColumn("_rn", F.row_number().over(W) - 1).filter(F.col("_rn") % k == 0).drop("_rn")
+    return frame.withColumn("_rn", F.row_number().over(W()) - 1).filter(F.col("_rn") % k == 0).drop("_rn")
 
 
 def ranked_signals(frame: DataFrame) -> DataFrame:
@@ -120,3 +120,16 @@ def ranked_signals(frame: DataFrame) -> DataFrame:
 def latest_state(events: DataFrame) -> DataFrame:
     """Latest event of each run, and how many there were."""
     return events.groupBy("run_id").agg(F.max_by(F.struct("seq", "slot"), F.struct("slot", "seq")).alias("r"), F.count(F.lit(1)).alias("history")).select("run_id", "r.seq", "r.slot", "history")
+
+
+def compare_allocations(returns: DataFrame, *, cap: float, initial: float = 100.0) -> DataFrame:
+    """Equity of equal weights against volume weights under a cap. One row per time, so one small window."""
+    day = returns.groupBy("event_time").agg(F.avg("ret").alias("_e"), (cap * F.sum(F.col("ret") * F.col("volume")) / F.sum("volume")).alias("_w"))
+    w = Window.orderBy("event_time")
+    return day.select("event_time", compounded("_e", initial, w).alias("equal_weight"), compounded("_w", initial, w).alias("weighted"))
+
+
+def readiness(decisions: DataFrame, *, least_days: int, floor: float) -> DataFrame:
+    """Days run and breaches of an equity floor per run, and whether it's ready."""
+    g = decisions.groupBy("run_id").agg(F.countDistinct(F.to_date("slot")).alias("days"), F.count_if(F.col("equity_after") < floor).alias("breaches"))
+    return g.withColumn("ready", (F.col("days") >= least_days) & (F.col("breaches") == 0))

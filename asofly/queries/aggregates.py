@@ -158,9 +158,9 @@ def d26(spark, d):
     return strategy.promotion(strategy.fold_metrics(frame)).select("asset", r8("positive_ratio"), r8("median_sharpe"), F.concat_ws(",", "reasons").alias("reasons"))
 
 
-@add("D27_plan_counts", with_("b24") + f"SELECT asset, CASE WHEN trades > 70 THEN 1 ELSE 0 END AS busy, count(*) AS n, {tsq('min(event_time)', 'first_period')}, {tsq('max(event_time)', 'last_period')} FROM b24 GROUP BY CUBE (asset, CASE WHEN trades > 70 THEN 1 ELSE 0 END)")
+@add("D27_plan_counts", with_("b24") + f"SELECT asset, CASE WHEN trades > 70 THEN 'busy' ELSE 'quiet' END AS busy, count(*) AS n, {tsq('min(event_time)', 'first_period')}, {tsq('max(event_time)', 'last_period')} FROM b24 GROUP BY CUBE (asset, CASE WHEN trades > 70 THEN 'busy' ELSE 'quiet' END)")
 def d27(spark, d):
-    out = t.bars(spark, d, 24).withColumn("busy", F.when(F.col("trades") > 70, 1).otherwise(0))
+    out = t.bars(spark, d, 24).withColumn("busy", F.when(F.col("trades") > 70, "busy").otherwise("quiet"))
     return out.cube("asset", "busy").agg(F.count(F.lit(1)).alias("n"), ts(F.min("event_time"), "first_period"), ts(F.max("event_time"), "last_period"))
 
 

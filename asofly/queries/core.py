@@ -11,13 +11,17 @@ from asofly.queries.base import add, r8, rq, ts, tsq, with_
 from asofly.sources import tables as t
 
 CUT = "2024-01-20 00:00:00"
-BAR = ["asset", ts("event_time"), *(r8(c) for c in ("open", "high", "low", "close", "volume"))]
+
+def bar_columns():
+    return ["asset", ts("event_time"), *(r8(c) for c in ("open", "high", "low", "close", "volume"))]
+
+
 BARQ = f"asset, {tsq('event_time')}, {', '.join(rq(c) for c in ('open', 'high', 'low', 'close', 'volume'))}"
 
 
 @add("B1_as_known_at", with_("b1") + f"SELECT {BARQ} FROM b1 WHERE available_time <= TIMESTAMP '{CUT}'")
 def b1(spark, d):
-    return filters.as_known_at(t.bars(spark, d), CUT).select(*BAR)
+    return filters.as_known_at(t.bars(spark, d), CUT).select(*bar_columns())
 
 
 @add("B2_evidence_cutoff", with_("b1") + f"""SELECT asset AS source, count(*) FILTER (WHERE event_time <= TIMESTAMP '{CUT}' AND available_time <= TIMESTAMP '{CUT}') AS eligible,
@@ -34,12 +38,12 @@ def b2(spark, d):
 
 @add("B3_strict_point_in_time", with_("b1") + f"SELECT {BARQ} FROM b1 WHERE event_time < TIMESTAMP '{CUT}' AND available_time <= TIMESTAMP '{CUT}'")
 def b3(spark, d):
-    return filters.strictly_before(t.bars(spark, d), CUT).select(*BAR)
+    return filters.strictly_before(t.bars(spark, d), CUT).select(*bar_columns())
 
 
 @add("B4_development_window", with_("b1") + f"SELECT {BARQ} FROM b1 WHERE event_time >= TIMESTAMP '2024-01-05' AND event_time < TIMESTAMP '{CUT}'")
 def b4(spark, d):
-    return filters.window(t.bars(spark, d), "2024-01-05", CUT).select(*BAR)
+    return filters.window(t.bars(spark, d), "2024-01-05", CUT).select(*bar_columns())
 
 
 @add("B5_three_way_split", with_("b1") + "SELECT asset, " + tsq("event_time") + """, CASE WHEN event_time >= TIMESTAMP '2024-01-02' AND event_time < TIMESTAMP '2024-01-15' THEN 'development'
@@ -131,7 +135,7 @@ def c7(spark, d):
 
 @add("C8_membership_filter", with_("b1", "members") + f"SELECT {BARQ} FROM b1 WHERE EXISTS (SELECT 1 FROM members m WHERE m.asset = b1.asset AND date_trunc('day', m.selection_time) = date_trunc('day', b1.available_time) AND m.selection_time <= b1.available_time)")
 def c8(spark, d):
-    return asof.members_only(t.bars(spark, d), t.membership(spark, d)).select(*BAR)
+    return asof.members_only(t.bars(spark, d), t.membership(spark, d)).select(*bar_columns())
 
 
 @add("D1_causal_resample", with_("b1") + f"""SELECT asset, {tsq("time_bucket(INTERVAL 4 HOUR, event_time, TIMESTAMP '2000-01-01')", 'event_time')}, round(arg_min(open, event_time), 8) AS open, round(avg(close), 8) AS close, round(sum(volume), 8) AS volume,
@@ -143,7 +147,7 @@ def d1(spark, d):
 
 @add("D2_resample_ohlcv", with_("b4") + f"SELECT {BARQ} FROM b4")
 def d2(spark, d):
-    return resample.resample_ohlcv(t.bars(spark, d), "4 hours").select(*BAR)
+    return resample.resample_ohlcv(t.bars(spark, d), "4 hours").select(*bar_columns())
 
 
 WIN = "WINDOW w AS (PARTITION BY asset ORDER BY event_time)"
@@ -164,19 +168,19 @@ def _factor(name, column, sql, more=None, hours=1):
             frame = asof.snapshot(frame, t.funding(spark, d), t.open_interest(spark, d))
         elif more is not None:
             frame = more(frame)
-        return frame.select("asset", ts("event_time"), F.round(column, 8).alias("value"))
+        return frame.select("asset", ts("event_time"), F.round(column(), 8).alias("value"))
 
 
 SNAP = """(SELECT x.*, o.open_interest FROM (SELECT b.*, f.funding_rate FROM b1 b ASOF LEFT JOIN funding f ON b.asset = f.asset AND b.available_time >= f.available_time) x
  ASOF LEFT JOIN oi o ON x.asset = o.asset AND x.available_time >= o.available_time)"""
 
-_factor("E1_momentum", fx.momentum("close", 24), "close / nullif(lag(close, 24) OVER w, 0) - 1")
-_factor("E2_reversal", fx.reversal("close", 12), "-(close / nullif(lag(close, 12) OVER w, 0) - 1)")
-_factor("E4_volume_surprise", fx.zscore("volume", 24), f"CASE WHEN count(volume) {_n(24)} = 24 THEN (volume - avg(volume) {_n(24)}) / nullif(stddev_samp(volume) {_n(24)}, 0) END")
-_factor("E6_funding_zscore", fx.zscore("funding_rate", 12), f"CASE WHEN count(funding_rate) {_n(12)} = 12 THEN (funding_rate - avg(funding_rate) {_n(12)}) / nullif(stddev_samp(funding_rate) {_n(12)}, 0) END", "snap")
-_factor("E7_oi_change", fx.change("open_interest", 6), "open_interest / nullif(lag(open_interest, 6) OVER w, 0) - 1", "snap")
-_factor("E12_forward_log_return", fx.forward_log_return("close", 4), "ln(lead(close, 4) OVER w / nullif(close, 0))")
-_factor("E15_rolling_rank", fx.rolling_rank("close", 12), f"CASE WHEN count(close) {_n(12)} = 12 THEN (len(list_filter(list(close) {_n(12)}, lambda v: v < close)) + (len(list_filter(list(close) {_n(12)}, lambda v: v = close)) + 1) / 2) / 12 END")
+_factor("E1_momentum", lambda: fx.momentum("close", 24), "close / nullif(lag(close, 24) OVER w, 0) - 1")
+_factor("E2_reversal", lambda: fx.reversal("close", 12), "-(close / nullif(lag(close, 12) OVER w, 0) - 1)")
+_factor("E4_volume_surprise", lambda: fx.zscore("volume", 24), f"CASE WHEN count(volume) {_n(24)} = 24 THEN (volume - avg(volume) {_n(24)}) / nullif(stddev_samp(volume) {_n(24)}, 0) END")
+_factor("E6_funding_zscore", lambda: fx.zscore("funding_rate", 12), f"CASE WHEN count(funding_rate) {_n(12)} = 12 THEN (funding_rate - avg(funding_rate) {_n(12)}) / nullif(stddev_samp(funding_rate) {_n(12)}, 0) END", "snap")
+_factor("E7_oi_change", lambda: fx.change("open_interest", 6), "open_interest / nullif(lag(open_interest, 6) OVER w, 0) - 1", "snap")
+_factor("E12_forward_log_return", lambda: fx.forward_log_return("close", 4), "ln(lead(close, 4) OVER w / nullif(close, 0))")
+_factor("E15_rolling_rank", lambda: fx.rolling_rank("close", 12), f"CASE WHEN count(close) {_n(12)} = 12 THEN (len(list_filter(list(close) {_n(12)}, lambda v: v < close)) + (len(list_filter(list(close) {_n(12)}, lambda v: v = close)) + 1) / 2) / 12 END")
 
 
 @add("E3_realized_volatility", with_("b1", more="r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY event_time)) AS lr FROM b1)") + f"SELECT asset, {tsq('event_time')}, CASE WHEN count(lr) {_n(24)} = 24 THEN round(stddev_samp(lr) {_n(24)}, 8) END AS value FROM r")
