@@ -1 +1 @@
-
+"""Publishing: fingerprints, gated and immutable writes, manifests."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofly.queries import aggregates, base, core, research, statistics  # noqa: F401  the modules register their queries
+from asofly.queries import aggregates, base, core, io, research, statistics  # noqa: F401  the modules register their queries
 from asofly.queries.base import Query
 
 
