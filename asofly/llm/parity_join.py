@@ -6,6 +6,11 @@ the sets. That difference is bounded for sets that link, by a size band's larges
 flipped positions scrambled, which is the same for equal parity bits. Blocks of one size band are joined by (band, block,
 content); band borders overlap so that every pair shares a band.
 
+Blocks of few elements say little: one everyday n-gram alone in its block would bring together all that hold it. There are
+more blocks than D + 1, so linked sets agree in several; a set with fewer small blocks than that must agree in a larger one,
+and its small blocks are left out. A set with too many small blocks keeps them all, and so does every set that it could
+agree with in small ones only, so no pair is lost.
+
 Sets that share a block are candidates. A folded sketch (twice as many bits as elements, or more) rejects most that can't
 link, and what remains is verified on the exact sets. Equal sets are one class from the start, and within a block a set
 that comes near an earlier one is tested against that one only; sets of one block that end in different components are
@@ -29,6 +34,8 @@ from asofly.llm.words import WordHasher, mix, shingle_set
 
 RATIO = 1.5  # of one size band's lower end to the one below
 CELL = 2048  # sets of a block that are compared in one place
+SMALL = 1  # elements of a block that is left out if it can be
+SLICE = 1000  # documents handled at once
 
 
 class Bands:
@@ -36,12 +43,15 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.t = Fraction(num, den)
-        self.lows, self.blocks = [], []
+        self.lows, self.blocks, self.agree = [], [], []
         low = 1
         while low < 1 << 40:
             high = max(low + 1, int(low * RATIO))  # the smaller set of a pair has low <= size < high
+            least = self.most(high - 1) + 1
+            m = least if least == 1 else int(least * (1.25 if self.t < Fraction(5, 6) else 1.15)) + 1
             self.lows.append(low)
-            self.blocks.append(self.most(high - 1) + 1)
+            self.blocks.append(m)
+            self.agree.append(m - least + 1)  # blocks in which linked sets agree, at least
             low = high
 
     def most(self, smaller: int) -> int:
@@ -60,19 +70,20 @@ class Bands:
 
 def block_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of a set's parity blocks in all its bands. Sets of a band with one block link only if equal: no keys."""
-    keys = []
+    keys, value = [], mix(elements)
     for band in bands.of(len(elements)):
         m = bands.blocks[band]
         if m < 2:
             continue
-        block = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # by the bit's place in the wide sketch
+        block = (((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)  # by the bit's place
         order = np.argsort(block, kind="stable")
-        block, value = block[order], mix(elements)[order]
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        at = block[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         content = np.zeros(m, np.uint64)
-        content[block[first].astype(np.int64)] = np.bitwise_xor.reduceat(value, first)
-        # Empty blocks can match too: equal contents of none are still equal.
-        keys.append(mix(content + mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40))))
+        content[at[first]] = np.bitwise_xor.reduceat(value[order], first)
+        size = np.bincount(block, minlength=m)
+        use = np.flatnonzero(size > SMALL) if np.count_nonzero(size <= SMALL) < bands.agree[band] else np.arange(m)
+        keys.append(mix(content[use] + mix(use.astype(np.uint64) + np.uint64(band << 40))))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -93,44 +104,47 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-class Near:
-    """Whether sets may link, by sizes and folded sketches."""
+class Cell:
+    """Sets of one cell as arrays: which may link, by sizes and by sketches folded to the cell's shortest."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-
-    def __call__(self, n: int, sketch: bytes, sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-        """Indices of the sets that set (n, sketch) may link to."""
-        lo, hi = np.minimum(sizes, n), np.maximum(sizes, n)
-        fit = np.flatnonzero(lo * self.den >= self.num * hi)
-        if not len(fit):
-            return fit
-        most = (self.den - self.num) * (sizes[fit] + n) // (self.den + self.num)
-        same = np.array([len(sketches[i]) == len(sketch) for i in fit])
-        gap = np.zeros(len(fit), np.int64)
-        if same.any():
-            block = np.frombuffer(b"".join(sketches[i] for i in fit[same]), np.uint8).reshape(-1, len(sketch))
-            gap[same] = np.bitwise_count(block ^ np.frombuffer(sketch, np.uint8)).sum(axis=1, dtype=np.int64)
-        for j in np.flatnonzero(~same):
-            gap[j] = differ(sketch, sketches[fit[j]])
-        return fit[gap <= most]
+    def __init__(self, sizes: list[int], sketches: list[bytes], num: int, den: int):
+        self.sizes, self.num, self.den = np.array(sizes, np.int64), num, den
+        least = min(map(len, sketches))
+        self.bits = np.stack([self._fold(np.frombuffer(x, np.uint8), least) for x in sketches]).view(np.uint64)
+
+    @staticmethod
+    def _fold(x: np.ndarray, least: int) -> np.ndarray:
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    def near(self, i: int, pool: np.ndarray) -> np.ndarray:
+        """Members of pool that set i may link to."""
+        n, m = self.sizes[i], self.sizes[pool]
+        pool = pool[np.minimum(m, n) * self.den >= self.num * np.maximum(m, n)]
+        if not len(pool):
+            return pool
+        gap = np.bitwise_count(self.bits[pool] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        return pool[gap <= (self.den - self.num) * (self.sizes[pool] + n) // (self.den + self.num)]
 
 
 def _features(n_words: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for b in batches:
-            n, h1, h2, keys, sketch = [], [], [], [], []
-            for raw in b.column(1).cast(pa.binary()).to_pylist():
-                s = shingle_set(hasher(raw), n_words)
-                n.append(len(s))
-                h1.append(int(np.add.reduce(mix(s + np.uint64(1)), dtype=np.uint64).view(np.int64)))
-                h2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5DEECE66D))).view(np.int64)) if len(s) else 0)
-                keys.append(block_keys(s, bands).tobytes() if len(s) else b"")
-                sketch.append(folded(s) if len(s) else b"")
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            cols = [pa.array(c, t) for c, t in zip((n, h1, h2, keys, sketch), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n", "h1", "h2", "keys", "sketch"])
+        for whole in batches:
+            for i in range(0, len(whole), SLICE):
+                b = whole.slice(i, SLICE)
+                n, h1, h2, keys, sketch = [], [], [], [], []
+                for raw in b.column(1).cast(pa.binary()).to_pylist():
+                    s = shingle_set(hasher(raw), n_words)
+                    n.append(len(s))
+                    h1.append(int(np.add.reduce(mix(s + np.uint64(1)), dtype=np.uint64).view(np.int64)))
+                    h2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5DEECE66D))).view(np.int64)) if len(s) else 0)
+                    keys.append(block_keys(s, bands).tobytes() if len(s) else b"")
+                    sketch.append(folded(s) if len(s) else b"")
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                cols = [pa.array(c, t) for c, t in zip((n, h1, h2, keys, sketch), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n", "h1", "h2", "keys", "sketch"])
 
     return run
 
@@ -162,7 +176,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64())], ["key", "rep"])
 
 
-def _candidates(near: Near, *, across: bool):
+def _candidates(num: int, den: int, *, across: bool):
     """Pairs (a, b) to verify among rows sorted by cell: key, cell, rep, n, sketch, comp.
 
     First look (across false): a set near earlier leaders of its cell is paired with the first; one near none leads itself.
@@ -170,24 +184,20 @@ def _candidates(near: Near, *, across: bool):
     """
 
     def cell(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        lead: list[int] = []
-        sizes = np.array([x[1] for x in rows], np.int64)
-        for i, (rep, n, sketch, comp) in enumerate(rows):
-            pool = np.arange(i) if across else np.array(lead, np.int64)
-            if across:
-                pool = pool[[rows[j][3] != comp for j in pool]] if i else pool
-            got = near(n, sketch, sizes[pool], [rows[j][2] for j in pool]) if len(pool) else pool
+        reps, sizes, sketches, comps = zip(*rows, strict=True)
+        own, comp, lead = Cell(sizes, sketches, num, den), np.array(comps), np.zeros(0, np.int64)
+        for i in range(len(rows)):
+            got = own.near(i, np.flatnonzero(comp[:i] != comp[i]) if across else lead)
             for j in got if across else got[:1]:
-                other = rows[pool[j]][0]
-                yield min(rep, other), max(rep, other)
-            if not len(got):
-                lead.append(i)
+                yield min(reps[i], reps[j]), max(reps[i], reps[j])
+            if not across and not len(got):
+                lead = np.append(lead, i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], set()
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(6)]
-            for key, part, *row in zip(*cols, strict=True):
+            for key, part, *row in zip(*cols, strict=True):  # rep, n, sketch, comp
                 if (key, part) != now:
                     if len(rows) > 1:
                         out.update(cell(rows))
@@ -236,7 +246,7 @@ def jaccard_components(docs: DataFrame, *, n_words: int = 4, num: int = 85, den:
     nothing; a text of fewer than n_words words is one shingle. Rows with the same doc_id count as one node each by text but
     share the id. Null ids keep a null component. An empty table gives an empty result.
     """
-    bands, near = Bands(num, den), Near(num, den)
+    bands = Bands(num, den)
     source = docs.select("doc_id", "text")
     feats = stash(source.mapInArrow(_features(n_words, bands), "doc_id long, n long, h1 long, h2 long, keys binary, sketch binary"), "parity")
     reps = feats.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -259,7 +269,7 @@ def jaccard_components(docs: DataFrame, *, n_words: int = 4, num: int = 85, den:
     def pairs(frame: DataFrame, across: bool) -> DataFrame:
         frame = frame.join(sketches, "rep").select("key", "cell", "rep", "n", "sketch", "comp")
         frame = frame.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "rep")
-        return stash(frame.mapInArrow(_candidates(near, across=across), "a long, b long").distinct(), "pairs")
+        return stash(frame.mapInArrow(_candidates(num, den, across=across), "a long, b long").distinct(), "pairs")
 
     def linked(found: DataFrame) -> DataFrame:
         ids = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()

@@ -22,7 +22,7 @@ from asofly.llm.common import held_out
 
 BUCKETS = 1 << 15
 MAX_TRAIN = 8_000  # rated documents at most, taken by a hash of their ids
-CACHE = 300_000  # words a task remembers at most
+CACHE = 150_000  # words a task remembers at most
 EXTRA = 3  # features after the hashed ones: repeats of the word before, distinct share, log of the number of words
 
 _SHAPE = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0")]

@@ -44,7 +44,7 @@ PREFIXES = (4, 5, 6)
 PRECISION = 0.98  # share of toxic documents among those with a piece of evidence
 MAX_TRAIN = 40_000  # labelled documents at most, taken by a hash of their ids
 MAX_EVIDENCE = 20_000  # words and beginnings that the model keeps at most
-CACHE = 300_000  # words whose score a task remembers at most
+CACHE = 150_000  # words whose score a task remembers at most
 LONGEST = 64  # a longer run of signs isn't one disguised word
 
 

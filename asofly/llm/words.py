@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 400_000  # words whose hash a task remembers at most
+CACHE = 200_000  # words whose hash a task remembers at most
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
