@@ -128,11 +128,12 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, *, max_train: int =
 def grade_documents(docs: DataFrame, model: OrdinalModel, *, select_at: int = 1, threshold: float = 0.5, keep: bool = False) -> DataFrame:
     """doc_id, score, expected_grade, p_ge_1 .. p_ge_{K-1} and selected (P(grade >= select_at) >= threshold) of every row.
 
-    Null texts count as empty; an empty text is graded by the thresholds alone. keep: all columns of docs as well.
+    Null texts count as empty; an empty text is graded by the thresholds alone. keep: the other columns of docs as well.
     """
     weights, thresholds = model.weights, model.thresholds
     tails = [f"p_ge_{k + 1}" for k in range(len(thresholds))]
     fields = [T.StructField(c, T.DoubleType()) for c in ("score", "expected_grade", *tails)]
+    docs = docs.drop("selected", *(f.name for f in fields))
     schema = T.StructType([*docs.select("*" if keep else "doc_id").schema, *fields, T.StructField("selected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,6 +159,12 @@ class Scorer:
     def _lookup(self, word: str) -> float:
         return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
 
+    def _disguised(self, token: str) -> float:
+        bone = skeleton(token)
+        if bone in self.bones or any(bone[:k] in self.starts for k in self.lengths):
+            return self._lookup(self.model.decode(token))
+        return 0.0
+
     def word(self, token: str) -> float:
         p = self.known.get(token)
         if p is None:
@@ -167,9 +173,7 @@ class Scorer:
             if not p and len(token) > LONGEST:
                 p = max((self._lookup(x) for x in re.findall(r"[^\W\d_]+", token)), default=0.0)
             elif not p and (w != token or plain(w) is None):
-                bone = skeleton(token)
-                if bone in self.bones or any(bone[:k] in self.starts for k in self.lengths):
-                    p = max(self._lookup(self.model.decode(x)) for x in (token, w))
+                p = max(self._disguised(x) for x in {token, w})
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[token] = p
@@ -248,11 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> di
 
 
 def score_documents(docs: DataFrame, model: dict, *, threshold: float = 0.7, keep: bool = False) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (1 from the threshold on) of every row; keep: all columns of docs as well.
+    """doc_id, score (0 to 1) and predicted (1 from the threshold on) of every row; keep: the other columns of docs as well.
 
     Null and empty texts get the model's base score. Repeated rows are scored each by itself.
     """
     evidence, counts, base = model["evidence"], model["counts"], model["base"]
+    docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.select("*" if keep else "doc_id").schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +270,20 @@ def score_documents(docs: DataFrame, model: dict, *, threshold: float = 0.7, kee
     return (docs if keep else docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: dict, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, that score under the threshold."""
+    evidence, counts, base = model["evidence"], model["counts"], model["base"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(evidence, counts, base)
+        for whole in batches:
+            for i in range(0, len(whole), 1000):
+                b = whole.slice(i, 1000)
+                yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """Learn from the labels outside the held-out fold, then score every document."""
     model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
