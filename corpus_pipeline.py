@@ -10,20 +10,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asofly.llm import toxicity
 from asofly.llm.common import stash, table
 from asofly.llm.decontamination import contaminated
 from asofly.llm.packing import pack_documents
 from asofly.llm.parity_join import jaccard_components
 from asofly.llm.pii import sanitise
-from asofly.llm.toxicity import fit, score_documents
 
 ORACLE_SQL = None  # the stages learn, align and pack, which SQL can't express; tests hold them against plain versions
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7, the model learned from all labels."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, keep=True).filter("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
