@@ -122,7 +122,9 @@ def find_spans(docs: DataFrame, *, support: int = SUPPORT, threshold: float = GE
     """
     mentions = _mentions(docs)
     disclosing, occurs = disclosing_terms(docs, mentions, support=support, threshold=threshold)
-    own = occurs.join(disclosing, "term").groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("own"))  # a document's terms
+    disclosing = stash(disclosing, "disclosing")
+    narrow = disclosing.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then a term in very many texts needs no shuffle
+    own = occurs.join(F.broadcast(disclosing) if narrow else disclosing, "term").groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("own"))  # a document's terms
     own = stash(own, "own-terms")
     few = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS // 20
     texts = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
