@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every training document is scanned once for the word n-grams of the test items. An n-gram's document frequency over the
-whole corpus says how rare it is; those of an item that are far more frequent than its rare ones are dropped, so an item
-copied into many documents keeps its seeds while runs of everyday words don't. Around the seeds that a document shares with
-an item, the item's words are aligned locally with the document's (match, mismatch, gap), which also scores copies with
-words changed, left out or put in. Items come in blocks of a fixed size, so what each task holds doesn't grow.
+Every training document is scanned once for the word n-grams of the test items. However frequent an n-gram is, around the
+seeds that a document shares with an item, the item's words are aligned locally with the document's (match, mismatch,
+gap), which also scores copies with words changed, left out or put in. A pair is left unaligned only where the words that
+both have in common can't reach the threshold in any order, which settles most runs of everyday words. Items come in
+blocks of a fixed size, so what each task holds doesn't grow.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from asofly.llm.common import stash
 from asofly.llm.words import WordHasher, ngrams
 
 SEED = 4  # words of a seed
-RARE = 10  # a seed is kept up to so many times the frequency of its item's rarer quarter
-FLOOR = 5  # document frequency under which every n-gram is rare
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 20_000_000  # of test items held by a task at once
 SCHEMA = "doc_id long, item_id long, score double, seeds int, start_word int, end_word int"
@@ -44,6 +42,12 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(best), end
 
 
+def bound(own: np.ndarray, other: np.ndarray) -> int:
+    """What no local score of the two can exceed: the best run of own, its words that other lacks as mismatches."""
+    total = np.concatenate(([0], np.cumsum(np.where(np.isin(own, other), MATCH, max(MISMATCH, GAP)))))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def locate(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     """Share of the perfect score (0 to 1), and the aligned span of window; an empty item scores 0."""
     if not len(item) or not len(window):
@@ -81,15 +85,6 @@ class Items:
         self.grams, self.owner, self.place = flat[order], owner[order], place[order]
         self.lengths = sorted({min(seed, len(w)) for w in self.words if len(w)})
 
-    def keep(self, frequency: dict[int, int]) -> None:
-        """Drop seeds that are frequent against their item's rarer quarter."""
-        df = np.array([frequency.get(int(g), 0) for g in self.grams.view(np.int64)], float)
-        quarter = np.zeros(len(self.ids))
-        for i in np.unique(self.owner):
-            quarter[i] = np.quantile(df[self.owner == i], 0.25)
-        ok = df <= RARE * np.maximum(quarter[self.owner], FLOOR)
-        self.grams, self.owner, self.place = self.grams[ok], self.owner[ok], self.place[ok]
-
     def found(self, words: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a document of n-grams that are seeds, and those n-grams."""
         at, what = [], []
@@ -125,10 +120,6 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "at", "what", "words"])
 
     hits = stash(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, at array<int>, what array<long>, words binary"), "seed-hits")
-    seen = hits.select(F.explode(F.array_distinct("what")).alias("gram")).groupBy("gram").count()
-    frequency = {r["gram"]: r["count"] for r in seen.collect()}  # n-grams of this block of items at most
-    kept = Items(rows, seed)
-    kept.keep(frequency)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,17 +128,19 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
                 words = np.frombuffer(raw, np.uint64)
                 by_item: dict[int, list[tuple[int, int]]] = {}
                 grams = np.array(what, np.int64).view(np.uint64)
-                low, high = np.searchsorted(kept.grams, grams, "left"), np.searchsorted(kept.grams, grams, "right")
+                low, high = np.searchsorted(items.grams, grams, "left"), np.searchsorted(items.grams, grams, "right")
                 for pos, i, j in zip(at, low.tolist(), high.tolist(), strict=True):
                     for k in range(i, j):
-                        by_item.setdefault(int(kept.owner[k]), []).append((pos, int(kept.place[k])))
+                        by_item.setdefault(int(items.owner[k]), []).append((pos, int(items.place[k])))
                 for i, own in by_item.items():
-                    item, best = kept.words[i], (0.0, 0, 0)
+                    item, best = items.words[i], (0.0, 0, 0)
                     for a, z in _windows(own, len(item), len(words)):
+                        if min(bound(item, words[a:z]), bound(words[a:z], item)) < threshold * MATCH * len(item):
+                            continue
                         s, x, y = locate(item, words[a:z])
                         best = max(best, (s, a + x, a + y), key=lambda t: (t[0], -t[1]))
                     if best[0] >= threshold:
-                        out.append((doc, kept.ids[i], best[0], len({o for _, o in own}), best[1], best[2]))
+                        out.append((doc, items.ids[i], best[0], len({o for _, o in own}), best[1], best[2]))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])

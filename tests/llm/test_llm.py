@@ -16,7 +16,7 @@ import corpus_pipeline
 from asofly.llm import html_mincut, queries, toxicity
 from asofly.llm.common import table
 from asofly.llm.components import connected_components
-from asofly.llm.decontamination import contaminated, locate
+from asofly.llm.decontamination import bound, contaminated, locate
 from asofly.llm.packing import pack_documents
 from asofly.llm.parity_join import Bands, block_keys, differ, folded, jaccard_components
 from asofly.llm.pii import personal_data, sanitise
@@ -360,6 +360,21 @@ def test_leaks_are_found_and_edited_ones(spark, docs, small):
     assert contaminated(edited, bench.limit(0)).count() == 0 and contaminated(edited.limit(0), bench).count() == 0
 
 
+def test_leaks_in_many_edited_copies(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i in (3, 19, 35) else w for i, w in enumerate(item)]  # all the item's other 4-grams are frequent
+    rows = [(i, f"n{i} before {' '.join(edited)} and after") for i in range(200)] + [(1000, "it has w5 w6 w7 w8 and nothing else")]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(200)) and all(r.item_id == 7 and r.score > 0.85 for r in got)
+
+
+def test_bound_is_never_under_the_score():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        a, b = rng.integers(0, 30, rng.integers(1, 20)).astype(np.uint64), rng.integers(0, 30, rng.integers(1, 30)).astype(np.uint64)
+        assert min(bound(a, b), bound(b, a)) >= align_plain(a.tolist(), b.tolist())
+
+
 # --- embeddings
 
 
