@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asofly.llm.common import held_out
+from asofly.llm.words import WordHasher, mix, shingle_set
 
 #: What a sign may stand for besides itself.
 SIGNS = {
@@ -45,6 +46,7 @@ PRECISION = 0.98  # share of toxic documents among those with a piece of evidenc
 MAX_TRAIN = 40_000  # labelled documents at most, taken by a hash of their ids
 MAX_EVIDENCE = 20_000  # words and beginnings that the model keeps at most
 CACHE = 150_000  # words whose score a task remembers at most
+SKETCH, BAND, COPY = 64, 4, 0.8  # hashes of a training text's five-word runs, hashes of a band, share of equal ones of near copies
 LONGEST = 64  # a longer run of signs isn't one disguised word
 
 
@@ -200,13 +202,47 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.int64())], ["code", "n"])
 
 
-def _feature_counts(name: str, keep: set[str] | None = None):
-    """A task that counts the documents with each feature (of keep only, if given)."""
+def sketch(raw: bytes, hasher: WordHasher) -> np.ndarray:
+    """The smallest value of each of SKETCH hashes over the five-word runs of a text; a text without words gives none."""
+    runs, seeds = shingle_set(hasher(raw), 5), mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
+    parts = [mix(runs[i : i + 4096, None] ^ seeds).min(axis=0) for i in range(0, len(runs), 4096)]
+    return np.min(parts, axis=0) if parts else runs
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = WordHasher(strip=True)
+    for b in batches:
+        got = [sketch(raw, hasher).tobytes() for raw in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], ["signature", "toxic", "sketch"])
+
+
+def near_copies(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int]]:
+    """Of (signature, toxic, sketch), those whose sketch agrees with that of an earlier one that stays, of the same label."""
+    found, heads, stay = set(), [], {}
+    for signature, toxic, raw in sorted(rows):
+        x = np.frombuffer(raw, np.uint64)
+        if not len(x):
+            continue
+        keys = [(toxic, i, raw[8 * i : 8 * (i + BAND)]) for i in range(0, SKETCH, BAND)]
+        met = list({h for k in keys for h in stay.get(k, ())})
+        if met and ((np.array([heads[h] for h in met]) == x).mean(axis=1) >= COPY).any():
+            found.add((signature, toxic))
+            continue
+        for k in keys:
+            stay.setdefault(k, []).append(len(heads))
+        heads.append(x)
+    return found
+
+
+def _feature_counts(name: str, copies: set[int], keep: set[str] | None = None):
+    """A task that counts the documents with each feature (of keep only, if given), those of copies left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text, signature in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if signature in copies:
+                    continue
                 seen.update({f for w in words_of(text or "") if (p := plain(w)) for f in features(p) if keep is None or f in keep})
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", name])
 
@@ -216,8 +252,8 @@ def _feature_counts(name: str, keep: set[str] | None = None):
 def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> dict:
     """Evidence and character model. docs: doc_id, text; labels: doc_id, toxic (1 or 0; null rows are left out).
 
-    At most max_train labelled documents are used, those whose ids hash lowest. Near copies among them, told by the
-    smallest hash of their words, count once. No labels: no evidence, and every document gets the base score.
+    At most max_train labelled documents are used, those whose ids hash lowest. Equal texts among them (case and white
+    space apart) and near copies, told by the sketches of their five-word runs, count once a label. No labels: no evidence, and every document gets the base score.
     """
     letters = docs.select("text").mapInArrow(_letter_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = np.zeros(N**3, np.int64)
@@ -225,19 +261,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> di
         counts[r["code"]] = r["n"]
     sample = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    signature = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
+    signature = F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
     one = (
         docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").withColumn("signature", signature)
         .groupBy("signature", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
-        .select("text", "toxic").persist()
+        .select("signature", "toxic", "text").persist()
     )
-    size = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    texts = lambda toxic: one.filter(F.col("toxic") == toxic).select("text")
-    found = texts(1).mapInArrow(_feature_counts("a"), "feature string, a long").groupBy("feature").agg(F.sum("a").alias("a")).filter("a >= 3")
+    rows = [(r["signature"], r["toxic"], bytes(r["sketch"])) for r in one.mapInArrow(_sketches, "signature long, toxic int, sketch binary").collect()]  # of max_train documents
+    copies = near_copies(rows)
+    n1, n0 = (sum(r[1] == t for r in rows) - sum(c[1] == t for c in copies) for t in (1, 0))
+    texts = lambda toxic: one.filter(F.col("toxic") == toxic).select("text", "signature")
+    found = texts(1).mapInArrow(_feature_counts("a", {c for c, t in copies if t}), "feature string, a long").groupBy("feature").agg(F.sum("a").alias("a")).filter("a >= 3")
     base = n1 / (n1 + n0) if n1 + n0 else 0.0
     keep = {r["feature"]: r["a"] for r in found.orderBy(F.desc("a"), "feature").limit(10 * MAX_EVIDENCE).collect()}
-    clean = texts(0).mapInArrow(_feature_counts("b", set(keep)), "feature string, b long").groupBy("feature").agg(F.sum("b").alias("b"))
+    clean = texts(0).mapInArrow(_feature_counts("b", {c for c, t in copies if not t}, set(keep)), "feature string, b long").groupBy("feature").agg(F.sum("b").alias("b"))
     lows = {r["feature"]: r["b"] for r in clean.collect()}  # no more than the names above
     one.unpersist()
     bar, scored = 2 * math.log(len(keep) + 1) + 1, []  # about one feature passes by chance

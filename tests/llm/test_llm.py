@@ -32,6 +32,9 @@ VOCAB = P.path("word_bpe_49k.json")
 ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, "one", None, "s", 3), (5, "one", "en", None, 3), (5, "one", "en", None, 3), (None, "no id at all here", "en", "s", 17), (7, "long " * 30000 + "end", "en", "s", 150003)]
 
 
+WORDS = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu", "me") for b in ("ra", "to", "ni", "ve") for c in ("s", "m", "n")]
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     from pyspark.sql import functions as F
@@ -95,6 +98,19 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.toxicity(odd.limit(0), labels).count() == 0
 
 
+def test_texts_that_share_one_word_all_train(spark):
+    rng = random.Random(5)
+    text = lambda i, extra: " ".join(f"{extra} w{i} " + " ".join(rng.sample(WORDS, 12)) for _ in range(4))
+    rows = [(i, text(i, "are grobnik" if i < 12 else "are")) for i in range(60)]
+    again = [(100 + i, rows[0][1].upper() + f" edit{i}" * (i % 2)) for i in range(12)]
+    docs = spark.createDataFrame(rows + again, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12 or i >= 100)) for i, _ in rows + again], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "=grobnik" in model["evidence"]
+    one = labels.filter("doc_id < 1 or doc_id > 11")
+    assert "=grobnik" not in toxicity.fit(docs, one)["evidence"]  # near copies of one text are one piece of evidence
+
+
 # --- quality
 
 
