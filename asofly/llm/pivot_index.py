@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. Every vector is described by its nearest pivots in order;
+Reference points (pivots) are a bounded sample of the vectors, spread out: of a crowd of alike vectors only one becomes a
+pivot, else the nearest pivots of its members would all be in the crowd and differ by chance. Every vector is described by its nearest pivots in order;
 each of them has an inverted list, by label and dimension, of the vectors that name it. Vectors that share enough pivots
-are candidates, and a candidate pair is verified by its cosine in double precision, once: in the list of the lowest pivot
+or the nearest one are candidates, and a candidate pair is verified by its cosine in double precision, once: in the list of the lowest pivot
 it shares. Lists are worked through as matrix blocks, long ones split into a grid of cells, and a block gives back per
 vector how many links it has and one link towards its component, never the pairs. Equal vectors are one class beforehand.
 """
@@ -23,6 +24,8 @@ from asofly.llm.components import connected_components
 NEAREST = 6  # pivots that describe a vector
 SHARED = 2  # pivots that a candidate pair has in common
 PIVOTS = (32, 1024)  # fewest and most; the square root of the number of vectors between
+DRAWN = 4  # vectors drawn for each pivot
+APART = 0.5  # cosine that no two pivots reach
 CELL = 1024  # vectors of a list that are compared in one place
 
 
@@ -44,6 +47,26 @@ def describe(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.nd
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
 
 
+def spread(x: np.ndarray, n: int) -> np.ndarray:
+    """The first n unit vectors at most that have a cosine under APART with all that stay before them."""
+    kept = np.zeros((0, x.shape[1]))
+    for u in x:
+        if len(kept) == n:
+            break
+        if not (kept @ u >= APART).any():
+            kept = np.vstack([kept, u])
+    return kept
+
+
+def candidates(near: list[list[int]], shared: int) -> np.ndarray:
+    """Which vectors have enough nearest pivots in common, or the nearest one of all."""
+    held = np.zeros((len(near), max(max(p) for p in near) + 1), np.float32)
+    for i, p in enumerate(near):
+        held[i, p] = 1
+    home = np.array([p[0] for p in near])
+    return (held @ held.T >= min(shared, min(map(len, near)))) | (home[:, None] == home[None, :])
+
+
 def _prepare(pivots: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,7 +90,7 @@ def _prepare(pivots: dict[int, np.ndarray]):
 
 
 def block_links(x: np.ndarray, near: list[list[int]], pivot: int, group: np.ndarray | None, threshold: float, shared: int) -> np.ndarray:
-    """Links of a block as a boolean matrix: pairs whose lowest shared pivot is this one, that share enough and are close.
+    """Links of a block as a boolean matrix: pairs whose lowest shared pivot is this one, that are candidates and are close.
 
     group: only pairs of different groups count, if given.
     """
@@ -75,7 +98,7 @@ def block_links(x: np.ndarray, near: list[list[int]], pivot: int, group: np.ndar
     held = np.zeros((len(near), width), np.float32)
     for i, p in enumerate(near):
         held[i, p] = 1
-    enough = held @ held.T >= min(shared, min(map(len, near)))
+    enough = candidates(near, shared)
     enough &= held[:, :pivot] @ held[:, :pivot].T == 0
     if group is not None:
         enough &= group[:, None] != group[None, :]
@@ -125,14 +148,14 @@ def _links(threshold: float, shared: int):
 
 
 def choose_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """n unit vectors at most, by dimension: those whose ids hash lowest. A dimension without any has one list for all."""
-    rows = vectors.filter("embedding is not null and label is not null").orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(n).collect()
+    """n unit vectors at most, by dimension: spread out among those whose ids hash lowest. A dimension without any has one list for all."""
+    rows = vectors.filter("embedding is not null and label is not null").orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(DRAWN * n).collect()
     found: dict[int, list] = {}
-    for r in rows:  # PIVOTS[1] rows at most
+    for r in rows:  # DRAWN * PIVOTS[1] rows at most
         x = valid_vector(r["embedding"])
         if x is not None:
             found.setdefault(len(x), []).append(unit(x))
-    return {d: np.unique(np.array(v), axis=0) for d, v in found.items()}
+    return {d: spread(np.array(v), n) for d, v in found.items()}
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, shared: int = SHARED) -> DataFrame:

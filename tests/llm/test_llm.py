@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from asofly.llm import html_mincut, queries, toxicity
+from asofly.llm import html_mincut, pivot_index, queries, toxicity
 from asofly.llm.common import table
 from asofly.llm.components import connected_components
 from asofly.llm.decontamination import bound, contaminated, locate
@@ -394,6 +394,24 @@ def test_bound_is_never_under_the_score():
 # --- embeddings
 
 
+def test_recall_in_a_crowd_with_many_pivots(spark):
+    rng = np.random.default_rng(6)
+    centre = pivot_index.unit(rng.normal(size=64))
+
+    def drawn(n):  # a third of the vectors crowd round one centre, at cosines of about 0.96 to each other
+        crowd = 0.96**0.5 * centre + 0.04**0.5 * pivot_index.unit(rng.normal(size=(n // 3, 64)))
+        return rng.permutation(pivot_index.unit(np.vstack([crowd, rng.normal(size=(n - n // 3, 64))])))
+
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(drawn(4096))], "vec_id long, label long, embedding array<double>")
+    pivots = pivot_index.choose_pivots(rows, pivot_index.PIVOTS[1])[64]
+    x = drawn(900)
+    near = pivot_index.describe(x, pivots).tolist()
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    found = sum(pivot_index.block_links(x[m], [near[i] for i in m], p, None, 0.93, pivot_index.SHARED).sum() for p in range(len(pivots)) if len(m := [i for i, own in enumerate(near) if p in own]) > 1)
+    assert 0.95 * link.sum() < found <= link.sum()
+
+
 def test_pivot_index_recall_and_components(spark):
     rng = np.random.default_rng(9)
     rows, n = [], 0
