@@ -5,9 +5,10 @@ may stand for some letters, or for none. A Viterbi search finds the likeliest le
 counts come from every document. The restored words are then scored with evidence learned from labelled documents: whole
 words and word beginnings that occur in toxic documents significantly more often than elsewhere.
 
-Plain words of letters without a run of three equal ones have a single path through their lattice, so they're looked up
-as they are. A disguised word is decoded only if its skeleton (signs that may stand for each other made equal, runs
-shortened) is that of known evidence: nothing else could be restored to it.
+Words of letters without equal ones in a row have a single path through their lattice, so they're looked up as they are.
+Any other word is decoded only if its skeleton (signs that may stand for each other made equal, runs shortened) is that of
+known evidence: nothing else could be restored to it. Short fragments in a row are joined and treated in the same way if
+one of them is a single sign or there are three at least; two longer ones ('los er') are taken for two words.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ MAX_TRAIN = 40_000  # labelled documents at most, taken by a hash of their ids
 MAX_EVIDENCE = 20_000  # words and beginnings that the model keeps at most
 CACHE = 150_000  # words whose score a task remembers at most
 SKETCH, BAND, COPY = 64, 4, 0.8  # hashes of a training text's five-word runs, hashes of a band, share of equal ones of near copies
-LONGEST = 64  # a longer run of signs isn't one disguised word
+LONGEST = 64  # a longer run of signs isn't one disguised word, its repeats and separators shortened
+FRAGMENT, JOINED = 4, 12  # signs of a fragment of a spaced word, fragments of one at most
 
 
 def _classes() -> np.ndarray:
@@ -120,7 +122,17 @@ def skeleton(token: str) -> str:
 
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_EDGE_LEFT = re.compile(r"^[\W_]+")
+_RUN2 = re.compile(r"(.)\1")
 _RUN3 = re.compile(r"(.)\1\1")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
+_GAP = re.compile("([" + re.escape("".join(sorted(BETWEEN))) + "])[" + re.escape("".join(sorted(BETWEEN))) + "]+")
+_PIECES = re.compile("[" + re.escape("".join(sorted(BETWEEN))) + "]")
+
+
+def shorten(token: str) -> str:
+    """The token with runs of equal signs cut to three and runs of separators to one."""
+    return _GAP.sub(r"\1", _LONG_RUN.sub(r"\1\1\1", token))
 
 
 def features(word: str) -> list[str]:
@@ -157,25 +169,63 @@ class Scorer:
         self.bones = {skeleton(f[1:]) for f in evidence if f[0] == "="}
         self.starts = {skeleton(f[:-1]) for f in evidence if f[-1] == "*"}
         self.lengths = sorted({len(s) for s in self.starts})
+        self.onsets, self.opens, self.fragments = {s[:4] for s in self.bones | self.starts}, {}, {}
 
     def _lookup(self, word: str) -> float:
         return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
 
     def _disguised(self, token: str) -> float:
+        token = token if len(token) <= LONGEST else shorten(token)
         bone = skeleton(token)
-        if bone in self.bones or any(bone[:k] in self.starts for k in self.lengths):
+        if bone in self.bones or len(token) <= LONGEST and any(bone[:k] in self.starts for k in self.lengths):
             return self._lookup(self.model.decode(token))
+        if any(bone[:k] in self.starts for k in self.lengths):  # too long for one word: its beginning only
+            return max((self.evidence.get(f, 0.0) for f in features(self.model.decode(token[:LONGEST]))[1:]), default=0.0)
         return 0.0
 
+    def _opens(self, token: str) -> bool:
+        """Whether the skeleton of some evidence begins as the token does."""
+        known = self.opens.get(token)
+        if known is None:
+            if len(self.opens) >= CACHE:
+                self.opens.clear()
+            bone = skeleton(token)[:4]
+            known = self.opens[token] = any(o[: len(bone)] == bone[: len(o)] for o in self.onsets)
+        return known
+
+    def spaced(self, text: str) -> set[str]:
+        """Joined fragments that may be a disguised word: at most FRAGMENT signs each besides those at their ends."""
+        parts, found, known = text.lower().split(), set(), self.fragments
+        if len(known) >= CACHE:
+            known.clear()
+        for p in set(parts).difference(known):
+            short = len(p) <= FRAGMENT or len(p) <= FRAGMENT + 3 and len(_EDGE.sub("", p)) <= FRAGMENT
+            known[p] = tuple(w for w in {p, _EDGE_LEFT.sub("", p)} if self._opens(w)) if short else None
+        first = [known[p] for p in parts]
+        for i in [i for i, w in enumerate(first[:-1]) if w]:
+            for word in first[i]:
+                single = len(word) == 1
+                for j in range(i + 1, min(i + JOINED, len(parts))):
+                    if first[j] is None:
+                        break
+                    word += parts[j]
+                    if not self._opens(word[:8]):
+                        break
+                    single = single or len(parts[j]) == 1
+                    if len(word) >= 4 and (single or j > i + 1):
+                        found.add(word)
+        return found
+
     def word(self, token: str) -> float:
         p = self.known.get(token)
         if p is None:
             w = _EDGE.sub("", token)
             p = self._lookup(w)
-            if not p and len(token) > LONGEST:
-                p = max((self._lookup(x) for x in re.findall(r"[^\W\d_]+", token)), default=0.0)
-            elif not p and (w != token or plain(w) is None):
+            if not p and (w != token or plain(w) is None or _RUN2.search(w)):
                 p = max(self._disguised(x) for x in {token, w})
+            if not p and len(token) > LONGEST:
+                parts = {*re.findall(r"[^\W\d_]+", token), *_PIECES.split(token)} - {token, ""}
+                p = max((self.word(x) for x in parts), default=0.0)
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[token] = p
@@ -183,7 +233,7 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         rest = 1.0
-        for w in words_of(text or ""):
+        for w in words_of(text or "") | self.spaced(text or ""):
             rest *= 1.0 - self.word(w)
         return 1.0 - rest * (1.0 - self.base)
 

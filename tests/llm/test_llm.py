@@ -83,6 +83,17 @@ def test_viterbi_restores_disguised_words():
     assert s.restore("an l0ser  here") == "an loser  here"
 
 
+def test_doubled_stretched_and_spaced_words_are_restored():
+    counts = np.zeros(toxicity.N**3, np.int64)
+    for w in b"the stupid idiot is a loser so we all will see class and pass the ball of a hill ".split():
+        counts += 200 * toxicity.trigram_counts(b" " + w + b" ")
+    s = toxicity.Scorer({"=idiot": 0.99, "=stupid": 0.99, "stup*": 0.99, "=loser": 0.99}, counts, 0.01)
+    for t in ["stuupid", "iddiioott", "st" + "u" * 100 + "pid", "i" + "-" * 40 + "d" + "._" * 30 + "iot", "x/" * 40 + "l0ser", "so st u pid!", '"l o ser"', "st up id"]:
+        assert s.score(t) > 0.7, t
+    for t in ["los er", "we all will see", "a class", "x" * 100, "a" * 30000, "pass the ball of a hill", "it is a so so"]:
+        assert s.score(t) < 0.7, t
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").filter("held_out").toPandas()
