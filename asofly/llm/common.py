@@ -38,12 +38,6 @@ def keep_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of df whose id isn't in ids; broadcast as in keep_ids."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
-
-
 def held_out(doc_id, folds: int = 3, fold: int = 1):
     """Whether a document belongs to the held-out fold: crc32 of its id as text."""
     return F.crc32(doc_id.cast("string")) % folds == fold

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import stash
+from asofly.llm.common import BROADCAST_ROWS, stash
 from asofly.llm.words import WordHasher, ngrams
 
 SEED = 4  # words of a seed
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 20_000_000  # of test items held by a task at once
-SCHEMA = "doc_id long, item_id long, score double, seeds int, start_word int, end_word int"
+SCHEMA = "doc_id long, th long, item_id long, score double, seeds int, start_word int, end_word int"
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -110,21 +110,22 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
         hasher, bits = WordHasher(strip=True), items.bitmap()
         for b in batches:
             out: list[tuple] = []
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, th, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = hasher(raw)
                 at, what = items.found(words, bits)
                 if len(at):
-                    out.append((doc, at.tolist(), what.view(np.int64).tolist(), words.tobytes()))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "at", "what", "words"])
+                    out.append((doc, th, at.tolist(), what.view(np.int64).tolist(), words.tobytes()))
+            cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "th", "at", "what", "words"])
 
-    hits = stash(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, at array<int>, what array<long>, words binary"), "seed-hits")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    hits = stash(rows.mapInArrow(scan, "doc_id long, th long, at array<int>, what array<long>, words binary"), "seed-hits")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, at, what, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, th, at, what, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 words = np.frombuffer(raw, np.uint64)
                 by_item: dict[int, list[tuple[int, int]]] = {}
                 grams = np.array(what, np.int64).view(np.uint64)
@@ -140,21 +141,15 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
                         s, x, y = locate(item, words[a:z])
                         best = max(best, (s, a + x, a + y), key=lambda t: (t[0], -t[1]))
                     if best[0] >= threshold:
-                        out.append((doc, items.ids[i], best[0], len({o for _, o in own}), best[1], best[2]))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+                        out.append((doc, th, items.ids[i], best[0], len({o for _, o in own}), best[1], best[2]))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return hits.mapInArrow(score, SCHEMA)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, seed: int = SEED) -> DataFrame:
-    """One row per document and test item that align: doc_id, item_id, score, seeds, start_word, end_word.
-
-    score is the alignment's share of the item's perfect score, at least threshold; the span counts words of the document
-    (those with a letter or digit). Null and empty texts and items without words match nothing. Items shorter than a seed
-    are sought whole. Equal items each get their rows; a repeated document row gets rows of its own.
-    """
+def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -> DataFrame:
     items = benchmark.select("item_id", "text").filter("item_id is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
@@ -163,3 +158,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
         parts.append(_block(docs, [(r["item_id"], r["text"]) for r in own.collect()], seed, threshold))  # one block's texts
     return reduce(DataFrame.unionByName, parts)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, seed: int = SEED) -> DataFrame:
+    """One row per document and test item that align: doc_id, item_id, score, seeds, start_word, end_word.
+
+    score is the alignment's share of the item's perfect score, at least threshold; the span counts words of the document
+    (those with a letter or digit). Null and empty texts and items without words match nothing. Items shorter than a seed
+    are sought whole. Equal items each get their rows; a repeated document row gets rows of its own. Empty tables give no
+    rows; other columns are ignored.
+    """
+    return _aligned(docs, benchmark, threshold, seed).drop("th")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns as they are, in which no test item is found.
+
+    Rows go by id and text together: a contaminated row without an id goes, and a clean row stays even if another row has
+    its id and is contaminated.
+    """
+    leaks = _aligned(docs, benchmark, threshold, seed).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    leaks = stash(leaks, "leaks")
+    few = leaks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th"))
+    return docs.join(F.broadcast(leaks) if few else leaks, same, "left_anti")

@@ -10,11 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofly.llm import toxicity
+from asofly.llm import decontamination, toxicity
 from asofly.llm.common import stash, table
-from asofly.llm.decontamination import contaminated
 from asofly.llm.packing import pack_documents
-from asofly.llm.parity_join import jaccard_components
+from asofly.llm.parity_join import one_of_each
 from asofly.llm.pii import sanitise
 
 ORACLE_SQL = None  # the stages learn, align and pack, which SQL can't express; tests hold them against plain versions
@@ -26,21 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the lowest doc_id) of each group linked by five-word shingles and a similarity of 0.8 or more.
-
-    Documents without words link with nothing and stay, so do those without an id. Repeated rows count once.
-    """
-    found = jaccard_components(docs, n_words=5, num=80, den=100)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    one = named.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One document (the lowest doc_id) of each group linked by five-word shingles and a similarity of 0.8 or more."""
+    return one_of_each(docs, n_words=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found, whole or edited."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,16 +9,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from asofly.llm import html_mincut, pivot_index, queries, toxicity
+from asofly.llm import html_mincut, parity_join, pivot_index, queries, toxicity
 from asofly.llm.common import table
 from asofly.llm.components import connected_components
-from asofly.llm.decontamination import bound, contaminated, locate
+from asofly.llm.decontamination import bound, contaminated, drop_contaminated, locate
 from asofly.llm.packing import pack_documents
-from asofly.llm.parity_join import Bands, block_keys, differ, folded, jaccard_components
+from asofly.llm.parity_join import Bands, block_keys, differ, folded, jaccard_components, one_of_each
 from asofly.llm.pii import personal_data, sanitise
 from asofly.llm.pivot_index import near_duplicates
 from asofly.llm.quality import fit_ordinal, grade_documents, quality
@@ -37,8 +39,6 @@ WORDS = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu", "me") for b in ("ra", "t
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    from pyspark.sql import functions as F
-
     return spark.createDataFrame(ODD, DOCS).withColumn("score", F.lit(1)).withColumn("n", F.lit("x")).withColumn("h", F.lit(2))
 
 
@@ -340,7 +340,46 @@ def test_sketches_bound_the_difference_and_linked_sets_share_a_key():
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         assert differ(folded(a), folded(b)) <= either - both
         if 100 * both >= 85 * either and either > both:
-            assert np.intersect1d(block_keys(a, bands), block_keys(b, bands)).size
+            assert np.intersect1d(block_keys(a, bands)[0], block_keys(b, bands)[0]).size
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_jaccard_links_just_over_the_threshold_among_shared_passages(spark, k, num):
+    rng, rows = random.Random(num), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(30)] for _ in range(3)]
+    for g in range(60):
+        base = [word() for _ in range(rng.choice([12, 40, 150, 500]))]
+        for _ in range(4):  # edits in one run, so similarities spread around the threshold
+            w, cut = list(base), rng.randrange(len(base))
+            w[cut : cut + rng.randint(0, max(1, len(base) // 14))] = [word() for _ in range(rng.randint(0, max(1, len(base) // 14)))]
+            rows.append((len(rows), " ".join(w + rng.choice(passages) * (g % 3))))
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w := t.split()) >= k else {tuple(w)} for i, t in rows}
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])
+    want = components(sorted(sets), linked)
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n_words=k, num=num, den=100).collect()}
+    assert got == want and 20 < len(set(want.values())) < 220
+
+
+def test_a_repeated_id_keeps_the_links_of_each_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, a), (1, b), (2, b + " more"), (None, a), (3, "other words stand here"), (3, "other words stand here")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_components(frame).collect()))
+        assert got == [(0, 57, 1), (1, 57, 1), (1, 57, 1), (2, 58, 1), (3, 1, 3), (3, 1, 3)]
+        assert sorted((r.doc_id, r.text[0]) for r in one_of_each(frame).collect()) == [(1, "x"), (1, "y"), (3, "o")]
+
+
+def test_counts_of_a_block_follow_its_rows(monkeypatch):
+    monkeypatch.setattr(parity_join, "LONGEST_RUN", 50)
+    rng = np.random.default_rng(12)
+    keys = np.sort(np.concatenate([rng.integers(0, 40, 100), np.full(170, 7), np.full(30, 99), np.arange(200, 260)]))
+    rows = np.arange(len(keys))
+    for size in (1, 7, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(rows[i : i + size])], ["key", "row"]) for i in range(0, len(keys), size)]
+        got = [x for b in parity_join._shared(iter(batches)) for x in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        assert sorted(got) == [(k, r, min(n, 50)) for k, r in zip(keys.tolist(), rows.tolist()) if (n := int((keys == k).sum())) > 1]
 
 
 def test_jaccard_odd(spark, odd):
@@ -402,6 +441,16 @@ def test_bound_is_never_under_the_score():
         assert min(bound(a, b), bound(b, a)) >= align_plain(a.tolist(), b.tolist())
 
 
+def test_contaminated_rows_go_whatever_their_id(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    rows = [(None, "so one two three four five six seven eight nine ten it is"), (6, "one two three four five six seven eight nine ten"), (6, "a clean row with the same id"), (None, "clean"), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("item_id", F.lit(1))
+    out = drop_contaminated(frame, bench.unionByName(bench).withColumn("th", F.lit(2)))
+    assert out.columns == frame.columns
+    assert sorted(str(r.text) for r in out.collect()) == ["None", "a clean row with the same id", "clean"]
+    assert contaminated(frame, bench.unionByName(bench)).count() == 4  # equal items each get their rows
+
+
 # --- embeddings
 
 
