@@ -12,14 +12,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of a batch that goes to a Python worker at most (one row at least), where the session keeps Spark's own default.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame; from now on its session cuts Arrow batches by BATCH_BYTES, unless it sets a limit itself.
+
+    Texts differ in length by four orders of magnitude, so a limit of rows alone bounds nothing.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("64MB", "67108864b", "67108864"):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set (tests)."""
+    """The folder that all executors share; one of our own only where none is set and everything runs on one machine (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="asofly-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir

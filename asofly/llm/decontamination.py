@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import BROADCAST_ROWS, stash
+from asofly.llm.common import BROADCAST_ROWS, bounded_batches, stash
 from asofly.llm.words import WordHasher, ngrams
 
 SEED = 4  # words of a seed
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 20_000_000  # of test items held by a task at once
+SLICE = 500  # documents handled at once
 SCHEMA = "doc_id long, th long, item_id long, score double, seeds int, start_word int, end_word int"
 
 
@@ -108,7 +109,7 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = WordHasher(strip=True), items.bitmap()
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, max(len(whole), 1), SLICE)):
             out: list[tuple] = []
             for doc, th, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = hasher(raw)
@@ -119,11 +120,11 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "th", "at", "what", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     hits = stash(rows.mapInArrow(scan, "doc_id long, th long, at array<int>, what array<long>, words binary"), "seed-hits")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, max(len(whole), 1), SLICE)):
             out: list[tuple] = []
             for doc, th, at, what, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 words = np.frombuffer(raw, np.uint64)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import stash
+from asofly.llm.common import bounded_batches, stash
 from asofly.llm.word_bpe import word_bpe
 
 WINDOW = 4096
@@ -46,7 +46,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataFr
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, CHUNK), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "n", "ids"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 class Index:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.llm.common import BROADCAST_ROWS, keep_ids, stash
+from asofly.llm.common import BROADCAST_ROWS, bounded_batches, keep_ids, stash
 from asofly.llm.components import connected_components
 from asofly.llm.words import WordHasher, mix, shingle_set
 
@@ -262,7 +262,7 @@ def jaccard_classes(docs: DataFrame, *, n_words: int, num: int, den: int) -> tup
     """
     bands = Bands(num, den)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     # Rows are numbered once, as they are written: ids may be missing or repeated.
     feats = stash(source.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(_features(n_words, bands), FEATURES), "parity")
     classes = stash(feats.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")), "classes")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import keep_ids, stash
+from asofly.llm.common import bounded_batches, keep_ids, stash
 from asofly.llm.components import connected_components
 
 NEAREST = 6  # pivots that describe a vector
@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, shared: int
     n_links counts the other vectors linked directly; component_id is the smallest vec_id reachable; kept: it's that one.
     Vectors that are null, empty, zero, or have null or non-finite parts, and those without a label, link with nothing.
     """
-    source = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    source = bounded_batches(vectors).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     count = source.count()
     pivots = choose_pivots(source, int(min(max(count**0.5, PIVOTS[0]), PIVOTS[1])))
     rows = stash(source.mapInArrow(_prepare(pivots), "vec_id long, label long, dim int, h1 long, h2 long, near array<int>, unit binary"), "vectors")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asofly.llm.common import held_out
+from asofly.llm.common import bounded_batches, held_out
 from asofly.llm.words import WordHasher, mix, shingle_set
 
 #: What a sign may stand for besides itself.
@@ -37,6 +37,8 @@ SIGNS = {
 SAME = {"l": "i", "g": "9"}
 #: Signs that may stand between letters without meaning.
 BETWEEN = set(".-_*~^'`,:;/\\ #&%")
+#: Signs that stand for no letter, so they don't count at the ends of a word.
+SILENT = "".join(sorted((BETWEEN | set(map(chr, range(33, 127))) | set("“”‘’„«»…–—¿")) - set(SIGNS) - set(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123))))))
 #: Natural logarithms of the channel: a sign read as a letter, a sign between letters left out, another left out, a repeat left out.
 READ, SKIP, DROP, FOLD = math.log(0.6), math.log(0.3), math.log(0.0005), math.log(0.1)
 
@@ -46,10 +48,11 @@ PREFIXES = (4, 5, 6)
 PRECISION = 0.98  # share of toxic documents among those with a piece of evidence
 MAX_TRAIN = 40_000  # labelled documents at most, taken by a hash of their ids
 MAX_EVIDENCE = 20_000  # words and beginnings that the model keeps at most
-CACHE = 150_000  # words whose score a task remembers at most
+CACHE = 50_000  # words whose score a task remembers in each of two generations
+REMEMBERED = 40  # characters of a word that is remembered
 SKETCH, BAND, COPY = 64, 4, 0.8  # hashes of a training text's five-word runs, hashes of a band, share of equal ones of near copies
-LONGEST = 64  # a longer run of signs isn't one disguised word, its repeats and separators shortened
-FRAGMENT, JOINED = 4, 12  # signs of a fragment of a spaced word, fragments of one at most
+LONGEST = 64  # signs of a piece that is decoded at once, after repeats and separators are shortened; longer ones piece by piece
+FRAGMENT = 4  # signs of a fragment of a spaced word
 
 
 def _classes() -> np.ndarray:
@@ -110,20 +113,32 @@ class CharModel:
         return max(best.items(), key=lambda kv: (kv[1][0] + self.logp[kv[0][0]][kv[0][1]][0], kv[1][1]))[1][1]
 
 
+def _fold() -> dict[int, str | None]:
+    """For each ASCII character and each sign: the letter of its class, or nothing."""
+    out: dict[int, str | None] = {}
+    for c in {*map(chr, range(128)), *SIGNS}:
+        x = SIGNS.get(c.lower(), c.lower())[0]
+        x = SAME.get(x, x)
+        out[ord(c)] = x if x.isalpha() or x == "9" else None
+    return out
+
+
+FOLDED = _fold()
+LETTERS_ONLY = {ord(c): None for c in BETWEEN}
+
+
 def skeleton(token: str) -> str:
     """What all words that a token may be restored to have in common with it."""
-    out = []
-    for c in token.lower():
-        c = SIGNS.get(c, c)[0]
-        c = SAME.get(c, c)
-        if (c.isalpha() or c == "9") and (not out or out[-1] != c):
-            out.append(c)
-    return "".join(out)
+    out = token.lower().translate(FOLDED)
+    if not out.isascii():
+        out = "".join(c for c in out if c.isalpha() or c == "9")
+    return _RUNS.sub(r"\1", out)
 
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _EDGE_LEFT = re.compile(r"^[\W_]+")
 _RUN2 = re.compile(r"(.)\1")
+_RUNS = re.compile(r"(.)\1+")
 _RUN3 = re.compile(r"(.)\1\1")
 _LONG_RUN = re.compile(r"(.)\1{3,}")
 _GAP = re.compile("([" + re.escape("".join(sorted(BETWEEN))) + "])[" + re.escape("".join(sorted(BETWEEN))) + "]+")
@@ -165,23 +180,36 @@ class Scorer:
     """Scores texts: 1 - product of (1 - precision) over the strongest evidence in each distinct word."""
 
     def __init__(self, evidence: dict[str, float], counts: np.ndarray, base: float):
-        self.evidence, self.base, self.model, self.known = evidence, base, CharModel(counts), {}
+        self.evidence, self.base, self.model, self.known, self.older = evidence, base, CharModel(counts), {}, {}
         self.bones = {skeleton(f[1:]) for f in evidence if f[0] == "="}
         self.starts = {skeleton(f[:-1]) for f in evidence if f[-1] == "*"}
         self.lengths = sorted({len(s) for s in self.starts})
+        self.first = {(f[1:] if f[0] == "=" else f)[:3] for f in evidence}
+        self.heads = {s[:2] for s in self.bones | self.starts}
+        self.most = max(map(len, self.bones | self.starts), default=0)
         self.onsets, self.opens, self.fragments = {s[:4] for s in self.bones | self.starts}, {}, {}
 
     def _lookup(self, word: str) -> float:
-        return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
+        return max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0) if word[:3] in self.first else 0.0
+
+    def _named(self, bone: str) -> bool:
+        return bone[:2] in self.heads and (bone in self.bones or any(bone[:k] in self.starts for k in self.lengths))
 
     def _disguised(self, token: str) -> float:
+        """The evidence in a token's likeliest reading, also without a sign that stands in it again and again."""
         token = token if len(token) <= LONGEST else shorten(token)
-        bone = skeleton(token)
-        if bone in self.bones or len(token) <= LONGEST and any(bone[:k] in self.starts for k in self.lengths):
-            return self._lookup(self.model.decode(token))
-        if any(bone[:k] in self.starts for k in self.lengths):  # too long for one word: its beginning only
-            return max((self.evidence.get(f, 0.0) for f in features(self.model.decode(token[:LONGEST]))[1:]), default=0.0)
-        return 0.0
+        best = 0.0
+        for x in {token, *(token.replace(c, "") for c in set(token) if not c.isalpha() and c in SIGNS and token.count(c) > 1)}:
+            bone = skeleton(x)
+            if not self._named(bone):
+                continue
+            if len(x) <= LONGEST:
+                best = max(best, self._lookup(self.model.decode(x)))
+            elif bone in self.bones:  # one word, however stretched: letter by letter it's shorter than what it's written with
+                best = max(best, self._lookup(self.model.decode(_RUNS.sub(r"\1", x.translate(LETTERS_ONLY)))))
+            else:
+                best = max(best, max((self.evidence.get(f, 0.0) for f in features(self.model.decode(x[:LONGEST]))[1:]), default=0.0))
+        return best
 
     def _opens(self, token: str) -> bool:
         """Whether the skeleton of some evidence begins as the token does."""
@@ -193,9 +221,9 @@ class Scorer:
             known = self.opens[token] = any(o[: len(bone)] == bone[: len(o)] for o in self.onsets)
         return known
 
-    def spaced(self, text: str) -> set[str]:
+    def spaced(self, parts: list[str]) -> set[str]:
         """Joined fragments that may be a disguised word: at most FRAGMENT signs each besides those at their ends."""
-        parts, found, known = text.lower().split(), set(), self.fragments
+        found, known = set(), self.fragments
         if len(known) >= CACHE:
             known.clear()
         for p in set(parts).difference(known):
@@ -204,37 +232,49 @@ class Scorer:
         first = [known[p] for p in parts]
         for i in [i for i, w in enumerate(first[:-1]) if w]:
             for word in first[i]:
-                single = len(word) == 1
-                for j in range(i + 1, min(i + JOINED, len(parts))):
+                single, letters = len(word) == 1, len(word)
+                for j in range(i + 1, len(parts)):
                     if first[j] is None:
                         break
                     word += parts[j]
-                    if not self._opens(word[:8]):
+                    letters += len(parts[j])
+                    if not self._opens(word[:8]) or len(skeleton(word)) > self.most + FRAGMENT:
                         break
                     single = single or len(parts[j]) == 1
-                    if len(word) >= 4 and (single or j > i + 1):
+                    if letters >= 4 and (single or j > i + 1):
                         found.add(word)
         return found
 
     def word(self, token: str) -> float:
         p = self.known.get(token)
         if p is None:
-            w = _EDGE.sub("", token)
+            p = self.older.get(token)
+            if p is not None:
+                self._keep(token, p)
+                return p
+            w = token if token.isalpha() else _EDGE.sub("", token)
             p = self._lookup(w)
-            if not p and (w != token or plain(w) is None or _RUN2.search(w)):
-                p = max(self._disguised(x) for x in {token, w})
+            core = token.strip(SILENT)
+            if not p and (not core.isalpha() or _RUN2.search(core)):
+                p = max(self._disguised(x) for x in {core, w})
             if not p and len(token) > LONGEST:
                 parts = {*re.findall(r"[^\W\d_]+", token), *_PIECES.split(token)} - {token, ""}
                 p = max((self.word(x) for x in parts), default=0.0)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[token] = p
+            if len(token) <= REMEMBERED:
+                self._keep(token, p)
         return p
 
+    def _keep(self, token: str, p: float) -> None:
+        if len(self.known) >= CACHE:
+            self.known, self.older = {}, self.known
+        self.known[token] = p
+
     def score(self, text: str | None) -> float:
-        rest = 1.0
-        for w in words_of(text or "") | self.spaced(text or ""):
-            rest *= 1.0 - self.word(w)
+        rest, parts = 1.0, (text or "").lower().split()
+        for w in set(parts) | self.spaced(parts):
+            p = self.word(w)
+            if p:
+                rest *= 1.0 - p
         return 1.0 - rest * (1.0 - self.base)
 
     def restore(self, text: str) -> str:
@@ -245,9 +285,8 @@ class Scorer:
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(N**3, np.int64)
     for b in batches:
-        for raw in b.column(0).cast(pa.binary()).to_pylist():
-            if raw:
-                total += trigram_counts(raw)
+        for i in range(0, len(b), 200):  # two ends of text between two texts
+            total += trigram_counts(b"\0\0".join(x for x in b.column(0).slice(i, 200).cast(pa.binary()).to_pylist() if x))
     hit = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.int64())], ["code", "n"])
 
@@ -305,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> di
     At most max_train labelled documents are used, those whose ids hash lowest. Equal texts among them (case and white
     space apart) and near copies, told by the sketches of their five-word runs, count once a label. No labels: no evidence, and every document gets the base score.
     """
-    letters = docs.select("text").mapInArrow(_letter_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letters = bounded_batches(docs).select("text").mapInArrow(_letter_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = np.zeros(N**3, np.int64)
     for r in letters.collect():  # N*N*N rows at most
         counts[r["code"]] = r["n"]
@@ -354,7 +393,7 @@ def score_documents(docs: DataFrame, model: dict, *, threshold: float = 0.7, kee
             cols = b.columns if keep else [b.column(b.schema.get_field_index("doc_id"))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())], names=schema.names)
 
-    return (docs if keep else docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return bounded_batches(docs if keep else docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: dict, *, threshold: float = 0.7) -> DataFrame:
@@ -368,7 +407,7 @@ def drop_toxic(docs: DataFrame, model: dict, *, threshold: float = 0.7) -> DataF
                 b = whole.slice(i, 1000)
                 yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 200_000  # words whose hash a task remembers at most
+CACHE = 50_000  # words whose hash a task remembers in each of two generations
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -14,7 +14,7 @@ class WordHasher:
     """64-bit hashes of the ASCII-white-space words of UTF-8 texts, A-Z lower-cased; equal words hash equally everywhere."""
 
     def __init__(self, strip: bool = False):
-        self.strip, self.known = strip, {}
+        self.strip, self.known, self.older = strip, {}, {}
 
     def __call__(self, raw: bytes | None) -> np.ndarray:
         """strip: signs at the ends of a word don't count, and words of signs alone are left out."""
@@ -23,11 +23,15 @@ class WordHasher:
         try:
             got = [known[w] for w in words]
         except KeyError:
-            if len(known) > CACHE:
-                known.clear()
+            if len(known) > CACHE:  # what is met again soon comes back from the older generation
+                known, self.older = {}, known
+                self.known = known
             for w in set(words).difference(known):
-                core = w.strip(EDGES) if self.strip else w
-                known[w] = xxhash.xxh64_intdigest(core) if core or not self.strip else 0
+                h = self.older.get(w)
+                if h is None:
+                    core = w.strip(EDGES) if self.strip else w
+                    h = xxhash.xxh64_intdigest(core) if core or not self.strip else 0
+                known[w] = h
             got = [known[w] for w in words]
         out = np.array(got, np.uint64)
         return out[out != 0] if self.strip else out
