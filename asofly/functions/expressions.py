@@ -64,15 +64,20 @@ class Node:
 
     @property
     def lookback(self) -> int:
-        own = self.params[0] if self.op in ("lag", "delta", "percent_change") else self.params[0] - 1 if self.op in WINDOWED else 0
+        own = self.params[0] if self.op in WINDOWED else 0
         return own + max((p.lookback for p in self.parts), default=0)
 
     def text(self) -> str:
         parts = [p.text() for p in self.parts]
         return f"{self.op}({','.join([*(sorted(parts) if self.op in COMMUTES else parts), *map(str, self.params)])})"
 
-    def digest(self) -> str:
-        return hashlib.sha256(self.text().encode()).hexdigest()
+    def digest(self, *, unit: str = "dimensionless", parents: tuple[str, ...] = ()) -> str:
+        """Hash of the canonical text, the unit of the result and the factors it comes from (in any order)."""
+        return hashlib.sha256("|".join((self.text(), unit, *sorted(parents))).encode()).hexdigest()
+
+    def columns(self) -> set[str]:
+        """Names of the columns that the tree reads."""
+        return {self.params[0]} if self.op == "column" else set().union(*(p.columns() for p in self.parts))
 
 
 def safe_ratio(a: Column, b: Column, eps: float) -> Column:
@@ -112,8 +117,15 @@ def _compile(node: Node, known: dict[str, str]) -> Column:
     raise ValueError(f"unknown operation {node.op}")
 
 
-def evaluate(frame: DataFrame, trees: dict[str, Node]) -> DataFrame:
-    """The frame with a column for each tree; equal subtrees are computed once."""
+#: Columns that a factor may read.
+ALLOWED = frozenset("open high low close volume quote_volume trades taker_buy_base taker_buy_quote funding_rate open_interest sum_open_interest sum_open_interest_value".split())
+
+
+def evaluate(frame: DataFrame, trees: dict[str, Node], *, allowed: frozenset[str] = ALLOWED) -> DataFrame:
+    """The frame with a column for each tree; equal subtrees are computed once. A tree that reads another column is an error."""
+    unknown = sorted(set().union(*(tree.columns() for tree in trees.values())) - allowed)
+    if unknown:
+        raise ValueError(f"UNKNOWN_COLUMNS: {unknown}")
     levels: dict[int, dict[str, Node]] = {}
 
     def collect(n: Node) -> None:

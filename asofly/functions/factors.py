@@ -61,12 +61,6 @@ def crowding(z: str, d: str, clipped: bool = True) -> Column:
     return F.col(z) * (F.when(F.col(d).isNotNull(), F.greatest(F.col(d), F.lit(0.0))) if clipped else F.col(d))
 
 
-def robust_z(x: Column, valid: Column, *, least: int = 2, peers: WindowSpec | None = None) -> tuple[Column, Callable[[str], Column]]:
-    """Median of the valid values of one time, and (given that as a column) the absolute deviation to take a median of."""
-    w = peers or Window.partitionBy("available_time")
-    return F.median(F.when(valid, x)).over(w), lambda med: F.when(valid, F.abs(x - F.col(med)))
-
-
 def forward_log_return(close: str, n: int) -> Column:
     return F.ln(F.lead(close, n).over(W()) / F.nullif(F.col(close), F.lit(0.0)))
 
@@ -83,8 +77,13 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson correlation of a group's rows; null where either doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def drawdown(equity: str, w: WindowSpec | None = None) -> Column:
-    return F.col(equity) / F.max(equity).over((w or W()).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return F.try_divide(F.col(equity), F.max(equity).over((w or W()).rowsBetween(Window.unboundedPreceding, 0))) - 1
 
 
 def compounded(ret: str, initial: float = 1.0, w: WindowSpec | None = None) -> Column:

@@ -13,22 +13,22 @@ def before(c: str) -> Column:
 
 
 def engulfing() -> Column:
-    """A body that covers the one before, of the other colour."""
+    """A body that strictly covers the one before, of the other colour."""
     o, c = F.col("open"), F.col("close")
-    bull = (c > o) & (before("close") < before("open")) & (c >= before("open")) & (o <= before("close"))
-    bear = (c < o) & (before("close") > before("open")) & (c <= before("open")) & (o >= before("close"))
+    bull = (c > o) & (before("close") < before("open")) & (c > before("open")) & (o < before("close"))
+    bear = (c < o) & (before("close") > before("open")) & (c < before("open")) & (o > before("close"))
     return F.when(bull, 1).when(bear, -1).otherwise(0)
 
 
 def inside_bar() -> Column:
-    """A range within the one before."""
-    return F.when((F.col("high") < before("high")) & (F.col("low") > before("low")), 1).otherwise(0)
+    """A range within the one before; equal highs and lows count."""
+    return F.when((F.col("high") <= before("high")) & (F.col("low") >= before("low")), 1).otherwise(0)
 
 
 def pin_bar(atr: str, *, wick: float = 0.6, body: float = 0.35) -> Column:
-    """A long wick on one side of a small body, in a bar of at least half the average range."""
+    """The longer wick at least `wick` average ranges, over a body of at most `body` of the bar's range (bars without range: none)."""
     span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    upper = (F.col("high") - F.greatest("open", "close")) / span
-    lower = (F.least("open", "close") - F.col("low")) / span
-    small = (F.abs(F.col("close") - F.col("open")) / span <= body) & (span >= 0.5 * F.col(atr))
-    return F.when(small & (lower >= wick), 1).when(small & (upper >= wick), -1).otherwise(0)
+    upper, lower = F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
+    small = F.abs(F.col("close") - F.col("open")) <= span * body
+    least = F.col(atr) * wick
+    return F.when(small & (lower >= least) & (lower > upper), 1).when(small & (upper >= least) & (upper > lower), -1).otherwise(0)

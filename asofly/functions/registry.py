@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from asofly.functions.expressions import Node
 
 
+#: Windowed operations of the grammar, in order.
+GRAMMAR = ("lag", "delta", "percent_change", "rolling_mean", "rolling_std", "zscore", "rolling_rank")
+
+
 class Registry:
     """Named factors: the columns they need and a builder of their column. Rows are never dropped or reordered."""
 
@@ -28,12 +32,25 @@ class Registry:
         return frame.withColumns({n: self.known[n][1]() for n in names})
 
 
-def enumerate_trees(columns: list[str], windows: list[int], *, most: int = 20, depth: int = 3) -> list[Node]:
-    """Up to `most` distinct trees from fixed templates, equal ones (by canonical text) once."""
-    found: dict[str, Node] = {}
-    for c, n in product(columns, windows):
-        x = Node.column(c)
-        for tree in (x.percent_change(n), x.zscore(n), x.rolling_mean(n).ratio(x.rolling_std(n)), x.delta(n) + x.lag(n), x.lag(n) + x.delta(n)):
-            if tree.depth <= depth:
-                found.setdefault(tree.text(), tree)
-    return list(found.values())[:most]
+def enumerate_trees(columns: list[str], windows: list[int], *, depth: int = 3, most: int = 100) -> list[Node]:
+    """The first `most` trees of a small grammar, shallow ones first, equal ones (by canonical text) once.
+
+    A tree is a column, a windowed operation over a shallower tree, or the ratio, sum or difference of two shallower ones.
+    """
+    found = {n.text(): n for n in map(Node.column, columns)}
+    level = list(found.values())
+    for _ in range(depth - 1):
+        below, new = list(found.values()), []
+        for x, op, n in product(level, GRAMMAR, windows):
+            new.append(Node(op, (x,), (n,)))
+        for x, y in product(below, level):
+            if x.text() != y.text():
+                new += [x.ratio(y), y.ratio(x), x + y, x - y]
+        level = []
+        for tree in new:
+            if tree.text() not in found:
+                found[tree.text()] = tree
+                level.append(tree)
+                if len(found) == most:
+                    return list(found.values())
+    return list(found.values())

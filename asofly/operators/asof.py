@@ -78,9 +78,15 @@ def delay_views(oi: DataFrame, delays: tuple[int, ...], as_of: str | None = None
     return reduce(DataFrame.unionByName, views)
 
 
-def asof_by_delay(bars: DataFrame, views: DataFrame) -> DataFrame:
-    """Bars against every delay view at once: the delay is one more key of the same as-of join."""
-    wide = bars.crossJoin(F.broadcast(views.select("delay").distinct().limit(64)))
+def asof_by_delay(bars: DataFrame, views: DataFrame, delays: tuple[int, ...]) -> DataFrame:
+    """Bars against every delay view at once: the delay is one more key of the same as-of join.
+
+    An asset of the bars that has no view at all is an error.
+    """
+    missing = bars.select("asset").distinct().join(views.select("asset").distinct(), "asset", "left_anti").first()
+    if missing is not None:
+        raise ValueError(f"DELAY_VIEW_MISSING: {missing[0]}")
+    wide = bars.withColumn("delay", F.explode(F.array(*(F.lit(d) for d in delays))))
     return asof_join(wide, views, by=["delay", "asset"], columns=["open_interest"], prefix="oi_")
 
 
@@ -93,7 +99,10 @@ def latest_through(records: DataFrame, t: str, *, on: str = "available_time", ke
 
 
 def members_only(bars: DataFrame, members: DataFrame) -> DataFrame:
-    """Bars of assets that are members on their day, and only once the selection was made."""
+    """Bars of assets that are members on their day, and only once the selection was made. A doubled membership is an error."""
+    twice = members.groupBy("asset", F.date_trunc("day", F.col("selection_time")).alias("_d")).count().filter("count > 1").select("asset").first()
+    if twice is not None:
+        raise ValueError(f"DUPLICATE_MEMBERSHIP: {twice[0]}")
     m = members.select(F.col("asset").alias("_a"), F.col("selection_time").alias("_s"))
     day = F.date_trunc("day", F.col("available_time")).cast("timestamp_ntz")
     return bars.join(m, (bars["asset"] == m["_a"]) & (day == F.date_trunc("day", m["_s"]).cast("timestamp_ntz")) & (m["_s"] <= bars["available_time"]), "left_semi")

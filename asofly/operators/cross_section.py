@@ -25,6 +25,16 @@ def robust_z(frame: DataFrame, x: Column, ok: Column, reasons: Column, zero_mad:
     return out.withColumn("value", value).withColumn("reason", reason).drop("_ok", "_x", "_med", "_n", "_mad")
 
 
+def relative_pressure(frame: DataFrame, *, default_hours: int = 8) -> DataFrame:
+    """relative_funding_pressure of a frame that has funding_rate and funding_available_time (and funding_interval_hours)
+    already, and its exclusion reason: rates older than their interval don't count."""
+    hours = F.coalesce("funding_interval_hours", F.lit(default_hours)) if "funding_interval_hours" in frame.columns else F.lit(default_hours)
+    fresh = F.expr("timestampdiff(SECOND, funding_available_time, available_time)") <= hours * 3600
+    ok = F.col("funding_rate").isNotNull() & F.coalesce(fresh, F.lit(False))
+    out = robust_z(frame, F.col("funding_rate"), ok, F.when(~ok, "FUNDING_UNAVAILABLE_OR_GAPPED"), "ZERO_CROSS_SECTIONAL_MAD", None)
+    return out.withColumnRenamed("value", "relative_funding_pressure").withColumnRenamed("reason", "relative_funding_pressure_exclusion_reason")
+
+
 def funding_pressure(bars: DataFrame, funding: DataFrame) -> DataFrame:
     """Relative funding pressure: fresh funding rates against those of the other assets."""
     j = asof_funding(bars, funding)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.functions.factors import W, full
+from asofly.functions.factors import W, change, full
 from asofly.functions.patterns import engulfing, inside_bar, pin_bar
 
 CHUNK = 256
@@ -79,43 +79,56 @@ def break_of_structure(frame: DataFrame, k: int = 3, confirmed: bool = False) ->
     return out.withColumn("bos", F.coalesce(step, F.lit(0))).drop("_s", "_h", "_l", "_b")
 
 
+def patterns(frame: DataFrame) -> DataFrame:
+    """Averages, trend and every candle pattern of each bar."""
+    out = atr(ema(ema(ema(frame, "close", 20, "ema_fast"), "close", 50, "ema_slow"), "close", 200, "ema_trend"))
+    return break_of_structure(out).withColumns({"trend": trend("ema_fast", "ema_slow"), "pin": pin_bar("atr"), "engulfing": engulfing(), "inside": inside_bar()})
+
+
 def confluence(frame: DataFrame, *, stop_atr: float = 1.5, reward: float = 3.0, atr_band: tuple[float, float] = (0.005, 0.05)) -> DataFrame:
-    """Signals where trend, volatility band and any pattern agree: entry at the next open, stop and target from the ATR."""
-    out = atr(ema(ema(frame, "close", 20, "ema_fast"), "close", 50, "ema_slow"))
-    out = break_of_structure(out).withColumns({"_t": trend("ema_fast", "ema_slow"), "_p": pin_bar("atr"), "_e": engulfing()})
-    calm = (F.col("atr") / F.col("close")).between(*atr_band)
-    agree = lambda s: (F.col("_t") == s) & calm & ((F.col("_p") == s) | (F.col("_e") == s) | (F.col("bos") == s))
-    out = out.withColumn("signal", F.when(agree(1), 1).when(agree(-1), -1).otherwise(0)).withColumn("entry", F.lead("open", 1).over(W()))
-    risk = stop_atr * F.col("atr") * F.col("signal")
-    return out.filter((F.col("signal") != 0) & F.col("entry").isNotNull()).withColumn("stop", F.col("entry") - risk).withColumn("target", F.col("entry") + reward * risk).drop("_t", "_p", "_e")
+    """Every bar with a signal (1, -1, 0), and entry at the next open, stop and target from the ATR where there's one.
+
+    A signal needs the close on the same side of the slowest average, the trend, an ATR within the band (as a share of the
+    close) and any pattern or break, all in one direction.
+    """
+    out = patterns(frame).withColumn("entry", F.lead("open", 1).over(W()))
+    calm = F.try_divide(F.col("atr"), F.col("close")).between(*atr_band)
+    agree = lambda s: (F.signum(F.col("close") - F.col("ema_trend")) == s) & (F.col("trend") == s) & calm & ((F.col("pin") == s) | (F.col("engulfing") == s) | (F.col("bos") == s))
+    out = out.withColumn("signal", F.when(agree(1), 1).when(agree(-1), -1).otherwise(0))
+    risk = F.when(F.col("signal") != 0, stop_atr * F.col("atr") * F.col("signal"))
+    return out.withColumn("stop", F.col("entry") - risk).withColumn("target", F.col("entry") + reward * risk)
 
 
-def last_momentum_signal(frame: DataFrame, n: int = 20) -> DataFrame:
-    """Direction of the n-bar move at each asset's last bar."""
-    out = frame.withColumn("_m", F.col("close") / F.lag("close", n).over(W()) - 1).withColumn("_rn", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("event_time"))))
-    return out.filter("_rn = 1").select("asset", "event_time", "close", F.col("_m").alias("momentum"), F.signum("_m").cast("int").alias("direction"))
+def last_momentum_signal(frame: DataFrame, n: int = 20, *, stop_share: float = 0.05, target_share: float = 0.10) -> DataFrame:
+    """Direction of the n-bar move at each asset's last bar, stop and target that far from the close; null without a move."""
+    out = frame.withColumn("_m", change("close", n)).withColumn("_was", F.lag("close", n).over(W())).withColumn("_rn", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("event_time"))))
+    side = F.nullif(F.signum(F.col("close") - F.col("_was")).cast("int"), F.lit(0))
+    out = out.filter("_rn = 1").select("asset", "event_time", "close", F.col("_m").alias("momentum"), side.alias("direction"))
+    return out.withColumn("stop", F.col("close") * (1 - F.col("direction") * stop_share)).withColumn("target", F.col("close") * (1 + F.col("direction") * target_share))
 
 
 def level_groups(levels: Column, tolerance: float) -> Column:
-    """Sorted levels gathered while each lies within a tolerance of its group's mean: array of (mean, count)."""
-    empty = F.expr("cast(array() as array<struct<mean:double,n:int>>)")
+    """Sorted levels gathered while each lies nearer than a tolerance to its group's mean: array of (total, n)."""
+    empty = F.expr("cast(array() as array<struct<total:double,n:int>>)")
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (F.abs(x - last["mean"]) <= tolerance * last["mean"])
-        grown = F.struct(((last["mean"] * last["n"] + x) / (last["n"] + 1)).alias("mean"), (last["n"] + 1).alias("n"))
-        new = F.struct(x.alias("mean"), F.lit(1).alias("n"))
+        mean = last["total"] / last["n"]
+        joins = (F.size(acc) > 0) & (F.try_divide(F.abs(x - mean), mean) < tolerance)
+        grown = F.struct((last["total"] + x).alias("total"), (last["n"] + 1).alias("n"))
+        new = F.struct(x.alias("total"), F.lit(1).alias("n"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
     return F.aggregate(F.array_sort(levels), empty, step)
 
 
-def support_resistance(frame: DataFrame, *, k: int = 3, recent: int = 50, tolerance: float = 0.02) -> DataFrame:
-    """Clusters of each asset's most recent swing levels (at most `recent` of them)."""
-    s = frame.withColumn("_s", swings(k)).filter("_s <> 0").withColumn("level", F.when(F.col("_s") == 1, F.col("high")).otherwise(F.col("low")))
-    s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("event_time")))).filter(F.col("_rn") <= recent)
-    g = s.groupBy("asset").agg(F.collect_list("level").alias("levels")).select("asset", F.explode(level_groups(F.col("levels"), tolerance)).alias("g"))
-    return g.select("asset", "g.mean", "g.n")
+def support_resistance(frame: DataFrame, *, k: int = 3, recent: int = 50, tolerance: float = 0.008) -> DataFrame:
+    """Clusters of each asset's last `recent` swing highs (resistance) and, apart from them, swing lows (support)."""
+    kind = F.when(F.col("_s") == 1, "resistance").otherwise("support")
+    s = frame.withColumn("_s", swings(k)).filter("_s <> 0").select("asset", "event_time", kind.alias("kind"), F.when(F.col("_s") == 1, F.col("high")).otherwise(F.col("low")).alias("level"))
+    s = s.withColumn("_rn", F.row_number().over(Window.partitionBy("asset", "kind").orderBy(F.desc("event_time")))).filter(F.col("_rn") <= recent)
+    g = s.groupBy("asset", "kind").agg(F.collect_list("level").alias("levels")).select("asset", "kind", F.explode(level_groups(F.col("levels"), tolerance)).alias("g"))
+    return g.select("asset", "kind", (F.col("g.total") / F.col("g.n")).alias("mean"), "g.n")
 
 
-__all__ = ["atr", "break_of_structure", "confluence", "ema", "ewm", "inside_bar", "last_momentum_signal", "sma", "support_resistance", "swings", "trend", "true_range"]
+__all__ = ["atr", "break_of_structure", "confluence", "ema", "ewm", "last_momentum_signal", "patterns", "sma", "support_resistance", "swings", "trend", "true_range"]

@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.functions.factors import W, average_rank
+from asofly.functions.factors import W, average_rank, corr, log_return, realized_volatility
+from asofly.operators.cross_section import taker_imbalance
+from asofly.operators.labels import open_to_open
+from asofly.operators.regimes import QUANTILES
 
 
 def research_holdout(bars: DataFrame, share: float) -> DataFrame:
@@ -25,17 +28,28 @@ def weight_turnover(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.withColumn("turnover", F.abs(F.col("after") - F.col("before")))
 
 
-def walk_forward(frame: DataFrame, *, initial: int, test: int, purge: int = 0, embargo: int = 0) -> DataFrame:
+def walk_forward(frame: DataFrame, *, initial: int | Column, test: int | Column, purge: int = 0, embargo: int = 0) -> DataFrame:
     """Rows with the folds they serve: fold k tests positions [initial + k test, + test), and trains on all before it
-    less the purge (label horizon) and the embargo. A row serves one test fold and all later train folds."""
-    p = frame.withColumn("pos", F.row_number().over(W()) - 1)
+    less the purge (label horizon) and the embargo. A row serves one test fold and all later train folds.
+
+    initial and test may be columns that are constant within an asset (`rows_of_asset` of simple_folds, for instance).
+    """
+    p = frame.withColumn("pos", F.row_number().over(W()) - 1).withColumn("_initial", F.lit(initial) if isinstance(initial, int) else initial).withColumn("_test", F.lit(test) if isinstance(test, int) else test)
+    initial, test = F.col("_initial"), F.col("_test")
     last = F.floor((F.max("pos").over(Window.partitionBy("asset")) + 1 - initial) / test) - 1
     p = p.withColumn("_last", last).filter("_last >= 0")
     own = F.when(F.col("pos") >= initial, F.floor((F.col("pos") - initial) / test))
     first = F.greatest(F.ceil((F.col("pos") + 1 + purge + embargo - initial) / test), F.lit(0))
     tests = p.withColumn("fold", own).filter("fold <= _last").withColumn("role", F.lit("test"))
     trains = p.withColumn("_first", first).filter("_first <= _last").withColumn("fold", F.explode(F.sequence("_first", "_last"))).withColumn("role", F.lit("train")).drop("_first")
-    return tests.unionByName(trains).drop("_last")
+    return tests.unionByName(trains).drop("_last", "_initial", "_test")
+
+
+def simple_folds(frame: DataFrame, *, folds: int, purge: int = 0, embargo: int = 0) -> DataFrame:
+    """walk_forward with so many equal test blocks after a first training block of the same length."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("asset"))
+    sized = frame.withColumn("_block", F.greatest(F.floor(n / (folds + 1)), F.lit(1)))
+    return walk_forward(sized, initial=F.col("_block"), test=F.col("_block"), purge=purge, embargo=embargo).filter(F.col("fold") < folds).drop("_block")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -87,9 +101,22 @@ def cross_section_ic(frame: DataFrame, x: str, y: str, *, least: int = 3) -> Dat
     """Rank correlation across assets at each time with at least `least`, then its mean, deviation, number and t."""
     ok = frame.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = ok.withColumn("_rx", average_rank(x, ["event_time"])).withColumn("_ry", average_rank(y, ["event_time"]))
-    ic = r.groupBy("event_time").agg(F.count(F.lit(1)).alias("_n"), F.corr("_rx", "_ry").alias("ic")).filter((F.col("_n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    ic = r.groupBy("event_time").agg(F.count(F.lit(1)).alias("_n"), corr("_rx", "_ry").alias("ic")).filter((F.col("_n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
     out = ic.agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("t", F.col("mean_ic") / (F.col("std_ic") / F.sqrt("n")))
+    return out.withColumn("t", F.try_divide(F.col("mean_ic") * F.sqrt("n"), F.col("std_ic"))).withColumn("p", normal_two_sided("t"))
+
+
+def normal_two_sided(t: str, terms: int = 200) -> Column:
+    """Two-sided p-value of a standard normal, by the series erf(x) = 2 x exp(-x^2) / sqrt(pi) * sum of (2 x^2)^n / (2n + 1)!!."""
+    x = F.least(F.abs(F.col(t)) / F.sqrt(F.lit(2.0)), F.lit(6.0))  # beyond, p is under 1e-16
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(acc: Column, n: Column) -> Column:
+        term = acc["term"] * 2 * x * x / (2 * n + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    erf = 2 * x * F.exp(-x * x) / F.sqrt(F.lit(3.141592653589793)) * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["total"])
+    return F.greatest(1 - erf, F.lit(0.0))
 
 
 def benjamini_hochberg(tests: DataFrame, *, p: str = "p", key: str = "name", alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -125,7 +152,7 @@ def stationary_bootstrap(frame: DataFrame, x: str, y: str, *, draws: int = 500,
     plan = plan.withColumn("_s", start).withColumn("pick", F.pmod(F.col("_s.to") + F.col("pos") - F.col("_s.at"), F.col("n")))
     drawn = plan.select(by, "draw", F.col("pick").alias("pos")).join(pos.select(by, "pos", x, y), [by, "pos"])
     r = drawn.withColumn("_rx", average_rank(x, [by, "draw"])).withColumn("_ry", average_rank(y, [by, "draw"]))
-    ic = r.groupBy(by, "draw").agg(F.corr("_rx", "_ry").alias("ic"))
+    ic = r.groupBy(by, "draw").agg(corr("_rx", "_ry").alias("ic"))
     return ic.groupBy(by).agg(F.percentile("ic", F.lit(0.025)).alias("low"), F.percentile("ic", F.lit(0.975)).alias("high"), F.count("ic").alias("draws"))
 
 
@@ -139,12 +166,28 @@ def circular_bootstrap(frame: DataFrame, value: str, statistic, *, block: int, s
     return stat.groupBy(by).agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"), F.count("s").alias("samples"))
 
 
+def spread_rank(frame: DataFrame, x: str, by: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """The frame with tie-averaged ranks of x within few, very large groups: no task holds a whole group.
+
+    Values are counted, dealt into ranges between approximate quantiles, and ranked within a range on top of the ranges below.
+    """
+    counts = frame.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_n"))
+    edges = frame.groupBy(*by).agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)]).alias("_edges"))
+    own = F.size(F.filter("_edges", lambda q: q < F.col(x)))
+    counts = counts.join(F.broadcast(edges), by).withColumn("_k", own).drop("_edges")  # a row for each of few groups
+    below = counts.groupBy(*by, "_k").agg(F.sum("_n").alias("_t"))
+    below = below.withColumn("_below", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    within = F.sum("_n").over(Window.partitionBy(*by, "_k").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.withColumn("_up", within).join(F.broadcast(below), [*by, "_k"]).select(*by, x, (F.col("_below") + F.col("_up") - (F.col("_n") - 1) / 2).alias(name))
+    return frame.join(ranks, [*by, x])
+
+
 def rank_correlations(frame: DataFrame, names: list[str]) -> DataFrame:
     """Spearman correlation of every pair of factor columns over the rows that have both: one row per pair."""
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]))
     long = frame.select(F.explode(pairs).alias("p")).select("p.*").filter("x is not null and y is not null")
-    r = long.withColumn("_rx", average_rank("x", ["a", "b"])).withColumn("_ry", average_rank("y", ["a", "b"]))
-    return r.groupBy("a", "b").agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    r = spread_rank(spread_rank(long, "x", ["a", "b"], "_rx"), "y", ["a", "b"], "_ry")
+    return r.groupBy("a", "b").agg(corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def redundancy_clusters(correlations: list[tuple[str, str, float]], names: list[str], cut: float = 0.3) -> dict[str, int]:
@@ -180,53 +223,230 @@ def predicted(columns: list[str], weights: list[float]) -> Column:
 
 
 def increment(train: DataFrame, valid: DataFrame, base: list[str], candidate: str, target: str, *, cost_bps: float) -> DataFrame:
-    """Rank correlation and cost-adjusted return on validation of ridge fits without and with a candidate, and a verdict."""
-    out = None
-    for name, cols in (("baseline", base), ("extended", [*base, candidate])):
-        v = valid.dropna(subset=[*base, candidate, target]).withColumn("_p", predicted(cols, ridge(train, cols, target)))
-        pos = F.signum("_p")
-        v = v.withColumn("_pos", pos).withColumn("_turn", F.abs(F.col("_pos") - F.coalesce(F.lag("_pos", 1).over(W()), F.lit(0.0))))
-        r = v.withColumn("_rx", average_rank("_p", [])).withColumn("_ry", average_rank(target, []))
-        row = r.agg(F.corr("_rx", "_ry").alias(f"ic_{name}"), F.avg(F.col("_pos") * F.col(target) - F.col("_turn") * cost_bps / 10000).alias(f"return_{name}"))
-        out = row if out is None else out.crossJoin(row)  # one row each
+    """One row: correlation and cost-adjusted return on validation of ridge fits without and with a candidate, and a verdict.
+
+    Rows with any value missing are left out; with fewer than five on either side all figures are null and there's no gain.
+    Turnover is the mean step of a position within an asset.
+    """
+    columns = [*base, candidate, target]
+    rows, v = train.dropna(subset=columns), valid.dropna(subset=columns)
+    fits = {"baseline": predicted(base, ridge(rows, base, target)) if base else F.lit(0.0), "extended": predicted([*base, candidate], ridge(rows, [*base, candidate], target))}
+    figures = [corr(candidate, target).alias("_standalone"), F.count(F.lit(1)).alias("n_valid")]
+    for name, p in fits.items():
+        v = v.withColumn(f"_p_{name}", p).withColumn(f"_s_{name}", F.signum(p))
+        v = v.withColumn(f"_d_{name}", F.abs(F.col(f"_s_{name}") - F.lag(f"_s_{name}", 1).over(W())))
+        figures += [corr(f"_p_{name}", target).alias(f"_ic_{name}"), (F.avg(F.col(f"_s_{name}") * F.col(target)) - F.coalesce(F.avg(f"_d_{name}"), F.lit(0.0)) * cost_bps / 10000).alias(f"_return_{name}")]
+    out = v.agg(*figures).crossJoin(rows.agg(F.count(F.lit(1)).alias("n_train")))  # one row each
+    enough = (F.col("n_valid") >= 5) & (F.col("n_train") >= 5)
+    fit = lambda c: F.when(enough, F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)))
+    out = out.select("n_train", "n_valid", *(fit(c).alias(c[1:]) for c in ("_standalone", "_ic_baseline", "_ic_extended", "_return_baseline", "_return_extended")))
     gain = (F.col("ic_extended") - F.col("ic_baseline") > 0.001) & (F.col("return_extended") > F.col("return_baseline"))
-    return out.withColumn("incremental", gain)
+    return out.withColumn("incremental", F.coalesce(gain, F.lit(False)))
+
+
+def largest_share(column: str, where: Column, by: list[str], frame: DataFrame, name: str) -> DataFrame:
+    """Largest share of one value among the rows that satisfy a condition, per group; 0 without any."""
+    n = frame.groupBy(*by, column).agg(F.count_if(where).alias("_n"))
+    return n.groupBy(*by).agg(F.coalesce(F.try_divide(F.max("_n"), F.sum("_n")), F.lit(0.0)).alias(name))
 
 
-def development_gate(slices: DataFrame, *, least_survivors: int = 2, agreement: float = 0.60, least_assets: int = 2, most_share: float = 0.5) -> DataFrame:
-    """Reasons against each factor: survivors, agreement of direction, assets, and concentration in one asset."""
-    own = slices.groupBy("factor_id", "asset").agg(F.count_if("reject").alias("_s"), F.count_if(F.col("rank_ic") > 0).alias("_up"), F.count(F.lit(1)).alias("_n"))
-    g = own.groupBy("factor_id").agg(
-        F.sum("_s").alias("survivors"), (F.greatest(F.sum("_up"), F.sum("_n") - F.sum("_up")) / F.sum("_n")).alias("direction"), F.count_if(F.col("_s") > 0).alias("assets"),
-        F.coalesce(F.try_divide(F.max("_s"), F.sum("_s")), F.lit(1.0)).alias("concentration"),
+def development_gate(slices: DataFrame, facts: DataFrame, *, least_n: int = 30, check_hourly: bool = True) -> DataFrame:
+    """Reasons against each factor, in a fixed order, and what they rest on; passed: there's none.
+
+    slices: factor_id, fold, asset, regime, n, rank_ic, reject. facts, one row per factor: direction (1, -1, or 0 for the
+    sign of most slices), representative, delta_5bps and delta_10bps (incremental returns), hour_direction (null if unknown),
+    delay_directions (an array, null where delays don't matter; three are expected).
+    """
+    s = slices.filter((F.col("n") >= least_n) & F.col("rank_ic").isNotNull() & ~F.isnan("rank_ic"))
+    most = s.groupBy("factor_id").agg(F.count_if(F.col("rank_ic") > 0).alias("_up"), F.count_if(F.col("rank_ic") != 0).alias("_moved"))
+    f = facts.join(most, "factor_id", "left").withColumn("target", F.when(F.col("direction") != 0, F.col("direction")).when(F.coalesce("_moved", F.lit(0)) == 0, 0).when(F.col("_up") >= F.col("_moved") / 2, 1).otherwise(-1))
+    s = s.join(f.select("factor_id", "target"), "factor_id").withColumn("_fits", F.signum("rank_ic") == F.col("target"))
+    backed = F.col("reject") & F.col("_fits")
+    g = s.groupBy("factor_id").agg(
+        F.count(F.lit(1)).alias("eligible"), F.count_if("reject").alias("survivors"), F.countDistinct(F.when(F.col("reject"), F.struct("fold", "asset", "regime"))).alias("_apart"),
+        F.count_if("_fits").alias("_n_fits"), F.countDistinct(F.when(F.col("reject"), F.col("asset"))).alias("assets"),
     )
-    rules = [("SURVIVORS", F.col("survivors") < least_survivors), ("DIRECTION", F.col("direction") < agreement), ("ASSETS", F.col("assets") < least_assets), ("CONCENTRATION", F.col("concentration") > most_share)]
-    return g.withColumn("reasons", F.array_compact(F.array(*(F.when(rule, code) for code, rule in rules))))
+    g = f.join(g, "factor_id", "left").join(largest_share("asset", backed, ["factor_id"], s, "asset_share"), "factor_id", "left").join(largest_share("regime", backed, ["factor_id"], s, "regime_share"), "factor_id", "left")
+    g = g.fillna(0, ["eligible", "survivors", "_apart", "_n_fits", "assets", "asset_share", "regime_share"]).withColumn("agreement", F.coalesce(F.try_divide(F.col("_n_fits"), F.col("eligible")), F.lit(0.0)))
+    hour, delays = F.coalesce("hour_direction", F.lit(0)), F.col("delay_directions")
+    rules = [
+        ("BH_SURVIVING_SLICES_LT_2", F.col("survivors") < 2), ("INDEPENDENT_SLICES_LT_2", F.col("_apart") < 2), ("DIRECTION_AGREEMENT_LT_60PCT", F.col("agreement") < 0.6), ("ASSETS_LT_2", F.col("assets") < 2),
+        ("REDUNDANT_NON_REPRESENTATIVE", ~F.col("representative")), ("FINAL_FOLD_5BPS_NON_POSITIVE", ~F.coalesce(F.col("delta_5bps") > 0, F.lit(False))), ("TEN_BPS_NEGATIVE", ~F.coalesce(F.col("delta_10bps") >= 0, F.lit(False))),
+        ("ASSET_SUPPORT_CONCENTRATION_GT_50PCT", F.col("asset_share") > 0.5), ("REGIME_SUPPORT_CONCENTRATION_GT_50PCT", F.col("regime_share") > 0.5),
+        ("ONE_HOUR_SENSITIVITY_UNAVAILABLE", F.lit(check_hourly) & (hour == 0)), ("ONE_HOUR_DIRECTION_UNSTABLE", F.lit(check_hourly) & (hour != 0) & (hour != F.col("target"))),
+        ("OI_DELAY_STABILITY_UNAVAILABLE", delays.isNotNull() & (F.size(delays) < 3)), ("OI_DELAY_DIRECTION_UNSTABLE", (F.size(delays) >= 3) & F.exists(delays, lambda x: (x == 0) | (x != F.col("target")))),
+    ]
+    out = g.withColumn("reasons", F.array_compact(F.array(*(F.when(rule, code) for code, rule in rules)))).withColumn("passed", F.size("reasons") == 0)
+    return out.select("factor_id", "target", "eligible", "survivors", "agreement", "assets", "asset_share", "regime_share", "reasons", "passed")
 
 
 def held_weights(weights: DataFrame, returns: DataFrame, *, fee_bps: float) -> DataFrame:
-    """Per time: gross return of the weights held, turnover against the drifted weights before, fee and net.
+    """Per time: status, gross return of the target weights, turnover against the weights held until then, fee, net.
 
-    weights: event_time, asset, weight; returns: event_time, asset, ret (null: a bad bar, whose return counts as 0 and is
-    counted). A weight drifts by its own return before the next rebalance.
+    weights: event_time, asset, weight; returns: event_time, asset, ret. Until the next time a weight drifts with its own
+    return and is divided by one plus the book's return; an asset that is held but no longer named is sold. A time with a
+    weight whose return is null or not finite is EXECUTION_BAR_INVALID, one whose book loses everything
+    NONPOSITIVE_DENOMINATOR: it has no gross return, and the time after it no turnover, since what was held isn't known.
     """
-    j = weights.join(returns, ["event_time", "asset"], "left")
-    w = Window.partitionBy("asset").orderBy("event_time")
-    drifted = F.coalesce(F.lag(F.col("weight") * (1 + F.coalesce("ret", F.lit(0.0))), 1).over(w), F.lit(0.0))
-    j = j.withColumn("_t", F.abs(F.col("weight") - drifted)).withColumn("_bad", (F.col("weight") != 0) & F.col("ret").isNull())
-    g = j.groupBy("event_time").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.sum("_t").alias("turnover"), F.count_if("_bad").alias("bad_bars"), F.count_if(F.col("weight") != 0).alias("active"))
-    return g.withColumn("fee", F.col("turnover") * fee_bps / 10000).withColumn("net", F.col("gross") - F.col("fee"))
+    ret = F.when(~F.isnan("ret") & (F.abs("ret") != float("inf")), F.col("ret"))
+    j = weights.join(returns, ["event_time", "asset"], "left").withColumn("_r", ret).withColumn("_on", F.col("weight") != 0)
+    book = j.groupBy("event_time").agg(F.sum(F.col("weight") * F.coalesce("_r", F.lit(0.0))).alias("gross"), F.count_if(F.col("_on") & F.col("_r").isNull()).alias("bad_bars"), F.count_if("_on").alias("active"))
+    w = Window.orderBy("event_time")  # one row per time
+    book = book.withColumn("status", F.when(F.col("bad_bars") > 0, "EXECUTION_BAR_INVALID").when(1 + F.col("gross") <= 0, "NONPOSITIVE_DENOMINATOR").otherwise("OK"))
+    book = book.withColumns({"_next": F.lead("event_time", 1).over(w), "_known": F.coalesce(F.lag("status", 1).over(w) == "OK", F.lit(True)), "drifted": F.coalesce((F.lag("status", 1).over(w) == "OK") & (F.lag("active", 1).over(w) > 0), F.lit(False))})
+    grown = F.try_divide(F.col("weight") * (1 + F.coalesce("_r", F.lit(0.0))), 1 + F.col("gross"))
+    held = j.join(book.filter("status = 'OK'").select("event_time", "gross", "_next"), "event_time").select(F.col("_next").alias("event_time"), "asset", F.lit(0.0).alias("_to"), grown.alias("_from")).filter("event_time is not null")
+    moved = j.select("event_time", "asset", F.col("weight").alias("_to"), F.lit(0.0).alias("_from")).unionByName(held).groupBy("event_time", "asset").agg(F.abs(F.sum("_to") - F.sum("_from")).alias("_t"))
+    out = book.join(moved.groupBy("event_time").agg(F.sum("_t").alias("turnover")), "event_time").withColumn("turnover", F.when(F.col("_known"), F.col("turnover")))
+    out = out.withColumn("gross", F.when(F.col("status") == "OK", F.col("gross"))).withColumn("fee", F.col("turnover") * fee_bps / 10000)
+    return out.withColumn("net", F.col("gross") - F.col("fee")).drop("_next", "_known")
+
+
+def book_summary(book: DataFrame) -> DataFrame:
+    """One row: bars in all, flat, active, drifted into, refused, and total turnover and fee of held_weights."""
+    live = (F.col("active") > 0) & (F.col("status") == "OK")
+    return book.agg(
+        F.count(F.lit(1)).alias("total_bars"), F.count_if(F.col("active") == 0).alias("flat_bars"), F.count_if(live).alias("active_bars"), F.count_if("drifted").alias("drifted_bars"),
+        F.count_if(F.col("status") != "OK").alias("refused_bars"), F.sum("turnover").alias("turnover"), F.sum("fee").alias("fee"),
+    )
 
 
-def family_gate(slices: DataFrame, *, least_n: int = 30, most_excluded: float = 0.5) -> DataFrame:
-    """INSUFFICIENT if too many slices are small, PASS if no gate objects, else FAIL."""
-    small = slices.groupBy("factor_id").agg((F.count_if(F.col("n") < least_n) / F.count(F.lit(1))).alias("_small"))
-    g = development_gate(slices).join(small, "factor_id")
-    return g.withColumn("verdict", F.when(F.col("_small") > most_excluded, "INSUFFICIENT").when(F.size("reasons") == 0, "PASS").otherwise("FAIL")).drop("_small")
+SLICE = ["factor_id", "horizon", "q", "fold", "asset", "regime"]
 
 
-def holdout_evaluation(frame: DataFrame, x: str, y: str, *, direction: int) -> DataFrame:
-    """Per asset: correlation, mean return in the factor's direction, and what costs leave of it."""
-    ok = frame.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    gain = F.avg(direction * F.signum(x) * F.col(y))
-    return ok.groupBy("asset").agg(F.corr(x, y).alias("ic"), gain.alias("mean_directional"), (gain - 0.0005).alias("after_5bps"), (gain - 0.0010 > 0).alias("passes_10bps"))
+def family_gate(slices: DataFrame, units: DataFrame, *, horizons: list[str], qs: list[float], primary: tuple[str, float], blocked: list[str] | None = None, direction: int = 1, alpha: float = 0.05, least_n: int = 30, least_family: int = 1) -> DataFrame:
+    """One row: verdict (PASS, FAIL, INSUFFICIENT, BLOCKED), ordered reasons, and what they rest on.
+
+    slices: SLICE, p, direction_estimate, n_effective, bars (the positions it was tested on); units: fold, asset, regime,
+    effective, missing, infeasible: the cells that were registered beforehand, each with every factor, horizon and q. All
+    slices of the family are adjusted together; the verdict looks at the primary horizon and q alone. Survivors of one asset
+    that share bars aren't independent and don't count. Preconditions that failed (`blocked`) end it before anything is read.
+    """
+    if blocked:
+        return units.agg(F.count(F.lit(1)).alias("units")).select(F.lit("BLOCKED").alias("verdict"), F.array(*map(F.lit, blocked)).alias("reasons"), "units", *(F.lit(None).cast("long").alias(c) for c in ("denominator", "survivors", "assets")), *(F.lit(None).cast("double").alias(c) for c in ("consistency", "asset_share", "regime_share")))
+    key = F.concat_ws("|", *SLICE)
+    adjusted = benjamini_hochberg(slices.withColumn("_key", key), key="_key", alpha=alpha).select("_key", "adjusted")
+    s = slices.withColumn("_key", key).join(adjusted.groupBy("_key").agg(F.min("adjusted").alias("adjusted")), "_key", "left")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    cells = ["fold", "asset", "regime"]
+    grid = units.select(*cells).distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    grid = grid.crossJoin(F.broadcast(slices.select("factor_id").distinct())).select(F.concat_ws("|", *SLICE).alias("_key"))  # a family's few factors
+    seen = s.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    holes = grid.join(seen, "_key", "left_anti").agg(F.count(F.lit(1)).alias("missing_slices"))
+    odd = seen.join(grid.withColumn("_in", F.lit(True)), "_key", "left").agg(F.count_if(F.col("_n") > 1).alias("double_slices"), F.count_if(F.col("_in").isNull()).alias("unknown_slices"))
+    whole = s.agg(F.count_if(finite("p")).alias("denominator"), F.count_if(~finite("p")).alias("no_p"), F.count_if(~finite("direction_estimate")).alias("no_direction"))
+    u = units.agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("effective") == 0).alias("empty_units"), F.coalesce(F.try_divide(F.sum(F.col("missing") + F.col("infeasible")), F.sum(F.col("effective") + F.col("missing") + F.col("infeasible"))), F.lit(0.0)).alias("excluded"), (F.count(F.lit(1)) - F.countDistinct(*cells)).alias("double_units"))
+    p = s.filter((F.col("horizon") == primary[0]) & (F.col("q") == primary[1]))
+    strong = p.filter((F.col("n_effective") >= least_n) & (F.col("adjusted") < alpha))
+    bars = strong.select("_key", "asset", F.explode("bars").alias("_bar"))
+    shared = bars.groupBy("asset", "_bar").agg(F.countDistinct("_key").alias("_k")).filter("_k > 1")
+    left = strong.join(bars.join(shared, ["asset", "_bar"], "left_semi").select("_key").distinct(), "_key", "left_anti")
+    fits = F.signum("direction_estimate") == direction
+    main = p.agg(F.count_if(F.col("n_effective") < least_n).alias("small_cells"), F.count_if((F.col("n_effective") >= least_n) & finite("direction_estimate")).alias("_eligible"), F.count_if((F.col("n_effective") >= least_n) & finite("direction_estimate") & fits).alias("_fits"))
+    lives = left.agg(F.count(F.lit(1)).alias("survivors"), F.countDistinct("asset").alias("assets"))
+    for c in ("asset", "regime"):
+        lives = lives.crossJoin(left.groupBy(c).count().agg(F.coalesce(F.try_divide(F.max("count"), F.sum("count")), F.lit(0.0)).alias(f"{c}_share")))
+    r = whole.crossJoin(u).crossJoin(holes).crossJoin(odd).crossJoin(main).crossJoin(lives)  # one row each
+    r = r.withColumn("consistency", F.coalesce(F.try_divide(F.col("_fits"), F.col("_eligible")), F.lit(0.0)))
+    thin = [
+        ("ZERO_BAR_PREREGISTERED_UNIT", F.col("empty_units") > 0), ("BH_DENOMINATOR_BELOW_MINIMUM", F.col("denominator") < least_family), ("EXCLUSION_RATIO_EXCEEDS_TOLERANCE", F.col("excluded") > 0.5), ("INSUFFICIENT_CELL", F.col("small_cells") > 0),
+        ("DUPLICATE_PREREGISTERED_UNIT", F.col("double_units") > 0), ("PREREGISTERED_SLICE_MISSING", F.col("missing_slices") > 0), ("DUPLICATE_SLICE_KEY", F.col("double_slices") > 0), ("UNREGISTERED_SLICE", F.col("unknown_slices") > 0),
+        ("MISSING_P_VALUE", F.col("no_p") > 0), ("MISSING_DIRECTION_ESTIMATE", F.col("no_direction") > 0),
+    ]
+    bad = [
+        ("ASSET_DIVERSITY_BELOW_MINIMUM", F.col("assets") < 2), ("ASSET_CONCENTRATION_EXCEEDS_MAX", F.col("asset_share") > 0.5), ("REGIME_CONCENTRATION_EXCEEDS_MAX", F.col("regime_share") > 0.5), ("DIRECTION_CONSISTENCY_BELOW_MINIMUM", F.col("consistency") < 0.6),
+    ]
+    codes = lambda rules: F.array_compact(F.array(*(F.when(rule, code) for code, rule in rules)))
+    r = r.withColumn("_thin", codes(thin)).withColumn("_bad", codes(bad))
+    few = F.col("survivors") < 2
+    verdict = F.when((F.size("_thin") > 0) | few, "INSUFFICIENT").when(F.size("_bad") > 0, "FAIL").otherwise("PASS")
+    reasons = F.when(F.size("_thin") > 0, F.col("_thin")).when(few, F.array(F.lit("SURVIVING_SLICES_BELOW_MINIMUM"))).otherwise(F.col("_bad"))
+    return r.select(verdict.alias("verdict"), reasons.alias("reasons"), "units", "denominator", "survivors", "assets", "consistency", "asset_share", "regime_share")
+
+
+def holdout_evaluation(frame: DataFrame, x: str, y: str, *, direction: int, delayed: dict[int, str] | None = None) -> DataFrame:
+    """One row: assets, mean return in each asset's own direction, what 5 and 10 bps leave of it, reasons, passed.
+
+    delayed: columns of the same factor under several publication delays, whose direction must be that of the factor.
+    """
+    every = {"x": x, **{f"d{k}": c for k, c in (delayed or {}).items()}}
+    long = frame.select("asset", F.col(y).alias("_y"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in every.items()))).alias("_v")).select("asset", "_y", "_v.*")
+    r = long.filter(F.col("value").isNotNull() & F.col("_y").isNotNull())
+    r = r.withColumn("_rx", average_rank("value", ["name", "asset"])).withColumn("_ry", average_rank("_y", ["name", "asset"]))
+    ic = r.groupBy("name", "asset").agg(corr("_rx", "_ry").alias("ic")).filter(F.col("ic").isNotNull() & ~F.isnan("ic"))
+    mean = frame.filter(F.col(y).isNotNull()).groupBy("asset").agg(F.avg(y).alias("_mean"))
+    own = ic.filter("name = 'x'").join(mean, "asset").withColumn("_ret", F.signum("ic") * F.col("_mean"))
+    out = own.agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.signum("ic") != direction).alias("_against"), F.count_if(F.col("_ret") > 0).alias("_support"), F.avg("_ret").alias("mean_return"))
+    rules = [
+        ("HOLDOUT_ASSET_COVERAGE_LT_2", F.col("assets") < 2), ("HOLDOUT_DIRECTION_UNSTABLE", F.lit(direction != 0) & (F.col("_against") > 0)), ("HOLDOUT_ASSET_CONCENTRATION_GT_50PCT", F.col("_support") == 1),
+        ("HOLDOUT_5BPS_NON_POSITIVE", ~F.coalesce(F.col("mean_return") - 0.0005 > 0, F.lit(False))), ("HOLDOUT_10BPS_NEGATIVE", ~F.coalesce(F.col("mean_return") - 0.0010 >= 0, F.lit(False))),
+    ]
+    if delayed is not None:
+        d = ic.filter("name <> 'x'").groupBy("name").agg(F.signum(F.median("ic")).alias("_s")).agg(F.count(F.lit(1)).alias("_delays"), F.count_if(F.col("_s") != direction).alias("_off"))
+        out = out.crossJoin(d)  # one row each
+        rules += [("HOLDOUT_OI_DELAY_STRESS_UNAVAILABLE", F.col("_delays") < 3), ("HOLDOUT_OI_DELAY_DIRECTION_UNSTABLE", (F.col("_delays") >= 3) & F.lit(direction != 0) & (F.col("_off") > 0))]
+    out = out.withColumn("after_5bps", F.col("mean_return") - 0.0005).withColumn("after_10bps", F.col("mean_return") - 0.0010)
+    out = out.withColumn("reasons", F.array_compact(F.array(*(F.when(rule, code) for code, rule in rules)))).withColumn("passed", F.size("reasons") == 0)
+    return out.select("assets", "mean_return", "after_5bps", "after_10bps", "reasons", "passed")
+
+
+def horizon_diagnostics(slices: DataFrame) -> DataFrame:
+    """Slices (SLICE, p) with the p-value adjusted over their whole family, for the record only: no verdict looks at them."""
+    key = F.concat_ws("|", *SLICE)
+    adjusted = benjamini_hochberg(slices.withColumn("_key", key), key="_key").select("_key", "adjusted")
+    return slices.withColumn("_key", key).join(adjusted, "_key", "left").drop("_key").withColumn("diagnostic_only", F.lit(True))
+
+
+def near_equivalents(correlations: DataFrame, factor: str, *, threshold: float = 0.7) -> DataFrame:
+    """other_factor_id, rank_ic and label: which existing factors one nearly repeats. correlations: of rank_correlations."""
+    other = F.when(F.col("a") == factor, F.col("b")).otherwise(F.col("a"))
+    label = F.when(F.abs("rho") > threshold, "statistically_near_equivalent").otherwise("")
+    return correlations.filter((F.col("a") == factor) | (F.col("b") == factor)).select(other.alias("other_factor_id"), F.col("rho").alias("rank_ic"), label.alias("label"))
+
+
+def gate_inputs(bars: DataFrame, *, horizons: tuple[int, ...], bar_hours: int, window: int = 48, least_volume: float = 0.0, least_rows: int = 100) -> DataFrame:
+    """Per asset, fold, regime and horizon (bars held): the cell's rows with signal and label, rows without a next bar or with
+    one that can't be traded, and the slice's number and rank correlation of signal and label.
+
+    The signal is the cross-sectional taker imbalance, the label the open-to-open return; folds are anchored (a quarter of
+    an asset's rows to begin with, thirds of the rest to test) and a regime is high where volatility exceeds the quantile of
+    the fold's own training rows. Assets with fewer than least_rows bars have no folds.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("asset"))
+    f = taker_imbalance(bars).withColumnRenamed("value", "signal").drop("reason").withColumn("_lr", log_return("close")).withColumn("volatility", realized_volatility("_lr", window))
+    for k in horizons:
+        f = open_to_open(f, holding_bars=k, bar_hours=bar_hours, least_volume=least_volume).withColumnRenamed("label", f"_y{k}").withColumnRenamed("reason", f"_r{k}")
+    f = f.withColumn("_n", n).filter(F.col("_n") >= least_rows)
+    initial = F.greatest(F.lit(60), F.floor(F.col("_n") / 4))
+    folds = walk_forward(f, initial=initial, test=F.greatest(F.lit(30), F.floor((F.col("_n") - initial) / 3)), purge=1, embargo=6)
+    limits = folds.filter("role = 'train'").groupBy("asset", "fold").agg(F.percentile("volatility", F.lit(QUANTILES["volatility"])).alias("_q"))
+    t = folds.filter("role = 'test'").join(limits, ["asset", "fold"]).withColumn("regime", F.when(F.coalesce(F.col("volatility") > F.col("_q"), F.lit(False)), "high_vol").otherwise("low_vol"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"_y{k}").alias("y"), F.col(f"_r{k}").alias("why")) for k in horizons)))
+    t = t.select("asset", "fold", "regime", "signal", each.alias("_h")).select("asset", "fold", "regime", "signal", "_h.*")
+    by = ["asset", "fold", "regime", "horizon"]
+    both = F.col("signal").isNotNull() & F.col("y").isNotNull()
+    units = t.groupBy(*by).agg(F.count_if(both).alias("effective"), F.count_if(F.col("why") == "MISSING_NEXT_BAR").alias("missing"), F.count_if(F.col("why") == "EXECUTION_BAR_INVALID").alias("infeasible"))
+    r = t.filter(both).withColumn("_rx", average_rank("signal", by)).withColumn("_ry", average_rank("y", by))
+    stats = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n_effective"), F.nullif(corr("_rx", "_ry"), F.lit(float("nan"))).alias("direction_estimate"))
+    return units.join(stats, by, "left").fillna(0, ["n_effective"])
+
+
+def factor_run(frame: DataFrame, names: list[str], y: str, *, train: str, last: str, cost_bps: float) -> DataFrame:
+    """Slices of every factor (factor_id, asset, fold) outside the training fold: n, rank correlation, p and adjusted p, with
+    the factor's cluster (by training rows alone), whether it represents it, and what it adds to the others on the last fold.
+    """
+    test = frame.filter(F.col("fold") != train)
+    long = test.select("asset", "fold", F.col(y).alias("_y"), F.explode(F.array(*(F.struct(F.lit(x).alias("factor_id"), F.col(x).alias("_x")) for x in names))).alias("_f")).select("asset", "fold", "_y", "_f.*")
+    by = ["factor_id", "asset", "fold"]
+    ok = long.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()).withColumn("_rx", average_rank("_x", by)).withColumn("_ry", average_rank("_y", by))
+    s = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr("_rx", "_ry").alias("rank_ic")).withColumn("p", spearman_p("rank_ic", "n")).withColumn("_key", F.concat_ws("|", *by))
+    adjusted = benjamini_hochberg(s, key="_key").select("_key", "adjusted", "reject")
+    past = frame.filter(F.col("fold") == train)
+    clusters = redundancy_clusters([(r["a"], r["b"], r["rho"]) for r in rank_correlations(past, names).collect()], names)  # a row for each pair of factors
+    first: dict[int, str] = {}
+    for n in sorted(names):
+        first.setdefault(clusters[n], n)
+    gains = [(n, increment(past, frame.filter(F.col("fold") == last), [m for m in names if m != n], n, y, cost_bps=cost_bps).first()) for n in names]
+    facts = [(n, clusters[n], first[clusters[n]] == n, None if g["return_extended"] is None else g["return_extended"] - g["return_baseline"], g["incremental"]) for n, g in gains]
+    facts = frame.sparkSession.createDataFrame(facts, "factor_id string, cluster int, representative boolean, delta_return double, incremental boolean")
+    return s.join(adjusted, "_key", "left").join(F.broadcast(facts), "factor_id").drop("_key").fillna({"reject": False})

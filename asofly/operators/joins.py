@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from asofly.functions.factors import W
 
 
-def source_plan(spark, assets: list[str], datasets: list[tuple[str, str]], start: str, end: str) -> DataFrame:
+def source_plan(assets: DataFrame, datasets: list[tuple[str, str]], start: str, end: str) -> DataFrame:
     """Objects to acquire: each asset, dataset (name, 'month' or 'day') and period from start to end, with its identity."""
-    grid = spark.createDataFrame([(a, n, g) for a in assets for n, g in datasets], "asset string, dataset string, granularity string")
+    kinds = F.array(*(F.struct(F.lit(n).alias("dataset"), F.lit(g).alias("granularity")) for n, g in datasets))
+    grid = assets.select("asset", F.explode(kinds).alias("k")).select("asset", "k.dataset", "k.granularity")
     periods = F.when(F.col("granularity") == "month", F.expr(f"sequence(date_trunc('month', date'{start}'), timestamp'{end}', interval 1 month)")).otherwise(F.expr(f"sequence(timestamp'{start}', timestamp'{end}', interval 1 day)"))
     out = grid.select("asset", "dataset", "granularity", F.explode(periods).alias("_p")).withColumn("period", F.to_date("_p")).drop("_p")
     label = F.when(F.col("granularity") == "month", F.date_format("period", "yyyy-MM")).otherwise(F.date_format("period", "yyyy-MM-dd"))
@@ -38,8 +39,8 @@ def delay_columns(frames: DataFrame, delays: list[int]) -> DataFrame:
     return wide.select("asset", "event_time", *(F.col(str(d)).alias(f"oi_{d}m") for d in delays))
 
 
-def first_touch(signals: DataFrame, bars: DataFrame, *, horizon_hours: int) -> DataFrame:
-    """For each signal (asset, event_time, side, stop, target) the first later bar within the horizon that hits one.
+def first_touch(signals: DataFrame, bars: DataFrame, *, horizon_hours: int, key: list[str] | None = None) -> DataFrame:
+    """For each signal (asset, event_time, side, stop, target; key: columns that also tell signals apart) the first later bar within the horizon that hits one.
 
     Bars and signals meet in time buckets one horizon wide, so each signal sees two buckets of its own asset only. The stop
     wins a bar that hits both; without a hit the last close in the horizon is the exit.
@@ -57,8 +58,8 @@ def first_touch(signals: DataFrame, bars: DataFrame, *, horizon_hours: int) -> D
     price = F.when(F.col("_o") == "STOP", F.col("stop")).otherwise(F.col("target"))
     hit = F.min_by(F.struct(F.col("_o").alias("outcome"), price.alias("price"), "t"), F.when(F.col("_o").isNotNull(), F.col("t")))
     last = F.max_by(F.struct(F.lit("OPEN").alias("outcome"), F.col("close").alias("price"), "t"), "t")
-    best = j.groupBy("asset", "event_time").agg(F.coalesce(hit, last).alias("r"))
-    return best.select("asset", "event_time", "r.outcome", F.col("r.price").alias("exit_price"), F.col("r.t").alias("exit_time"))
+    best = j.groupBy(*(key or []), "asset", "event_time").agg(F.coalesce(hit, last).alias("r"))
+    return best.select(*(key or []), "asset", "event_time", "r.outcome", F.col("r.price").alias("exit_price"), F.col("r.t").alias("exit_time"))
 
 
 def funding_cashflow(positions: DataFrame, funding: DataFrame) -> DataFrame:
@@ -115,6 +116,3 @@ def same_sets(left: DataFrame, right: DataFrame, key: list[str], item: str) -> D
     of = lambda f, n: f.groupBy(*key).agg(F.array_sort(F.collect_set(item)).alias(n))
     return of(left, "_l").join(of(right, "_r"), key, "full").select(*key, F.coalesce(F.col("_l") == F.col("_r"), F.lit(False)).alias("equal"))
 
-
-def when_known(column: Column, default: float = 0.0) -> Column:
-    return F.coalesce(column, F.lit(default))

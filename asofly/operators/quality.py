@@ -28,15 +28,36 @@ def inspect_ohlcv(frame: DataFrame, *, step_hours: int) -> DataFrame:
     return found.unionByName(double)
 
 
-def source_reasons(frame: DataFrame, *, step_hours: int) -> DataFrame:
-    """Reasons against each source object (identity), in a fixed order."""
-    w = Window.partitionBy("asset", "event_time").orderBy("available_time")
-    marked = frame.withColumn("_rn", F.row_number().over(w)).withColumn("_gap", seconds_since())
-    value = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("volume") < 0)
-    rules = [("CAUSALITY", F.col("available_time") < F.col("event_time")), ("DUPLICATE", F.col("_rn") > 1), ("VALUE", value), ("INTERVAL", F.col("_gap") > step_hours * 3600)]
-    flags = [F.max(F.coalesce(rule, F.lit(False))).alias(code) for code, rule in rules]
-    out = marked.groupBy("identity").agg(*flags)
-    return out.select("identity", F.array_compact(F.array(*(F.when(F.col(code), code) for code, _ in rules))).alias("reasons"))
+#: Codes in the order in which they're given.
+REASONS = ("TIME_INVALID", "CAUSALITY_INVALID", "CUTOFF_VIOLATION", "ASSET_INVALID", "SOURCE_PERIOD_MISMATCH", "DUPLICATE", "VALUE_INVALID", "INTERVAL_INVALID", "NEGATIVE_OI")
+
+
+def source_reasons(frame: DataFrame, *, as_of: str, kind: str) -> DataFrame:
+    """Reasons against each source object: identity, reasons. kind: ohlcv, funding or metrics.
+
+    frame: identity, source_asset, period_start, period_end and the rows' own columns; expected_sha and content_sha, if
+    there, must be equal. A source of the wrong columns has CANONICAL_SCHEMA_INVALID only.
+    """
+    need = {"ohlcv": ("open", "high", "low", "close", "volume"), "funding": ("funding_rate", "funding_interval_hours"), "metrics": ("sum_open_interest", "sum_open_interest_value")}[kind]
+    if set(need) - set(frame.columns):
+        return frame.groupBy("identity").agg(F.array(F.lit("CANONICAL_SCHEMA_INVALID")).alias("reasons"))
+    e, a, cut = F.col("event_time"), F.col("available_time"), F.lit(as_of).cast("timestamp_ntz")
+    last = e <= F.col("period_end") + F.expr("interval 1 second") if kind == "metrics" else e < F.col("period_end")
+    if kind == "ohlcv":
+        value = (F.least("open", "high", "low", "close") <= 0) | (F.col("volume") < 0) | (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
+    else:
+        value = F.lit(False)
+    interval = ~F.coalesce(F.col("funding_interval_hours").isin(1, 4, 8), F.lit(False)) if kind == "funding" else F.lit(False)
+    negative = F.least("sum_open_interest", "sum_open_interest_value") < 0 if kind == "metrics" else F.lit(False)
+    rules = dict(zip(REASONS, (e.isNull() | a.isNull(), a < e, (e > cut) | (a > cut), F.col("asset") != F.col("source_asset"), ~((e >= F.col("period_start")) & last), F.lit(None), value, interval, negative), strict=True))
+    one = frame.groupBy("identity", "asset", "event_time").agg(
+        F.count(F.lit(1)).alias("_n"), *(F.max(F.coalesce(rule.cast("boolean"), F.lit(False))).alias(code) for code, rule in rules.items()),
+        *((F.max(F.col("expected_sha") != F.col("content_sha")).alias("CONTENT_HASH_MISMATCH"),) if {"expected_sha", "content_sha"} <= set(frame.columns) else (F.lit(False).alias("CONTENT_HASH_MISMATCH"),)),
+    )
+    one = one.withColumn("DUPLICATE", F.col("_n") > 1)
+    out = one.groupBy("identity").agg(*(F.max(code).alias(code) for code in ("CONTENT_HASH_MISMATCH", *REASONS)))
+    out = out.withColumn("CAUSALITY_INVALID", F.col("CAUSALITY_INVALID") & ~F.col("TIME_INVALID"))
+    return out.select("identity", F.array_compact(F.array(*(F.when(F.col(code), f"CANONICAL_{code}") for code in ("CONTENT_HASH_MISMATCH", *REASONS)))).alias("reasons"))
 
 
 def coverage(frame: DataFrame, *, expected: int, threshold: float, warn: Column) -> DataFrame:
@@ -63,21 +84,29 @@ def inspect_metrics(frame: DataFrame, *, least: float = 0.0, per_day: int = 288)
     )
 
 
-def source_report(frame: DataFrame, *, step_hours: int) -> DataFrame:
-    """Bounds, counts, invalid values and gaps of more than two bars, per asset and day."""
+def source_report(frame: DataFrame, *, step_hours: int, as_of: str) -> DataFrame:
+    """Bounds, counts, invalid values, gaps of more than two bars and rows outside the period, per asset and day (`period`).
+
+    As many rows are expected as bars of the day had closed by as_of. `_gap`, if there, holds the seconds since the bar before.
+    """
     good = (F.col("open") > 0) & (F.col("close") > 0) & (F.col("volume") >= 0)
-    marked = frame.withColumn("_gap", seconds_since()).withColumn("period", F.date_trunc("day", F.col("event_time")).cast("timestamp_ntz"))
-    return marked.groupBy("asset", "period").agg(
-        F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"), F.count(F.lit(1)).alias("observed"), F.lit(24 // step_hours).alias("expected"),
-        F.count_if(~F.coalesce(good, F.lit(False))).alias("invalid"), F.count_if(F.col("_gap") > 2 * step_hours * 3600).alias("wide_gaps"),
+    marked = frame if "_gap" in frame.columns else frame.withColumn("_gap", seconds_since())
+    closed = F.floor(F.expr(f"timestampdiff(SECOND, period, timestamp_ntz'{as_of}')") / (step_hours * 3600))
+    inside = (F.col("event_time") >= F.col("period")) & (F.col("event_time") < F.col("period") + F.expr("interval 1 day"))
+    out = marked.groupBy("asset", "period").agg(
+        F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"), F.count(F.lit(1)).alias("observed"),
+        F.count_if(~F.coalesce(good, F.lit(False))).alias("invalid"), F.count_if(F.col("_gap") > 2 * step_hours * 3600).alias("wide_gaps"), F.count_if(~inside).alias("outside_period"),
     )
+    return out.withColumn("expected", F.greatest(F.lit(0), F.least(F.lit(24 // step_hours), closed)).cast("long"))
 
 
 def daily_funding(frame: DataFrame, *, assets: int) -> DataFrame:
-    """Per UTC day of availability: last time, assets seen, share of positive rates, median rate, coverage of the assets."""
+    """Per UTC day of availability: last time, assets seen, share of positive rates, median rate, coverage of the assets, and
+    a digest of the sources (source_sha256 of the rows, if there)."""
+    sources = F.sha2(F.array_join(F.array_sort(F.collect_set("source_sha256")), ","), 256) if "source_sha256" in frame.columns else F.lit(None).cast("string")  # a day's files
     return frame.groupBy(F.date_format("available_time", "yyyy-MM-dd").alias("day")).agg(
         F.max("available_time").alias("last_time"), F.countDistinct("asset").alias("assets"), F.avg(F.when(F.col("funding_rate") > 0, 1.0).otherwise(0.0)).alias("share_positive"),
-        F.median("funding_rate").alias("median_rate"), (F.countDistinct("asset") / assets).alias("coverage"),
+        F.median("funding_rate").alias("median_rate"), (F.countDistinct("asset") / assets).alias("coverage"), sources.alias("source_sha256"),
     )
 
 

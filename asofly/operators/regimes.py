@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
+from asofly.operators.asof import asof_join
 
+#: Quantiles of the regime inputs; members of a full universe, gain of the sigmoid, least coverage and most effect of funding.
 QUANTILES = {"volatility": 0.75, "trend": 0.60, "illiquidity": 0.95}
+MEMBERS, GAIN, LEAST_COVERAGE, MOST_FUNDING = 12, 3.0, 0.5, 0.10
 
 
 def composite(bars: DataFrame) -> DataFrame:
@@ -47,26 +50,43 @@ def expanding_thresholds(frame: DataFrame, *, initial: int, every: int) -> DataF
     return thresholds(sent, ["asset", "block"])
 
 
-def episode_summary(frame: DataFrame, state: str, least: int = 30) -> DataFrame:
-    """Rows, episodes and mean duration of each state, and whether there are enough rows to compare."""
+def episode_summary(frame: DataFrame, state: str, least: int = 30, volatility: str | None = None) -> DataFrame:
+    """Rows of each state and whether they're enough; if so its episodes, their mean duration and the mean volatility."""
     changed, number = fx.episodes(state)
-    runs = frame.withColumn("_c", changed).withColumn("_e", number("_c")).groupBy("asset", state, "_e").agg(F.count(F.lit(1)).alias("_n"))
-    out = runs.groupBy("asset", state).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("episodes"), F.avg("_n").alias("mean_duration"))
-    return out.withColumn("status", F.when(F.col("n_rows") >= least, "COMPARABLE").otherwise("INSUFFICIENT"))
+    value = F.col(volatility) if volatility else F.lit(None).cast("double")
+    runs = frame.withColumn("_c", changed).withColumn("_e", number("_c")).groupBy("asset", state, "_e").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"), F.count(value).alias("_k"))
+    out = runs.groupBy("asset", state).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("_ep"), F.avg("_n").alias("_d"), F.try_divide(F.sum("_v"), F.sum("_k")).alias("_mv"))
+    enough = F.col("n_rows") >= least
+    given = [F.when(enough, F.col(a)).alias(b) for a, b in (("_ep", "episodes"), ("_d", "mean_duration"), ("_mv", "mean_volatility"))]
+    return out.select("asset", state, "n_rows", *given, F.when(enough, "sufficient_evidence").otherwise("insufficient_evidence").alias("status"))
 
 
 def universe_features(bars: DataFrame, volume: str, oi: str | None = None) -> DataFrame:
-    """Per time: members, medians and the share of the three largest."""
+    """Per time: members, medians and the three largest's share of what's positive (0 without any)."""
     w = Window.partitionBy("event_time").orderBy(F.desc(volume), "asset")
     more = [F.median(oi).alias("median_oi_value")] if oi else []
-    top = F.sum(F.when(F.col("_rn") <= 3, F.col(volume))) / F.nullif(F.sum(F.when(F.col(volume) > 0, F.col(volume))), F.lit(0.0))
+    some = F.when(F.col(volume) > 0, F.col(volume))
+    top = F.coalesce(F.try_divide(F.sum(F.when(F.col("_rn") <= 3, some)), F.sum(some)), F.lit(0.0))
     return bars.withColumn("_rn", F.row_number().over(w)).groupBy("event_time").agg(F.count(F.lit(1)).alias("member_count"), F.median(volume).alias("median_quote_volume"), top.alias("top3_share"), *more)
 
 
-def trailing_and_baseline(daily: DataFrame, column: str, rows: int) -> DataFrame:
-    """Means of the last rows and of as many before them, of each day. One row per day, so one small window."""
+def cycle_features(daily: DataFrame, *, rows: int = 30) -> DataFrame:
+    """What the cycle is judged by, of each day: breadth, medians of the last rows against those before, concentration.
+
+    The baseline is the `rows` days before the last `rows`, or the very first `rows` while there aren't that many. Changes
+    against a baseline that isn't positive count as 0. One row per day, so one window.
+    """
     w = Window.orderBy("event_time")
-    return daily.withColumn("trailing", F.avg(column).over(w.rowsBetween(-(rows - 1), 0))).withColumn("baseline", F.avg(column).over(w.rowsBetween(-(2 * rows - 1), -rows)))
+    now, before, all_ = w.rowsBetween(-(rows - 1), 0), w.rowsBetween(-(2 * rows - 1), -rows), w.rowsBetween(Window.unboundedPreceding, 0)
+    mid = lambda c, over: F.percentile(c, F.lit(0.5)).over(over)
+    out = daily.withColumn("sample_count", F.row_number().over(w)).withColumns({"breadth": clamp(F.avg("member_count").over(now) / MEMBERS), "concentration": mid("top3_share", now)})
+    for name, c in (("volume", "median_quote_volume"), ("oi", "median_oi_value")):
+        first = F.when(F.col("sample_count") <= rows, F.col(c))
+        base = F.when(F.col("sample_count") >= 2 * rows, mid(c, before)).otherwise(mid(first, all_))
+        out = out.withColumn(f"trailing_{name}", mid(c, now)).withColumn(f"baseline_{name}", base)
+        change = F.when(F.col(f"baseline_{name}") > 0, F.try_divide(F.col(f"trailing_{name}") - F.col(f"baseline_{name}"), F.col(f"baseline_{name}")))
+        out = out.withColumn(f"{name}_momentum", F.coalesce(change, F.lit(0.0)))
+    return out
 
 
 def sigmoid(x: Column) -> Column:
@@ -77,17 +97,28 @@ def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def market_cycle(daily: DataFrame, *, rows: int = 30, gain: float = 3.0) -> DataFrame:
-    """Probabilities of bull, neutral and risk of every day with 2 x rows of history, and the likeliest (ties: larger name)."""
-    w = Window.orderBy("event_time")  # a row per day
-    now, before = w.rowsBetween(-(rows - 1), 0), w.rowsBetween(-(2 * rows - 1), -rows)
-    momentum = lambda c: sigmoid(gain * (F.avg(c).over(now) / F.nullif(F.avg(c).over(before), F.lit(0.0)) - 1))
-    out = daily.withColumns({
-        "_pos": F.row_number().over(w), "_b": F.least(F.avg("member_count").over(now) / 12, F.lit(1.0)), "_v": momentum("median_quote_volume"), "_o": momentum("median_oi_value"),
-        "_p": clamp((F.avg("top3_share").over(now) - 0.55) / 0.35),
-    }).filter(F.col("_pos") >= 2 * rows)
-    b, v, o, p = (F.col(c) for c in ("_b", "_v", "_o", "_p"))
-    out = out.withColumn("_bull", clamp(0.40 * b + 0.30 * v + 0.25 * o + 0.05 * (1 - p))).withColumn("_risk", clamp(0.35 * (1 - b) + 0.30 * (1 - v) + 0.25 * (1 - o) + 0.10 * p))
+def market_cycle(daily: DataFrame, funding: DataFrame | None = None, *, rows: int = 30, least: int = 30) -> DataFrame:
+    """Probabilities of bull, neutral and risk-off of every day, the likeliest (ties: larger name) and its confidence.
+
+    funding: event_time, share_positive, coverage, of which the latest at or before the day shifts the bull score, if it
+    covers enough assets; it never lifts a bull score that lies under the risk. Fewer than `least` days: insufficient evidence.
+    """
+    out = cycle_features(daily, rows=rows)
+    if funding is None:
+        out = out.withColumn("_share", F.lit(None).cast("double"))
+    else:
+        seen = asof_join(out, funding.select("event_time", "share_positive", "coverage"), on="event_time", prefix="funding_")
+        out = seen.withColumn("_share", F.when(F.col("coverage") >= LEAST_COVERAGE, F.col("share_positive")))
+    score = lambda parts, p: sum((F.col(c) * k for c, k in parts.items()), p)
+    out = out.withColumns({"_b": F.col("breadth"), "_v": sigmoid(GAIN * F.col("volume_momentum")), "_o": sigmoid(GAIN * F.col("oi_momentum")), "_p": clamp((F.col("concentration") - 0.55) / 0.35)})
+    out = out.withColumns({f"_not{c}": 1 - F.col(c) for c in ("_b", "_v", "_o", "_p")})
+    out = out.withColumn("_bull", score({"_b": 0.40, "_v": 0.30, "_o": 0.25, "_not_p": 0.05}, F.lit(0.0))).withColumn("_risk", score({"_not_b": 0.35, "_not_v": 0.30, "_not_o": 0.25, "_p": 0.10}, F.lit(0.0)))
+    term = (1 - 2 * F.col("_share")) * MOST_FUNDING
+    out = out.withColumn("funding_term", F.when(term.isNotNull(), F.when((term > 0) & (F.col("_risk") > F.col("_bull")), 0.0).otherwise(F.least(F.greatest(term, F.lit(-MOST_FUNDING)), F.lit(MOST_FUNDING)))))
+    out = out.withColumn("_bull", F.when(F.col("funding_term").isNull(), F.col("_bull")).otherwise(clamp(F.col("_bull") + F.col("funding_term"))))
     out = out.withColumn("_neutral", F.greatest(F.lit(0.05), 1 - F.abs(F.col("_bull") - F.col("_risk")))).withColumn("_sum", F.col("_bull") + F.col("_neutral") + F.col("_risk"))
-    best = F.when((F.col("_risk") >= F.col("_neutral")) & (F.col("_risk") >= F.col("_bull")), "risk").when(F.col("_neutral") >= F.col("_bull"), "neutral").otherwise("bull")
-    return out.select("event_time", *((F.col(f"_{c}") / F.col("_sum")).alias(f"p_{c}") for c in ("bull", "neutral", "risk")), best.alias("label"))
+    enough = F.col("sample_count") >= least
+    out = out.withColumns({f"p_{n}": F.when(enough, F.col(c) / F.col("_sum")).otherwise(0.0) for n, c in (("bull", "_bull"), ("neutral", "_neutral"), ("risk_off", "_risk"))})
+    best = F.when((F.col("p_risk_off") >= F.col("p_neutral")) & (F.col("p_risk_off") >= F.col("p_bull")), "risk_off").when(F.col("p_neutral") >= F.col("p_bull"), "neutral").otherwise("bull")
+    out = out.withColumn("label", F.when(enough, best).otherwise("insufficient_evidence")).withColumn("confidence", F.greatest("p_bull", "p_neutral", "p_risk_off")).withColumn("funding_term", F.when(enough, F.col("funding_term")))
+    return out.select("event_time", "p_bull", "p_neutral", "p_risk_off", "label", "confidence", "funding_term", "sample_count", "breadth", "volume_momentum", "oi_momentum", "concentration")

@@ -35,12 +35,15 @@ HOW = {
 
 
 def resample(frame: DataFrame, width: str, how: dict[str, str], *, order: str = "event_time") -> DataFrame:
-    """Named aggregations per asset and bucket; first and last skip nulls. available_time is the latest of the rows.
+    """Named aggregations per asset and bucket; first and last skip nulls. available_time (and ingested_at) is the latest of
+    the rows, source (if there) the first.
 
     Buckets in which nothing is available vanish. A sum over nulls alone is 0.
     """
     aggs = [HOW[h](c, F.col(order)).alias(c) for c, h in how.items()]
-    out = frame.groupBy("asset", bucket("event_time", width).alias("bucket")).agg(*aggs, F.max("available_time").alias("available_time"))
+    carried = {"ingested_at": "max", "source": "first"}
+    more = [HOW[h](c, F.col(order)).alias(c) for c, h in carried.items() if c in frame.columns and c not in how]
+    out = frame.groupBy("asset", bucket("event_time", width).alias("bucket")).agg(*aggs, F.max("available_time").alias("available_time"), *more)
     return out.withColumnRenamed("bucket", "event_time").filter("available_time is not null")
 
 

@@ -26,13 +26,19 @@ def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def variant_metrics(decisions: DataFrame) -> DataFrame:
-    """Final equity, return and deepest drawdown of each run."""
+def variant_metrics(decisions: DataFrame, trades: DataFrame, *, initial: float | None = None) -> DataFrame:
+    """Final equity, return (on `initial`, or the first equity), deepest drawdown, win rate, fees and net profit of each run.
+
+    decisions: run_id, slot, seq, equity_after; trades: run_id, pnl (after fees), fee. Runs without trades have no win rate.
+    """
     order = F.struct("slot", "seq")
     w = Window.partitionBy("run_id").orderBy("slot", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = decisions.withColumn("_dd", F.col("equity_after") / F.max("equity_after").over(w) - 1)
-    first, last = F.min_by("equity_after", order), F.max_by("equity_after", order)
-    return out.groupBy("run_id").agg(last.alias("final_equity"), (last / first - 1).alias("total_return"), F.min("_dd").alias("max_drawdown"), F.count(F.lit(1)).alias("n"))
+    peak = F.max("equity_after").over(w)
+    out = decisions.withColumn("_dd", F.when(peak > 0, F.try_divide(F.col("equity_after"), peak) - 1).otherwise(0.0))
+    first, last = F.lit(initial) if initial is not None else F.min_by("equity_after", order), F.max_by("equity_after", order)
+    out = out.groupBy("run_id").agg(last.alias("final_equity"), (F.try_divide(last, first) - 1).alias("total_return"), F.least(F.min("_dd"), F.lit(0.0)).alias("max_drawdown"), F.count(F.lit(1)).alias("n"))
+    t = trades.groupBy("run_id").agg(F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.count(F.lit(1)).alias("trade_count"), F.sum("fee").alias("fees_paid"), F.sum("pnl").alias("net_profit"))
+    return out.join(t, "run_id", "left").fillna(0, ["trade_count", "fees_paid", "net_profit"])
 
 
 def with_returns(prices: DataFrame) -> DataFrame:
@@ -40,10 +46,15 @@ def with_returns(prices: DataFrame) -> DataFrame:
 
 
 def equity_metrics(prices: DataFrame, days: int = 365) -> DataFrame:
-    """Annualised volatility (population), Sharpe-like ratio, drawdown and days that moved; the first return counts as 0."""
+    """Final equity, total return, annualised volatility (population), Sharpe-like ratio (0 when flat), drawdown and days that
+    moved; the first return counts as 0."""
     r = F.coalesce("ret", F.lit(0.0))
     vol = F.stddev_pop(r) * F.sqrt(F.lit(days))
-    return with_returns(prices).groupBy("asset").agg(vol.alias("volatility"), (F.avg(r) * days / F.nullif(vol, F.lit(0.0))).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.count_if(F.abs(r) > 0).alias("active_days"))
+    first, last = F.min_by("close", "event_time"), F.max_by("close", "event_time")
+    return with_returns(prices).groupBy("asset").agg(
+        last.alias("final_equity"), (F.try_divide(last, first) - 1).alias("total_return"), vol.alias("volatility"), F.when(vol > 0, F.try_divide(F.avg(r) * days, vol)).otherwise(0.0).alias("sharpe"), F.min("dd").alias("max_drawdown"),
+        F.count_if(F.abs(r) > 0).alias("active_days"),
+    )
 
 
 def sharpe_and_drawdown(prices: DataFrame, days: int) -> DataFrame:
@@ -84,7 +95,7 @@ def portfolio_state(decisions: DataFrame, *, pause_at: float) -> DataFrame:
     """High-water mark, drawdown, change since the day's first decision, and the pause that a deep drawdown starts."""
     run = Window.partitionBy("run_id").orderBy("slot", "seq").rowsBetween(Window.unboundedPreceding, 0)
     day = Window.partitionBy("run_id", F.date_trunc("day", F.col("slot"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = decisions.withColumn("high_water", F.max("equity_after").over(run)).withColumn("drawdown", F.col("equity_after") / F.col("high_water") - 1)
+    out = decisions.withColumn("high_water", F.max("equity_after").over(run)).withColumn("drawdown", F.try_divide(F.col("equity_after"), F.col("high_water")) - 1)
     out = out.withColumn("day_change", F.col("equity_after") - F.first("equity_after").over(day))
     return out.withColumn("paused_until", F.when(F.col("drawdown") <= pause_at, F.expr("date_trunc('day', slot) + interval 1 day")))
 
@@ -92,10 +103,11 @@ def portfolio_state(decisions: DataFrame, *, pause_at: float) -> DataFrame:
 def neutral_targets(signals: DataFrame, *, q: float, least: int) -> DataFrame:
     """Weights of a dollar-neutral book per time: the n highest and n lowest signals, n = max(least, floor(q N)).
 
-    The bottom is taken from the reverse of the same total order; with fewer than 2 x least assets all are flat.
+    The bottom is taken from the reverse of the same total order; with fewer than 2 x least assets all are flat. Assets
+    without a signal take no part.
     """
     w = Window.partitionBy("event_time")
-    out = signals.withColumns({"_top": F.row_number().over(w.orderBy(F.desc("signal"), "asset")), "_low": F.row_number().over(w.orderBy("signal", F.desc("asset"))), "_n": F.count(F.lit(1)).over(w)})
+    out = signals.filter("signal is not null").withColumns({"_top": F.row_number().over(w.orderBy(F.desc("signal"), "asset")), "_low": F.row_number().over(w.orderBy("signal", F.desc("asset"))), "_n": F.count(F.lit(1)).over(w)})
     leg = F.greatest(F.lit(least), F.floor(q * F.col("_n")))
     weight = F.when(F.col("_n") < 2 * least, 0.0).when(F.col("_top") <= leg, 0.5 / leg).when(F.col("_low") <= leg, -0.5 / leg).otherwise(0.0)
     return out.withColumn("weight", weight).drop("_top", "_low", "_n")
@@ -124,12 +136,16 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 def compare_allocations(returns: DataFrame, *, cap: float, initial: float = 100.0) -> DataFrame:
     """Equity of equal weights against volume weights under a cap. One row per time, so one small window."""
-    day = returns.groupBy("event_time").agg(F.avg("ret").alias("_e"), (cap * F.sum(F.col("ret") * F.col("volume")) / F.sum("volume")).alias("_w"))
+    day = returns.groupBy("event_time").agg(F.avg("ret").alias("_e"), (cap * F.try_divide(F.sum(F.col("ret") * F.col("volume")), F.sum("volume"))).alias("_w"))
     w = Window.orderBy("event_time")
     return day.select("event_time", compounded("_e", initial, w).alias("equal_weight"), compounded("_w", initial, w).alias("weighted"))
 
 
-def readiness(decisions: DataFrame, *, least_days: int, floor: float) -> DataFrame:
-    """Days run and breaches of an equity floor per run, and whether it's ready."""
-    g = decisions.groupBy("run_id").agg(F.countDistinct(F.to_date("slot")).alias("days"), F.count_if(F.col("equity_after") < floor).alias("breaches"))
-    return g.withColumn("ready", (F.col("days") >= least_days) & (F.col("breaches") == 0))
+def readiness(decisions: DataFrame, *, least_days: int = 30, floor: float, hours: int = 24) -> DataFrame:
+    """Calendar days from a run's first decision to its last, breaches of an equity floor and slots without a decision, and
+    whether it's ready: days enough, no breach, no slot missing. Slots are counted, not listed."""
+    slot = F.floor(F.unix_timestamp(F.col("slot").cast("timestamp")) / (hours * 3600))
+    g = decisions.withColumn("_s", slot).groupBy("run_id").agg(
+        F.datediff(F.max("slot"), F.min("slot")).alias("days"), F.count_if(F.col("equity_after") < floor).alias("breaches"), (F.max("_s") - F.min("_s") + 1 - F.countDistinct("_s")).alias("missing_slots")
+    )
+    return g.withColumn("ready", (F.col("days") >= least_days) & (F.col("breaches") == 0) & (F.col("missing_slots") == 0))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
-from asofly.operators import quality, regimes, strategy, universe
+from asofly.operators import indicators, quality, regimes, strategy, universe
 from asofly.queries.base import add, bars_sql, r8, rq, ts, tsq, with_
+from asofly.queries.research import CONF
 from asofly.sources import tables as t
 
 WIN = "WINDOW w AS (PARTITION BY asset ORDER BY event_time)"
@@ -19,11 +20,27 @@ def b8(spark, d):
     return t.read(spark, d, "events").select(name.alias("n")).groupBy("n", universe.excluded_name(F.col("n")).alias("excluded")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@add("B11_canonical_validation", with_("b1", more="k AS (SELECT *, asset || '|' || strftime(event_time, '%Y-%m-%d') AS identity, row_number() OVER (PARTITION BY asset, event_time ORDER BY available_time) AS rn, event_time - lag(event_time) OVER (PARTITION BY asset ORDER BY event_time) AS step FROM b1)") + """SELECT identity, concat_ws(',', CASE WHEN bool_or(available_time < event_time) THEN 'CAUSALITY' END, CASE WHEN bool_or(rn > 1) THEN 'DUPLICATE' END,
- CASE WHEN bool_or(high < greatest(open, close) OR low > least(open, close) OR volume < 0) THEN 'VALUE' END, CASE WHEN bool_or(step > INTERVAL 1 HOUR) THEN 'INTERVAL' END) AS reasons FROM k GROUP BY identity""")
+B11 = """SELECT 'bars' AS kind, asset, event_time, available_time + CASE WHEN trades % 53 = 0 THEN -INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END AS available_time, low + CASE WHEN trades % 47 = 0 THEN 1000 ELSE 0 END AS low, open, high, close, volume, 8 AS hours, 1.0 AS oi FROM b1 UNION ALL SELECT 'bars', asset, event_time, available_time, low, open, high, close, volume, 8, 1.0 FROM b1 WHERE trades % 43 = 0
+ UNION ALL SELECT 'funding', asset, event_time, available_time, 1, 1, 1, 1, 1, CASE WHEN funding_rate > 6e-4 THEN 3 ELSE 8 END, 1.0 FROM funding UNION ALL SELECT 'metrics', asset, event_time, available_time, 1, 1, 1, 1, 1, 8, open_interest - 1001 FROM oi"""
+
+
+@add("B11_canonical_validation", with_("b1", "funding", "oi", more="x AS (" + B11 + """), k AS (SELECT *, kind || '|' || asset || '|' || strftime(event_time, '%Y-%m-%d') AS identity, count(*) OVER (PARTITION BY kind, asset, event_time) AS n FROM x)""") + """SELECT identity, concat_ws(',', CASE WHEN bool_or(available_time < event_time) THEN 'CANONICAL_CAUSALITY_INVALID' END, CASE WHEN bool_or(event_time > TIMESTAMP '2024-01-25' OR available_time > TIMESTAMP '2024-01-25') THEN 'CANONICAL_CUTOFF_VIOLATION' END, CASE WHEN bool_or(asset = 'click' AND kind = 'bars') THEN 'CANONICAL_ASSET_INVALID' END,
+ CASE WHEN bool_or(kind = 'funding' AND extract('hour' FROM event_time) = 23) THEN 'CANONICAL_SOURCE_PERIOD_MISMATCH' END, CASE WHEN bool_or(n > 1) THEN 'CANONICAL_DUPLICATE' END, CASE WHEN bool_or(kind = 'bars' AND (least(open, high, low, close) <= 0 OR volume < 0 OR high < greatest(open, close, low) OR low > least(open, close, high))) THEN 'CANONICAL_VALUE_INVALID' END,
+ CASE WHEN bool_or(kind = 'funding' AND hours NOT IN (1, 4, 8)) THEN 'CANONICAL_INTERVAL_INVALID' END, CASE WHEN bool_or(kind = 'metrics' AND oi < 0) THEN 'CANONICAL_NEGATIVE_OI' END) AS reasons FROM k GROUP BY identity""")
 def b11(spark, d):
-    frame = t.bars(spark, d).withColumn("identity", F.concat_ws("|", "asset", F.date_format("event_time", "yyyy-MM-dd")))
-    return quality.source_reasons(frame, step_hours=1).select("identity", F.concat_ws(",", "reasons").alias("reasons"))
+    """Sources of a day with faults of every kind: late cut-off, doubled and impossible bars, foreign assets, short periods."""
+    day = F.date_trunc("day", F.col("event_time")).cast("timestamp_ntz")
+
+    def source(frame, kind, hours):
+        return frame.withColumns({"identity": F.concat_ws("|", F.lit(kind), "asset", F.date_format("event_time", "yyyy-MM-dd")), "source_asset": F.when((F.col("asset") == "click") & F.lit(kind == "bars"), "other").otherwise(F.col("asset")), "period_start": day, "period_end": (day + F.expr(f"interval {hours} hours"))})
+
+    b = t.bars(spark, d)
+    odd = b.withColumn("available_time", F.expr("if(trades % 53 = 0, available_time - interval 3 hours, available_time)")).withColumn("low", F.col("low") + F.when(F.col("trades") % 47 == 0, 1000).otherwise(0))
+    funding = t.funding(spark, d).withColumn("funding_interval_hours", F.when(F.col("funding_rate") > 6e-4, 3).otherwise(8))
+    oi = t.open_interest(spark, d).select("asset", "event_time", "available_time", (F.col("open_interest") - 1001).alias("sum_open_interest"), "sum_open_interest_value")
+    parts = [(odd.unionByName(b.filter("trades % 43 = 0")), "bars", "ohlcv", 24), (funding, "funding", "funding", 23), (oi, "metrics", "metrics", 24)]
+    found = [quality.source_reasons(source(f, name, hours), as_of="2024-01-25", kind=kind) for f, name, kind, hours in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("identity", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @add("D3_ohlcv_quality", with_("b1", more="""g AS (SELECT *, lag(event_time) OVER (PARTITION BY asset ORDER BY event_time) AS prev FROM b1)""") + """SELECT asset, 'TIME_GAP' AS code, count(*) AS n FROM g WHERE event_time - prev > INTERVAL 1 HOUR GROUP BY asset
@@ -51,15 +68,19 @@ def d6(spark, d):
     return quality.inspect_metrics(t.open_interest(spark, d), least=1001).select("asset", "period", "observed", "low_values", "duplicates", "not_causal", r8("coverage"))
 
 
-@add("D7_source_report", with_("b1", more="g AS (SELECT *, date_trunc('day', event_time) AS period, lag(event_time) OVER (PARTITION BY asset ORDER BY event_time) AS prev FROM b1)") + f"""SELECT asset, {tsq('period')}, {tsq('min(event_time)', 'first_event')}, {tsq('max(event_time)', 'last_event')}, count(*) AS observed, 24 AS expected, count(*) FILTER (WHERE NOT (open > 0 AND close > 0 AND volume >= 0)) AS invalid,
- count(*) FILTER (WHERE event_time - prev > INTERVAL 2 HOUR) AS wide_gaps FROM g GROUP BY asset, period""")
+@add("D7_source_report", with_("b1", more="g AS (SELECT *, date_trunc('day', event_time) AS period, CASE WHEN trades % 61 = 0 THEN event_time + INTERVAL 1 DAY ELSE event_time END AS stamp, lag(event_time) OVER (PARTITION BY asset ORDER BY event_time) AS prev FROM b1 WHERE event_time < TIMESTAMP '2024-01-24 06:30:00')") + f"""SELECT asset, {tsq('period')}, {tsq('min(stamp)', 'first_event')}, {tsq('max(stamp)', 'last_event')}, count(*) AS observed, CAST(greatest(0, least(24, floor(epoch(TIMESTAMP '2024-01-24 06:30:00' - period) / 3600))) AS BIGINT) AS expected, count(*) FILTER (WHERE NOT (open > 0 AND close > 0 AND volume >= 0)) AS invalid,
+ count(*) FILTER (WHERE event_time - prev > INTERVAL 2 HOUR) AS wide_gaps, count(*) FILTER (WHERE stamp < period OR stamp >= period + INTERVAL 1 DAY) AS outside_period FROM g GROUP BY asset, period""")
 def d7(spark, d):
-    return quality.source_report(t.bars(spark, d), step_hours=1).select("asset", ts("period"), ts("first_event"), ts("last_event"), "observed", "expected", "invalid", "wide_gaps")
+    """As of a moment within a day, with some rows stamped a day late."""
+    b = t.bars(spark, d).filter("event_time < timestamp_ntz'2024-01-24 06:30:00'").withColumn("period", F.date_trunc("day", F.col("event_time")).cast("timestamp_ntz"))
+    b = b.withColumn("_gap", quality.seconds_since()).withColumn("event_time", F.expr("if(trades % 61 = 0, event_time + interval 1 day, event_time)"))
+    return quality.source_report(b, step_hours=1, as_of="2024-01-24 06:30:00").select("asset", ts("period"), ts("first_event"), ts("last_event"), "observed", "expected", "invalid", "wide_gaps", "outside_period")
 
 
-@add("D8_daily_funding_alignment", with_("funding") + f"""SELECT strftime(available_time, '%Y-%m-%d') AS day, {tsq('max(available_time)', 'last_time')}, count(DISTINCT asset) AS assets, round(avg(CASE WHEN funding_rate > 0 THEN 1.0 ELSE 0.0 END), 8) AS share_positive, round(median(funding_rate), 8) AS median_rate, round(count(DISTINCT asset) / 5.0, 8) AS coverage FROM funding GROUP BY 1""")
+@add("D8_daily_funding_alignment", with_("funding") + f"""SELECT strftime(available_time, '%Y-%m-%d') AS day, {tsq('max(available_time)', 'last_time')}, count(DISTINCT asset) AS assets, round(avg(CASE WHEN funding_rate > 0 THEN 1.0 ELSE 0.0 END), 8) AS share_positive, round(median(funding_rate), 8) AS median_rate, round(count(DISTINCT asset) / 5.0, 8) AS coverage, sha256(string_agg(DISTINCT sha256(asset), ',' ORDER BY sha256(asset))) AS source_sha256 FROM funding GROUP BY 1""")
 def d8(spark, d):
-    return quality.daily_funding(t.funding(spark, d), assets=5).select("day", ts("last_time"), "assets", r8("share_positive"), r8("median_rate"), r8("coverage"))
+    out = quality.daily_funding(t.funding(spark, d).withColumn("source_sha256", F.sha2("asset", 256)), assets=5)
+    return out.select("day", ts("last_time"), "assets", r8("share_positive"), r8("median_rate"), r8("coverage"), "source_sha256")
 
 
 @add("D9_trailing_medians", with_("b24", "members") + f"""SELECT s.selection_time_ AS selection_time, b.asset, count(DISTINCT CAST(b.event_time AS DATE)) AS days, round(median(b.quote_volume), 6) AS median FROM (SELECT DISTINCT selection_time, strftime(selection_time, '%Y-%m-%d %H:%M:%S') AS selection_time_ FROM members) s
@@ -98,13 +119,14 @@ def d14(spark, d):
     return t.bars(spark, d).groupBy(role(F.col("event_time"), "2024-01-01", "2024-01-15", "2024-01-20", "2024-02-01").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("D17_episode_summary", with_("b1", more="s AS (SELECT *, CASE WHEN close > open THEN 'up' ELSE 'down' END AS state FROM b1), c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY asset ORDER BY event_time) IS DISTINCT FROM state THEN 1 ELSE 0 END AS ch FROM s), e AS (SELECT *, sum(ch) OVER (PARTITION BY asset ORDER BY event_time) AS ep FROM c), r AS (SELECT asset, state, ep, count(*) AS n FROM e GROUP BY ALL)") + "SELECT asset, state, sum(n) AS n_rows, count(*) AS episodes, round(avg(n), 8) AS mean_duration, CASE WHEN sum(n) >= 30 THEN 'COMPARABLE' ELSE 'INSUFFICIENT' END AS status FROM r GROUP BY ALL")
+@add("D17_episode_summary", with_("b1", more="s AS (SELECT *, CASE WHEN close > open THEN 'up' ELSE 'down' END AS state FROM b1), c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY asset ORDER BY event_time) IS DISTINCT FROM state THEN 1 ELSE 0 END AS ch FROM s), e AS (SELECT *, sum(ch) OVER (PARTITION BY asset ORDER BY event_time) AS ep FROM c), r AS (SELECT asset, state, ep, count(*) AS n, sum(high - low) AS v FROM e GROUP BY ALL)") + "SELECT asset, state, sum(n) AS n_rows, CASE WHEN sum(n) >= 30 THEN count(*) END AS episodes, CASE WHEN sum(n) >= 30 THEN round(avg(n), 8) END AS mean_duration, CASE WHEN sum(n) >= 30 THEN round(sum(v) / sum(n), 6) END AS mean_volatility, CASE WHEN sum(n) >= 30 THEN 'sufficient_evidence' ELSE 'insufficient_evidence' END AS status FROM r GROUP BY ALL")
 def d17(spark, d):
     frame = t.bars(spark, d).withColumn("state", F.when(F.col("close") > F.col("open"), "up").otherwise("down"))
-    return regimes.episode_summary(frame, "state").select("asset", "state", "n_rows", "episodes", r8("mean_duration"), "status")
+    out = regimes.episode_summary(frame.withColumn("range", F.col("high") - F.col("low")), "state", volatility="range")
+    return out.select("asset", "state", "n_rows", "episodes", r8("mean_duration"), F.round("mean_volatility", 6).alias("mean_volatility"), "status")
 
 
-@add("D18_universe_features", with_("b24") + f"""SELECT {tsq('event_time')}, count(*) AS member_count, round(median(quote_volume), 6) AS median_quote_volume, round(sum(CASE WHEN rn <= 3 THEN quote_volume END) / nullif(sum(CASE WHEN quote_volume > 0 THEN quote_volume END), 0), 8) AS top3_share FROM (SELECT *, row_number() OVER (PARTITION BY event_time ORDER BY quote_volume DESC, asset) AS rn FROM b24) GROUP BY event_time""")
+@add("D18_universe_features", with_("b24") + f"""SELECT {tsq('event_time')}, count(*) AS member_count, round(median(quote_volume), 6) AS median_quote_volume, round(coalesce(sum(CASE WHEN rn <= 3 AND quote_volume > 0 THEN quote_volume END) / nullif(sum(CASE WHEN quote_volume > 0 THEN quote_volume END), 0), 0), 8) AS top3_share FROM (SELECT *, row_number() OVER (PARTITION BY event_time ORDER BY quote_volume DESC, asset) AS rn FROM b24) GROUP BY event_time""")
 def d18(spark, d):
     return regimes.universe_features(t.bars(spark, d, 24), "quote_volume").select(ts("event_time"), "member_count", F.round("median_quote_volume", 6).alias("median_quote_volume"), r8("top3_share"))
 
@@ -118,17 +140,20 @@ def d19(spark, d):
 EQ = "e AS (SELECT run_id, slot, seq, equity_after, max(equity_after) OVER (PARTITION BY run_id ORDER BY slot, seq) AS peak FROM decisions)"
 
 
-@add("D20_variant_metrics", with_("decisions", more=EQ) + "SELECT run_id, round(arg_max(equity_after, (slot, seq)), 6) AS final_equity, round(arg_max(equity_after, (slot, seq)) / arg_min(equity_after, (slot, seq)) - 1, 8) AS total_return, round(min(equity_after / peak - 1), 8) AS max_drawdown, count(*) AS n FROM e GROUP BY run_id")
+@add("D20_variant_metrics", with_("decisions", more=EQ + ", tr AS (SELECT o_custkey AS run_id, l_extendedprice * (l_discount - 0.05) AS pnl, l_extendedprice * 0.0004 AS fee FROM lineitem JOIN orders ON o_orderkey = l_orderkey), ta AS (SELECT run_id, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) AS trade_count, sum(fee) AS fees_paid, sum(pnl) AS net_profit FROM tr GROUP BY run_id), m AS (SELECT run_id, arg_max(equity_after, (slot, seq)) AS final_equity, arg_min(equity_after, (slot, seq)) AS first_equity, least(min(CASE WHEN peak > 0 THEN equity_after / peak - 1 ELSE 0 END), 0) AS dd, count(*) AS n FROM e GROUP BY run_id)") + "SELECT m.run_id, round(final_equity, 6) AS final_equity, round(final_equity / nullif(first_equity, 0) - 1, 8) AS total_return, round(dd, 8) AS max_drawdown, n, round(win_rate, 8) AS win_rate, coalesce(trade_count, 0) AS trade_count, round(coalesce(fees_paid, 0), 4) AS fees_paid, round(coalesce(net_profit, 0), 4) AS net_profit FROM m LEFT JOIN ta ON ta.run_id = m.run_id")
 def d20(spark, d):
-    return strategy.variant_metrics(t.decisions(spark, d)).select("run_id", F.round("final_equity", 6).alias("final_equity"), r8("total_return"), r8("max_drawdown"), "n")
+    runs = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("trade_id"), F.col("o_custkey").alias("run_id"))
+    trades = t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("trade_id"), F.expr("l_extendedprice * (l_discount - 0.05)").alias("pnl"), (F.col("l_extendedprice") * 0.0004).alias("fee")).join(runs, "trade_id")
+    out = strategy.variant_metrics(t.decisions(spark, d), trades)
+    return out.select("run_id", F.round("final_equity", 6).alias("final_equity"), r8("total_return"), r8("max_drawdown"), "n", r8("win_rate"), "trade_count", F.round("fees_paid", 4).alias("fees_paid"), F.round("net_profit", 4).alias("net_profit"))
 
 
 RET = "r AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1 AS ret, close / max(close) OVER (PARTITION BY asset ORDER BY event_time) - 1 AS dd FROM hist)"
 
 
-@add("D21_equity_metrics", with_("hist", more=RET) + "SELECT asset, round(stddev_pop(coalesce(ret, 0)) * sqrt(365), 8) AS volatility, round(avg(coalesce(ret, 0)) * 365 / nullif(stddev_pop(coalesce(ret, 0)) * sqrt(365), 0), 8) AS sharpe, round(min(dd), 8) AS max_drawdown, count(*) FILTER (WHERE abs(coalesce(ret, 0)) > 0) AS active_days FROM r GROUP BY asset")
+@add("D21_equity_metrics", with_("hist", more=RET) + "SELECT asset, round(arg_max(close, event_time), 6) AS final_equity, round(arg_max(close, event_time) / nullif(arg_min(close, event_time), 0) - 1, 8) AS total_return, round(stddev_pop(coalesce(ret, 0)) * sqrt(365), 8) AS volatility, round(coalesce(avg(coalesce(ret, 0)) * 365 / nullif(stddev_pop(coalesce(ret, 0)) * sqrt(365), 0), 0), 8) AS sharpe, round(min(dd), 8) AS max_drawdown, count(*) FILTER (WHERE abs(coalesce(ret, 0)) > 0) AS active_days FROM r GROUP BY asset")
 def d21(spark, d):
-    return strategy.equity_metrics(t.long_history(spark, d)).select("asset", r8("volatility"), r8("sharpe"), r8("max_drawdown"), "active_days")
+    return strategy.equity_metrics(t.long_history(spark, d)).select("asset", F.round("final_equity", 6).alias("final_equity"), r8("total_return"), r8("volatility"), r8("sharpe"), r8("max_drawdown"), "active_days")
 
 
 @add("D22_sharpe_drawdown", with_("hist", more=RET) + "SELECT asset, round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END, 8) AS sharpe, round(min(dd), 8) AS max_drawdown FROM r GROUP BY asset")
@@ -193,12 +218,11 @@ def d32(spark, d):
     return strategy.daily_pnl(t.trades(spark, d)).select("asset", "day", F.round("pnl", 6).alias("pnl"))
 
 
-@add("D34_pattern_statistics", with_("b1", more="x AS (SELECT asset, close > open AS up, open - close AS body, lag(open) OVER w AS po, lag(close) OVER w AS pc, open, close, high, low, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time))") + "SELECT asset, count(*) FILTER (WHERE close > open AND pc < po AND close >= po AND open <= pc) AS bull_engulf, count(*) FILTER (WHERE close < open AND pc > po AND close <= po AND open >= pc) AS bear_engulf, count(*) FILTER (WHERE high < ph AND low > pl) AS inside FROM x GROUP BY asset")
+@add("D34_pattern_statistics", with_("b1", more=CONF) + "SELECT asset, count(*) FILTER (WHERE pin <> 0) AS pin_bar, count(*) FILTER (WHERE eng <> 0) AS engulfing, count(*) FILTER (WHERE bos <> 0) AS bos, count(*) FILTER (WHERE high <= ph AND low >= pl) AS inside, count(*) FILTER (WHERE signal = 1) AS long_signals, count(*) FILTER (WHERE signal = -1) AS short_signals FROM (SELECT *, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM sg WINDOW w AS (PARTITION BY asset ORDER BY event_time)) GROUP BY asset")
 def d34(spark, d):
-    from asofly.functions import patterns
-
-    frame = t.bars(spark, d).withColumns({"engulf": patterns.engulfing(), "inside": patterns.inside_bar()})
-    return frame.groupBy("asset").agg(F.count_if(F.col("engulf") == 1).alias("bull_engulf"), F.count_if(F.col("engulf") == -1).alias("bear_engulf"), F.count_if(F.col("inside") == 1).alias("inside"))
+    frame = indicators.confluence(t.bars(spark, d), atr_band=(0.05, 5.0))
+    counts = {"pin_bar": F.col("pin") != 0, "engulfing": F.col("engulfing") != 0, "bos": F.col("bos") != 0, "inside": F.col("inside") == 1, "long_signals": F.col("signal") == 1, "short_signals": F.col("signal") == -1}
+    return frame.groupBy("asset").agg(*(F.count_if(rule).alias(name) for name, rule in counts.items()))
 
 
 REG = """r AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM hist WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
@@ -246,9 +270,9 @@ def f3(spark, d):
     return universe.core_plus_top(t.wide_bars(spark, d).groupBy("asset").agg(F.median("volume").alias("median_volume")), ["u0", "u1"])
 
 
-@add("F4_neutral_targets", with_("wide", more="s AS (SELECT event_time, asset, close / open - 1 AS signal FROM wide), k AS (SELECT *, row_number() OVER (PARTITION BY event_time ORDER BY signal DESC, asset) AS top, row_number() OVER (PARTITION BY event_time ORDER BY signal, asset DESC) AS bottom, count(*) OVER (PARTITION BY event_time) AS n FROM s), m AS (SELECT *, greatest(3, CAST(floor(0.2 * n) AS BIGINT)) AS leg FROM k)") + f"SELECT {tsq('event_time')}, asset, round(CASE WHEN n < 6 THEN 0.0 WHEN top <= leg THEN 0.5 / leg WHEN bottom <= leg THEN -0.5 / leg ELSE 0.0 END, 8) AS weight FROM m")
+@add("F4_neutral_targets", with_("wide", more="s AS (SELECT event_time, asset, close / nullif(open, 0) - 1 AS signal FROM wide WHERE open <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY event_time ORDER BY signal DESC, asset) AS top, row_number() OVER (PARTITION BY event_time ORDER BY signal, asset DESC) AS bottom, count(*) OVER (PARTITION BY event_time) AS n FROM s), m AS (SELECT *, greatest(3, CAST(floor(0.2 * n) AS BIGINT)) AS leg FROM k)") + f"SELECT {tsq('event_time')}, asset, round(CASE WHEN n < 6 THEN 0.0 WHEN top <= leg THEN 0.5 / leg WHEN bottom <= leg THEN -0.5 / leg ELSE 0.0 END, 8) AS weight FROM m")
 def f4(spark, d):
-    return strategy.neutral_targets(t.wide_bars(spark, d).withColumn("signal", F.col("close") / F.col("open") - 1), q=0.2, least=3).select(ts("event_time"), "asset", r8("weight"))
+    return strategy.neutral_targets(t.wide_bars(spark, d).withColumn("signal", F.try_divide(F.col("close"), F.col("open")) - 1), q=0.2, least=3).select(ts("event_time"), "asset", r8("weight"))
 
 
 @add("F5_tail_trades", with_("trades") + "SELECT outcome, trade_id, leg, round(pnl, 6) AS pnl FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY exit_time DESC, trade_id DESC, leg DESC) AS rn FROM trades) WHERE rn <= 50")
@@ -261,9 +285,9 @@ def f6(spark, d):
     return strategy.every_kth(t.bars(spark, d), 6).select("asset", ts("event_time"), r8("close"))
 
 
-@add("F7_ranked_signals", with_("wide") + f"SELECT {tsq('event_time')}, asset, row_number() OVER (PARTITION BY event_time ORDER BY abs(close / open - 1) DESC, asset) AS rank, CASE WHEN close > open THEN 1 ELSE -1 END AS direction FROM wide WHERE close <> open")
+@add("F7_ranked_signals", with_("wide") + f"SELECT {tsq('event_time')}, asset, row_number() OVER (PARTITION BY event_time ORDER BY abs(close / open - 1) DESC, asset) AS rank, CASE WHEN close > open THEN 1 ELSE -1 END AS direction FROM wide WHERE close <> open AND open <> 0")
 def f7(spark, d):
-    return strategy.ranked_signals(t.wide_bars(spark, d).withColumn("factor", F.col("close") / F.col("open") - 1)).select(ts("event_time"), "asset", "rank", "direction")
+    return strategy.ranked_signals(t.wide_bars(spark, d).withColumn("factor", F.try_divide(F.col("close"), F.col("open")) - 1)).select(ts("event_time"), "asset", "rank", "direction")
 
 
 @add("F8_latest_state", with_("decisions") + f"SELECT run_id, arg_max(seq, (slot, seq)) AS seq, {tsq('max(slot)', 'slot')}, count(*) AS history FROM decisions GROUP BY run_id")
@@ -278,18 +302,29 @@ def f9(spark, d):
     return first_round(t.proposals(spark, d).withColumn("passed", F.length("formula") >= 200), cap=2).select("factor_id", "reason")
 
 
-@add("I8_market_cycle", with_("b24", more="""u AS (SELECT event_time, count(*) AS n, median(quote_volume) AS mv, median(volume) AS mo, sum(CASE WHEN rn <= 3 THEN quote_volume END) / nullif(sum(quote_volume), 0) AS conc FROM (SELECT *, row_number() OVER (PARTITION BY event_time ORDER BY quote_volume DESC, asset) AS rn FROM b24) GROUP BY event_time),
- p AS (SELECT *, row_number() OVER (ORDER BY event_time) AS pos, avg(n) OVER t5 AS n5, avg(mv) OVER t5 AS mv5, avg(mo) OVER t5 AS mo5, avg(conc) OVER t5 AS c5, avg(mv) OVER b5 AS mvb, avg(mo) OVER b5 AS mob FROM u WINDOW t5 AS (ORDER BY event_time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b5 AS (ORDER BY event_time ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING)),
- s AS (SELECT event_time, least(n5 / 12, 1) AS breadth, 1 / (1 + exp(-least(greatest(3 * (mv5 / nullif(mvb, 0) - 1), -20), 20))) AS vm, 1 / (1 + exp(-least(greatest(3 * (mo5 / nullif(mob, 0) - 1), -20), 20))) AS om, least(greatest((c5 - 0.55) / 0.35, 0), 1) AS pen FROM p WHERE pos >= 10),
- k AS (SELECT *, least(greatest(0.40 * breadth + 0.30 * vm + 0.25 * om + 0.05 * (1 - pen), 0), 1) AS bull, least(greatest(0.35 * (1 - breadth) + 0.30 * (1 - vm) + 0.25 * (1 - om) + 0.10 * pen, 0), 1) AS risk FROM s),
- z AS (SELECT *, greatest(0.05, 1 - abs(bull - risk)) AS neutral FROM k)""") + f"""SELECT {tsq('event_time')}, round(bull / (bull + neutral + risk), 8) AS p_bull, round(neutral / (bull + neutral + risk), 8) AS p_neutral, round(risk / (bull + neutral + risk), 8) AS p_risk,
- CASE WHEN risk >= neutral AND risk >= bull THEN 'risk' WHEN neutral >= bull THEN 'neutral' ELSE 'bull' END AS label FROM z""")
+CYCLE = """u AS (SELECT event_time, count(*) AS n, median(quote_volume) AS mv, median(volume) AS mo, coalesce(sum(CASE WHEN rn <= 3 AND quote_volume > 0 THEN quote_volume END) / nullif(sum(CASE WHEN quote_volume > 0 THEN quote_volume END), 0), 0) AS conc FROM (SELECT *, row_number() OVER (PARTITION BY event_time ORDER BY quote_volume DESC, asset) AS rn FROM b24) GROUP BY event_time),
+ p AS (SELECT *, row_number() OVER (ORDER BY event_time) AS pos, avg(n) OVER t5 AS n5, median(mv) OVER t5 AS mv5, median(mo) OVER t5 AS mo5, median(conc) OVER t5 AS c5, median(mv) OVER b5 AS mvb, median(mo) OVER b5 AS mob FROM u WINDOW t5 AS (ORDER BY event_time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b5 AS (ORDER BY event_time ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING)),
+ h AS (SELECT *, CASE WHEN pos >= 10 THEN mvb ELSE median(CASE WHEN pos <= 5 THEN mv END) OVER r END AS mvp, CASE WHEN pos >= 10 THEN mob ELSE median(CASE WHEN pos <= 5 THEN mo END) OVER r END AS mop FROM p WINDOW r AS (ORDER BY event_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ m AS (SELECT *, CASE WHEN mvp > 0 THEN (mv5 - mvp) / mvp ELSE 0 END AS vmom, CASE WHEN mop > 0 THEN (mo5 - mop) / mop ELSE 0 END AS omom FROM h)"""
+
+
+@add("I8_market_cycle", with_("b24", "funding", more=CYCLE + """, al AS (SELECT date_trunc('day', available_time) AS day, avg(CASE WHEN funding_rate > 0 THEN 1.0 ELSE 0.0 END) AS share, count(DISTINCT asset) / 5.0 AS coverage FROM funding GROUP BY 1),
+ s AS (SELECT m.*, al.share, al.coverage, greatest(least(n5 / 12, 1), 0) AS breadth, 1 / (1 + exp(-least(greatest(3 * vmom, -20), 20))) AS vm, 1 / (1 + exp(-least(greatest(3 * omom, -20), 20))) AS om, least(greatest((c5 - 0.55) / 0.35, 0), 1) AS pen FROM m ASOF LEFT JOIN al ON m.event_time >= al.day),
+ k AS (SELECT *, 0.40 * breadth + 0.30 * vm + 0.25 * om + 0.05 * (1 - pen) AS b0, 0.35 * (1 - breadth) + 0.30 * (1 - vm) + 0.25 * (1 - om) + 0.10 * pen AS risk FROM s),
+ f AS (SELECT *, CASE WHEN coverage >= 0.5 THEN CASE WHEN (1 - 2 * share) > 0 AND risk > b0 THEN 0.0 ELSE least(greatest((1 - 2 * share) * 0.10, -0.10), 0.10) END END AS term FROM k),
+ g AS (SELECT *, CASE WHEN term IS NULL THEN b0 ELSE least(greatest(b0 + term, 0), 1) END AS bull FROM f),
+ z AS (SELECT *, greatest(0.05, 1 - abs(bull - risk)) AS neutral, pos >= 8 AS enough FROM g),
+ q AS (SELECT *, CASE WHEN enough THEN bull / (bull + neutral + risk) ELSE 0 END AS pb, CASE WHEN enough THEN neutral / (bull + neutral + risk) ELSE 0 END AS pn, CASE WHEN enough THEN risk / (bull + neutral + risk) ELSE 0 END AS pr FROM z)""") + f"""SELECT {tsq('event_time')}, round(pb, 6) AS p_bull, round(pn, 6) AS p_neutral, round(pr, 6) AS p_risk_off, round(greatest(pb, pn, pr), 6) AS confidence, round(CASE WHEN enough THEN term END, 8) AS funding_term, pos AS sample_count,
+ CASE WHEN NOT enough THEN 'insufficient_evidence' WHEN pr >= pn AND pr >= pb THEN 'risk_off' WHEN pn >= pb THEN 'neutral' ELSE 'bull' END AS label FROM q""")
 def i8(spark, d):
+    """Five rows where the default is thirty: the events span a month."""
     features = regimes.universe_features(t.bars(spark, d, 24), "quote_volume", "volume")
-    return regimes.market_cycle(features, rows=5).select(ts("event_time"), r8("p_bull"), r8("p_neutral"), r8("p_risk"), "label")
+    aligned = quality.daily_funding(t.funding(spark, d), assets=5).withColumn("event_time", F.col("day").cast("timestamp_ntz"))
+    out = regimes.market_cycle(features, aligned, rows=5, least=8)
+    return out.select(ts("event_time"), *(F.round(c, 6).alias(c) for c in ("p_bull", "p_neutral", "p_risk_off", "confidence")), r8("funding_term"), "sample_count", "label")
 
 
-@add("E35_cycle_features", with_("b24", more="u AS (SELECT event_time, count(*) AS n, median(quote_volume) AS mv FROM b24 GROUP BY event_time)") + f"SELECT {tsq('event_time')}, round(avg(mv) OVER (ORDER BY event_time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS trailing, round(avg(mv) OVER (ORDER BY event_time ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING), 6) AS baseline FROM u")
+@add("E35_cycle_features", with_("b24", more=CYCLE) + f"SELECT {tsq('event_time')}, round(n5 / 12, 8) AS breadth, round(mv5, 6) AS trailing, round(mvp, 6) AS baseline, round(vmom, 8) AS volume_momentum, round(omom, 8) AS oi_momentum, round(c5, 8) AS concentration FROM m")
 def e35(spark, d):
-    out = regimes.trailing_and_baseline(regimes.universe_features(t.bars(spark, d, 24), "quote_volume"), "median_quote_volume", 5)
-    return out.select(ts("event_time"), F.round("trailing", 6).alias("trailing"), F.round("baseline", 6).alias("baseline"))
+    out = regimes.cycle_features(regimes.universe_features(t.bars(spark, d, 24), "quote_volume", "volume"), rows=5)
+    return out.select(ts("event_time"), r8("breadth"), F.round("trailing_volume", 6).alias("trailing"), F.round("baseline_volume", 6).alias("baseline"), r8("volume_momentum"), r8("oi_momentum"), r8("concentration"))

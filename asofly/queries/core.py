@@ -52,17 +52,24 @@ def b5(spark, d):
     return t.bars(spark, d).select("asset", ts("event_time"), filters.role(F.col("event_time"), "2024-01-02", "2024-01-15", "2024-01-20", "2024-01-28").alias("role"))
 
 
-@add("B6_record_violations", """WITH rec AS (SELECT event_id, ts AS event_time, CASE WHEN event_id % 11 = 0 THEN ts - INTERVAL 1 MINUTE ELSE ts + INTERVAL 1 MINUTE END AS available_time,
-  CASE WHEN event_id % 7 = 0 THEN ts ELSE ts + INTERVAL 2 MINUTE END AS ingested_at, CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS source FROM events)
-SELECT event_id, concat_ws(',', CASE WHEN available_time < event_time THEN 'AVAILABLE_BEFORE_EVENT' END, CASE WHEN ingested_at < available_time THEN 'INGESTED_BEFORE_AVAILABLE' END,
-  CASE WHEN trim(source) = '' THEN 'SOURCE_BLANK' END) AS violations FROM rec WHERE available_time < event_time OR ingested_at < available_time OR trim(source) = ''""")
+@add("B6_record_violations", """WITH rec AS (SELECT event_id, ts AS e, CASE WHEN event_id % 11 = 0 THEN ts - INTERVAL 1 MINUTE ELSE ts + INTERVAL 1 MINUTE END AS a, CASE WHEN event_id % 7 = 0 THEN ts ELSE ts + INTERVAL 2 MINUTE END AS i FROM events)
+SELECT 'record' AS kind, event_id, concat_ws(',', CASE WHEN event_id % 17 = 0 THEN 'TIME_WITHOUT_ZONE' END, CASE WHEN date_trunc('second', a) < date_trunc('second', e) THEN 'AVAILABLE_BEFORE_EVENT' END, CASE WHEN date_trunc('second', i) < date_trunc('second', a) THEN 'INGESTED_BEFORE_AVAILABLE' END, CASE WHEN event_id % 13 = 0 THEN 'SOURCE_BLANK' END) AS violations FROM rec WHERE event_id % 17 = 0 OR date_trunc('second', a) < date_trunc('second', e) OR date_trunc('second', i) < date_trunc('second', a) OR event_id % 13 = 0
+ UNION ALL SELECT 'manifest', event_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'HASH_FORMAT' END, CASE WHEN event_id % 19 = 0 THEN 'ROW_COUNT_NEGATIVE' END, CASE WHEN event_id % 23 = 0 THEN 'EVENT_RANGE' END, CASE WHEN event_id % 29 = 0 THEN 'AVAILABLE_RANGE' END, CASE WHEN event_id % 31 = 0 THEN 'OWN_PARENT' END) FROM events WHERE event_id % 5 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 OR event_id % 29 = 0 OR event_id % 31 = 0
+ UNION ALL SELECT 'signal', event_id, concat_ws(',', CASE WHEN value / 100 > 1 THEN 'VALUE_RANGE' END, CASE WHEN value / 50 > 1 THEN 'CONFIDENCE_RANGE' END, CASE WHEN event_id % 37 = 0 THEN 'NOT_AVAILABLE_AT_DECISION' END) FROM events WHERE value / 50 > 1 OR event_id % 37 = 0""")
 def b6(spark, d):
-    e = t.read(spark, d, "events").select(
-        "event_id", F.col("ts").alias("event_time"),
-        F.expr("if(event_id % 11 = 0, ts - interval 1 minute, ts + interval 1 minute)").alias("available_time"),
-        F.expr("if(event_id % 7 = 0, ts, ts + interval 2 minutes)").alias("ingested_at"), F.expr("if(event_id % 13 = 0, '  ', event_type)").alias("source"),
+    e = t.read(spark, d, "events")
+    zoned = lambda c, name: F.concat(F.date_format(F.expr(c), "yyyy-MM-dd HH:mm:ss"), F.when((F.col("event_id") % 17 == 0) & F.lit(name == "event_time"), "").otherwise("+00:00")).alias(name)
+    records = e.select("event_id", F.col("event_type").alias("asset"), zoned("ts", "event_time"), zoned("if(event_id % 11 = 0, ts - interval 1 minute, ts + interval 1 minute)", "available_time"), zoned("if(event_id % 7 = 0, ts, ts + interval 2 minutes)", "ingested_at"), F.expr("if(event_id % 13 = 0, '  ', event_type)").alias("source"))
+    sha = F.sha2(F.col("event_id").cast("string"), 256)
+    back = lambda k, c: F.expr(f"if(event_id % {k} = 0, ts + interval 1 second, ts)").alias(c)
+    manifests = e.select(
+        "event_id", sha.alias("snapshot_id"), F.when(F.col("event_id") % 5 == 0, F.upper(F.concat(F.lit("a"), F.substring(sha, 2, 63)))).otherwise(sha).alias("content_sha256"), F.expr("if(event_id % 19 = 0, -1, 1)").alias("row_count"),
+        back(23, "min_event_time"), F.col("ts").alias("max_event_time"), back(29, "min_available_time"), F.col("ts").alias("max_available_time"), F.array(F.when(F.col("event_id") % 31 == 0, sha).otherwise("root")).alias("parents"),
     )
-    return filters.record_violations(e).filter(F.size("violations") > 0).select("event_id", F.concat_ws(",", "violations").alias("violations"))
+    signals = e.select("event_id", (F.col("value") / 100).alias("value"), (F.col("value") / 50).alias("confidence"), back(37, "available_time"), F.col("ts").alias("decision_time"))
+    found = [("record", filters.record_violations(records)), ("manifest", filters.manifest_violations(manifests)), ("signal", filters.signal_violations(signals))]
+    one = [f.filter(F.size("violations") > 0).select(F.lit(kind).alias("kind"), "event_id", F.concat_ws(",", "violations").alias("violations")) for kind, f in found]
+    return one[0].unionByName(one[1]).unionByName(one[2])
 
 
 @add("B7_frame_validation", with_("b1") + """, dup AS (SELECT count(*) AS n FROM (SELECT 1 FROM b1 GROUP BY asset, event_time HAVING count(*) > 1))
@@ -85,9 +92,18 @@ def b10(spark, d):
     return t.membership(spark, d).filter(F.col("selection_time") <= F.lit(CUT).cast("timestamp_ntz")).select("asset", ts("selection_time"), "rank")
 
 
-@add("B12_period_membership", with_("b1") + f"""SELECT asset, {tsq("date_trunc('day', event_time)", 'period')}, count(*) AS left_closed FROM b1 GROUP BY ALL""")
+@add("B12_period_membership", """WITH m AS (SELECT event_type || '|' || strftime(ts, '%Y-%m-%d') AS identity, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS e, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '2000-01-01') + CASE WHEN event_type < 'm' THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END + CASE WHEN event_id % 101 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS stamp FROM events),
+ g AS (SELECT identity, count(*) FILTER (WHERE stamp >= s AND stamp < e) AS left_closed, count(*) FILTER (WHERE stamp > s AND stamp <= e + INTERVAL 1 SECOND) AS right_closed, count(*) AS n_rows FROM m GROUP BY identity)
+SELECT identity, left_closed, right_closed, CASE WHEN right_closed > left_closed THEN 'right' ELSE 'left' END AS membership, greatest(left_closed, right_closed) AS kept, n_rows - greatest(left_closed, right_closed) AS outside FROM g""")
 def b12(spark, d):
-    return filters.rows_in_period(t.bars(spark, d)).select("asset", ts("period"), "left_closed")
+    """Metrics on a grid of five minutes: some sources stamp its end, others its start; a few rows are of other days."""
+    at = F.window("ts", "5 minutes")["start"]
+    late = F.when(F.col("event_type") < "m", F.expr("interval 5 minutes")).otherwise(F.expr("interval 0 minutes"))
+    e = t.read(spark, d, "events").select(
+        F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("identity"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("period_start"), F.expr("date_trunc('day', ts) + interval 1 day").cast("timestamp_ntz").alias("period_end"),
+        (at.cast("timestamp_ntz") + late + F.expr("make_dt_interval(if(event_id % 101 = 0, 2, 0))")).alias("event_time"),
+    )
+    return filters.period_membership(e).select("identity", "left_closed", "right_closed", "membership", "kept", "outside")
 
 
 @add("C1_asof_join", with_("b1", "funding") + f"SELECT b.asset, {tsq('b.event_time', 'event_time')}, {tsq('f.available_time', 'aux_available_time')}, {rq('f.funding_rate', 'funding_rate')} FROM b1 b ASOF LEFT JOIN funding f ON b.asset = f.asset AND b.available_time >= f.available_time")
@@ -125,7 +141,7 @@ def c5(spark, d):
 
 @add("C6_delay_factor_frames", with_("b1", "oi", more=VIEWS) + f"SELECT b.asset, b.delay, {tsq('b.event_time', 'event_time')}, {rq('v.open_interest', 'open_interest')} FROM (SELECT b1.*, delay FROM b1 CROSS JOIN (VALUES (5), (10), (15)) x(delay)) b ASOF LEFT JOIN views v ON b.delay = v.delay AND b.asset = v.asset AND b.available_time >= v.available_time")
 def c6(spark, d):
-    return asof.asof_by_delay(t.bars(spark, d), asof.delay_views(t.open_interest(spark, d), (5, 10, 15), CUT)).select("asset", "delay", ts("event_time"), r8("open_interest"))
+    return asof.asof_by_delay(t.bars(spark, d), asof.delay_views(t.open_interest(spark, d), (5, 10, 15), CUT), (5, 10, 15)).select("asset", "delay", ts("event_time"), r8("open_interest"))
 
 
 @add("C7_latest_through", with_("funding") + f"SELECT asset, {tsq('max(available_time)', 'available_time')}, round(arg_max(funding_rate, available_time), 8) AS funding_rate FROM funding WHERE available_time <= TIMESTAMP '{CUT}' GROUP BY asset")
@@ -139,10 +155,11 @@ def c8(spark, d):
 
 
 @add("D1_causal_resample", with_("b1") + f"""SELECT asset, {tsq("time_bucket(INTERVAL 4 HOUR, event_time, TIMESTAMP '2000-01-01')", 'event_time')}, round(arg_min(open, event_time), 8) AS open, round(avg(close), 8) AS close, round(sum(volume), 8) AS volume,
- round(arg_max(quote_volume, event_time), 8) AS quote_volume, {tsq('max(available_time)', 'available_time')} FROM b1 GROUP BY asset, time_bucket(INTERVAL 4 HOUR, event_time, TIMESTAMP '2000-01-01')""")
+ round(arg_max(quote_volume, event_time), 8) AS quote_volume, {tsq('max(available_time)', 'available_time')}, {tsq('max(available_time) + INTERVAL 1 HOUR', 'ingested_at')}, 'n' || arg_min(trades, event_time) AS source FROM b1 GROUP BY asset, time_bucket(INTERVAL 4 HOUR, event_time, TIMESTAMP '2000-01-01')""")
 def d1(spark, d):
-    out = resample.resample(t.bars(spark, d), "4 hours", {"open": "first", "close": "mean", "volume": "sum", "quote_volume": "last"})
-    return out.select("asset", ts("event_time"), r8("open"), r8("close"), r8("volume"), r8("quote_volume"), ts("available_time"))
+    b = t.bars(spark, d).withColumn("ingested_at", F.expr("available_time + interval 1 hour")).withColumn("source", F.concat(F.lit("n"), F.col("trades").cast("string")))
+    out = resample.resample(b, "4 hours", {"open": "first", "close": "mean", "volume": "sum", "quote_volume": "last"})
+    return out.select("asset", ts("event_time"), r8("open"), r8("close"), r8("volume"), r8("quote_volume"), ts("available_time"), ts("ingested_at"), "source")
 
 
 @add("D2_resample_ohlcv", with_("b4") + f"SELECT {BARQ} FROM b4")
@@ -171,7 +188,7 @@ def _factor(name, column, sql, more=None, hours=1):
         return frame.select("asset", ts("event_time"), F.round(column(), 8).alias("value"))
 
 
-SNAP = """(SELECT x.*, o.open_interest FROM (SELECT b.*, f.funding_rate FROM b1 b ASOF LEFT JOIN funding f ON b.asset = f.asset AND b.available_time >= f.available_time) x
+SNAP = """(SELECT x.*, o.open_interest FROM (SELECT b.*, f.funding_rate, f.available_time AS f_at FROM b1 b ASOF LEFT JOIN funding f ON b.asset = f.asset AND b.available_time >= f.available_time) x
  ASOF LEFT JOIN oi o ON x.asset = o.asset AND x.available_time >= o.available_time)"""
 
 _factor("E1_momentum", lambda: fx.momentum("close", 24), "close / nullif(lag(close, 24) OVER w, 0) - 1")
@@ -200,19 +217,23 @@ def e8(spark, d):
     return frame.withColumn("z", fx.zscore("funding_rate", 12)).withColumn("dd", fx.change("open_interest", 6)).select("asset", ts("event_time"), r8(fx.crowding("z", "dd"), "value"))
 
 
-@add("E9_dual_horizon_frame", with_("b1", "funding", "oi", more=f"""r AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM {SNAP} {WIN}),
+PEERS = """peer AS (SELECT *, median(CASE WHEN ok THEN x END) OVER (PARTITION BY available_time) AS med, count(CASE WHEN ok THEN x END) OVER (PARTITION BY available_time) AS n FROM src),
+ dev AS (SELECT *, median(CASE WHEN ok THEN abs(x - med) END) OVER (PARTITION BY available_time) AS mad FROM peer)"""
+
+
+@add("E9_dual_horizon_frame", with_("b1", "funding", "oi", more=f"""src AS (SELECT s.*, funding_rate AS x, funding_rate IS NOT NULL AND coalesce(available_time - f_at <= INTERVAL 8 HOUR, false) AS ok FROM {SNAP} s), """ + PEERS + f""", r AS (SELECT *, ln(close / nullif(lag(close) OVER w, 0)) AS lr FROM dev {WIN}),
  q AS (SELECT *, abs(lr) / nullif(close * volume, 0) AS il, CASE WHEN count(funding_rate) {_n(96)} >= 1 THEN (funding_rate - avg(funding_rate) {_n(96)}) / nullif(stddev_samp(funding_rate) {_n(96)}, 0) END AS fz, open_interest / nullif(lag(open_interest, 96) OVER w, 0) - 1 AS oc FROM r {WIN})""") + f"""SELECT asset, {tsq('event_time')},
  round(close / nullif(lag(close, 96) OVER w, 0) - 1, 8) AS momentum, round(-(close / nullif(lag(close, 48) OVER w, 0) - 1), 8) AS reversal, CASE WHEN count(lr) {_n(96)} = 96 THEN round(stddev_samp(lr) {_n(96)}, 8) END AS volatility,
- CASE WHEN count(il) {_n(96)} = 96 THEN round(avg(il) {_n(96)}, 12) END AS illiquidity, round(fz, 8) AS funding_zscore, round(oc, 8) AS oi_change, round(fz * oc, 8) AS crowding FROM q {WIN}""")
+ CASE WHEN count(volume) {_n(96)} = 96 THEN round((volume - avg(volume) {_n(96)}) / nullif(stddev_samp(volume) {_n(96)}, 0), 8) END AS volume_surprise,
+ CASE WHEN count(il) {_n(96)} = 96 THEN round(avg(il) {_n(96)}, 12) END AS illiquidity, round(fz, 8) AS funding_zscore, round(oc, 8) AS oi_change, round(fz * oc, 8) AS crowding,
+ CASE WHEN ok AND n >= 2 AND mad > 0 THEN round(least(greatest((x - med) / (1.4826 * mad), -5), 5), 8) END AS relative_funding_pressure,
+ CASE WHEN NOT ok THEN 'FUNDING_UNAVAILABLE_OR_GAPPED' WHEN n < 2 THEN 'INSUFFICIENT_PEER_COVERAGE' WHEN mad = 0 THEN 'ZERO_CROSS_SECTIONAL_MAD' END AS relative_funding_pressure_exclusion_reason FROM q {WIN}""")
 def e9(spark, d):
     from asofly.operators.dual_horizon import factor_frame
 
     out = factor_frame(asof.snapshot(t.bars(spark, d), t.funding(spark, d), t.open_interest(spark, d)), "1h")
-    return out.select("asset", ts("event_time"), r8("momentum"), r8("reversal"), r8("volatility"), F.round("illiquidity", 12).alias("illiquidity"), r8("funding_zscore"), r8("oi_change"), r8("crowding"))
-
-
-PEERS = """peer AS (SELECT *, median(CASE WHEN ok THEN x END) OVER (PARTITION BY available_time) AS med, count(CASE WHEN ok THEN x END) OVER (PARTITION BY available_time) AS n FROM src),
- dev AS (SELECT *, median(CASE WHEN ok THEN abs(x - med) END) OVER (PARTITION BY available_time) AS mad FROM peer)"""
+    names = ("momentum", "reversal", "volatility", "volume_surprise", "funding_zscore", "oi_change", "crowding", "relative_funding_pressure")
+    return out.select("asset", ts("event_time"), *(r8(c) for c in names), F.round("illiquidity", 12).alias("illiquidity"), "relative_funding_pressure_exclusion_reason")
 
 
 @add("E10_relative_funding_pressure", with_("wide", more="""fw AS (SELECT 'u' || (user_id % 16) AS asset, ts AS available_time, (value - 35) / 1e5 AS funding_rate, event_id FROM events WHERE event_id % 8 = 0),
@@ -285,10 +306,41 @@ def e32(spark, d):
     return vector_backtest(frame, cost_bps=10.0).select("asset", ts("event_time"), "position", "turnover", r8("gross"), r8("net"))
 
 
-@add("D15_factor_evaluation", with_("b1", more="""f AS (SELECT asset, event_time, close / nullif(lag(close, 24) OVER w, 0) - 1 AS x, ln(lead(close, 1) OVER w / nullif(close, 0)) AS y FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
- k AS (SELECT *, rank() OVER (PARTITION BY asset ORDER BY x) + (count(*) OVER (PARTITION BY asset, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY asset ORDER BY y) + (count(*) OVER (PARTITION BY asset, y) - 1) / 2 AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL)""") + "SELECT asset, count(*) AS n, round(corr(x, y), 8) AS ic, round(corr(rx, ry), 8) AS rank_ic FROM k GROUP BY asset")
-def d15(spark, d):
-    from asofly.operators.evaluation import information_coefficients
+STATE = "CASE WHEN event_time < TIMESTAMP '2024-01-15' THEN 'train' WHEN event_time < TIMESTAMP '2024-01-23' THEN 'first' ELSE 'second' END"
+EVAL = f"""f AS (SELECT asset, event_time, {STATE} AS fold, CASE WHEN close > open THEN 'up' ELSE 'down' END AS regime, close / nullif(lag(close, 24) OVER w, 0) - 1 AS raw, ln(lead(close, 1) OVER w / nullif(close, 0)) AS y FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
+ lim AS (SELECT quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM f WHERE fold = 'train'), ff AS (SELECT f.*, CASE WHEN raw IS NOT NULL THEN least(greatest(raw, lo), hi) END AS x FROM f, lim WHERE fold <> 'train'),
+ tot AS (SELECT asset, fold, regime, count(*) AS total FROM ff GROUP BY ALL),
+ k AS (SELECT *, rank() OVER (PARTITION BY asset, fold, regime ORDER BY x) + (count(*) OVER (PARTITION BY asset, fold, regime, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY asset, fold, regime ORDER BY y) + (count(*) OVER (PARTITION BY asset, fold, regime, y) - 1) / 2 AS ry,
+  abs(x - lag(x) OVER (PARTITION BY asset, fold, regime ORDER BY event_time)) AS step FROM ff WHERE x IS NOT NULL AND y IS NOT NULL)"""
+
+
+def _evaluated(spark, d):
+    from asofly.operators.evaluation import evaluate_factor
 
     frame = t.bars(spark, d).withColumn("x", fx.momentum("close", 24)).withColumn("y", fx.forward_log_return("close", 1))
-    return information_coefficients(frame, "x", "y", ["asset"]).select("asset", "n", r8("ic"), r8("rank_ic"))
+    at = F.col("event_time")
+    frame = frame.withColumns({
+        "fold": F.when(at < F.lit("2024-01-15").cast("timestamp_ntz"), "train").when(at < F.lit("2024-01-23").cast("timestamp_ntz"), "first").otherwise("second"),
+        "regime": F.when(F.col("close") > F.col("open"), "up").otherwise("down"),
+    })
+    by = ["asset", "fold", "regime"]
+    return frame.filter("fold <> 'train'"), evaluate_factor(frame.filter("fold <> 'train'"), "x", "y", train=frame.filter("fold = 'train'"), by=by), by
+
+
+@add("D15_factor_evaluation", with_("b1", more=EVAL) + "SELECT k.asset, k.fold, k.regime, count(*) AS n, round(count(*) / any_value(total), 8) AS coverage, round(coalesce(avg(step), 0), 8) AS turnover, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN round(corr(x, y), 8) END AS ic, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN round(corr(rx, ry), 8) END AS rank_ic FROM k JOIN tot ON tot.asset = k.asset AND tot.fold = k.fold AND tot.regime = k.regime GROUP BY ALL HAVING count(*) >= 2")
+def d15(spark, d):
+    _, out, by = _evaluated(spark, d)
+    return out.select(*by, "n", r8("coverage"), r8("turnover"), r8("ic"), r8("rank_ic"))
+
+
+@add("D15b_factor_inference")
+def d15b(spark, d):
+    """p-values and block-bootstrap bounds of the same slices, where they hold enough rows."""
+    from asofly.operators import inference
+
+    frame, out, by = _evaluated(spark, d)
+    keyed = frame.withColumn("slice", F.concat_ws("|", *by))
+    bounds = inference.stationary_bootstrap(keyed, "x", "y", draws=200, by="slice")
+    p = out.withColumn("slice", F.concat_ws("|", *by)).withColumn("p", inference.spearman_p("rank_ic", "n"))
+    enough = lambda c: F.when(F.col("p").isNotNull(), F.round(c, 8)).alias(c)
+    return p.join(bounds, "slice", "left").select(*by, "n", r8("p"), enough("low"), enough("high"))

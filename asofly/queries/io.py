@@ -16,8 +16,12 @@ from asofly.streaming import bars as streams
 
 
 def scratch(spark, tag: str) -> str:
-    """A new folder under the shared one (our own only where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="asofly-")
+    """A new folder under the shared one; a folder of our own only where none is set and everything runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="asofly-")
     return f"{root}/io-{tag}-{uuid.uuid4().hex}"
 
 
@@ -33,18 +37,23 @@ def text(c: str):
     return F.col(c).cast("string")
 
 
-@add("A1_legacy_csv", with_("b1") + f"SELECT {BARQ}, {tsq('available_time')} FROM b1")
+INGESTED = "2024-01-25 12:00:00"
+
+
+@add("A1_legacy_csv", with_("b1") + f"SELECT {BARQ}, {tsq('available_time')}, '1 hour' AS interval, 'legacy_csv' AS source, '{INGESTED}' AS ingested_at, CASE WHEN available_time > TIMESTAMP '{INGESTED}' THEN 'INGESTED_BEFORE_AVAILABLE' END AS reason FROM b1")
 def a1(spark, d):
     path = scratch(spark, "legacy")
     t.bars(spark, d).select(iso().alias("event_time"), "open", "high", "low", "close", "volume", "asset").write.option("header", True).partitionBy("asset").csv(path)
-    return files.legacy_csv(spark, path, interval="1 hour").select(*bar_columns(), ts("available_time"))
+    return files.legacy_csv(spark, path, interval="1 hour", ingested_at=INGESTED).select(*bar_columns(), ts("available_time"), "interval", "source", ts("ingested_at"), "reason")
 
 
-@add("A2_screening_load", with_("b4") + f"SELECT {BARQ} FROM b4")
+@add("A2_screening_load", with_("b4") + f"SELECT asset, {tsq('event_time')}, {tsq('available_time')}, {rq('close')}, {rq('volume')}, CAST(NULL AS VARCHAR) AS reason, true AS identified FROM b4")
 def a2(spark, d):
     path = scratch(spark, "screening")
-    t.bars(spark, d, 4).select(millis().alias("event_time"), "open", "high", "low", "close", "volume", "asset").write.option("header", True).partitionBy("asset").csv(path)
-    return files.legacy_csv(spark, path, interval="4 hours").select(*bar_columns())
+    t.bars(spark, d, 4).select(millis().alias("open_time"), millis("available_time").alias("close_time"), "close", "volume", "asset").write.option("header", True).partitionBy("asset").csv(path)
+    once, again = (files.snapshot_id(spark, path, "4h") for _ in range(2))
+    same = once.join(again.withColumnRenamed("files", "_f"), "snapshot_id").select(F.col("snapshot_id").rlike(r"^legacy-ohlcv-4h-[0-9a-f]{64}$").alias("identified"))  # one row
+    return files.screening_csv(spark, path).crossJoin(F.broadcast(same)).select("asset", ts("event_time"), ts("available_time"), r8("close"), r8("volume"), "reason", "identified")
 
 
 @add("A3_tolerant_csv", with_("b1") + f"SELECT asset, {tsq('event_time')}, round(open, 8) AS open, round(close, 8) AS close, 0.0::DOUBLE AS volume FROM b1")
@@ -52,47 +61,70 @@ def a3(spark, d):
     path = scratch(spark, "tolerant")
     b = t.bars(spark, d)
     at = F.when(F.hour("event_time") % 3 == 0, iso()).when(F.hour("event_time") % 3 == 1, millis()).otherwise(F.unix_timestamp(F.col("event_time").cast("timestamp")).cast("string"))
-    b.unionByName(b).select(at.alias("Time"), F.col("open").alias("O"), F.col("high").alias("H"), F.col("low").alias("L"), F.col("close").alias("C"), "asset").write.option("header", True).csv(path)
+    later = b.withColumns({c: F.col(c) - 1 for c in ("open", "close")})  # the same times again, in files that come after
+    b.unionByName(later).select(at.alias("Time"), F.col("open").alias("Open_Price"), F.col("high").alias("H"), F.col("low").alias("L"), F.col("close").alias("C"), "asset").write.option("header", True).csv(path)
     return files.tolerant_csv(spark, path).select("asset", ts("event_time"), r8("open"), r8("close"), "volume")
 
 
-def _archives(frame, kind: str, line, by: str = "asset"):
-    """A ZIP per asset and day."""
+def _archives(frame, kind: str, line, header=None):
+    """A ZIP per asset and day; header: a column of its first line, none where it's null."""
     day = F.date_format("event_time", "yyyy-MM-dd")
-    rows = frame.select(F.concat(F.lit("/raw/"), by, F.lit(f"-{kind}-"), day, F.lit(".zip")).alias("path"), "event_time", F.concat_ws(",", *line).alias("line"))
-    lines = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("event_time", "line"))).alias("x"))  # one archive's lines
-    return archives.pack(lines.select("path", F.col("x.line").alias("lines")))
+    rows = frame.select(F.concat(F.lit("/raw/"), "asset", F.lit(f"-{kind}-"), day, F.lit(".zip")).alias("path"), "event_time", F.concat_ws(",", *line).alias("line"))
+    lines = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_time", "line"))), lambda x: x["line"]).alias("lines"))  # one archive's lines
+    if header is not None:
+        lines = lines.withColumn("lines", F.concat(F.array_compact(F.array(header)), "lines"))
+    return archives.pack(lines)
+
+
+NAMES = ",".join((*archives.OHLCV[:8], "count", "taker_buy_volume", "taker_buy_quote_volume", "ignore"))  # the newer ones
 
 
-def _bar_zips(spark, d):
-    line = [millis(), text("open"), text("high"), text("low"), text("close"), text("volume"), millis("available_time"), text("quote_volume"), text("trades"), text("taker_buy_base")]
-    return _archives(t.bars(spark, d), "1h", [F.coalesce(c, F.lit("")) for c in line])
+def _bar_zips(spark, d, hours: int = 1, kind: str = "1h", header=None):
+    line = [millis(), text("open"), text("high"), text("low"), text("close"), text("volume"), millis("available_time"), text("quote_volume"), text("trades"), text("taker_buy_base"), text("taker_buy_base"), F.lit("0")]
+    return _archives(t.bars(spark, d, hours), kind, [F.coalesce(c, F.lit("")) for c in line], header)
 
 
-@add("A4_ohlcv_archives", with_("b1") + f"SELECT {BARQ}, trades, {tsq('available_time')} FROM b1")
+ODD = "asset = 'view' AND extract('day' FROM event_time) = 3"
+
+
+@add("A4_ohlcv_archives", with_("b1") + f"SELECT {BARQ}, trades, {tsq('available_time')}, '{INGESTED}' AS ingested_at, 'binance_ohlcv_archive' AS source, {tsq('event_time', 'source_open_time')}, {tsq('available_time', 'source_close_time')}, {rq('quote_volume')}, {rq('taker_buy_base')}, {rq('taker_buy_base', 'taker_buy_quote')}, '1h' AS interval, CAST(NULL AS VARCHAR) AS error FROM b1 WHERE NOT ({ODD})"
+     " UNION ALL SELECT DISTINCT asset, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '" + INGESTED + "', 'binance_ohlcv_archive', NULL, NULL, NULL, NULL, NULL, '1h', 'SCHEMA_CHANGED: missing=[''taker_buy_quote''] unexpected=[''taker_quote'']' FROM b1 WHERE " + ODD)
 def a4(spark, d):
-    return archives.ohlcv(_bar_zips(spark, d)).select(*bar_columns(), "trades", ts("available_time"))
+    """A third of the archives have no header, the others newer names; one asset's third day of a month has an unknown one."""
+    odd = F.contains("path", F.lit("/view-")) & F.col("path").rlike(r"-03\.zip$")
+    header = F.when(odd, NAMES.replace("taker_buy_quote_volume", "taker_quote")).when(F.crc32("path") % 3 > 0, NAMES)
+    out = archives.ohlcv(_bar_zips(spark, d, header=header), ingested_at=INGESTED)
+    return out.select(*bar_columns(), "trades", ts("available_time"), ts("ingested_at"), "source", ts("source_open_time"), ts("source_close_time"), r8("quote_volume"), r8("taker_buy_base"), r8("taker_buy_quote"), "interval", "error")
 
 
-@add("A5_funding_archives", with_("funding") + f"SELECT asset, {tsq('event_time')}, round(funding_rate, 10) AS funding_rate, funding_interval_hours FROM funding")
+@add("A5_funding_archives", with_("funding") + f"SELECT asset, {tsq('event_time')}, {tsq('event_time', 'available_time')}, '{INGESTED}' AS ingested_at, 'binance_funding_archive' AS source, round(funding_rate, 10) AS funding_rate, funding_interval_hours, CAST(NULL AS VARCHAR) AS error FROM funding UNION ALL SELECT DISTINCT asset, NULL, NULL, '{INGESTED}', 'binance_funding_archive', NULL, NULL, 'ARCHIVE_EMPTY' FROM funding UNION ALL SELECT DISTINCT asset, NULL, NULL, '{INGESTED}', 'binance_funding_archive', NULL, NULL, 'ARCHIVE_UNREADABLE' FROM funding")
 def a5(spark, d):
-    z = _archives(t.funding(spark, d), "funding", [millis(), text("funding_interval_hours"), text("funding_rate")])
-    return archives.funding(z).select("asset", ts("event_time"), F.round("funding_rate", 10).alias("funding_rate"), "funding_interval_hours")
+    """Besides its good archives, each asset has one without rows and one that isn't an archive."""
+    z = _archives(t.funding(spark, d), "funding", [millis(), text("funding_interval_hours"), text("funding_rate")], F.lit(",".join(archives.FUNDING)))
+    bad = t.funding(spark, d).select("asset").distinct()
+    empty = archives.pack(bad.select(F.concat(F.lit("/raw/"), "asset", F.lit("-funding-empty.zip")).alias("path"), F.array(F.lit(",".join(archives.FUNDING))).alias("lines")))
+    broken = bad.select(F.concat(F.lit("/raw/"), "asset", F.lit("-funding-broken.zip")).alias("path"), F.lit(5).cast("long").alias("length"), F.lit("no zip").cast("binary").alias("content"))
+    out = archives.funding(z.unionByName(empty).unionByName(broken), ingested_at=INGESTED)
+    return out.select("asset", ts("event_time"), ts("available_time"), ts("ingested_at"), "source", F.round("funding_rate", 10).alias("funding_rate"), "funding_interval_hours", "error")
 
 
-@add("A6_metrics_archives", with_("oi") + f"SELECT asset AS symbol, {tsq('event_time')}, CASE WHEN open_interest >= 1001 THEN round(open_interest, 8) END AS open_interest, {tsq('available_time')} FROM (SELECT * REPLACE (date_trunc('second', event_time) AS event_time, date_trunc('second', available_time) AS available_time) FROM oi)")
+@add("A6_metrics_archives", with_("oi") + f"SELECT asset, {tsq('event_time')}, {tsq('available_time')}, '{INGESTED}' AS ingested_at, 'binance_metrics_archive' AS source, 'BINANCE_METRICS_DELAY_5M' AS availability_assumption, CASE WHEN open_interest >= 1001 THEN round(open_interest, 8) END AS sum_open_interest, round(sum_open_interest_value, 6) AS sum_open_interest_value, 1.5 AS top_trader_account_long_short_ratio, CAST(NULL AS DOUBLE) AS top_trader_position_long_short_ratio, 0.5 AS global_account_long_short_ratio, round(open_interest / 1000, 8) AS taker_long_short_volume_ratio, {tsq('event_time', 'source_timestamp')} FROM (SELECT * REPLACE (date_trunc('second', event_time) AS event_time, date_trunc('second', available_time) AS available_time) FROM oi)")
 def a6(spark, d):
     value = F.when(F.col("open_interest") >= 1001, text("open_interest")).otherwise(F.lit(" "))
-    z = _archives(t.open_interest(spark, d), "metrics", [iso(), F.col("asset"), value, text("sum_open_interest_value")])
-    return archives.metrics(z).select("symbol", ts("event_time"), r8("open_interest"), ts("available_time"))
+    z = _archives(t.open_interest(spark, d), "metrics", [iso(), F.col("asset"), value, text("sum_open_interest_value"), F.lit("1.5"), F.lit(""), F.lit("0.5"), (F.col("open_interest") / 1000).cast("string")], F.lit(",".join(archives.METRICS)))
+    out = archives.metrics(z, ingested_at=INGESTED).filter("error is null")
+    ratios = ("top_trader_account_long_short_ratio", "top_trader_position_long_short_ratio", "global_account_long_short_ratio")
+    return out.select("asset", ts("event_time"), ts("available_time"), ts("ingested_at"), "source", "availability_assumption", r8("sum_open_interest"), F.round("sum_open_interest_value", 6).alias("sum_open_interest_value"), *ratios, r8("taker_long_short_volume_ratio"), "source_timestamp")
 
 
-@add("A7_fear_greed", f"SELECT {tsq('date_trunc(' + chr(39) + 'second' + chr(39) + ', ts)', 'event_time')}, value, {tsq('date_trunc(' + chr(39) + 'second' + chr(39) + ', ts) + INTERVAL 24 HOUR', 'available_time')} FROM events WHERE event_id % 4 = 0")
+@add("A7_fear_greed", f"SELECT {tsq('date_trunc(' + chr(39) + 'second' + chr(39) + ', ts)', 'event_time')}, value, {tsq('date_trunc(' + chr(39) + 'second' + chr(39) + ', ts) + INTERVAL 24 HOUR', 'available_time')}, CAST(NULL AS VARCHAR) AS error FROM events UNION ALL SELECT NULL, NULL, NULL, CASE WHEN c_custkey % 2 = 0 THEN 'EXTERNAL_EMPTY' ELSE 'EXTERNAL_SCHEMA_CHANGED' END FROM customer")
 def a7(spark, d):
-    e = t.read(spark, d, "events").filter("event_id % 4 = 0")
+    """Payloads of a thousand observations at most; and an empty or a malformed one for each customer."""
+    e = t.read(spark, d, "events")
     one = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"), text("value").alias("value"), F.lit("Fear").alias("value_classification"))
-    p = e.groupBy((F.col("event_id") % 50).alias("k")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload"))
-    return files.fear_greed(p).select(ts("event_time"), "value", ts("available_time"))
+    p = e.groupBy(F.floor(F.col("event_id") / 1000).alias("k")).agg(F.to_json(F.struct(F.collect_list(one).alias("data"))).alias("payload")).select("payload")
+    bad = t.read(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, '{"data":[]}').otherwise('{"data":"none"}').alias("payload"))
+    return files.fear_greed(p.unionByName(bad)).select(ts("event_time"), "value", ts("available_time"), "error")
 
 
 @add("A8_stablecoin_supply", f"SELECT {tsq('o_orderdate', 'event_time')}, o_totalprice AS supply FROM orders")
@@ -101,30 +133,28 @@ def a8(spark, d):
     date = F.when(F.col("o_orderkey") % 2 == 0, F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     supply = F.when(F.col("o_orderkey") % 3 == 0, text("o_totalprice")).otherwise(F.to_json(F.struct(F.col("o_totalprice").alias("peggedUSD"))))
     row = F.concat(F.lit('{"date":"'), date, F.lit('","totalCirculating":'), supply, F.lit("}"))
-    p = o.groupBy((F.col("o_orderkey") % 50).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("payload"))
-    return files.stablecoin(p).select(ts("event_time"), "supply")
+    p = o.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("k")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("payload"))
+    return files.stablecoin(p).filter("error is null").select(ts("event_time"), "supply")
 
 
-@add("A9_fred_csv", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS value FROM orders WHERE o_orderkey % 5 <> 0")
+@add("A9_fred_csv", f"SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS value, '{INGESTED}' AS available_time FROM orders WHERE o_orderkey % 5 <> 0")
 def a9(spark, d):
     path = scratch(spark, "fred")
     v = F.when(F.col("o_orderkey") % 5 == 0, F.lit(".")).otherwise(text("o_totalprice"))
     t.read(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("observation_date"), v.alias("DGS10")).write.option("header", True).csv(path)
-    return files.fred(spark.read.option("header", True).csv(path), "DGS10").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "value")
+    return files.fred(spark.read.option("header", True).csv(path), "DGS10", observed_at=INGESTED).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "value", ts("available_time"))
 
 
-@add("A10_kline_json", with_("b1") + f"SELECT {BARQ} FROM b1 WHERE trades % 7 <> 0")
+@add("A10_kline_json", with_("b1") + f"SELECT {BARQ}, CASE WHEN event_time > TIMESTAMP '{INGESTED}' THEN 'FUTURE_TIMESTAMP' END AS reason FROM b1 WHERE trades % 7 <> 0")
 def a10(spark, d):
     row = F.when(F.col("trades") % 7 == 0, F.array(millis(), F.lit("broken"))).otherwise(F.array(millis(), *(text(c) for c in ("open", "high", "low", "close", "volume"))))
     p = t.bars(spark, d).groupBy("asset", F.to_date("event_time").alias("day")).agg(F.to_json(F.collect_list(row)).alias("payload"))
-    return files.klines(p).select(*bar_columns())
+    return files.klines(p, now=INGESTED).select(*bar_columns(), "reason")
 
 
-@add("A11_daily_returns", with_("b24") + "SELECT strftime(event_time, '%Y-%m-%d') AS day, " + ", ".join(f"round(max(CASE WHEN asset = '{a}' THEN close / open - 1 END), 8) AS {a}" for a in ("click", "error", "view")) + " FROM b24 GROUP BY 1")
+@add("A11_daily_returns", with_("b24") + "SELECT strftime(event_time, '%Y-%m-%d') AS day, " + ", ".join(f"round(max(CASE WHEN asset = '{a}' THEN close / nullif(open, 0) - 1 END), 8) AS {a}" for a in ("click", "error", "view")) + " FROM b24 GROUP BY 1")
 def a11(spark, d):
-    line = [millis(), text("open"), text("high"), text("low"), text("close"), text("volume"), millis("available_time"), text("quote_volume"), text("trades"), text("taker_buy_base")]
-    z = _archives(t.bars(spark, d, 24), "1d", [F.coalesce(c, F.lit("")) for c in line])
-    return archives.daily_returns(z, ["click", "error", "view"]).select("day", *(r8(c) for c in ("click", "error", "view")))
+    return archives.daily_returns(_bar_zips(spark, d, 24, "1d"), ["click", "error", "view"]).select("day", *(r8(c) for c in ("click", "error", "view")))
 
 
 @add("A12_parquet_lake", with_("funding") + f"SELECT asset, {tsq('event_time')}, round(funding_rate, 10) AS funding_rate FROM funding")
@@ -187,12 +217,16 @@ def a19(spark, d):
     return archives.integrity(z, m).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("A20_earliest_verified", with_("b1") + "SELECT asset, 'bars' AS dataset, strftime(min(event_time), '%Y-%m-%d') AS first_period FROM b1 GROUP BY asset")
+@add("A20_earliest_verified", with_("b1") + f"SELECT asset, 'bars' AS dataset, '1h' AS granularity, strftime(min(event_time), '%Y-%m-%d') AS first_period, {tsq('min(event_time)', 'first_event')} FROM b1 GROUP BY asset UNION ALL SELECT DISTINCT asset, 'bars', '4h', NULL, NULL FROM b1")
 def a20(spark, d):
+    """Hourly archives, of which the first periods are found, and four-hourly ones, which are asked for but not there."""
     z = _bar_zips(spark, d)
     ok = archives.integrity(z, z.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")))
-    p = ok.withColumn("asset", archives.asset_of(F.col("path"))).withColumn("dataset", F.lit("bars")).withColumn("period", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.zip$", 1))
-    return archives.earliest_verified(p).select("asset", "dataset", "first_period")
+    p = ok.withColumn("asset", archives.asset_of(F.col("path"))).withColumn("granularity", archives.interval_of(F.col("path"))).withColumn("dataset", F.lit("bars")).withColumn("period", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.zip$", 1))
+    first = archives.ohlcv(z).groupBy("path").agg(F.min("event_time").alias("first_event"))
+    found = archives.earliest_verified(p.join(first, "path")).select("asset", "dataset", "granularity", "first_period", ts("first_event"))
+    wanted = p.select("asset", "dataset", F.explode(F.array(F.lit("1h"), F.lit("4h"))).alias("granularity"))
+    return found.unionByName(archives.unverified(found, wanted), allowMissingColumns=True)
 
 
 @add("A21_fingerprint", with_("b1") + "SELECT asset, count(*) AS row_count, true AS stable FROM b1 GROUP BY asset")
@@ -210,13 +244,19 @@ def a22(spark, d):
     return files.exclusions(p)
 
 
-@add("A23_result_export", with_("b1") + f"SELECT asset, {tsq('event_time')}, round(close, 8) AS close FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS rn FROM b1) WHERE rn % 6 = 0")
+@add("A23_result_export", with_("b1", "trades") + f"""SELECT 'curve' AS part, asset AS name, {tsq('event_time', 'at')}, round(close, 8) AS value FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS rn FROM b1) WHERE rn % 6 = 0
+ UNION ALL SELECT 'trade', outcome, {tsq('exit_time', 'at')}, round(pnl, 8) FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY exit_time DESC, trade_id DESC, leg DESC) AS rn FROM trades) WHERE rn <= 50
+ UNION ALL SELECT 'metric', outcome, NULL, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 8) FROM trades GROUP BY outcome""")
 def a23(spark, d):
-    from asofly.operators.strategy import every_kth
+    """One JSON document set: every sixth bar, the last fifty trades and the win rate of each group."""
+    from asofly.operators import strategy
 
     path = scratch(spark, "export")
-    every_kth(t.bars(spark, d), 6).select("asset", iso().alias("event_time"), "close").write.json(path)
-    return spark.read.schema("asset string, event_time string, close double").json(path).select("asset", "event_time", r8("close"))
+    curve = strategy.every_kth(t.bars(spark, d), 6).select(F.lit("curve").alias("part"), F.col("asset").alias("name"), iso().alias("at"), F.col("close").alias("value"))
+    tail = strategy.last_rows(t.trades(spark, d), ["outcome"], ["exit_time", "trade_id", "leg"], 50).select(F.lit("trade").alias("part"), F.col("outcome").alias("name"), iso("exit_time").alias("at"), F.col("pnl").alias("value"))
+    metric = strategy.trade_metrics(t.trades(spark, d), ["outcome"]).select(F.lit("metric").alias("part"), F.col("outcome").alias("name"), F.lit(None).cast("string").alias("at"), F.col("win_rate").alias("value"))
+    curve.unionByName(tail).unionByName(metric).write.partitionBy("part").json(path)
+    return spark.read.schema("name string, at string, value double, part string").json(path).select("part", "name", "at", r8("value"))
 
 
 @add("K4_archive_table_function", with_("b1") + "SELECT count(*) AS lines, count(DISTINCT asset || strftime(event_time, '%Y-%m-%d')) AS archives, CAST(0 AS BIGINT) AS errors FROM b1")
@@ -224,14 +264,26 @@ def k4(spark, d):
     return archives.zip_lines(_bar_zips(spark, d)).agg(F.count("line").alias("lines"), F.countDistinct("path").alias("archives"), F.count("error").alias("errors"))
 
 
+FILES = 4  # of a slice of the stream, which is a micro-batch
+
+
+def _slices(spark, frame, path, at: str = "event_time"):
+    """Write a frame in slices of time, one after another, so the files' times keep their order."""
+    edges = [None, "2024-01-08", "2024-01-15", "2024-01-22", None]
+    for low, high in zip(edges, edges[1:]):
+        part = frame
+        if low:
+            part = part.filter(F.col(at) >= F.lit(low).cast(frame.schema[at].dataType))
+        if high:
+            part = part.filter(F.col(at) < F.lit(high).cast(frame.schema[at].dataType))
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
 def _stream(spark, d, tag):
-    """events as a stream of Parquet files in order of time, each file a micro-batch."""
-    path = scratch(spark, tag)
+    """events as a stream of Parquet files in order of time."""
     e = t.read(spark, d, "events").select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("tie"), "value")
-    edges = [f"2024-01-{i:02d}" for i in (1, 8, 15, 22)] + ["2100-01-01"]
-    for low, high in zip(edges, edges[1:]):  # written one after another, so the files' times keep their order
-        e.filter((F.col("event_time") >= F.lit(low).cast("timestamp")) & (F.col("event_time") < F.lit(high).cast("timestamp"))).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _slices(spark, e, scratch(spark, tag))
 
 
 def _drain(spark, frame, tag, mode="append"):
@@ -265,11 +317,18 @@ def j3(spark, d):
     return out.groupBy(F.coalesce("reason", F.lit("ACCEPTED")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("J4_exit_monitor", with_("b4", more="p AS (SELECT asset, 'p-' || asset AS position_id, TIMESTAMP '2024-01-05' AS opened, 1.0 AS stop, 200.0 AS target FROM (SELECT DISTINCT asset FROM b4))") + f"SELECT position_id, {tsq('event_time')}, CASE WHEN low <= stop THEN 'STOP' ELSE 'TARGET' END AS outcome FROM b4 JOIN p USING (asset) WHERE event_time > opened AND (low <= stop OR high >= target)")
+POS = """p AS (SELECT asset, CASE WHEN side = 1 THEN 'long-' ELSE 'short-' END || asset AS position_id, side, TIMESTAMP '2024-01-05' AS opened, 50.0 AS entry, CASE WHEN side = 1 THEN 0.5 ELSE 400.0 END AS stop, CASE WHEN side = 1 THEN 200.0 ELSE 0.8 END AS target, 90.0 AS notional, 5.0 AS stop_risk FROM (SELECT DISTINCT asset FROM b4), (VALUES (1), (-1)) v(side)),
+ x AS (SELECT p.*, b4.event_time, CASE WHEN (side = 1 AND low <= stop) OR (side = -1 AND high >= stop) THEN 'STOP' WHEN (side = 1 AND high >= target) OR (side = -1 AND low <= target) THEN 'TARGET' END AS outcome FROM b4 JOIN p ON p.asset = b4.asset WHERE event_time > opened)"""
+
+
+@add("J4_exit_monitor", with_("b4", more=POS) + f"SELECT position_id, {tsq('min(event_time)', 'event_time')}, arg_min(outcome, event_time) AS outcome, round(arg_min(CASE WHEN outcome = 'STOP' THEN stop ELSE target END, event_time), 8) AS price, round(arg_min(CASE WHEN outcome = 'STOP' THEN -stop_risk ELSE notional * side * (target - entry) / entry END, event_time), 8) AS pnl FROM x WHERE outcome IS NOT NULL GROUP BY position_id")
 def j4(spark, d):
-    path = scratch(spark, "exit-bars")
+    """A long and a short position in every asset, the bars coming in slices of time."""
     b = t.bars(spark, d, 4)
-    b.write.parquet(path)
-    p = b.select("asset").distinct().select("asset", F.concat(F.lit("p-"), "asset").alias("position_id"), F.lit("2024-01-05").cast("timestamp_ntz").alias("opened"), F.lit(1.0).alias("stop"), F.lit(200.0).alias("target"))
-    live = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    return _drain(spark, streams.exits(live, p), "exits").select("position_id", ts("event_time"), "outcome")
+    side = F.explode(F.array(F.lit(1), F.lit(-1)))
+    p = b.select("asset").distinct().withColumn("side", side).withColumns({
+        "position_id": F.concat(F.when(F.col("side") == 1, "long-").otherwise("short-"), "asset"), "opened": F.lit("2024-01-05").cast("timestamp_ntz"), "entry": F.lit(50.0),
+        "stop": F.when(F.col("side") == 1, 0.5).otherwise(400.0), "target": F.when(F.col("side") == 1, 200.0).otherwise(0.8), "notional": F.lit(90.0), "stop_risk": F.lit(5.0),
+    })
+    live = _slices(spark, b, scratch(spark, "exit-bars"))
+    return _drain(spark, streams.exits(live, p), "exits").select("position_id", ts("event_time"), "outcome", r8("price"), r8("pnl"))

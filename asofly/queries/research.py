@@ -18,17 +18,17 @@ WIN = "WINDOW w AS (PARTITION BY asset ORDER BY event_time)"
  UNION ALL SELECT asset, 'funding', 'month', CAST(x AS DATE) FROM a, (SELECT unnest(generate_series(TIMESTAMP '2023-11-01', TIMESTAMP '2024-02-10', INTERVAL 1 MONTH)) AS x))
 SELECT dataset || '|' || asset || '|' || granularity || '|' || CASE WHEN granularity = 'month' THEN strftime(period, '%Y-%m') ELSE strftime(period, '%Y-%m-%d') END AS identity FROM p""")
 def c9(spark, d):
-    assets = [r[0] for r in t.read(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(64).collect()]
-    return joins.source_plan(spark, assets, [("bars", "day"), ("funding", "month")], "2023-11-15", "2024-02-10").select("identity")
+    assets = t.read(spark, d, "events").select(F.col("event_type").alias("asset")).distinct()
+    return joins.source_plan(assets, [("bars", "day"), ("funding", "month")], "2023-11-15", "2024-02-10").select("identity")
 
 
 @add("C10_pre_listing_split", """WITH b AS (SELECT event_type AS asset, CAST(min(ts) AS DATE) AS first_period FROM events WHERE event_type <> 'click' GROUP BY 1), a AS (SELECT DISTINCT event_type AS asset FROM events), p AS (SELECT asset, CAST(x AS DATE) AS period FROM a, (SELECT unnest(generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS x))
 SELECT p.asset, CASE WHEN first_period IS NULL THEN 'BOUNDARY_MISSING' WHEN period < first_period THEN 'PRE_LISTING_EXCLUDED' ELSE 'KEEP' END AS status, count(*) AS n FROM p LEFT JOIN b USING (asset) GROUP BY ALL""")
 def c10(spark, d):
     e = t.read(spark, d, "events")
-    assets = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
+    assets = e.select(F.col("event_type").alias("asset")).distinct()
     bounds = e.filter("event_type <> 'click'").groupBy(F.col("event_type").alias("asset")).agg(F.to_date(F.min("ts")).alias("first_period"))
-    return joins.pre_listing(joins.source_plan(spark, assets, [("bars", "day")], "2023-12-20", "2024-01-10"), bounds).groupBy("asset", "status").agg(F.count(F.lit(1)).alias("n"))
+    return joins.pre_listing(joins.source_plan(assets, [("bars", "day")], "2023-12-20", "2024-01-10"), bounds).groupBy("asset", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("C11_grid_faults", with_("b1", more="""o AS (SELECT asset, event_time FROM b1 UNION ALL SELECT asset, event_time FROM b1 WHERE trades > 5 UNION ALL SELECT 'ghost', event_time FROM b1 WHERE asset = 'click' AND trades > 5),
@@ -43,14 +43,14 @@ def c11(spark, d):
 @add("C12_delay_columns", with_("b1", "oi", more=VIEWS + ", j AS (SELECT b.asset, b.delay, b.event_time, v.open_interest FROM (SELECT b1.*, delay FROM b1 CROSS JOIN (VALUES (5), (10), (15)) x(delay)) b ASOF LEFT JOIN views v ON b.delay = v.delay AND b.asset = v.asset AND b.available_time >= v.available_time)") + f"SELECT asset, {tsq('event_time')}, {', '.join(f'round(max(CASE WHEN delay = {k} THEN open_interest END), 8) AS oi_{k}m' for k in (5, 10, 15))} FROM j GROUP BY asset, event_time")
 def c12(spark, d):
     views = asof.delay_views(t.open_interest(spark, d), (5, 10, 15), "2024-01-20 00:00:00")
-    return joins.delay_columns(asof.asof_by_delay(t.bars(spark, d), views), [5, 10, 15]).select("asset", ts("event_time"), *(r8(f"oi_{k}m") for k in (5, 10, 15)))
+    return joins.delay_columns(asof.asof_by_delay(t.bars(spark, d), views, (5, 10, 15)), [5, 10, 15]).select("asset", ts("event_time"), *(r8(f"oi_{k}m") for k in (5, 10, 15)))
 
 
-SIG = "s AS (SELECT asset, event_time, 1 AS side, close * 0.9 AS stop, close * 1.1 AS target FROM b1 WHERE extract('hour' FROM event_time) % 6 = 0)"
+SIG = "s AS (SELECT asset, event_time, 1 AS side, close * 0.9 AS stop, close * 1.1 AS target FROM b1)"
 
 
 def _signals(b):
-    return b.filter("hour(event_time) % 6 = 0").select("asset", "event_time", F.lit(1).alias("side"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.1).alias("target"))
+    return b.select("asset", "event_time", F.lit(1).alias("side"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.1).alias("target"))
 
 
 @add("C13_first_touch", with_("b1", more=SIG + """, j AS (SELECT s.asset, s.event_time, b.event_time AS t, b.close, s.stop, s.target, CASE WHEN b.low <= s.stop THEN 'STOP' WHEN b.high >= s.target THEN 'TARGET' END AS o FROM s JOIN b1 b ON b.asset = s.asset AND b.event_time > s.event_time AND b.event_time <= s.event_time + INTERVAL 24 HOUR)""") + f"""SELECT asset, {tsq('event_time')}, coalesce(arg_min(o, t) FILTER (WHERE o IS NOT NULL), 'OPEN') AS outcome,
@@ -60,9 +60,9 @@ def c13(spark, d):
     return joins.first_touch(_signals(b), b, horizon_hours=24).select("asset", ts("event_time"), "outcome", r8("exit_price"), ts("exit_time"))
 
 
-@add("C14_funding_cashflow", with_("funding") + "SELECT p.event_id AS position_id, round(sum(-p.value * CASE WHEN p.event_id % 2 = 0 THEN 1 ELSE -1 END * f.funding_rate), 10) AS cashflow, count(*) AS events FROM events p JOIN funding f ON f.asset = p.event_type AND f.event_time >= p.ts AND f.event_time <= p.ts + INTERVAL 36 HOUR WHERE p.event_id % 50 = 1 GROUP BY 1")
+@add("C14_funding_cashflow", with_("funding") + "SELECT p.event_id AS position_id, round(sum(-p.value * CASE WHEN p.event_id % 2 = 0 THEN 1 ELSE -1 END * f.funding_rate), 10) AS cashflow, count(*) AS events FROM events p JOIN funding f ON f.asset = p.event_type AND f.event_time >= p.ts AND f.event_time <= p.ts + INTERVAL 36 HOUR GROUP BY 1")
 def c14(spark, d):
-    p = t.read(spark, d, "events").filter("event_id % 50 = 1").select(F.col("event_id").alias("position_id"), F.col("event_type").alias("asset"), F.col("ts").alias("entry"), F.expr("ts + interval 36 hours").alias("exit"), F.col("value").alias("notional"), F.expr("if(event_id % 2 = 0, 1, -1)").alias("sign"))
+    p = t.read(spark, d, "events").select(F.col("event_id").alias("position_id"), F.col("event_type").alias("asset"), F.col("ts").alias("entry"), F.expr("ts + interval 36 hours").alias("exit"), F.col("value").alias("notional"), F.expr("if(event_id % 2 = 0, 1, -1)").alias("sign"))
     return joins.funding_cashflow(p, t.funding(spark, d)).select("position_id", F.round("cashflow", 10).alias("cashflow"), "events")
 
 
@@ -85,9 +85,9 @@ def c17(spark, d):
     return joins.lineage_status(t.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("identity")).distinct(), cat.unionByName(cat.filter("identity % 5 = 0")), ["identity"])
 
 
-@add("C18_next_bar_fill", with_("b1", more="f AS (SELECT asset, event_time, lead(open) OVER w AS fill_price, lead(event_time) OVER w AS fill_time FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)), s AS (SELECT event_id AS signal_id, event_type AS asset, CASE WHEN event_id % 9 = 0 THEN date_trunc('hour', ts) + INTERVAL 1 MINUTE ELSE date_trunc('hour', ts) END AS event_time FROM events WHERE event_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY asset, event_time ORDER BY signal_id) AS rn FROM s)") + "SELECT signal_id, CASE WHEN rn > 1 THEN 'DUPLICATE_SIGNAL' WHEN f.asset IS NULL THEN 'TIMESTAMP_NOT_IN_BARS' WHEN f.fill_time IS NULL THEN 'NO_NEXT_BAR' END AS reason, CASE WHEN rn = 1 AND f.asset IS NOT NULL AND f.fill_time IS NOT NULL THEN round(f.fill_price, 8) END AS fill_price FROM r LEFT JOIN f ON f.asset = r.asset AND f.event_time = r.event_time")
+@add("C18_next_bar_fill", with_("b1", more="f AS (SELECT asset, event_time, lead(open) OVER w AS fill_price, lead(event_time) OVER w AS fill_time FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)), s AS (SELECT event_id AS signal_id, event_type AS asset, CASE WHEN event_id % 9 = 0 THEN date_trunc('hour', ts) + INTERVAL 1 MINUTE ELSE date_trunc('hour', ts) END AS event_time FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY asset, event_time ORDER BY signal_id) AS rn FROM s)") + "SELECT signal_id, CASE WHEN rn > 1 THEN 'DUPLICATE_SIGNAL' WHEN f.asset IS NULL THEN 'TIMESTAMP_NOT_IN_BARS' WHEN f.fill_time IS NULL THEN 'NO_NEXT_BAR' END AS reason, CASE WHEN rn = 1 AND f.asset IS NOT NULL AND f.fill_time IS NOT NULL THEN round(f.fill_price, 8) END AS fill_price FROM r LEFT JOIN f ON f.asset = r.asset AND f.event_time = r.event_time")
 def c18(spark, d):
-    s = t.read(spark, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("asset"), F.expr("if(event_id % 9 = 0, date_trunc('hour', ts) + interval 1 minute, date_trunc('hour', ts))").cast("timestamp_ntz").alias("event_time"))
+    s = t.read(spark, d, "events").select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("asset"), F.expr("if(event_id % 9 = 0, date_trunc('hour', ts) + interval 1 minute, date_trunc('hour', ts))").cast("timestamp_ntz").alias("event_time"))
     return joins.next_bar_fill(s, t.bars(spark, d)).select("signal_id", "reason", r8("fill_price"))
 
 
@@ -134,17 +134,22 @@ def e26(spark, d):
     return out.select("asset", ts("event_time"), indicators.trend("f", "s").alias("trend"))
 
 
-@add("E27_pin_bar", with_("b1", more=TR + f", a AS (SELECT *, {_ewm_sql('tr', 1 / 14)} AS atr, nullif(high - low, 0) AS span FROM tr)") + f"SELECT asset, {tsq('event_time')}, CASE WHEN abs(close - open) / span <= 0.35 AND span >= 0.5 * atr AND (least(open, close) - low) / span >= 0.6 THEN 1 WHEN abs(close - open) / span <= 0.35 AND span >= 0.5 * atr AND (high - greatest(open, close)) / span >= 0.6 THEN -1 ELSE 0 END AS pin FROM a")
+ATR = TR + f", a AS (SELECT *, {_ewm_sql('tr', 1 / 14)} AS atr FROM tr)"
+PIN = "CASE WHEN high > low AND abs(close - open) <= (high - low) * 0.35 AND least(open, close) - low >= atr * 0.6 AND least(open, close) - low > high - greatest(open, close) THEN 1 WHEN high > low AND abs(close - open) <= (high - low) * 0.35 AND high - greatest(open, close) >= atr * 0.6 AND high - greatest(open, close) > least(open, close) - low THEN -1 ELSE 0 END"
+ENGULF = "CASE WHEN close > open AND pc < po AND close > po AND open < pc THEN 1 WHEN close < open AND pc > po AND close < po AND open > pc THEN -1 ELSE 0 END"
+
+
+@add("E27_pin_bar", with_("b1", more=ATR) + f"SELECT asset, {tsq('event_time')}, {PIN} AS pin FROM a")
 def e27(spark, d):
     return indicators.atr(t.bars(spark, d)).select("asset", ts("event_time"), patterns.pin_bar("atr").alias("pin"))
 
 
-@add("E28_engulfing", with_("b1", more="x AS (SELECT *, lag(open) OVER w AS po, lag(close) OVER w AS pc FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time))") + f"SELECT asset, {tsq('event_time')}, CASE WHEN close > open AND pc < po AND close >= po AND open <= pc THEN 1 WHEN close < open AND pc > po AND close <= po AND open >= pc THEN -1 ELSE 0 END AS engulfing FROM x")
+@add("E28_engulfing", with_("b1", more="x AS (SELECT *, lag(open) OVER w AS po, lag(close) OVER w AS pc FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time))") + f"SELECT asset, {tsq('event_time')}, {ENGULF} AS engulfing FROM x")
 def e28(spark, d):
     return t.bars(spark, d).select("asset", ts("event_time"), patterns.engulfing().alias("engulfing"))
 
 
-@add("E29_inside_bar", with_("b1") + f"SELECT asset, {tsq('event_time')}, CASE WHEN high < lag(high) OVER w AND low > lag(low) OVER w THEN 1 ELSE 0 END AS inside FROM b1 {WIN}")
+@add("E29_inside_bar", with_("b1") + f"SELECT asset, {tsq('event_time')}, CASE WHEN high <= lag(high) OVER w AND low >= lag(low) OVER w THEN 1 ELSE 0 END AS inside FROM b1 {WIN}")
 def e29(spark, d):
     return t.bars(spark, d).select("asset", ts("event_time"), patterns.inside_bar().alias("inside"))
 
@@ -158,19 +163,32 @@ def e30(spark, d):
     return indicators.break_of_structure(t.bars(spark, d), 3).select("asset", ts("event_time"), "bos")
 
 
-@add("E31_confluence_signals")
+CONF = BOS + f""", bo AS (SELECT *, coalesce(greatest(least(b - lag(b) OVER w, 1), -1), 0) AS bos, lag(open) OVER w AS po, lag(close) OVER w AS pc, lead(open) OVER w AS entry, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM st {WIN}),
+ em AS (SELECT *, {_ewm_sql('close', 2 / 21)} AS f, {_ewm_sql('close', 2 / 51)} AS s, {_ewm_sql('close', 2 / 201)} AS m, {_ewm_sql('tr', 1 / 14)} AS atr FROM bo),
+ pt AS (SELECT *, {PIN} AS pin, {ENGULF} AS eng, CASE WHEN close > f AND f > s THEN 1 WHEN close < f AND f < s THEN -1 ELSE 0 END AS trend FROM em),
+ sg AS (SELECT *, CASE WHEN close > m AND trend = 1 AND atr / nullif(close, 0) BETWEEN 0.05 AND 5.0 AND (pin = 1 OR eng = 1 OR bos = 1) THEN 1 WHEN close < m AND trend = -1 AND atr / nullif(close, 0) BETWEEN 0.05 AND 5.0 AND (pin = -1 OR eng = -1 OR bos = -1) THEN -1 ELSE 0 END AS signal FROM pt)"""
+
+
+@add("E31_confluence_signals", with_("b1", more=CONF) + f"SELECT asset, {tsq('event_time')}, signal, round(entry, 8) AS entry, CASE WHEN signal <> 0 THEN round(entry - 1.5 * atr * signal, 6) END AS stop, CASE WHEN signal <> 0 THEN round(entry + 4.5 * atr * signal, 6) END AS target FROM sg")
 def e31(spark, d):
-    return indicators.confluence(t.bars(spark, d), atr_band=(0.05, 5.0)).select("asset", ts("event_time"), "signal", r8("entry"), r8("stop"), r8("target"))
+    """The band is a parameter; these bars range far more widely than a market's, so it's wider than the default."""
+    out = indicators.confluence(t.bars(spark, d), atr_band=(0.05, 5.0))
+    return out.select("asset", ts("event_time"), "signal", r8("entry"), F.round("stop", 6).alias("stop"), F.round("target", 6).alias("target"))
 
 
-@add("E33_last_momentum_signal", with_("b1", more="m AS (SELECT *, close / lag(close, 20) OVER (PARTITION BY asset ORDER BY event_time) - 1 AS m, row_number() OVER (PARTITION BY asset ORDER BY event_time DESC) AS rn FROM b1)") + f"SELECT asset, {tsq('event_time')}, round(m, 8) AS momentum, CAST(sign(m) AS INTEGER) AS direction FROM m WHERE rn = 1")
+@add("E33_last_momentum_signal", with_("b1", more="m AS (SELECT *, close / nullif(lag(close, 20) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1 AS m, nullif(CAST(sign(close - lag(close, 20) OVER (PARTITION BY asset ORDER BY event_time)) AS INTEGER), 0) AS side, row_number() OVER (PARTITION BY asset ORDER BY event_time DESC) AS rn FROM b1)") + f"SELECT asset, {tsq('event_time')}, round(m, 8) AS momentum, side AS direction, round(close * (1 - side * 0.05), 8) AS stop, round(close * (1 + side * 0.10), 8) AS target FROM m WHERE rn = 1")
 def e33(spark, d):
-    return indicators.last_momentum_signal(t.bars(spark, d), 20).select("asset", ts("event_time"), r8("momentum"), "direction")
+    return indicators.last_momentum_signal(t.bars(spark, d), 20).select("asset", ts("event_time"), r8("momentum"), "direction", r8("stop"), r8("target"))
+
+
+LEVELS = SW + """, lv AS (SELECT asset, kind, level, row_number() OVER (PARTITION BY asset, kind ORDER BY level) AS rn FROM (SELECT asset, CASE swing WHEN 1 THEN 'resistance' ELSE 'support' END AS kind, CASE swing WHEN 1 THEN high ELSE low END AS level, row_number() OVER (PARTITION BY asset, swing ORDER BY event_time DESC) AS back FROM sw WHERE swing <> 0) WHERE back <= 50),
+ gr AS (SELECT asset, kind, rn, 1 AS g, level AS total, 1 AS n FROM lv WHERE rn = 1 UNION ALL SELECT l.asset, l.kind, l.rn, CASE WHEN near THEN g ELSE g + 1 END, CASE WHEN near THEN total + l.level ELSE l.level END, CASE WHEN near THEN n + 1 ELSE 1 END
+  FROM (SELECT l.*, gr.g, gr.total, gr.n, coalesce(abs(l.level - gr.total / gr.n) / nullif(gr.total / gr.n, 0) < 0.008, false) AS near FROM gr JOIN lv l ON l.asset = gr.asset AND l.kind = gr.kind AND l.rn = gr.rn + 1) l)"""
 
 
-@add("I19_support_resistance")
+@add("I19_support_resistance", with_("b1", more=LEVELS).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT asset, kind, round(arg_max(total / n, rn), 6) AS mean, max(n) AS n FROM gr GROUP BY asset, kind, g")
 def i19(spark, d):
-    return indicators.support_resistance(t.bars(spark, d)).select("asset", r8("mean"), "n")
+    return indicators.support_resistance(t.bars(spark, d)).select("asset", "kind", F.round("mean", 6).alias("mean"), "n")
 
 
 @add("G1_concat", with_("b1", "b4") + f"SELECT asset, {tsq('event_time')}, round(close, 8) AS close, 1 AS hours FROM b1 UNION ALL SELECT asset, {tsq('event_time')}, round(close, 8), 4 FROM b4")

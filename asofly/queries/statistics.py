@@ -12,6 +12,7 @@ from asofly.operators import inference as inf
 from asofly.operators import strategy
 from asofly.operators.evaluation import information_coefficients
 from asofly.queries.base import add, r8, rq, ts, tsq, with_
+from asofly.queries.core import PEERS
 from asofly.sources import tables as t
 
 FXY = """f AS (SELECT asset, event_time, close / nullif(lag(close, 24) OVER w, 0) - 1 AS x, ln(lead(close, 1) OVER w / nullif(close, 0)) AS y FROM {0} WINDOW w AS (PARTITION BY asset ORDER BY event_time))"""
@@ -27,10 +28,10 @@ def _xy(frame):
     return frame.withColumn("x", fx.momentum("close", 24)).withColumn("y", fx.forward_log_return("close", 1))
 
 
-@add("D16_cross_section_ic", with_("wide", more="f AS (SELECT asset, event_time, close / nullif(lag(close, 6) OVER w, 0) - 1 AS x, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM wide WINDOW w AS (PARTITION BY asset ORDER BY event_time)), k AS (SELECT *, " + rank_sql("x", "event_time") + " AS rx, " + rank_sql("y", "event_time") + " AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT event_time, corr(rx, ry) AS ic FROM k GROUP BY event_time HAVING count(*) >= 3)") + "SELECT round(avg(ic), 8) AS mean_ic, round(stddev_samp(ic), 8) AS std_ic, count(*) AS n, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 6) AS t FROM i WHERE ic IS NOT NULL AND NOT isnan(ic)")
+@add("D16_cross_section_ic", with_("wide", more="f AS (SELECT asset, event_time, close / nullif(lag(close, 6) OVER w, 0) - 1 AS x, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM wide WINDOW w AS (PARTITION BY asset ORDER BY event_time)), k AS (SELECT *, " + rank_sql("x", "event_time") + " AS rx, " + rank_sql("y", "event_time") + " AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT event_time, corr(rx, ry) AS ic FROM k GROUP BY event_time HAVING count(*) >= 3)") + "SELECT round(m, 8) AS mean_ic, round(s, 8) AS std_ic, n, round(t, 6) AS t, round(1 - exp(-x * x) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(x, 1e-12)) - lgamma(k + 1.5)))), 6) AS p FROM (SELECT *, abs(t) / sqrt(2) AS x FROM (SELECT avg(ic) AS m, stddev_samp(ic) AS s, count(*) AS n, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t FROM i WHERE ic IS NOT NULL AND NOT isnan(ic)))")
 def d16(spark, d):
     frame = t.wide_bars(spark, d).withColumn("x", fx.momentum("close", 6)).withColumn("y", fx.forward_log_return("close", 1))
-    return inf.cross_section_ic(frame, "x", "y").select(r8("mean_ic"), r8("std_ic"), "n", F.round("t", 6).alias("t"))
+    return inf.cross_section_ic(frame, "x", "y").select(r8("mean_ic"), r8("std_ic"), "n", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
 
 @add("E36_factor_direction", with_("b1", more=FXY.format("b1")) + "SELECT CAST(sign(median(r)) AS INTEGER) AS direction, round(median(r), 8) AS median_corr FROM (SELECT asset, corr(x, y) AS r FROM f WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY asset)")
@@ -64,23 +65,44 @@ def h4(spark, d):
     return t.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r8(c, "one_way"), r8(2 * c, "round_trip"))
 
 
-@add("H5_confidence_steps", "SELECT event_id, CASE WHEN p >= 0.80 THEN 1.0 WHEN p >= 0.65 THEN 0.70 WHEN p >= 0.50 THEN 0.40 ELSE 0.0 END AS cap, CASE WHEN l = 'risk' THEN 0.0 WHEN p >= 0.80 AND l <> 'bull' THEN 0.70 WHEN p >= 0.80 THEN 1.0 WHEN p >= 0.65 THEN 0.70 WHEN p >= 0.50 THEN 0.40 ELSE 0.0 END AS multiplier FROM (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS p, CASE event_id % 3 WHEN 0 THEN 'bull' WHEN 1 THEN 'neutral' ELSE 'risk' END AS l FROM events)")
+@add("H5_confidence_steps", "SELECT event_id, CASE WHEN p >= 0.80 THEN 1.0 WHEN p >= 0.65 THEN 0.70 WHEN p >= 0.50 THEN 0.40 ELSE 0.0 END AS cap, CASE WHEN l IN ('risk_off', 'insufficient_evidence') THEN 0.0 WHEN p >= 0.80 AND l <> 'bull' THEN 0.70 WHEN p >= 0.80 THEN 1.0 WHEN p >= 0.65 THEN 0.70 WHEN p >= 0.50 THEN 0.40 ELSE 0.0 END AS multiplier FROM (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS p, CASE event_id % 4 WHEN 0 THEN 'bull' WHEN 1 THEN 'neutral' WHEN 2 THEN 'risk_off' ELSE 'insufficient_evidence' END AS l FROM events)")
 def h5(spark, d):
     p = F.col("event_id") % 100 / 100.0
-    label = F.expr("case event_id % 3 when 0 then 'bull' when 1 then 'neutral' else 'risk' end")
+    label = F.expr("case event_id % 4 when 0 then 'bull' when 1 then 'neutral' when 2 then 'risk_off' else 'insufficient_evidence' end")
     return t.read(spark, d, "events").select("event_id", sc.confidence_step(p).alias("cap"), sc.cycle_multiplier(label, p).alias("multiplier"))
 
 
-@add("H6_shared_cap", with_("b24", more="s AS (SELECT *, coalesce(floor(90.0 * greatest(volume, 0) / nullif(sum(greatest(volume, 0)) OVER (PARTITION BY event_time), 0) * 100000000) / 100000000, 0) AS sh, row_number() OVER (PARTITION BY event_time ORDER BY asset DESC) AS rn FROM b24)") + f"SELECT {tsq('event_time')}, asset, round(CASE WHEN rn = 1 THEN 90.0 - (sum(sh) OVER (PARTITION BY event_time) - sh) ELSE sh END, 6) AS allocation FROM s")
+CAP = """s AS (SELECT *, CASE extract('day' FROM event_time) % 4 WHEN 0 THEN 'risk_off' WHEN 1 THEN 'insufficient_evidence' WHEN 2 THEN 'neutral' ELSE 'bull' END AS label, (extract('day' FROM event_time) % 10) / 10.0 AS confidence, CASE WHEN trades % 3 = 0 THEN -volume ELSE volume END AS weight FROM b24),
+ c AS (SELECT *, CASE WHEN confidence >= 0.80 THEN 100.0 WHEN confidence >= 0.65 THEN 70.0 WHEN confidence >= 0.50 THEN 40.0 ELSE 0.0 END AS cap0, sum(CASE WHEN weight > 0 THEN weight END) OVER (PARTITION BY event_time) AS total FROM s),
+ r AS (SELECT *, CASE WHEN label IN ('risk_off', 'insufficient_evidence') THEN upper(label) || '_NO_NEW_EXPOSURE' WHEN cap0 <= 0 OR total IS NULL THEN 'CONFIDENCE_OR_SIGNAL_BELOW_THRESHOLD' ELSE 'CONFIDENCE_WEIGHTED_SHARED_CAP' END AS reason FROM c)"""
+
+
+@add("H6_shared_cap", with_("b24", more=CAP) + f"SELECT {tsq('event_time')}, asset, reason, CASE WHEN reason = 'CONFIDENCE_WEIGHTED_SHARED_CAP' THEN cap0 ELSE 0 END AS cap, round(coalesce(CASE WHEN reason = 'CONFIDENCE_WEIGHTED_SHARED_CAP' AND weight > 0 THEN cap0 * weight / total END, 0), 6) AS allocation FROM r")
 def h6(spark, d):
-    out = sc.split_cap(t.bars(spark, d, 24).withColumn("cap", F.lit(90.0)), "cap", "volume", ["event_time"], "asset")
-    return out.select(ts("event_time"), "asset", F.round("allocation", 6).alias("allocation"))
+    day = F.dayofmonth("event_time")
+    b = t.bars(spark, d, 24).withColumns({
+        "label": F.when(day % 4 == 0, "risk_off").when(day % 4 == 1, "insufficient_evidence").when(day % 4 == 2, "neutral").otherwise("bull"), "confidence": (day % 10) / 10.0,
+        "weight": F.when(F.col("trades") % 3 == 0, -F.col("volume")).otherwise(F.col("volume")),
+    })
+    out = sc.split_cap(b, "weight", ["event_time"], "asset", capital=100.0)
+    return out.select(ts("event_time"), "asset", "reason", "cap", F.round("allocation", 6).alias("allocation"))
+
 
+SIZE = """o AS (SELECT asset, event_time, round(close, 8) AS entry, round(low, 8) AS stop, CASE WHEN trades % 17 = 0 THEN 0.0 ELSE round(close, 8) END AS ref, CASE trades % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 4.0 WHEN 2 THEN 7.5 ELSE 10.0 END AS used, CASE trades % 4 WHEN 0 THEN 0 ELSE 1 END AS n_open, CASE WHEN trades % 5 = 0 THEN 90.0 WHEN trades % 4 = 0 THEN 0.0 ELSE 30.0 END AS gross FROM b1),
+ q AS (SELECT *, abs(entry - stop) AS distance, CASE WHEN n_open = 0 THEN 10.0 ELSE greatest(least(5.0, 10.0 - used), 0) END AS budget, 90.0 - gross AS room FROM o),
+ u AS (SELECT *, floor(least(budget * entry / nullif(distance, 0), room) / nullif(ref, 0) / 0.001 + 1e-9) * 0.001 AS qty FROM q),
+ z AS (SELECT *, qty * ref AS notional, CASE WHEN NOT distance > 0 THEN 'INVALID_STOP_DISTANCE' WHEN NOT ref > 0 THEN 'INVALID_REF_PRICE' WHEN budget <= 0 THEN 'RISK_BUDGET_EXHAUSTED' WHEN room <= 0 THEN 'GROSS_CAPACITY_EXHAUSTED' WHEN coalesce(qty < 0.002 OR qty * ref < 5, true) THEN 'MIN_NOTIONAL_OR_STEP_CONFLICT' END AS reason FROM u)"""
 
-@add("H7_order_size")
+
+@add("H7_order_size", with_("b1", more=SIZE) + f"SELECT asset, {tsq('event_time')}, reason, round(CASE WHEN reason IS NULL THEN qty END, 6) AS quantity, round(CASE WHEN reason IS NULL THEN notional END, 6) AS notional, round(CASE WHEN reason IS NULL THEN notional * distance / entry END, 6) AS stop_risk, round(CASE WHEN reason IS NULL THEN room - notional END, 6) AS gross_remaining FROM z")
 def h7(spark, d):
-    frame = t.bars(spark, d).select("asset", "event_time", F.col("close").alias("entry"), F.col("low").alias("stop"))
-    return sc.order_size(frame, equity=100.0, risk_share=0.05, gross=90.0, step=0.001, least_notional=5.0).select("asset", ts("event_time"), "quantity", "reason")
+    """Orders at every bar's close, with none or one position open, some of it without risk or room left."""
+    four = F.col("trades") % 4
+    risks = F.when(four == 0, F.expr("cast(array() as array<double>)")).when(four == 1, F.array(F.lit(4.0))).when(four == 2, F.array(F.lit(7.5))).otherwise(F.array(F.lit(10.0)))
+    gross = F.when(F.col("trades") % 5 == 0, F.array(F.lit(90.0))).when(four == 0, F.expr("cast(array() as array<double>)")).otherwise(F.array(F.lit(30.0)))
+    b = t.bars(spark, d).select("asset", "event_time", F.col("close").alias("entry"), F.col("low").alias("stop"), F.when(F.col("trades") % 17 == 0, 0.0).otherwise(F.col("close")).alias("ref_price"), risks.alias("open_risks"), gross.alias("open_notionals"))
+    out = sc.order_size(b, step=0.001, least_quantity=0.002, least_notional=5.0)
+    return out.select("asset", ts("event_time"), "reason", *(F.round(c, 6).alias(c) for c in ("quantity", "notional", "stop_risk", "gross_remaining")))
 
 
 @add("H8_sigmoid", "SELECT event_id, round(1 / (1 + exp(-least(greatest(value / 10 - 4, -20), 20))), 8) AS s, round(least(greatest(value / 50, 0), 1), 8) AS c FROM events")
@@ -128,9 +150,26 @@ def h14(spark, d):
     return t.read(spark, d, "events").select("event_id", sc.finite(v).alias("value"))
 
 
-@add("H15_proposal_audit", with_("props") + "SELECT factor_id, CASE WHEN trim(formula) = '' THEN 'MISSING_FIELD' WHEN regexp_matches(formula, '(?i)\\b(sharpe|pnl|profit|win.?rate|return|alpha|drawdown)\\b') THEN 'METRIC_TOKEN' WHEN contains(lower(formula), 'password') OR contains(lower(formula), 'all rights reserved') THEN 'FORBIDDEN_OVERLAP' WHEN length(formula) > 20000 THEN 'TOO_LONG' ELSE 'PASS' END AS verdict FROM props")
+AUDIT = """p AS (SELECT *, CASE WHEN factor_id % 11 = 0 THEN '' ELSE 'close' END AS c1, CASE WHEN factor_id % 13 = 0 THEN '' ELSE 'available_time' END AS c2, CASE WHEN factor_id % 7 = 0 THEN 'open_time' ELSE 'bar_close' END AS signal_time, CASE WHEN factor_id % 5 = 0 THEN 'bar_open' ELSE 'bar_close' END AS decision_time,
+  CASE WHEN factor_id % 17 = 0 THEN 'close' ELSE 'next_continuous_bar_open' END AS entry_price, CASE WHEN factor_id % 19 = 0 THEN ' ' ELSE 'one bar' END AS holding_rule, CASE WHEN factor_id % 23 = 0 THEN '' WHEN factor_id % 29 = 0 THEN 'next_day' ELSE 'close_time' END AS adef FROM props),
+ x AS (SELECT *, lower(concat_ws(' ' || chr(10) || ' ', formula, research_family, factor_id::VARCHAR, concat_ws(' ' || chr(10) || ' ', nullif(c1, ''), nullif(c2, '')), signal_time, decision_time, entry_price, holding_rule, 'stop or time', 'preserve')) AS said, regexp_replace(lower(coalesce(formula, '')), '\\s+', '', 'g') AS ff FROM p),
+ r AS (SELECT factor_id, [CASE WHEN c1 = '' AND c2 = '' THEN 'MISSING_REQUIRED_COLUMNS' END, CASE WHEN trim(holding_rule) = '' THEN 'MISSING_HOLDING_RULE' END, CASE WHEN c2 = '' THEN 'MISSING_AVAILABLE_TIME_COLUMN' END,
+  CASE WHEN adef = '' THEN 'MISSING_AVAILABLE_TIME_DEFINITION' WHEN adef = 'next_day' THEN 'UNKNOWN_AVAILABLE_TIME_ORDER' WHEN decision_time = 'bar_open' THEN 'AVAILABLE_TIME_AFTER_DECISION_TIME' END, CASE WHEN entry_price <> 'next_continuous_bar_open' THEN 'INVALID_NEXT_CONTINUOUS_BAR_OPEN' END, CASE WHEN signal_time = 'open_time' THEN 'SIGNAL_NOT_CLOSED_BAR' END,
+  CASE WHEN regexp_matches(said, '(?:^|[^a-z0-9])(?:alpha|auc|drawdown|hit[\\s_]*rate|ic|pnl|precision|recall|return|returns|sharpe|win[\\s_]*rate)(?:$|[^a-z0-9])') THEN 'EMPIRICAL_METRIC_PRESENT' END, CASE WHEN contains(ff, 'password') OR (research_family = 'src1' AND contains(ff, 'the')) THEN 'FORBIDDEN_FACTOR_OVERLAP' END] AS codes FROM x),
+ z AS (SELECT factor_id, list_filter(codes, lambda c: c IS NOT NULL) AS codes FROM r)"""
+
+
+@add("H15_proposal_audit", with_("props", more=AUDIT) + "SELECT factor_id, array_to_string(codes, ',') AS reasons, CASE WHEN len(codes) = 0 THEN 'PASS' WHEN list_has_any(codes, ['AVAILABLE_TIME_AFTER_DECISION_TIME', 'MISSING_AVAILABLE_TIME_DEFINITION', 'UNKNOWN_AVAILABLE_TIME_ORDER', 'SIGNAL_NOT_CLOSED_BAR']) THEN 'BLOCKED' WHEN list_has_any(codes, ['MISSING_REQUIRED_COLUMNS', 'MISSING_HOLDING_RULE', 'MISSING_AVAILABLE_TIME_COLUMN', 'EMPIRICAL_METRIC_PRESENT']) THEN 'REJECTED' WHEN list_contains(codes, 'FORBIDDEN_FACTOR_OVERLAP') THEN 'DEFERRED' ELSE 'REJECTED' END AS verdict FROM z")
 def h15(spark, d):
-    return sc.audit(t.proposals(spark, d), ["password", "all rights reserved"]).select("factor_id", "verdict")
+    """Documents as proposals, with faults of every kind by their numbers."""
+    n = F.col("factor_id")
+    p = t.proposals(spark, d).withColumns({
+        "required_columns": F.array(F.when(n % 11 == 0, "").otherwise("close"), F.when(n % 13 == 0, "").otherwise("available_time")), "signal_time": F.when(n % 7 == 0, "open_time").otherwise("bar_close"), "decision_time": F.when(n % 5 == 0, "bar_open").otherwise("bar_close"),
+        "entry_price": F.when(n % 17 == 0, "close").otherwise("next_continuous_bar_open"), "holding_rule": F.when(n % 19 == 0, " ").otherwise("one bar"), "exit_rule": F.lit("stop or time"), "missing_policy": F.lit("preserve"),
+        "available_time_definition": F.when(n % 23 == 0, "").when(n % 29 == 0, "next_day").otherwise("close_time"),
+    }).withColumn("factor_id", n.cast("string"))
+    forbidden = spark.createDataFrame([("old_factor", "src1", ["the"], []), ("other", "none", [], ["password"])], "factor_id string, research_family string, channels array<string>, wrappers array<string>")
+    return sc.audit(p, forbidden).select(F.col("factor_id").cast("long").alias("factor_id"), F.array_join("reasons", ",").alias("reasons"), "verdict")
 
 
 @add("H16_slot_alignment", f"SELECT event_id, extract('hour' FROM ts) % 4 = 0 AND extract('minute' FROM ts) = 0 AS aligned, {tsq(chr(100) + 'ate_trunc(' + chr(39) + 'day' + chr(39) + ', ts) + INTERVAL 1 DAY', 'next_midnight')}, CAST(floor(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) AS BIGINT) AS age FROM events")
@@ -147,7 +186,7 @@ def h17(spark, d):
 SCEN = "scen(scenario, fee_bps, slip_bps, delay) AS (VALUES ('base', 4.0, 5.0, 0), ('fee_x2', 8.0, 5.0, 0), ('slip_x2', 4.0, 10.0, 0), ('stress', 8.0, 10.0, 0), ('delay_1', 4.0, 5.0, 1), ('delay_2', 4.0, 5.0, 2), ('free', 0.0, 0.0, 0), ('stress_delay', 8.0, 10.0, 1))"
 
 
-@add("H18_cost_scenarios", with_("b1", more=SCEN + ", s AS (SELECT *, CASE WHEN close > open THEN 1.0 ELSE -1.0 END AS signal, close / lag(close) OVER (PARTITION BY asset ORDER BY event_time) - 1 AS ret FROM b1), p AS (SELECT *, coalesce(lag(signal) OVER (PARTITION BY asset ORDER BY event_time), 0) AS position FROM s), q AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY asset ORDER BY event_time), 0)) AS turnover FROM p)") + "SELECT scenario, asset, round(avg(position * coalesce(ret, 0) - turnover * (fee_bps + slip_bps) / 10000), 8) AS mean_net, round(sum(turnover), 4) AS turnover FROM q, scen GROUP BY ALL")
+@add("H18_cost_scenarios", with_("b1", more=SCEN + ", s AS (SELECT *, CASE WHEN close > open THEN 1.0 ELSE -1.0 END AS signal, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1 AS ret FROM b1), p AS (SELECT *, coalesce(lag(signal) OVER (PARTITION BY asset ORDER BY event_time), 0) AS position FROM s), q AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY asset ORDER BY event_time), 0)) AS turnover FROM p)") + "SELECT scenario, asset, round(avg(position * coalesce(ret, 0) - turnover * (fee_bps + slip_bps) / 10000), 8) AS mean_net, round(sum(turnover), 4) AS turnover FROM q, scen GROUP BY ALL")
 def h18(spark, d):
     frame = t.bars(spark, d).withColumn("signal", F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0)).withColumn("ret", fx.change("close", 1))
     out = strategy.vector_backtest(frame, cost_bps=0.0).crossJoin(F.broadcast(sc.scenarios(spark)))  # eight fixed rows
@@ -205,11 +244,22 @@ def i5b(spark, d):
     return spark.createDataFrame(sorted(found.items()), "factor string, cluster int")
 
 
-@add("I6_incremental_value")
+RIDGE = """c AS (SELECT asset, event_time, close / nullif(lag(close, 6) OVER w, 0) - 1 AS m6, close / nullif(lag(close, 24) OVER w, 0) - 1 AS m24, CASE WHEN count(volume) OVER v = 24 THEN (volume - avg(volume) OVER v) / nullif(stddev_samp(volume) OVER v, 0) END AS v24, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time), v AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+ k AS (SELECT *, event_time < TIMESTAMP '2024-01-20' AS early FROM c WHERE m6 IS NOT NULL AND m24 IS NOT NULL AND v24 IS NOT NULL AND y IS NOT NULL),
+ g AS (SELECT count(*) AS n_train, sum(m24 * m24) + 1 AS aa, sum(m24 * v24) AS ab, sum(v24 * v24) + 1 AS bb, sum(m24 * m6) AS ac, sum(v24 * m6) AS bc, sum(m6 * m6) + 1 AS cc, sum(m24 * y) AS ay, sum(v24 * y) AS by_, sum(m6 * y) AS cy FROM k WHERE early),
+ s AS (SELECT n_train, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p1, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS p2, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det,
+  ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy) AS d1, aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac) AS d2, aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac) AS d3 FROM g),
+ f AS (SELECT k.*, n_train, p1 * m24 + p2 * v24 AS base, (d1 * m24 + d2 * v24 + d3 * m6) / det AS ext FROM k, s WHERE NOT early),
+ h AS (SELECT *, abs(sign(base) - lag(sign(base)) OVER w) AS tb, abs(sign(ext) - lag(sign(ext)) OVER w) AS te FROM f WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
+ o AS (SELECT any_value(n_train) AS n_train, count(*) AS n_valid, corr(m6, y) AS standalone, corr(base, y) AS ib, corr(ext, y) AS ie, avg(sign(base) * y) - coalesce(avg(tb), 0) * 5 / 10000 AS rb, avg(sign(ext) * y) - coalesce(avg(te), 0) * 5 / 10000 AS re FROM h)"""
+
+
+@add("I6_incremental_value", with_("b1", more=RIDGE) + "SELECT n_train, n_valid, round(standalone, 6) AS standalone, round(ib, 6) AS ic_baseline, round(ie, 6) AS ic_extended, round(rb, 8) AS return_baseline, round(re, 8) AS return_extended, ie - ib > 0.001 AND re > rb AS incremental FROM o")
 def i6(spark, d):
     c = _columns(spark, d)
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
-    return inf.increment(c.filter(F.col("event_time") < cut), c.filter(F.col("event_time") >= cut), ["m24", "v24"], "m6", "y", cost_bps=5.0)
+    out = inf.increment(c.filter(F.col("event_time") < cut), c.filter(F.col("event_time") >= cut), ["m24", "v24"], "m6", "y", cost_bps=5.0)
+    return out.select("n_train", "n_valid", *(F.round(x, 6).alias(x) for x in ("standalone", "ic_baseline", "ic_extended")), r8("return_baseline"), r8("return_extended"), "incremental")
 
 
 @add("I7_walk_forward_folds", with_("b1", more="p AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS n FROM b1), k AS (SELECT DISTINCT asset, unnest(generate_series(0, CAST(floor((n - 200) / 60) AS BIGINT) - 1)) AS fold FROM p)") + "SELECT k.asset, k.fold, count(*) FILTER (WHERE pos >= 200 + 60 * fold AND pos < 260 + 60 * fold) AS test_rows, count(*) FILTER (WHERE pos + 1 + 4 + 6 <= 200 + 60 * fold) AS train_rows FROM k JOIN p ON p.asset = k.asset GROUP BY ALL")
@@ -218,86 +268,180 @@ def i7(spark, d):
     return f.groupBy("asset", "fold").agg(F.count_if(F.col("role") == "test").alias("test_rows"), F.count_if(F.col("role") == "train").alias("train_rows"))
 
 
-HW = "wt AS (SELECT event_time, asset, CASE WHEN close > open THEN 0.2 ELSE -0.2 END AS weight, lead(open) OVER (PARTITION BY asset ORDER BY event_time) / open - 1 AS ret FROM b4), j AS (SELECT *, abs(weight - coalesce(lag(weight * (1 + coalesce(ret, 0))) OVER (PARTITION BY asset ORDER BY event_time), 0)) AS tu FROM wt)"
+@add("I7b_simple_folds", with_("b1", more="p AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS pos, greatest(count(*) OVER (PARTITION BY asset) // 5, 1) AS block FROM b1), k AS (SELECT DISTINCT asset, unnest([0, 1, 2, 3]) AS fold FROM p)") + "SELECT k.asset, k.fold, count(*) FILTER (WHERE pos >= block * (1 + fold) AND pos < block * (2 + fold)) AS test_rows, count(*) FILTER (WHERE pos + 1 + 2 <= block * (1 + fold)) AS train_rows FROM k JOIN p ON p.asset = k.asset GROUP BY ALL")
+def i7b(spark, d):
+    f = inf.simple_folds(t.bars(spark, d), folds=4, purge=2)
+    return f.groupBy("asset", "fold").agg(F.count_if(F.col("role") == "test").alias("test_rows"), F.count_if(F.col("role") == "train").alias("train_rows"))
 
 
-@add("I9_held_weights", with_("b4", more=HW) + f"SELECT {tsq('event_time')}, round(sum(weight * coalesce(ret, 0)), 8) AS gross, round(sum(tu), 8) AS turnover, count(*) FILTER (WHERE weight <> 0 AND ret IS NULL) AS bad_bars, round(sum(weight * coalesce(ret, 0)) - sum(tu) * 5 / 10000, 8) AS net FROM j GROUP BY event_time")
-def i9(spark, d):
+HW = """wt AS (SELECT event_time, asset, CASE WHEN close > open THEN 0.2 ELSE -0.2 END AS weight, lead(open) OVER (PARTITION BY asset ORDER BY event_time) / nullif(open, 0) - 1 AS ret FROM b4),
+ bk AS (SELECT event_time, sum(weight * coalesce(ret, 0)) AS gross, count(*) FILTER (WHERE weight <> 0 AND ret IS NULL) AS bad_bars, count(*) FILTER (WHERE weight <> 0) AS active FROM wt GROUP BY event_time),
+ bs AS (SELECT *, CASE WHEN bad_bars > 0 THEN 'EXECUTION_BAR_INVALID' WHEN 1 + gross <= 0 THEN 'NONPOSITIVE_DENOMINATOR' ELSE 'OK' END AS status FROM bk),
+ bn AS (SELECT *, lead(event_time) OVER (ORDER BY event_time) AS nx, lag(status) OVER (ORDER BY event_time) AS was, lag(active) OVER (ORDER BY event_time) AS had FROM bs),
+ mv AS (SELECT event_time, asset, weight AS w FROM wt UNION ALL SELECT bn.nx, wt.asset, -wt.weight * (1 + coalesce(wt.ret, 0)) / (1 + bn.gross) FROM wt JOIN bn ON bn.event_time = wt.event_time WHERE bn.status = 'OK' AND bn.nx IS NOT NULL),
+ tu AS (SELECT event_time, sum(t) AS turnover FROM (SELECT event_time, asset, abs(sum(w)) AS t FROM mv GROUP BY ALL) GROUP BY event_time),
+ hw AS (SELECT bn.event_time, status, active, bad_bars, coalesce(was = 'OK' AND had > 0, false) AS drifted, CASE WHEN status = 'OK' THEN gross END AS gross, CASE WHEN coalesce(was, 'OK') = 'OK' THEN turnover END AS turnover FROM bn JOIN tu ON tu.event_time = bn.event_time)"""
+
+
+def _book(spark, d):
     b = t.bars(spark, d, 4)
     w = b.select("event_time", "asset", F.when(F.col("close") > F.col("open"), 0.2).otherwise(-0.2).alias("weight"))
-    r = b.select("event_time", "asset", (F.lead("open", 1).over(fx.W()) / F.col("open") - 1).alias("ret"))
-    return inf.held_weights(w, r, fee_bps=5.0).select(ts("event_time"), r8("gross"), r8("turnover"), "bad_bars", r8("net"))
+    r = b.select("event_time", "asset", (F.try_divide(F.lead("open", 1).over(fx.W()), F.col("open")) - 1).alias("ret"))
+    return inf.held_weights(w, r, fee_bps=5.0)
+
+
+@add("I9_held_weights", with_("b4", more=HW) + f"SELECT {tsq('event_time')}, status, round(gross, 8) AS gross, round(turnover, 8) AS turnover, bad_bars, round(gross - turnover * 5 / 10000, 8) AS net FROM hw")
+def i9(spark, d):
+    return _book(spark, d).select(ts("event_time"), "status", r8("gross"), r8("turnover"), "bad_bars", r8("net"))
 
 
-@add("D33_orderflow_summary", with_("b4", more=HW + ", g AS (SELECT event_time, sum(tu) AS tu, count(*) FILTER (WHERE weight <> 0) AS active FROM j GROUP BY event_time)") + "SELECT count(*) AS total_bars, count(*) FILTER (WHERE active = 0) AS flat_bars, count(*) FILTER (WHERE active > 0) AS active_bars, round(sum(tu), 6) AS turnover, round(sum(tu) * 5 / 10000, 8) AS fee FROM g")
+@add("D33_orderflow_summary", with_("b4", more=HW) + "SELECT count(*) AS total_bars, count(*) FILTER (WHERE active = 0) AS flat_bars, count(*) FILTER (WHERE active > 0 AND status = 'OK') AS active_bars, count(*) FILTER (WHERE drifted) AS drifted_bars, count(*) FILTER (WHERE status <> 'OK') AS refused_bars, round(sum(turnover), 6) AS turnover, round(sum(turnover) * 5 / 10000, 8) AS fee FROM hw")
 def d33(spark, d):
-    b = t.bars(spark, d, 4)
-    w = b.select("event_time", "asset", F.when(F.col("close") > F.col("open"), 0.2).otherwise(-0.2).alias("weight"))
-    r = b.select("event_time", "asset", (F.lead("open", 1).over(fx.W()) / F.col("open") - 1).alias("ret"))
-    h = inf.held_weights(w, r, fee_bps=5.0)
-    return h.agg(F.count(F.lit(1)).alias("total_bars"), F.count_if(F.col("active") == 0).alias("flat_bars"), F.count_if(F.col("active") > 0).alias("active_bars"), F.round(F.sum("turnover"), 6).alias("turnover"), r8(F.sum("fee"), "fee"))
+    out = inf.book_summary(_book(spark, d))
+    return out.select("total_bars", "flat_bars", "active_bars", "drifted_bars", "refused_bars", F.round("turnover", 6).alias("turnover"), r8("fee"))
 
 
-@add("I10_cycle_comparison", with_("b24", more="""r AS (SELECT event_time, asset, close / open - 1 AS ret, volume FROM b24), e AS (SELECT event_time, avg(ret) AS eq, sum(ret * volume) / sum(volume) AS wt FROM r GROUP BY event_time)""") + f"SELECT {tsq('event_time')}, round(100 * exp(sum(CASE WHEN eq > -1 THEN ln(1 + eq) END) OVER (ORDER BY event_time)), 6) AS equal_weight, round(100 * exp(sum(CASE WHEN 0.4 * wt > -1 THEN ln(1 + 0.4 * wt) END) OVER (ORDER BY event_time)), 6) AS weighted FROM e")
+@add("I10_cycle_comparison", with_("b24", more="""r AS (SELECT event_time, asset, close / nullif(open, 0) - 1 AS ret, volume FROM b24), e AS (SELECT event_time, avg(ret) AS eq, sum(ret * volume) / sum(volume) AS wt FROM r GROUP BY event_time)""") + f"SELECT {tsq('event_time')}, round(100 * exp(sum(CASE WHEN eq > -1 THEN ln(1 + eq) END) OVER (ORDER BY event_time)), 6) AS equal_weight, round(100 * exp(sum(CASE WHEN 0.4 * wt > -1 THEN ln(1 + 0.4 * wt) END) OVER (ORDER BY event_time)), 6) AS weighted FROM e")
 def i10(spark, d):
-    r = t.bars(spark, d, 24).withColumn("ret", F.col("close") / F.col("open") - 1)
+    r = t.bars(spark, d, 24).withColumn("ret", F.try_divide(F.col("close"), F.col("open")) - 1)
     return strategy.compare_allocations(r, cap=0.4).select(ts("event_time"), F.round("equal_weight", 6).alias("equal_weight"), F.round("weighted", 6).alias("weighted"))
 
 
-GATE = with_("b1", more=FXY.format("b1") + ", s AS (SELECT asset, CAST(floor(extract('day' FROM event_time) / 6) AS BIGINT) AS fold, x, y FROM f WHERE x IS NOT NULL AND y IS NOT NULL), k AS (SELECT *, " + rank_sql("x", "asset, fold") + " AS rx, " + rank_sql("y", "asset, fold") + " AS ry FROM s), sl AS (SELECT 'momentum' AS factor_id, asset, fold, count(*) AS n, corr(rx, ry) AS rank_ic, corr(rx, ry) < -0.05 AS reject FROM k GROUP BY ALL), o AS (SELECT factor_id, asset, count(*) FILTER (WHERE reject) AS s, count(*) FILTER (WHERE rank_ic > 0) AS up, count(*) AS n FROM sl GROUP BY ALL), g AS (SELECT factor_id, sum(s) AS survivors, greatest(sum(up), sum(n) - sum(up)) / sum(n) AS direction, count(*) FILTER (WHERE s > 0) AS assets, coalesce(max(s) / nullif(sum(s), 0), 1) AS concentration FROM o GROUP BY factor_id)")
+SLICES = FXY.format("b1") + """, s AS (SELECT asset, CASE WHEN event_time < TIMESTAMP '2024-01-10' THEN 'a' WHEN event_time < TIMESTAMP '2024-01-20' THEN 'b' ELSE 'c' END AS fold, regime, x, y FROM f JOIN (SELECT asset AS a2, event_time AS t2, CASE WHEN close > open THEN 'up' ELSE 'down' END AS regime FROM b1) r ON a2 = asset AND t2 = event_time WHERE x IS NOT NULL AND y IS NOT NULL),
+ sx AS (SELECT 'momentum' AS factor_id, asset, fold, regime, x AS v, y FROM s UNION ALL SELECT 'reversal', asset, fold, regime, -x, y FROM s),
+ k AS (SELECT *, """ + rank_sql("v", "factor_id, asset, fold, regime") + " AS rx, " + rank_sql("y", "factor_id, asset, fold, regime") + " AS ry FROM sx), sl AS (SELECT factor_id, asset, fold, regime, count(*) AS n, corr(rx, ry) AS rank_ic FROM k GROUP BY ALL)"
 
 
 def _slices(spark, d):
-    f = _xy(t.bars(spark, d)).withColumn("fold", F.floor(F.dayofmonth("event_time") / 6)).withColumn("factor_id", F.lit("momentum"))
-    return information_coefficients(f, "x", "y", ["factor_id", "asset", "fold"]).withColumn("reject", F.col("rank_ic") < -0.05)
-
-
-@add("I11_development_gate", GATE + "SELECT factor_id, survivors, round(direction, 8) AS direction, assets, round(concentration, 8) AS concentration, concat_ws(',', CASE WHEN survivors < 2 THEN 'SURVIVORS' END, CASE WHEN direction < 0.6 THEN 'DIRECTION' END, CASE WHEN assets < 2 THEN 'ASSETS' END, CASE WHEN concentration > 0.5 THEN 'CONCENTRATION' END) AS reasons FROM g")
+    """Momentum and reversal by asset, fold and regime."""
+    f = _xy(t.bars(spark, d)).withColumns({
+        "fold": F.when(F.col("event_time") < F.lit("2024-01-10").cast("timestamp_ntz"), "a").when(F.col("event_time") < F.lit("2024-01-20").cast("timestamp_ntz"), "b").otherwise("c"), "regime": F.when(F.col("close") > F.col("open"), "up").otherwise("down"),
+    })
+    both = F.array(F.struct(F.lit("momentum").alias("factor_id"), F.col("x").alias("v")), F.struct(F.lit("reversal").alias("factor_id"), (-F.col("x")).alias("v")))
+    long = f.select("asset", "fold", "regime", "y", F.explode(both).alias("_e")).select("asset", "fold", "regime", "y", "_e.*")
+    return information_coefficients(long, "v", "y", ["factor_id", "asset", "fold", "regime"])
+
+
+@add("I11_development_gate", with_("b1", more=SLICES + """, rj AS (SELECT *, abs(rank_ic) > 0.3 AS reject FROM sl), fa AS (SELECT factor_id, CASE factor_id WHEN 'momentum' THEN 0 ELSE 1 END AS direction, factor_id = 'reversal' AS representative, avg(rank_ic) AS delta5, avg(rank_ic) - 0.001 AS delta10, CASE factor_id WHEN 'reversal' THEN CAST(sign(avg(rank_ic)) AS INTEGER) END AS hour, factor_id = 'reversal' AS has_delays, CAST(sign(min(rank_ic)) AS INTEGER) AS w1, CAST(sign(max(rank_ic)) AS INTEGER) AS w2 FROM rj GROUP BY factor_id),
+ el AS (SELECT * FROM rj WHERE n >= 30 AND rank_ic IS NOT NULL AND NOT isnan(rank_ic)), mo AS (SELECT factor_id, count(*) FILTER (WHERE rank_ic > 0) AS up, count(*) FILTER (WHERE rank_ic <> 0) AS moved FROM el GROUP BY factor_id),
+ tg AS (SELECT fa.*, CASE WHEN direction <> 0 THEN direction WHEN coalesce(moved, 0) = 0 THEN 0 WHEN up >= moved / 2 THEN 1 ELSE -1 END AS target FROM fa LEFT JOIN mo USING (factor_id)),
+ ef AS (SELECT el.*, target, sign(rank_ic) = target AS fits FROM el JOIN tg USING (factor_id)),
+ ga AS (SELECT factor_id, count(*) AS eligible, count(*) FILTER (WHERE reject) AS survivors, count(*) FILTER (WHERE fits) AS nf, count(DISTINCT CASE WHEN reject THEN asset END) AS assets FROM ef GROUP BY factor_id),
+ sa AS (SELECT factor_id, coalesce(max(n) / nullif(sum(n), 0), 0) AS asset_share FROM (SELECT factor_id, asset, count(*) FILTER (WHERE reject AND fits) AS n FROM ef GROUP BY ALL) GROUP BY factor_id), sr AS (SELECT factor_id, coalesce(max(n) / nullif(sum(n), 0), 0) AS regime_share FROM (SELECT factor_id, regime, count(*) FILTER (WHERE reject AND fits) AS n FROM ef GROUP BY ALL) GROUP BY factor_id),
+ al AS (SELECT tg.*, coalesce(eligible, 0) AS eligible, coalesce(survivors, 0) AS survivors, coalesce(nf / eligible, 0) AS agreement, coalesce(assets, 0) AS assets, coalesce(asset_share, 0) AS asset_share, coalesce(regime_share, 0) AS regime_share FROM tg LEFT JOIN ga USING (factor_id) LEFT JOIN sa USING (factor_id) LEFT JOIN sr USING (factor_id))""")
+     + """SELECT factor_id, target, eligible, survivors, round(agreement, 8) AS agreement, assets, round(asset_share, 8) AS asset_share, round(regime_share, 8) AS regime_share, concat_ws(',', CASE WHEN survivors < 2 THEN 'BH_SURVIVING_SLICES_LT_2,INDEPENDENT_SLICES_LT_2' END, CASE WHEN agreement < 0.6 THEN 'DIRECTION_AGREEMENT_LT_60PCT' END, CASE WHEN assets < 2 THEN 'ASSETS_LT_2' END, CASE WHEN NOT representative THEN 'REDUNDANT_NON_REPRESENTATIVE' END, CASE WHEN NOT coalesce(delta5 > 0, false) THEN 'FINAL_FOLD_5BPS_NON_POSITIVE' END, CASE WHEN NOT coalesce(delta10 >= 0, false) THEN 'TEN_BPS_NEGATIVE' END,
+ CASE WHEN asset_share > 0.5 THEN 'ASSET_SUPPORT_CONCENTRATION_GT_50PCT' END, CASE WHEN regime_share > 0.5 THEN 'REGIME_SUPPORT_CONCENTRATION_GT_50PCT' END, CASE WHEN coalesce(hour, 0) = 0 THEN 'ONE_HOUR_SENSITIVITY_UNAVAILABLE' WHEN hour <> target THEN 'ONE_HOUR_DIRECTION_UNSTABLE' END, CASE WHEN has_delays AND (w1 = 0 OR w1 <> target OR w2 = 0 OR w2 <> target) THEN 'OI_DELAY_DIRECTION_UNSTABLE' END) AS reasons FROM al""")
 def i11(spark, d):
-    return inf.development_gate(_slices(spark, d)).select("factor_id", "survivors", r8("direction"), "assets", r8("concentration"), F.concat_ws(",", "reasons").alias("reasons"))
+    s = _slices(spark, d).withColumn("reject", F.abs("rank_ic") > 0.3)
+    rev, sign = F.col("factor_id") == "reversal", lambda c: F.signum(c).cast("int")
+    mean = F.avg("rank_ic")
+    facts = s.groupBy("factor_id").agg(mean.alias("delta_5bps"), (mean - 0.001).alias("delta_10bps"), sign(mean).alias("_m"), sign(F.min("rank_ic")).alias("_a"), sign(F.max("rank_ic")).alias("_b"))
+    facts = facts.select("factor_id", F.when(rev, 1).otherwise(0).alias("direction"), rev.alias("representative"), "delta_5bps", "delta_10bps", F.when(rev, F.col("_m")).alias("hour_direction"), F.when(rev, F.array("_a", "_b", "_a")).alias("delay_directions"))
+    out = inf.development_gate(s, facts)
+    return out.select("factor_id", "target", "eligible", "survivors", r8("agreement"), "assets", r8("asset_share"), r8("regime_share"), F.concat_ws(",", "reasons").alias("reasons"))
+
+
+FAMILY = """w AS (SELECT l_suppkey % {m} AS g, year(l_shipdate)::VARCHAR AS fold, l_returnflag AS asset, l_linestatus AS regime, l_extendedprice * (l_discount - 0.05) AS v, extract('day' FROM l_shipdate) AS day FROM lineitem),
+ sl AS (SELECT 'flow' AS factor_id, CASE g WHEN 0 THEN '1h' ELSE '2h' END AS horizon, 0.2::DOUBLE AS q, fold, asset, regime, exp(-abs(avg(v)) / 4) AS p, avg(v) AS direction_estimate, count(*) AS n_effective, list(DISTINCT day) AS bars FROM w GROUP BY ALL),
+ un AS (SELECT fold, asset, regime, count(*) AS effective, count(*) FILTER (WHERE day = 1) AS missing, count(*) FILTER (WHERE day = 2) AS infeasible FROM w GROUP BY ALL)"""
+
+
+@add("I12_family_gate", "WITH " + FAMILY.format(m=2) + """, k AS (SELECT *, concat_ws('|', factor_id, horizon, '0.2', fold, asset, regime) AS key, row_number() OVER (ORDER BY p, concat_ws('|', factor_id, horizon, '0.2', fold, asset, regime)) AS rank, count(*) OVER () AS m FROM sl), a AS (SELECT *, least(min(p * m / rank) OVER (ORDER BY rank DESC), 1) AS adjusted FROM k),
+ pr AS (SELECT * FROM a WHERE horizon = '1h'), st AS (SELECT * FROM pr WHERE n_effective >= 30 AND adjusted < 0.05), lf AS (SELECT * FROM st x WHERE NOT EXISTS (SELECT 1 FROM st y WHERE y.asset = x.asset AND y.key <> x.key AND list_has_any(x.bars, y.bars))),
+ g AS (SELECT (SELECT count(*) FROM un) AS units, (SELECT count(*) FROM a WHERE p IS NOT NULL) AS denominator, (SELECT count(*) FROM lf) AS survivors, (SELECT count(DISTINCT asset) FROM lf) AS assets, (SELECT count(*) FILTER (WHERE direction_estimate > 0) / nullif(count(*), 0) FROM pr WHERE n_effective >= 30) AS consistency, coalesce((SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM lf GROUP BY asset)), 0) AS asset_share, coalesce((SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM lf GROUP BY regime)), 0) AS regime_share,
+  (SELECT count(*) FROM pr WHERE n_effective < 30) AS small_cells, (SELECT sum(missing + infeasible) / sum(effective + missing + infeasible) FROM un) AS excluded, (SELECT count(*) FROM (SELECT fold, asset, regime, h FROM un, (VALUES ('1h'), ('2h')) v(h)) e WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.fold = e.fold AND sl.asset = e.asset AND sl.regime = e.regime AND sl.horizon = e.h)) AS holes),
+ r AS (SELECT *, concat_ws(',', CASE WHEN excluded > 0.5 THEN 'EXCLUSION_RATIO_EXCEEDS_TOLERANCE' END, CASE WHEN small_cells > 0 THEN 'INSUFFICIENT_CELL' END, CASE WHEN holes > 0 THEN 'PREREGISTERED_SLICE_MISSING' END) AS thin, concat_ws(',', CASE WHEN assets < 2 THEN 'ASSET_DIVERSITY_BELOW_MINIMUM' END, CASE WHEN asset_share > 0.5 THEN 'ASSET_CONCENTRATION_EXCEEDS_MAX' END, CASE WHEN regime_share > 0.5 THEN 'REGIME_CONCENTRATION_EXCEEDS_MAX' END, CASE WHEN coalesce(consistency, 0) < 0.6 THEN 'DIRECTION_CONSISTENCY_BELOW_MINIMUM' END) AS bad FROM g)
+SELECT CASE WHEN thin <> '' OR survivors < 2 THEN 'INSUFFICIENT' WHEN bad <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN thin <> '' THEN thin WHEN survivors < 2 THEN 'SURVIVING_SLICES_BELOW_MINIMUM' ELSE bad END AS reasons, units, denominator, survivors, assets, round(coalesce(consistency, 0), 8) AS consistency, round(asset_share, 8) AS asset_share, round(regime_share, 8) AS regime_share FROM r""")
+def i12(spark, d):
+    w = t.read(spark, d, "lineitem").select((F.col("l_suppkey") % 2).alias("g"), F.year("l_shipdate").cast("string").alias("fold"), F.col("l_returnflag").alias("asset"), F.col("l_linestatus").alias("regime"), F.expr("l_extendedprice * (l_discount - 0.05)").alias("v"), F.dayofmonth("l_shipdate").alias("day"))
+    s = w.groupBy(F.lit("flow").alias("factor_id"), F.when(F.col("g") == 0, "1h").otherwise("2h").alias("horizon"), F.lit(0.2).alias("q"), "fold", "asset", "regime").agg(
+        F.exp(-F.abs(F.avg("v")) / 4).alias("p"), F.avg("v").alias("direction_estimate"), F.count(F.lit(1)).alias("n_effective"), F.collect_set("day").alias("bars"))
+    u = w.groupBy("fold", "asset", "regime").agg(F.count(F.lit(1)).alias("effective"), F.count_if(F.col("day") == 1).alias("missing"), F.count_if(F.col("day") == 2).alias("infeasible"))
+    out = inf.family_gate(s, u, horizons=["1h", "2h"], qs=[0.2], primary=("1h", 0.2))
+    return out.select("verdict", F.concat_ws(",", "reasons").alias("reasons"), "units", "denominator", "survivors", "assets", r8("consistency"), r8("asset_share"), r8("regime_share"))
 
 
-@add("I12_family_gate", GATE + "SELECT factor_id, CASE WHEN (SELECT count(*) FROM sl WHERE n < 30) > 0.5 * (SELECT count(*) FROM sl) THEN 'INSUFFICIENT' WHEN survivors >= 2 AND assets >= 2 AND concentration <= 0.5 AND direction >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g")
-def i12(spark, d):
-    return inf.family_gate(_slices(spark, d)).select("factor_id", "verdict")
+@add("I14_horizon_diagnostics", with_("b1", more="c AS (SELECT close / nullif(lag(close, 6) OVER w, 0) - 1 AS m6, close / nullif(lag(close, 24) OVER w, 0) - 1 AS m24, -(close / nullif(lag(close, 6) OVER w, 0) - 1) AS r6, CASE WHEN count(volume) OVER v = 24 THEN (volume - avg(volume) OVER v) / nullif(stddev_samp(volume) OVER v, 0) END AS v24 FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time), v AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)), l AS (SELECT 'm24' AS b, m6 AS x, m24 AS y FROM c UNION ALL SELECT 'r6', m6, r6 FROM c UNION ALL SELECT 'v24', m6, v24 FROM c), k AS (SELECT *, " + rank_sql("x", "b") + " AS rx, " + rank_sql("y", "b") + " AS ry FROM l WHERE x IS NOT NULL AND y IS NOT NULL)") + "SELECT b AS other_factor_id, round(corr(rx, ry), 6) AS rank_ic, CASE WHEN abs(corr(rx, ry)) > 0.7 THEN 'statistically_near_equivalent' ELSE '' END AS label FROM k GROUP BY b")
+def i14(spark, d):
+    """Which existing factors the short momentum nearly repeats."""
+    return inf.near_equivalents(inf.rank_correlations(_columns(spark, d), ["m24", "m6", "r6", "v24"]), "m6").select("other_factor_id", F.round("rank_ic", 6).alias("rank_ic"), "label")
 
 
-@add("I13_gate_inputs", GATE + "SELECT asset, fold, n, round(rank_ic, 8) AS rank_ic FROM sl")
-def i13(spark, d):
-    return _slices(spark, d).select("asset", "fold", "n", r8("rank_ic"))
+@add("I14b_horizon_family", "WITH " + FAMILY.format(m=2) + """, k AS (SELECT *, row_number() OVER (ORDER BY p, concat_ws('|', factor_id, horizon, '0.2', fold, asset, regime)) AS rank, count(*) OVER () AS m FROM sl) SELECT horizon, fold, asset, regime, round(least(min(p * m / rank) OVER (ORDER BY rank DESC), 1), 8) AS adjusted, true AS diagnostic_only FROM k""")
+def i14b(spark, d):
+    w = t.read(spark, d, "lineitem").select((F.col("l_suppkey") % 2).alias("g"), F.year("l_shipdate").cast("string").alias("fold"), F.col("l_returnflag").alias("asset"), F.col("l_linestatus").alias("regime"), F.expr("l_extendedprice * (l_discount - 0.05)").alias("v"))
+    s = w.groupBy(F.lit("flow").alias("factor_id"), F.when(F.col("g") == 0, "1h").otherwise("2h").alias("horizon"), F.lit(0.2).alias("q"), "fold", "asset", "regime").agg(F.exp(-F.abs(F.avg("v")) / 4).alias("p"))
+    return inf.horizon_diagnostics(s).select("horizon", "fold", "asset", "regime", r8("adjusted"), "diagnostic_only")
 
 
-@add("I14_horizon_diagnostics", with_("b1", more="h AS (SELECT k AS horizon, asset, close / nullif(lag(close, 24) OVER w, 0) - 1 AS x, CASE k WHEN 1 THEN ln(lead(close, 1) OVER w / close) WHEN 4 THEN ln(lead(close, 4) OVER w / close) ELSE ln(lead(close, 24) OVER w / close) END AS y FROM b1, (VALUES (1), (4), (24)) v(k) WINDOW w AS (PARTITION BY k, asset ORDER BY event_time))") + "SELECT horizon, count(*) AS n, round(corr(x, y), 8) AS ic, abs(corr(x, y)) > 0.7 AS redundant FROM h WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY horizon")
-def i14(spark, d):
-    b = t.bars(spark, d).withColumn("x", fx.momentum("close", 24)).withColumns({f"y{k}": fx.forward_log_return("close", k) for k in (1, 4, 24)})
-    long = b.select("x", F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"y{k}").alias("y")) for k in (1, 4, 24)))).alias("h")).select("x", "h.*").filter("x is not null and y is not null")
-    return long.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), r8(F.corr("x", "y"), "ic"), (F.abs(F.corr("x", "y")) > 0.7).alias("redundant"))
+HOLD = """jo AS (SELECT b.asset, b.delay, b.event_time, b.close, v.open_interest FROM (SELECT b1.*, delay FROM b1 CROSS JOIN (VALUES (5), (10), (15)) x(delay)) b ASOF LEFT JOIN (SELECT asset, event_time + delay * INTERVAL 1 MINUTE AS available_time, open_interest, delay FROM oi CROSS JOIN (VALUES (5), (10), (15)) v(delay)) v ON b.delay = v.delay AND b.asset = v.asset AND b.available_time >= v.available_time),
+ fx AS (SELECT asset, delay, event_time, open_interest / nullif(lag(open_interest, 24) OVER w, 0) - 1 AS x, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM jo WINDOW w AS (PARTITION BY delay, asset ORDER BY event_time)),
+ h AS (SELECT * FROM fx WHERE event_time >= TIMESTAMP '2024-01-20'),
+ k AS (SELECT *, """ + rank_sql("x", "delay, asset") + " AS rx, " + rank_sql("y", "delay, asset") + """ AS ry FROM h WHERE x IS NOT NULL AND y IS NOT NULL), ic AS (SELECT delay, asset, corr(rx, ry) AS ic FROM k GROUP BY ALL),
+ mn AS (SELECT asset, avg(y) AS m FROM h WHERE delay = 5 AND y IS NOT NULL GROUP BY asset), ow AS (SELECT ic.asset, ic, sign(ic) * m AS r FROM ic JOIN mn ON mn.asset = ic.asset WHERE delay = 5 AND ic IS NOT NULL AND NOT isnan(ic)),
+ a AS (SELECT count(*) AS assets, count(*) FILTER (WHERE sign(ic) <> -1) AS against, count(*) FILTER (WHERE r > 0) AS support, avg(r) AS mean_return FROM ow), dl AS (SELECT count(*) AS delays, count(*) FILTER (WHERE s <> -1) AS off FROM (SELECT delay, sign(median(ic)) AS s FROM ic WHERE ic IS NOT NULL AND NOT isnan(ic) GROUP BY delay))"""
 
 
-@add("I15_holdout_evaluation", with_("b1", more=FXY.format("b1")) + "SELECT asset, round(corr(x, y), 8) AS ic, round(avg(-sign(x) * y), 8) AS mean_directional, round(avg(-sign(x) * y) - 0.0005, 8) AS after_5bps, avg(-sign(x) * y) - 0.0010 > 0 AS passes_10bps FROM f WHERE x IS NOT NULL AND y IS NOT NULL AND event_time >= TIMESTAMP '2024-01-20' GROUP BY asset")
+@add("I15_holdout_evaluation", with_("b1", "oi", more=HOLD) + "SELECT assets, round(mean_return, 8) AS mean_return, round(mean_return - 0.0005, 8) AS after_5bps, round(mean_return - 0.0010, 8) AS after_10bps, concat_ws(',', CASE WHEN assets < 2 THEN 'HOLDOUT_ASSET_COVERAGE_LT_2' END, CASE WHEN against > 0 THEN 'HOLDOUT_DIRECTION_UNSTABLE' END, CASE WHEN support = 1 THEN 'HOLDOUT_ASSET_CONCENTRATION_GT_50PCT' END, CASE WHEN NOT coalesce(mean_return - 0.0005 > 0, false) THEN 'HOLDOUT_5BPS_NON_POSITIVE' END, CASE WHEN NOT coalesce(mean_return - 0.0010 >= 0, false) THEN 'HOLDOUT_10BPS_NEGATIVE' END, CASE WHEN delays < 3 THEN 'HOLDOUT_OI_DELAY_STRESS_UNAVAILABLE' WHEN off > 0 THEN 'HOLDOUT_OI_DELAY_DIRECTION_UNSTABLE' END) AS reasons FROM a, dl")
 def i15(spark, d):
-    return inf.holdout_evaluation(_xy(t.bars(spark, d)).filter("event_time >= timestamp_ntz'2024-01-20'"), "x", "y", direction=-1).select("asset", r8("ic"), r8("mean_directional"), r8("after_5bps"), "passes_10bps")
+    """The change of open interest, under three publication delays."""
+    from asofly.operators import asof, joins
+
+    views = asof.delay_views(t.open_interest(spark, d), (5, 10, 15))
+    wide = joins.delay_columns(asof.asof_by_delay(t.bars(spark, d), views, (5, 10, 15)), [5, 10, 15]).join(t.bars(spark, d).select("asset", "event_time", "close"), ["asset", "event_time"])
+    wide = wide.withColumns({**{f"x{k}": fx.change(f"oi_{k}m", 24) for k in (5, 10, 15)}, "y": fx.forward_log_return("close", 1)}).filter("event_time >= timestamp_ntz'2024-01-20'")
+    out = inf.holdout_evaluation(wide, "x5", "y", direction=-1, delayed={5: "x5", 10: "x10", 15: "x15"})
+    return out.select("assets", r8("mean_return"), r8("after_5bps"), r8("after_10bps"), F.concat_ws(",", "reasons").alias("reasons"))
+
+
+INPUTS = """src AS (SELECT *, taker_buy_base / nullif(volume, 0) AS x, coalesce(volume <> 0 AND taker_buy_base IS NOT NULL AND taker_buy_base / nullif(volume, 0) BETWEEN 0 AND 1, false) AS ok FROM wide), """ + PEERS + """, sg AS (SELECT *, CASE WHEN ok AND n >= 2 AND mad > 0 THEN least(greatest((x - med) / (1.4826 * mad), -5), 5) END AS signal FROM dev),
+ gp AS (SELECT *, CASE WHEN open > 0 AND volume > 0 AND quote_volume > 0 THEN 0 ELSE 1 END AS bad, CASE WHEN lag(event_time) OVER w IS NOT NULL AND event_time - lag(event_time) OVER w <> INTERVAL 4 HOUR THEN 1 ELSE 0 END AS gap, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY asset) AS total, ln(close / nullif(lag(close) OVER w, 0)) AS lr FROM sg WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
+ pp AS (SELECT *, sum(bad) OVER w AS nb, sum(gap) OVER w AS ng, CASE WHEN count(lr) OVER v = 12 THEN stddev_samp(lr) OVER v END AS vol FROM gp WINDOW w AS (PARTITION BY asset ORDER BY event_time), v AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+ lb AS (SELECT asset, event_time, pos, total, signal, vol, k AS horizon, CASE WHEN lead(ng, k + 1) OVER w IS NULL OR lead(ng, k + 1) OVER w - ng > 0 THEN 'MISSING_NEXT_BAR' WHEN lead(nb, k + 1) OVER w - nb > 0 THEN 'EXECUTION_BAR_INVALID' ELSE '' END AS reason, ln(lead(open, k + 1) OVER w / nullif(lead(open, 1) OVER w, 0)) AS raw FROM (SELECT * FROM pp, (VALUES (1)) v(k)) WINDOW w AS (PARTITION BY asset ORDER BY event_time)
+  UNION ALL SELECT asset, event_time, pos, total, signal, vol, k, CASE WHEN lead(ng, k + 1) OVER w IS NULL OR lead(ng, k + 1) OVER w - ng > 0 THEN 'MISSING_NEXT_BAR' WHEN lead(nb, k + 1) OVER w - nb > 0 THEN 'EXECUTION_BAR_INVALID' ELSE '' END, ln(lead(open, 3) OVER w / nullif(lead(open, 1) OVER w, 0)) FROM (SELECT * FROM pp, (VALUES (2)) v(k)) WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
+ fo AS (SELECT DISTINCT asset, greatest(60, total // 4) AS initial, greatest(30, (total - greatest(60, total // 4)) // 3) AS test, total FROM gp WHERE total >= 100), fk AS (SELECT asset, initial, test, unnest(generate_series(0, CAST(floor((total - initial) / test) AS BIGINT) - 1)) AS fold FROM fo),
+ th AS (SELECT fk.asset, fk.fold, quantile_cont(vol, 0.75) AS qv FROM fk JOIN pp ON pp.asset = fk.asset AND pp.pos + 1 + 1 + 6 <= fk.initial + fk.test * fk.fold GROUP BY ALL),
+ te AS (SELECT lb.*, fk.fold, CASE WHEN coalesce(lb.vol > th.qv, false) THEN 'high_vol' ELSE 'low_vol' END AS regime, CASE WHEN lb.reason = '' THEN lb.raw END AS y FROM fk JOIN lb ON lb.asset = fk.asset AND lb.pos >= fk.initial + fk.test * fk.fold AND lb.pos < fk.initial + fk.test * (fk.fold + 1) JOIN th ON th.asset = fk.asset AND th.fold = fk.fold),
+ k AS (SELECT *, """ + rank_sql("signal", "asset, fold, regime, horizon") + " AS rx, " + rank_sql("y", "asset, fold, regime, horizon") + """ AS ry FROM te WHERE signal IS NOT NULL AND y IS NOT NULL), st AS (SELECT asset, fold, regime, horizon, count(*) AS n_effective, corr(rx, ry) AS direction_estimate FROM k GROUP BY ALL),
+ un AS (SELECT asset, fold, regime, horizon, count(*) FILTER (WHERE signal IS NOT NULL AND y IS NOT NULL) AS effective, count(*) FILTER (WHERE reason = 'MISSING_NEXT_BAR') AS missing, count(*) FILTER (WHERE reason = 'EXECUTION_BAR_INVALID') AS infeasible FROM te GROUP BY ALL)"""
+
+
+@add("I13_gate_inputs", with_("wide", more=INPUTS) + "SELECT un.asset, un.fold, un.regime, un.horizon, un.effective, un.missing, un.infeasible, coalesce(st.n_effective, 0) AS n_effective, round(CASE WHEN isnan(st.direction_estimate) THEN NULL ELSE st.direction_estimate END, 8) AS direction_estimate FROM un LEFT JOIN st ON st.asset = un.asset AND st.fold = un.fold AND st.regime = un.regime AND st.horizon = un.horizon")
+def i13(spark, d):
+    out = inf.gate_inputs(t.wide_bars(spark, d), horizons=(1, 2), bar_hours=4, window=12)
+    return out.select("asset", "fold", "regime", "horizon", "effective", "missing", "infeasible", "n_effective", r8("direction_estimate"))
 
 
 @add("I16_factor_run")
 def i16(spark, d):
-    s = _slices(spark, d).withColumn("name", F.concat_ws("|", "factor_id", "asset", "fold")).withColumn("p", inf.spearman_p("rank_ic", "n"))
-    return inf.benjamini_hochberg(s.drop("reject"), by=["factor_id"]).select("factor_id", "asset", "fold", "n", r8("rank_ic"), r8("p"), r8("adjusted"), "reject")
+    """Evaluations with their adjusted p-values, the cluster of each factor, its representative and its increment."""
+    names = ["m24", "m6", "v24"]
+    c = _columns(spark, d).withColumn("fold", F.when(F.col("event_time") < F.lit("2024-01-15").cast("timestamp_ntz"), "train").when(F.col("event_time") < F.lit("2024-01-23").cast("timestamp_ntz"), "first").otherwise("second"))
+    return inf.factor_run(c, names, "y", train="train", last="second", cost_bps=5.0).select("factor_id", "asset", "fold", "n", r8("rank_ic"), r8("p"), r8("adjusted"), "reject", "cluster", "representative", r8("delta_return"), "incremental")
 
 
-@add("I17_strategy_walk_forward", with_("b1", more="s AS (SELECT asset, event_time, 1 AS side, close * 0.9 AS stop, close * 1.1 AS target, close FROM b1 WHERE extract('hour' FROM event_time) % 6 = 0), j AS (SELECT s.asset, s.event_time, s.close AS entry, b.event_time AS t, b.close, s.stop, s.target, CASE WHEN b.low <= s.stop THEN 'STOP' WHEN b.high >= s.target THEN 'TARGET' END AS o FROM s JOIN b1 b ON b.asset = s.asset AND b.event_time > s.event_time AND b.event_time <= s.event_time + INTERVAL 24 HOUR), r AS (SELECT asset, event_time, any_value(entry) AS entry, coalesce(arg_min(CASE WHEN o = 'STOP' THEN stop ELSE target END, t) FILTER (WHERE o IS NOT NULL), arg_max(close, t)) AS px FROM j GROUP BY asset, event_time)") + "SELECT asset, CAST(floor(extract('day' FROM event_time) / 6) AS BIGINT) AS fold, bps, count(*) AS n, round(avg(px / entry - 1 - bps / 10000), 8) AS mean_net FROM r, (VALUES (9.0), (18.0)) v(bps) GROUP BY ALL")
+PATHS = """sc2(scenario, fee_bps, slip_bps) AS (VALUES ('base', 4.0, 5.0), ('fee_x2', 8.0, 5.0), ('slip_x2', 4.0, 10.0), ('stress', 8.0, 10.0), ('free', 0.0, 0.0)), pa(params, lo, hi) AS (VALUES ('narrow', 0.95, 1.05), ('wide', 0.9, 1.1)),
+ s AS (SELECT params, asset, event_time, close * lo AS stop, close * hi AS target, close FROM b1, pa), j AS (SELECT s.params, s.asset, s.event_time, s.close AS entry, b.event_time AS t, b.close, s.stop, s.target, CASE WHEN b.low <= s.stop THEN 'STOP' WHEN b.high >= s.target THEN 'TARGET' END AS o FROM s JOIN b1 b ON b.asset = s.asset AND b.event_time > s.event_time AND b.event_time <= s.event_time + INTERVAL 24 HOUR),
+ r AS (SELECT params, asset, event_time, any_value(entry) AS entry, coalesce(arg_min(CASE WHEN o = 'STOP' THEN stop ELSE target END, t) FILTER (WHERE o IS NOT NULL), arg_max(close, t)) AS px FROM j GROUP BY ALL)"""
+
+
+@add("I17_strategy_walk_forward", with_("b1", more=PATHS) + "SELECT params, scenario, asset, CAST(floor(extract('day' FROM event_time) / 6) AS BIGINT) AS fold, count(*) AS n, round(avg(px / nullif(entry, 0) - 1 - (fee_bps + slip_bps) / 10000), 8) AS mean_net, round(avg(CASE WHEN px / nullif(entry, 0) - 1 - (fee_bps + slip_bps) / 10000 > 0 THEN 1.0 ELSE 0.0 END), 8) AS win_rate FROM r, sc2 GROUP BY ALL")
 def i17(spark, d):
+    """Every bar a signal, under two sets of parameters; each outcome under every cost scenario without a delay."""
     from asofly.operators.joins import first_touch
 
     b = t.bars(spark, d)
-    s = b.filter("hour(event_time) % 6 = 0").select("asset", "event_time", F.lit(1).alias("side"), (F.col("close") * 0.9).alias("stop"), (F.col("close") * 1.1).alias("target"), F.col("close").alias("entry"))
-    out = first_touch(s, b, horizon_hours=24).join(s.select("asset", "event_time", "entry"), ["asset", "event_time"]).withColumn("fold", F.floor(F.dayofmonth("event_time") / 6)).withColumn("bps", F.explode(F.array(F.lit(9.0), F.lit(18.0))))
-    return out.groupBy("asset", "fold", "bps").agg(F.count(F.lit(1)).alias("n"), r8(F.avg(F.col("exit_price") / F.col("entry") - 1 - F.col("bps") / 10000), "mean_net"))
+    sets = F.explode(F.array(*(F.struct(F.lit(n).alias("params"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in (("narrow", 0.95, 1.05), ("wide", 0.9, 1.1)))))
+    s = b.select("asset", "event_time", "close", sets.alias("p")).select("asset", "event_time", "p.params", F.lit(1).alias("side"), (F.col("close") * F.col("p.lo")).alias("stop"), (F.col("close") * F.col("p.hi")).alias("target"), F.col("close").alias("entry"))
+    out = first_touch(s, b, horizon_hours=24, key=["params"]).join(s.select("params", "asset", "event_time", "entry"), ["params", "asset", "event_time"]).withColumn("fold", F.floor(F.dayofmonth("event_time") / 6))
+    out = out.crossJoin(F.broadcast(sc.scenarios(spark).filter("delay = 0")))  # five fixed rows
+    net = F.try_divide(F.col("exit_price"), F.col("entry")) - 1 - (F.col("fee_bps") + F.col("slip_bps")) / 10000
+    return out.groupBy("params", "scenario", "asset", "fold").agg(F.count(F.lit(1)).alias("n"), r8(F.avg(net), "mean_net"), r8(F.avg(F.when(net > 0, 1.0).otherwise(0.0)), "win_rate"))
 
 
-@add("I18_paper_readiness", with_("decisions") + "SELECT run_id, count(DISTINCT CAST(slot AS DATE)) AS days, count(*) FILTER (WHERE equity_after < 1000) AS breaches, count(DISTINCT CAST(slot AS DATE)) >= 10 AND count(*) FILTER (WHERE equity_after < 1000) = 0 AS ready FROM decisions GROUP BY run_id")
+@add("I18_paper_readiness", with_("decisions") + "SELECT run_id, date_diff('day', min(slot), max(slot)) AS days, count(*) FILTER (WHERE equity_after < 1000) AS breaches, date_diff('day', min(slot), max(slot)) + 1 - count(DISTINCT CAST(slot AS DATE)) AS missing_slots, date_diff('day', min(slot), max(slot)) >= 30 AND count(*) FILTER (WHERE equity_after < 1000) = 0 AND date_diff('day', min(slot), max(slot)) + 1 = count(DISTINCT CAST(slot AS DATE)) AS ready FROM decisions GROUP BY run_id")
 def i18(spark, d):
-    return strategy.readiness(t.decisions(spark, d), least_days=10, floor=1000.0)
+    return strategy.readiness(t.decisions(spark, d), floor=1000.0)
 
 
 @add("K1_factor_registry", with_("b4") + f"SELECT asset, {tsq('event_time')}, round(close / nullif(lag(close, 6) OVER w, 0) - 1, 8) AS momentum, round(-(close / nullif(lag(close, 3) OVER w, 0) - 1), 8) AS reversal FROM b4 WINDOW w AS (PARTITION BY asset ORDER BY event_time)")
@@ -310,13 +454,17 @@ def k1(spark, d):
     return reg.compute(t.bars(spark, d, 4), ["momentum", "reversal"]).select("asset", ts("event_time"), r8("momentum"), r8("reversal"))
 
 
-@add("K2_generated_factors")
+K2 = "lag(close, 6) OVER w AS f0, lag(close, 12) OVER w AS f1, close - lag(close, 6) OVER w AS f2, close - lag(close, 12) OVER w AS f3, close / nullif(lag(close, 6) OVER w, 0) - 1 AS f4, close / nullif(lag(close, 12) OVER w, 0) - 1 AS f5, CASE WHEN count(close) OVER a = 6 THEN avg(close) OVER a END AS f6, CASE WHEN count(close) OVER b = 12 THEN avg(close) OVER b END AS f7, CASE WHEN count(close) OVER a = 6 THEN stddev_samp(close) OVER a END AS f8, CASE WHEN count(close) OVER b = 12 THEN stddev_samp(close) OVER b END AS f9"
+
+
+@add("K2_generated_factors", with_("b4", more="k AS (SELECT asset, event_time, " + K2 + " FROM b4 WINDOW w AS (PARTITION BY asset ORDER BY event_time), a AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))") + f"SELECT asset, {tsq('event_time')}, " + ", ".join(f"round(f{i}, 8) AS f{i}" for i in range(10)) + " FROM k")
 def k2(spark, d):
+    """The first ten trees of the grammar over close and volume that aren't columns themselves."""
     from asofly.functions.registry import enumerate_trees
 
-    trees = enumerate_trees(["close", "volume"], [6, 12], most=8)
+    trees = [x for x in enumerate_trees(["close", "volume"], [6, 12], depth=2, most=60) if x.op != "column"][:10]
     out = evaluate(t.bars(spark, d, 4), {f"f{i}": x for i, x in enumerate(trees)})
-    return out.agg(*(F.count(f"f{i}").alias(f"n_f{i}") for i in range(len(trees))))
+    return out.select("asset", ts("event_time"), *(r8(f"f{i}") for i in range(10)))
 
 
 @add("K3_user_statistic")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -10,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OHLCV = "open_time string, open string, high string, low string, close string, volume string, close_time string, quote_volume string, trades string, taker_buy_base string"
-FUNDING = "calc_time string, funding_interval_hours string, last_funding_rate string"
-METRICS = "create_time string, symbol string, sum_open_interest string, sum_open_interest_value string"
+#: The columns of each kind of archive, and newer names of some.
+OHLCV = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore")
+FUNDING = ("calc_time", "funding_interval_hours", "last_funding_rate")
+METRICS = ("create_time", "symbol", "sum_open_interest", "sum_open_interest_value", "count_toptrader_long_short_ratio", "sum_toptrader_long_short_ratio", "count_long_short_ratio", "sum_taker_long_short_vol_ratio")
+NEWER = {"count": "trades", "taker_buy_volume": "taker_buy_base", "taker_buy_quote_volume": "taker_buy_quote"}
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +23,18 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+def only_csv(content: bytes) -> str:
+    """Text of the one CSV file that an archive holds; ValueError with a code if it can't be had."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            members = [m for m in z.infolist() if not m.is_dir() and m.filename[-4:].lower() == ".csv"]
+            if len(members) == 1:
+                return z.read(members[0]).decode()
+    except (zipfile.BadZipFile, UnicodeDecodeError) as e:
+        raise ValueError("ARCHIVE_UNREADABLE") from e
+    raise ValueError("ARCHIVE_NOT_ONE_CSV")
+
+
 def zip_lines(files: DataFrame) -> DataFrame:
     """path, line_no, line, error of every archive: a table function from bytes to rows.
 
@@ -30,24 +45,46 @@ def zip_lines(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = [n for n in z.namelist() if n.lower().endswith(".csv")]
-                        if len(names) != 1:
-                            raise ValueError("ARCHIVE_NOT_ONE_CSV")
-                        lines = z.read(names[0]).decode().splitlines()
+                    lines = only_csv(content).splitlines()
                     yield pd.DataFrame({"path": path, "line_no": range(len(lines)), "line": lines, "error": None})
-                except (zipfile.BadZipFile, ValueError) as e:
-                    code = str(e) if str(e).startswith("ARCHIVE_") else "ARCHIVE_UNREADABLE"
-                    yield pd.DataFrame({"path": [path], "line_no": [-1], "line": [None], "error": [code]})
+                except ValueError as e:
+                    yield pd.DataFrame({"path": [path], "line_no": [-1], "line": [None], "error": [str(e)]})
 
     return files.select("path", "content").mapInPandas(run, "path string, line_no int, line string, error string")
 
 
-def parse(files: DataFrame, schema: str) -> DataFrame:
-    """CSV lines of archives under a schema of text columns; a header line (a first field without digits) is skipped."""
-    rows = zip_lines(files).filter("error is null")
-    head = ~F.split("line", ",")[0].rlike(r"\d")
-    return rows.filter(~((F.col("line_no") == 0) & head)).select("path", F.from_csv("line", schema).alias("r")).select("path", "r.*")
+def parse(files: DataFrame, columns: tuple[str, ...], *, headless: bool = False) -> DataFrame:
+    """path, error and the columns as text of every CSV row in the archives.
+
+    A header may name the columns in any order, by newer names too; headless: a first row that starts with digits is data.
+    An archive that can't be read, has other columns or no rows gives a single row with an error, so nothing is lost unseen.
+    """
+    schema = ", ".join(["path string", "error string", *(f"{c} string" for c in columns)])
+
+    def table(content: bytes) -> pd.DataFrame:
+        rows = list(csv.reader(io.StringIO(only_csv(content))))
+        if headless and rows and len(rows[0]) == len(columns) and rows[0][0].isdigit():
+            names = list(columns)
+        else:
+            names, rows = [NEWER.get(n, n) for n in rows[0]] if rows else [], rows[1:]
+        if not rows:
+            raise ValueError("ARCHIVE_EMPTY")
+        if set(names) != set(columns):
+            raise ValueError(f"SCHEMA_CHANGED: missing={sorted(set(columns) - set(names))} unexpected={sorted(set(names) - set(columns))}")
+        return pd.DataFrame([r for r in rows if len(r) == len(names)], columns=names, dtype=object)[list(columns)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    found = table(content)
+                    found.insert(0, "error", None)
+                except ValueError as e:
+                    found = pd.DataFrame([[str(e)] + [None] * len(columns)], columns=["error", *columns], dtype=object)
+                found.insert(0, "path", path)
+                yield found
+
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def moment(ms: Column) -> Column:
@@ -64,30 +101,50 @@ def asset_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)-[^/-]+-[^/]+\.zip$", 1)
 
 
-def ohlcv(files: DataFrame) -> DataFrame:
-    r = parse(files, OHLCV)
-    prices = [number(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base")]
-    return r.select(asset_of(F.col("path")).alias("asset"), moment(F.col("open_time")).alias("event_time"), *prices, F.col("trades").try_cast("long").alias("trades"), moment(F.col("close_time")).alias("available_time"), F.col("path").alias("source"))
+def interval_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^/]+?-([^/-]+)-[^/]+\.zip$", 1)
+
+
+def ohlcv(files: DataFrame, *, ingested_at: str | None = None) -> DataFrame:
+    """Canonical bars, available at their close; archives that fail give a row with an error and their path as `path`."""
+    r = parse(files, OHLCV, headless=True)
+    prices = [number(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume")]
+    opened, closed = moment(F.col("open_time")), moment(F.col("close_time"))
+    return r.select(
+        asset_of(F.col("path")).alias("asset"), opened.alias("event_time"), closed.alias("available_time"), F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"), F.lit("binance_ohlcv_archive").alias("source"), *prices,
+        opened.alias("source_open_time"), closed.alias("source_close_time"), number(F.col("quote_volume")).alias("quote_volume"), F.col("trades").try_cast("long").alias("trades"),
+        number(F.col("taker_buy_base")).alias("taker_buy_base"), number(F.col("taker_buy_quote")).alias("taker_buy_quote"), interval_of(F.col("path")).alias("interval"), "path", "error",
+    )
 
 
-def funding(files: DataFrame) -> DataFrame:
-    """Available when settled."""
+def funding(files: DataFrame, *, ingested_at: str | None = None) -> DataFrame:
+    """Available when settled; errors as in ohlcv."""
     r = parse(files, FUNDING)
     at = moment(F.col("calc_time"))
-    return r.select(asset_of(F.col("path")).alias("asset"), at.alias("event_time"), at.alias("available_time"), number(F.col("last_funding_rate")).alias("funding_rate"), F.col("funding_interval_hours").try_cast("int").alias("funding_interval_hours"))
+    return r.select(
+        asset_of(F.col("path")).alias("asset"), at.alias("event_time"), at.alias("available_time"), F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"), F.lit("binance_funding_archive").alias("source"),
+        F.col("funding_interval_hours").try_cast("int").alias("funding_interval_hours"), number(F.col("last_funding_rate")).alias("funding_rate"), F.col("calc_time").alias("source_timestamp"), "path", "error",
+    )
 
 
-def metrics(files: DataFrame, *, delay_minutes: int = 5) -> DataFrame:
-    """Open interest, available after a publication delay; blanks are null."""
+def metrics(files: DataFrame, *, delay_minutes: int = 5, ingested_at: str | None = None) -> DataFrame:
+    """Open interest and ratios, available after a publication delay; blanks are null; errors as in ohlcv."""
     r = parse(files, METRICS)
-    at = F.to_timestamp_ntz("create_time", F.lit("yyyy-MM-dd HH:mm:ss"))
-    return r.select("symbol", at.alias("event_time"), (at + F.make_dt_interval(mins=F.lit(delay_minutes))).alias("available_time"), number(F.col("sum_open_interest")).alias("open_interest"), number(F.col("sum_open_interest_value")).alias("open_interest_value"), F.lit(f"BINANCE_METRICS_DELAY_{delay_minutes}M").alias("availability_assumption"))
+    at = F.try_to_timestamp("create_time", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    values = {
+        "sum_open_interest": "sum_open_interest", "sum_open_interest_value": "sum_open_interest_value", "count_toptrader_long_short_ratio": "top_trader_account_long_short_ratio",
+        "sum_toptrader_long_short_ratio": "top_trader_position_long_short_ratio", "count_long_short_ratio": "global_account_long_short_ratio", "sum_taker_long_short_vol_ratio": "taker_long_short_volume_ratio",
+    }
+    return r.select(
+        F.col("symbol").alias("asset"), at.alias("event_time"), (at + F.make_dt_interval(mins=F.lit(delay_minutes))).alias("available_time"), F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"),
+        F.lit("binance_metrics_archive").alias("source"), F.lit(f"BINANCE_METRICS_DELAY_{delay_minutes}M").alias("availability_assumption"), *(number(F.col(c)).alias(n) for c, n in values.items()), F.col("create_time").alias("source_timestamp"), "path", "error",
+    )
 
 
 def daily_returns(files: DataFrame, assets: list[str]) -> DataFrame:
     """Open-to-close return per day, one column per asset; of several rows the last file's wins."""
-    r = ohlcv(files).withColumn("day", F.date_format("event_time", "yyyy-MM-dd")).withColumn("ret", F.col("close") / F.col("open") - 1)
-    return r.groupBy("day").pivot("asset", assets).agg(F.max_by("ret", F.struct("source", "event_time")))
+    r = ohlcv(files).filter("error is null").withColumn("day", F.date_format("event_time", "yyyy-MM-dd")).withColumn("ret", F.try_divide(F.col("close"), F.col("open")) - 1)
+    return r.groupBy("day").pivot("asset", assets).agg(F.max_by("ret", F.struct("path", "event_time")))
 
 
 def integrity(files: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -99,8 +156,18 @@ def integrity(files: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def earliest_verified(checked: DataFrame) -> DataFrame:
-    """Earliest verified period of each asset and dataset, and the file that shows it. Needs status, asset, dataset, period."""
-    return checked.filter("status = 'OK'").groupBy("asset", "dataset").agg(F.min("period").alias("first_period"), F.min_by("path", F.struct("period", "path")).alias("evidence"))
+    """Earliest verified period of each asset, dataset and granularity, its first event and the file that shows it.
+
+    checked: status, asset, dataset, granularity, period, first_event, path.
+    """
+    best = F.min_by(F.struct("path", "first_event"), F.struct("period", "path"))
+    out = checked.filter("status = 'OK'").groupBy("asset", "dataset", "granularity").agg(F.min("period").alias("first_period"), best.alias("b"))
+    return out.select("asset", "dataset", "granularity", "first_period", "b.first_event", F.col("b.path").alias("evidence"))
+
+
+def unverified(verified: DataFrame, required: DataFrame) -> DataFrame:
+    """Required (asset, dataset, granularity) of which no archive was verified: what keeps a bootstrap from being complete."""
+    return required.select("asset", "dataset", "granularity").distinct().join(verified, ["asset", "dataset", "granularity"], "left_anti")
 
 
 def pack(lines: DataFrame) -> DataFrame:

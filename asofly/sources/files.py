@@ -2,67 +2,109 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUMBERS = ("open", "high", "low", "close", "volume")
-TIMES = ("timestamp", "time", "date", "datetime", "open_time")
+#: Names that a column may have.
+TIMES = ("timestamp", "open_time", "datetime", "date", "time")
+ALIASES = {"open": ("open", "o", "open_price"), "high": ("high", "h", "high_price"), "low": ("low", "l", "low_price"), "close": ("close", "c", "close_price"), "volume": ("volume", "vol", "v")}
 
 
 def guessed_time(text: Column) -> Column:
-    """A time written as seconds, milliseconds or ISO text; null if it's none of them."""
-    digits = text.rlike(r"^\d+$")
-    epoch = F.when(F.length(text) >= 13, F.timestamp_millis(text.try_cast("long"))).otherwise(F.timestamp_seconds(text.try_cast("long")))
-    return F.when(digits, epoch.cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
+    """A time written as seconds (nine digits or more), milliseconds (thirteen), a day of eight digits, or ISO text; else null."""
+    epoch = F.when(F.length(text) >= 13, F.timestamp_millis(text.try_cast("long"))).otherwise(F.timestamp_seconds(text.try_cast("long"))).cast("timestamp_ntz")
+    day = F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz")
+    return F.when(text.rlike(r"^\d{9,}$"), epoch).when(text.rlike(r"^\d{8}$"), day).otherwise(text.try_cast("timestamp_ntz"))
+
 
+def legacy_csv(spark: SparkSession, path: str, *, interval: str, ingested_at: str | None = None) -> DataFrame:
+    """OHLCV CSV files, the asset a folder (`asset=<name>`): event time, and availability one interval later.
 
-def legacy_csv(spark: SparkSession, path: str, *, interval: str, source: str = "legacy") -> DataFrame:
-    """OHLCV CSV files, the asset a folder (`asset=<name>`): event time, and availability one interval later."""
+    Rows that weren't available yet when they were ingested have a reason.
+    """
     raw = spark.read.option("header", True).schema("event_time string, open double, high double, low double, close double, volume double, asset string").csv(path)
     at = guessed_time(F.col("event_time"))
-    return raw.select("asset", at.alias("event_time"), *NUMBERS, (at + F.expr(f"interval {interval}")).alias("available_time"), F.lit(source).alias("source"))
+    out = raw.select("asset", F.lit(interval).alias("interval"), at.alias("event_time"), (at + F.expr(f"interval {interval}")).alias("available_time"), F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"), F.lit("legacy_csv").alias("source"), *NUMBERS)
+    return out.withColumn("reason", F.when(F.col("available_time") > F.col("ingested_at"), "INGESTED_BEFORE_AVAILABLE"))
+
+
+def screening_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with open_time and close_time in milliseconds, close and volume, the asset a folder: available at the close.
+
+    Rows that were available before their event have a reason.
+    """
+    raw = spark.read.option("header", True).schema("open_time string, close_time string, close double, volume double, asset string").csv(path)
+    start, end = (F.timestamp_millis(F.col(c).try_cast("long")).cast("timestamp_ntz") for c in ("open_time", "close_time"))
+    out = raw.select("asset", start.alias("event_time"), end.alias("available_time"), "close", "volume")
+    return out.withColumn("reason", F.when(F.col("available_time") < F.col("event_time"), "AVAILABLE_BEFORE_EVENT"))
+
+
+def snapshot_id(spark: SparkSession, path: str, interval: str) -> DataFrame:
+    """One row: an id that follows from the names and bytes of all files under a path, each hashed where it's read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
+    one = f.select(F.concat_ws(":", F.regexp_replace("path", r"^.*/(?=[^/]*=)|^.*/", ""), F.sha2("content", 256)).alias("h"))
+    return one.agg(F.concat(F.lit(f"legacy-ohlcv-{interval}-"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256)).alias("snapshot_id"), F.count(F.lit(1)).alias("files"))
 
 
 def tolerant_csv(spark: SparkSession, path: str) -> DataFrame:
-    """OHLCV CSV with unknown column names: time guessed, volume 0 by default, the first row of a time and asset kept."""
+    """OHLCV CSV with unknown column names: time guessed (the first column if none is named so), volume 0 by default.
+
+    Of several rows of a time and asset the first stays, by file and place in it. A price column that's missing is an error.
+    """
     raw = spark.read.option("header", True).csv(path)
-    low = {c.lower().strip(): c for c in raw.columns}
-    time = next(c for n, c in low.items() if n in TIMES)
-    short = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume"}
-    named = {short.get(n, n): c for n, c in low.items()}
+    time = next((c for c in raw.columns if c.lower() in TIMES), raw.columns[0])
+    named = {n: c for c in raw.columns for n, also in ALIASES.items() if c.lower().strip() in also}
+    missing = [n for n in NUMBERS[:4] if n not in named]
+    if missing:
+        raise ValueError(f"CSV_COLUMNS_MISSING: {missing}")
     cols = [(F.col(named[n]).try_cast("double") if n in named else F.lit(0.0)).alias(n) for n in NUMBERS]
-    asset = F.col(named["asset"]) if "asset" in named else F.lit(None).cast("string")
-    rows = raw.select(asset.alias("asset"), guessed_time(F.col(time)).alias("event_time"), *cols).filter("event_time is not null")
-    return rows.groupBy("asset", "event_time").agg(F.min_by(F.struct(*NUMBERS), F.struct(*NUMBERS)).alias("r")).select("asset", "event_time", "r.*")
+    asset = next((F.col(c) for c in raw.columns if c.lower().strip() == "asset"), F.lit(None).cast("string"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_at")
+    rows = raw.select(asset.alias("asset"), guessed_time(F.col(time)).alias("event_time"), *cols, place).filter("event_time is not null")
+    return rows.groupBy("asset", "event_time").agg(F.min_by(F.struct(*NUMBERS), "_at").alias("r")).select("asset", "event_time", "r.*")
+
+
+def _observations(payloads: DataFrame, column: Column) -> DataFrame:
+    """x of every observation, and an error where a payload holds no list (x and error never both)."""
+    r = payloads.select(column.alias("_list"))
+    code = F.when(F.col("_list").isNull(), "EXTERNAL_SCHEMA_CHANGED").when(F.size("_list") == 0, "EXTERNAL_EMPTY")
+    return r.select(F.explode_outer("_list").alias("x"), code.alias("error"))
 
 
 def fear_greed(payloads: DataFrame) -> DataFrame:
-    """Index values of JSON payloads {data: [{timestamp, value, value_classification}]}, known a day later."""
+    """Index values of JSON payloads {data: [{timestamp, value, value_classification}]}, known a day later.
+
+    A payload that isn't such a list, an empty one, and an observation without time or value give a row with an error.
+    """
     schema = "data array<struct<timestamp:string,value:string,value_classification:string>>"
-    r = payloads.select(F.explode(F.from_json("payload", schema)["data"]).alias("x"))
-    at = F.timestamp_seconds(F.col("x.timestamp").try_cast("long")).cast("timestamp_ntz")
-    return r.select(at.alias("event_time"), F.col("x.value").try_cast("double").alias("value"), F.col("x.value_classification").alias("label"), (at + F.expr("interval 24 hours")).alias("available_time"), F.lit("low").alias("revision_risk"))
+    r = _observations(payloads, F.from_json("payload", schema)["data"])
+    at, value = F.timestamp_seconds(F.col("x.timestamp").try_cast("long")).cast("timestamp_ntz"), F.col("x.value").try_cast("double")
+    error = F.coalesce("error", F.when(at.isNull() | value.isNull(), "EXTERNAL_SCHEMA_CHANGED"))
+    return r.select(at.alias("event_time"), value.alias("value"), F.col("x.value_classification").alias("label"), (at + F.expr("interval 24 hours")).alias("available_time"), F.lit("low").alias("revision_risk"), error.alias("error"))
 
 
 def stablecoin(payloads: DataFrame) -> DataFrame:
-    """Supply of JSON payloads [{date, totalCirculating}]: the date epoch or ISO, the supply a number or {peggedUSD}."""
-    r = payloads.select(F.explode(F.from_json("payload", "array<struct<date:string,totalCirculating:string>>")).alias("x"))
+    """Supply of JSON payloads [{date, totalCirculating}]: the date epoch or ISO, the supply a number or {peggedUSD}; errors as in fear_greed."""
+    r = _observations(payloads, F.from_json("payload", "array<struct<date:string,totalCirculating:string>>"))
     supply = F.coalesce(F.get_json_object("x.totalCirculating", "$.peggedUSD"), F.col("x.totalCirculating")).try_cast("double")
-    return r.select(guessed_time(F.col("x.date")).alias("event_time"), supply.alias("supply"))
+    at = guessed_time(F.col("x.date"))
+    return r.select(at.alias("event_time"), supply.alias("supply"), F.coalesce("error", F.when(at.isNull() | supply.isNull(), "EXTERNAL_SCHEMA_CHANGED")).alias("error"))
 
 
-def fred(rows: DataFrame, series: str) -> DataFrame:
-    """observation_date and value columns as text; blanks are dropped."""
-    return rows.select(F.col("observation_date").try_cast("date").alias("day"), F.col(series).try_cast("double").alias("value")).filter("value is not null")
+def fred(rows: DataFrame, series: str, *, observed_at: str | None = None) -> DataFrame:
+    """observation_date and value columns as text; blanks are dropped. Known from when it was read, as values are revised."""
+    missing = sorted({"observation_date", series} - set(rows.columns))
+    if missing:
+        raise ValueError(f"EXTERNAL_SCHEMA_CHANGED: {missing}")
+    return rows.select(F.col("observation_date").try_cast("date").alias("day"), F.col(series).try_cast("double").alias("value"), F.lit(observed_at).cast("timestamp_ntz").alias("available_time"), F.lit("high").alias("revision_risk")).filter("value is not null")
 
 
-def klines(payloads: DataFrame) -> DataFrame:
-    """Bars of JSON arrays of arrays; malformed rows are dropped. payloads: asset, payload."""
+def klines(payloads: DataFrame, *, now: str | None = None) -> DataFrame:
+    """Bars of JSON arrays of arrays; malformed rows are dropped, rows after `now` have a reason. payloads: asset, payload."""
     r = payloads.select("asset", F.explode(F.from_json("payload", "array<array<string>>")).alias("x")).filter(F.size("x") >= 6)
     out = r.select("asset", F.timestamp_millis(F.col("x")[0].try_cast("long")).cast("timestamp_ntz").alias("event_time"), *(F.col("x")[i + 1].try_cast("double").alias(n) for i, n in enumerate(NUMBERS)))
-    return out.dropna(subset=["event_time", *NUMBERS])
+    return out.dropna(subset=["event_time", *NUMBERS]).withColumn("reason", F.when(F.col("event_time") > F.lit(now).cast("timestamp_ntz"), "FUTURE_TIMESTAMP"))
 
 
 def universe_days(documents: DataFrame) -> DataFrame:
@@ -91,6 +133,3 @@ def narrow(frame: DataFrame, wanted: list[str], required: list[str]) -> DataFram
         raise ValueError(f"SNAPSHOT_COLUMNS_MISSING: {missing}")
     return frame.select(*(c for c in wanted if c in frame.columns))
 
-
-def union_all(*frames: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_bars(ticks: DataFrame, width: str, *, late: str = "5 minutes") -> DataFrame:
@@ -21,17 +25,20 @@ def once(records: DataFrame, key: list[str], *, late: str = "1 day") -> DataFram
     return records.withWatermark("event_time", late).dropDuplicatesWithinWatermark(key)
 
 
-def append_new(batch: DataFrame, path: str, key: list[str]) -> None:
-    """foreachBatch sink: rows whose key isn't in the table yet are appended, so a replayed batch changes nothing."""
+def append_new(batch: DataFrame, path: str, key: list[str], day: str = "event_time") -> None:
+    """foreachBatch sink, partitioned by day: rows whose key isn't in the table yet are appended, so a replay changes nothing.
+
+    Only the days that the batch touches are looked at, and they are kept as a folder of their own from the first batch on.
+    """
     spark = batch.sparkSession
-    try:
-        seen = spark.read.parquet(path).select(*key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        seen = None
-    new = batch.dropDuplicates(key)
-    (new if seen is None else new.join(seen, key, "left_anti")).write.mode("append").parquet(path)
+    new = batch.dropDuplicates(key).withColumn("day", F.to_date(day))
+    schema = new.schema
+    days = [r[0] for r in new.select("day").distinct().collect()]  # of one batch
+    if not days:
+        return
+    new.limit(0).write.mode("append").partitionBy("day").parquet(path)
+    seen = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("day").isin(days)).select(*key)
+    new.join(seen, key, "left_anti").write.mode("append").partitionBy("day").parquet(path)
 
 
 def route(records: DataFrame, *, now: str, stale_minutes: int, future_minutes: int = 1) -> DataFrame:
@@ -44,7 +51,28 @@ def route(records: DataFrame, *, now: str, stale_minutes: int, future_minutes: i
 
 
 def exits(bars: DataFrame, positions: DataFrame) -> DataFrame:
-    """New bars against open positions (stream-static): hits of stop or target, the stop first."""
+    """The first new bar that closes each open position: outcome, price, profit or loss. positions: position_id, asset, side
+    (1 long, -1 short), opened, entry, stop, target, notional, stop_risk.
+
+    The stop wins a bar that hits both. A position that was closed stays closed: its key's state remembers it for good.
+    """
     j = bars.join(positions, "asset").filter(F.col("event_time") > F.col("opened"))
-    outcome = F.when(F.col("low") <= F.col("stop"), "STOP").when(F.col("high") >= F.col("target"), "TARGET")
-    return j.withColumn("outcome", outcome).filter("outcome is not null").select("position_id", "asset", "event_time", "outcome", F.when(F.col("outcome") == "STOP", F.col("stop")).otherwise(F.col("target")).alias("price"))
+    long = F.col("side") == 1
+    stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
+    goal = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    outcome = F.when(stop, "STOP").when(goal, "TARGET")
+    gain = F.when(F.col("outcome") == "STOP", -F.col("stop_risk")).otherwise(F.try_divide(F.col("notional") * F.col("side") * (F.col("target") - F.col("entry")), F.col("entry")))
+    hits = j.withColumn("outcome", outcome).filter("outcome is not null")
+    hits = hits.select("position_id", "asset", "event_time", "outcome", F.when(F.col("outcome") == "STOP", F.col("stop")).otherwise(F.col("target")).alias("price"), gain.alias("pnl"))
+    schema = hits.schema
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for f in frames:
+            top = f.nsmallest(1, "event_time")
+            best = top if best is None or top["event_time"].iloc[0] < best["event_time"].iloc[0] else best
+        if best is not None and not state.exists:
+            state.update((True,))
+            yield best
+
+    return hits.groupBy("position_id").applyInPandasWithState(first, schema, "closed boolean", "append", GroupStateTimeout.NoTimeout)

@@ -49,4 +49,6 @@ def test_equals_sql(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).columns
+    """Queries without SQL are computed in full; tests/test_operators.py holds what they compute."""
+    got = QUERIES[name](spark, small).toPandas()
+    assert len(got) and sorted(got.columns) and not got.isna().all().any()
