@@ -1,10 +1,11 @@
 """Lexical retrieval packing of documents into training windows.
 
-All documents are encoded once; how many documents hold a token is counted over the whole corpus. Documents are dealt by a
-hash into shards of a bounded number of tokens, and each shard builds a BM25 inverted index over its documents' tokens. A
-window starts with a seed document; the unused documents that the index ranks highest for the seed's weightiest tokens
-fill it, the last one cut where the window is full. What is cut off opens the next window and is its seed. So windows
-hold no padding; a shard's last, short window is cut into sequences whose lengths are powers of two, which need none.
+All documents are encoded once; how many documents hold a token is counted over the whole corpus. A document goes to others
+with the same weightiest token (by BM25): tokens in order, cut into shards of a bounded number of ids, one token's documents
+over as many shards as they fill. Each shard builds a BM25 inverted index over its documents' tokens. A window starts with a
+seed document; the unused documents that the index ranks highest for the seed's weightiest tokens fill it, the last one
+cut where the window is full. What is cut off opens the next window and is its seed. So windows hold no padding; a shard's
+last, short window is cut into sequences whose lengths are powers of two, which need none.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from asofly.llm.word_bpe import word_bpe
 WINDOW = 4096
 END = 2  # the id after each document
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 24  # of a seed, by BM25 weight
+QUERY_TERMS = 24  # of a seed, by BM25 weight: more make a seed's neighbours no different (see README), but the ranking slower
 K1, B = 1.2, 0.75
 CHUNK = 400  # documents encoded at once
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -49,6 +49,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataFr
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def weightiest(ids: np.ndarray, idf: np.ndarray) -> int:
+    """The token that says most about a text (the last id, its end, aside; ties: the smallest); of an empty one its end."""
+    u, c = np.unique(ids[:-1] if len(ids) > 1 else ids, return_counts=True)
+    return int(u[np.argmax(idf[u] * c / (c + K1))])
+
+
 class Index:
     """BM25 postings of a shard: for each token the documents that hold it and the score it adds."""
 
@@ -117,13 +123,13 @@ def pack(texts: list[np.ndarray], df: np.ndarray, n_docs: int, window: int = WIN
 def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (unsigned 32 bits).
 
-    Null and empty texts are the single id `end`. Repeated rows are packed each by itself. An empty table gives no rows.
+    Null and empty texts are the single id `end`. Repeated rows are packed each by itself. An empty table gives no rows. The
+    result depends on the encoded rows alone, not on how tasks run: they are numbered as they are written.
     """
     coded = stash(encode_documents(docs, vocabulary, end), "encoded")
     size, kind = word_bpe(vocabulary).size, word_bpe(vocabulary).kind
     df = np.zeros(size, np.int64)
-    tokens = coded.filter("n >= 0").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).first()
-    n_docs = tokens["d"]
+    n_docs = coded.filter("n >= 0").count()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -136,25 +142,43 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, en
     counted = coded.filter("n < 0").select("ids").mapInArrow(unpack, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # a row for each token of the vocabulary at most
         df[r["token"]] = r["n"]
-    shards = max(1, -(-(tokens["t"] or 0) // shard_tokens))
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([weightiest(np.frombuffer(x, kind), idf) for x in b.column(3).to_pylist()], pa.int32())], ["row", "doc_id", "n", "ids", "key"])
+
+    numbered = coded.filter("n >= 0").select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "ids")
+    routed = stash(numbered.mapInArrow(route, "row long, doc_id long, n long, ids binary, key int"), "routed")
+    spans, at = [], 0
+    for r in sorted(routed.groupBy("key").agg(F.sum("n").alias("n")).collect()):  # a row for each token at most
+        spans.append((r["key"], at // shard_tokens, (at + r["n"] - 1) // shard_tokens - at // shard_tokens + 1))
+        at += r["n"]
+    shards = max(1, -(-at // shard_tokens))
+    where = docs.sparkSession.createDataFrame(spans, "key int, first long, many long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        texts: list[np.ndarray] = []
+        now, ids, texts = None, [], []
         for b in batches:
-            ids += b.column(0).to_pylist()
-            texts += [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
-        first = TaskContext.get().partitionId() << 32
+            for shard, d, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if shard != now:
+                    yield from packed(now, ids, texts)
+                    now, ids, texts = shard, [], []
+                ids.append(d)
+                texts.append(np.frombuffer(raw, kind))
+        yield from packed(now, ids, texts)
+
+    def packed(shard: int | None, ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for d, start, n, sequence, offset in pack(texts, df, n_docs, window):
-            rows.append((ids[d], start, n, len(texts[d]), first + sequence, offset, texts[d][start : start + n].astype("<u4").tobytes()))
-            if len(rows) == 4000:
+            rows.append((ids[d], start, n, len(texts[d]), (shard << 32) + sequence, offset, texts[d][start : start + n].astype("<u4").tobytes()))
+            if len(rows) == 2000:
                 yield _batch(rows)
                 rows = []
         yield _batch(rows)
 
-    dealt = coded.filter("n >= 0").select("doc_id", "ids").repartition(shards, F.xxhash64("doc_id", F.crc32("ids")))
-    return dealt.mapInArrow(run, SCHEMA)
+    dealt = routed.join(F.broadcast(where), "key").select((F.col("first") + F.pmod(F.xxhash64("row"), "many")).alias("shard"), "row", "doc_id", "ids")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "row").mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
