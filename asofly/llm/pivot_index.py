@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from asofly.llm.common import bounded_batches, keep_ids, stash
 from asofly.llm.components import connected_components
 
-NEAREST = 6  # pivots that describe a vector
+NEAREST = 8  # pivots that describe a vector
 SHARED = 2  # pivots that a candidate pair has in common
-PIVOTS = (32, 1024)  # fewest and most; the square root of the number of vectors between
+PIVOTS = (32, 4096)  # fewest and most; the square root of the number of vectors between
 DRAWN = 4  # vectors drawn for each pivot
 APART = 0.5  # cosine that no two pivots reach
 CELL = 1024  # vectors of a list that are compared in one place
@@ -49,13 +49,14 @@ def describe(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.nd
 
 def spread(x: np.ndarray, n: int) -> np.ndarray:
     """The first n unit vectors at most that have a cosine under APART with all that stay before them."""
-    kept = np.zeros((0, x.shape[1]))
+    kept, m = np.zeros((n, x.shape[1])), 0
     for u in x:
-        if len(kept) == n:
+        if m == n:
             break
-        if not (kept @ u >= APART).any():
-            kept = np.vstack([kept, u])
-    return kept
+        if not (kept[:m] @ u >= APART).any():
+            kept[m] = u
+            m += 1
+    return kept[:m]
 
 
 def candidates(near: list[list[int]], shared: int) -> np.ndarray:
@@ -73,7 +74,7 @@ def _prepare(pivots: dict[int, np.ndarray]):
             for i in range(0, len(whole), 2000):
                 b = whole.slice(i, 2000)
                 out: list[list] = [[], [], [], [], []]
-                for values, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for values, label in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     x = valid_vector(values) if label is not None else None
                     row = [None, None, None, None, None]
                     if x is not None:
@@ -84,7 +85,7 @@ def _prepare(pivots: dict[int, np.ndarray]):
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["vec_id", "label", "dim", "h1", "h2", "near", "unit"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["row", "vec_id", "label", "dim", "h1", "h2", "near", "unit"])
 
     return run
 
@@ -161,18 +162,22 @@ def choose_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, shared: int = SHARED) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; only vectors of one label and dimension link.
 
-    n_links counts the other vectors linked directly; component_id is the smallest vec_id reachable; kept: it's that one.
-    Vectors that are null, empty, zero, or have null or non-finite parts, and those without a label, link with nothing.
+    n_links counts the other rows linked directly, component_id is the smallest vec_id reachable; kept: it's that one. Every
+    row is a node: rows that repeat a vector link with each other, whatever their ids. Labels of any type need only be equal.
+    Vectors that are null, empty, zero, or have null or non-finite parts, and those without a label, link with nothing. Null
+    ids link like others; a component without any id has a null component_id. An empty table gives an empty result, other
+    columns are ignored.
     """
-    source = bounded_batches(vectors).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    source = bounded_batches(vectors).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     count = source.count()
     pivots = choose_pivots(source, int(min(max(count**0.5, PIVOTS[0]), PIVOTS[1])))
-    rows = stash(source.mapInArrow(_prepare(pivots), "vec_id long, label long, dim int, h1 long, h2 long, near array<int>, unit binary"), "vectors")
+    # Rows are numbered once, as they are written: ids may be missing or repeated.
+    numbered = source.select(F.monotonically_increasing_id().alias("row"), "*")
+    rows = stash(numbered.mapInArrow(_prepare(pivots), "row long, vec_id long, label string, dim int, h1 long, h2 long, near array<int>, unit binary"), "vectors")
     same = ["label", "dim", "h1", "h2"]
-    classes = stash(rows.filter("dim is not null and vec_id is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
-    reps = keep_ids(rows.filter("dim is not null"), classes.select(F.col("rep").alias("vec_id")), "vec_id")
-    reps = reps.join(classes.select(F.col("rep").alias("vec_id"), "m"), "vec_id")
-    listed = reps.select("label", "dim", F.explode("near").alias("pivot"), F.col("vec_id").alias("rep"), "m", "near", "unit")
+    classes = stash(rows.filter("dim is not null").groupBy(*same).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("low")), "classes")
+    reps = keep_ids(rows.filter("dim is not null").withColumnRenamed("row", "rep"), classes.select("rep"), "rep").join(classes.select("rep", "m"), "rep")
+    listed = reps.select("label", "dim", F.explode("near").alias("pivot"), "rep", "m", "near", "unit")
     sizes = reps.select("label", "dim", F.explode("near").alias("pivot")).groupBy("label", "dim", "pivot").count()
     sizes = sizes.select("label", "dim", "pivot", F.ceil(F.col("count") / CELL).cast("int").alias("g"))
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct((F.least("own", j) * F.col("g") + F.greatest("own", j)).alias("at"), (F.col("own") != j).alias("cross")))
@@ -184,7 +189,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, shared: int
     found = stash(grid.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_links(threshold, shared), "rep long, n long, root long"), "links")
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = classes.join(counts, "rep", "left").join(comps, "rep", "left")
-    named = named.select(*same, (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.join(counts, "rep", "left").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("low").alias("least"))
+    named = named.join(least, "component").select(*same, (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "least", F.lit(True).alias("known"))
     out = rows.select("vec_id", *same).join(named, same, "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("known"), F.col("least")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
