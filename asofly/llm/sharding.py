@@ -2,7 +2,7 @@
 
 Documents with equal text form a group, and a group goes to one shard as long as it is small. Groups are first hashed
 into a fixed number of tiles, so what is packed has a fixed bound however large the corpus is; a group that holds more
-than a tile's share of the bytes, tokens or rows is dealt by document id into several tiles of its own. Tiles are placed,
+than a tile's share of the bytes, tokens or rows is dealt row by row into several tiles of its own. Tiles are placed,
 largest first, on the shard whose residual capacity has the highest dot product with the tile's (bytes, tokens, rows).
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from asofly.llm.common import stash
 
 OVERHEAD = 8  # bytes a row costs besides its text
+PIECE = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # what subword tokenizers cut a text into beforehand: counted as tokens
 
 
 def pack_vectors(items: np.ndarray, bins: int, weights=(2.0, 1.0, 1.0)) -> np.ndarray:
@@ -49,7 +50,8 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, tiles: int = 8192, id_
             (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("grp"),
-            F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"),
+            F.regexp_count(text, F.lit(PIECE)).cast("long").alias("tokens"),
+            F.monotonically_increasing_id().alias("row"),  # fixed as it's written
         ),
         "shard-rows",
     )
@@ -59,7 +61,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, tiles: int = 8192, id_
     hot = rows.groupBy("grp").agg(*sums).select("grp", F.ceil(share).alias("parts")).filter("parts > 1")  # 3 x tiles at most
     dealt = rows.join(F.broadcast(hot), "grp", "left").withColumn(
         "tile",
-        F.when(F.col("parts").isNull(), F.pmod("grp", F.lit(tiles))).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("doc_id"), "parts"))),
+        F.when(F.col("parts").isNull(), F.pmod("grp", F.lit(tiles))).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("row"), "parts"))),
     )
     # At most `tiles` plain tiles and 6 x tiles parts of hot groups, so this fits the driver at any input size.
     found = sorted(dealt.groupBy("tile").agg(*sums).collect(), key=lambda r: r["tile"])
@@ -69,7 +71,7 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, tiles: int = 8192, id_
         where.append((r["tile"], s, base[s]))
         base[s] += r["n"]
     spots = docs.sparkSession.createDataFrame(where, "tile long, shard int, base long")
-    turn = F.row_number().over(Window.partitionBy("tile").orderBy("doc_id", "text_crc32"))
+    turn = F.row_number().over(Window.partitionBy("tile").orderBy("doc_id", "row"))
     return (
         dealt.withColumn("turn", turn)
         .join(F.broadcast(spots), "tile")
