@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from asofly.llm.common import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea noscript iframe template svg canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that hold no article text, wherever they stand.
 OUTSIDE = frozenset("nav footer aside form button select menu dialog datalist fieldset head option optgroup".split())
 INSIDE = frozenset(("article", "main"))
@@ -120,6 +120,8 @@ def blocks(page: str) -> list[Block]:
                 if tag not in INLINE:
                     flush()
             continue
+        if tag == "svg" and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
             at = len(page) if end is None else end.end()
@@ -149,7 +151,9 @@ def blocks(page: str) -> list[Block]:
             odds, inside = 3.0 + max(more, 0.0), True
         else:
             odds += more
-        if tag in OUTSIDE or hidden or tag == "header" and not inside:
+        if tag == "form" and holds_article(page, at):
+            odds -= 1
+        elif tag in OUTSIDE or hidden or tag == "header" and not inside:
             never = True
         elif tag == "header":
             odds -= 1
@@ -159,6 +163,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def holds_article(page: str, at: int) -> bool:
+    """Whether the form that opens before `at` is wrapped round a page's main part instead of asking for something."""
+    end = page.lower().find("</form", at)
+    inner = page[at : end if end >= 0 else len(page)]
+    return re.search(r"<(?:article|main)\b", inner, re.I) is not None or len(re.findall(r"<p[\s>]", inner, re.I)) >= 3
+
+
 def log_odds(b: Block) -> float:
     """The classifier: positive if a block looks like article text."""
     words = b.text.count(" ") + 1
@@ -222,23 +233,28 @@ def max_flow_side(n: int, caps: list[float], ties: list[tuple[int, int, float]])
                 cap[e ^ 1] += least
 
 
-def label(found: list[Block]) -> list[bool]:
-    """Which blocks are content: the minimum cut of log-odds and ties."""
-    n = len(found)
-    unary = [log_odds(b) for b in found]
-    ties: list[tuple[int, int, float]] = []
+def ties(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Pairs of blocks that lie near each other, and what it costs to label them differently."""
+    out: list[tuple[int, int, float]] = []
     last: dict[tuple[int, str], int] = {}
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
             near = 1.5 if a.parent == b.parent or a.up == b.up and a.tag == b.tag else 1.2 if a.up == b.up and a.tag in HEADS else 0.3 if a.up == b.up else 0.1
-            ties.append((i - 1, i, near))
+            out.append((i - 1, i, near))
         j = last.get((b.up, b.tag))
         if j is not None and j != i - 1:
-            ties.append((j, i, 1.0))
+            out.append((j, i, 1.0))
         last[b.up, b.tag] = i
+    return out
+
+
+def label(found: list[Block]) -> list[bool]:
+    """Which blocks are content: the minimum cut of log-odds and ties."""
+    n = len(found)
+    unary, pairs = [log_odds(b) for b in found], ties(found)
     pull = [0.0] * n
-    for u, v, c in ties:
+    for u, v, c in pairs:
         pull[u] += c
         pull[v] += c
     side: list[bool | None] = [u > 0 if abs(u) > p else None for u, p in zip(unary, pull, strict=True)]
@@ -253,7 +269,7 @@ def label(found: list[Block]) -> list[bool]:
         return x
 
     inner = []
-    for u, v, c in ties:
+    for u, v, c in pairs:
         if side[u] is None and side[v] is None:
             parent[root(u)] = root(v)
             inner.append((u, v, c))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from asofly.llm import html_mincut, parity_join, pivot_index, queries, toxicity
+from asofly.llm import html_mincut, packing, parity_join, pivot_index, queries, toxicity
 from asofly.llm.common import table
 from asofly.llm.components import connected_components
 from asofly.llm.decontamination import bound, contaminated, drop_contaminated, locate
@@ -94,6 +94,68 @@ def test_doubled_stretched_and_spaced_words_are_restored():
         assert s.score(t) < 0.7, t
 
 
+def test_viterbi_equals_enumeration():
+    """The decoded word is the likeliest of all readings of a short token."""
+    counts = np.zeros(toxicity.N**3, np.int64)
+    for w in b"the idiot is a loser and a lost soul so it is ".split():
+        counts += 50 * toxicity.trigram_counts(b" " + w + b" ")
+    model = toxicity.CharModel(counts)
+
+    def readings(token):
+        best: dict = {}
+
+        def go(i, a, b, last, p, word):
+            if i == len(token):
+                best[word] = max(best.get(word, -1e9), p + model.logp[a][b][0])
+                return
+            c = token[i]
+            reads = [(c, 0.0)] if c in toxicity.LETTERS else [(x, toxicity.READ) for x in toxicity.SIGNS.get(c, "")]
+            for x, q in reads:
+                k = toxicity.LETTERS.find(x) + 1
+                go(i + 1, b, k, c, p + q + model.logp[a][b][k], word + x)
+            if not reads or c in toxicity.SIGNS or c in toxicity.BETWEEN:
+                go(i + 1, a, b, last, p + (toxicity.SKIP if c in toxicity.BETWEEN else toxicity.DROP), word)
+            if last == c and reads:
+                go(i + 1, a, b, last, p + toxicity.FOLD, word)
+
+        go(0, 0, 0, "", 0.0, "")
+        return best
+
+    for token in ["l0ser", "1d10t", "i-d.i", "sooul", "10$t", "|tt", "a!!b"]:
+        all_ = readings(token)
+        assert all_[model.decode(token)] == pytest.approx(max(all_.values())), token
+
+
+def test_decoding_gains_on_texts_disguised_on_purpose():
+    rng = random.Random(11)
+    words = "idiot loser stupid moron pathetic worthless".split()
+    counts = np.zeros(toxicity.N**3, np.int64)
+    for w in [*words, *"the and with some other words that people write all day in their letters".split()]:
+        counts += 100 * toxicity.trigram_counts(b" " + w.encode() + b" ")
+    s = toxicity.Scorer({f"={w}": 0.99 for w in words}, counts, 0.01)
+    leet = {"i": "1!|", "o": "0", "e": "3", "a": "4@", "s": "5$", "t": "7+"}
+
+    def disguised(w):
+        how = rng.randrange(5)
+        if how == 0:
+            return "".join(rng.choice(leet[c]) if c in leet and rng.random() < 0.7 else c for c in w)
+        if how == 1:
+            return rng.choice(".-_*!|").join(w)
+        if how == 2:
+            return "".join(c * rng.choice([1, 1, 2, 5]) for c in w)
+        if how == 3:
+            return " ".join(w)
+        return "".join(rng.choice(leet[c]) if c in leet and rng.random() < 0.5 else c for c in w).upper() + "!!"
+
+    texts = [f"the other day you {disguised(rng.choice(words))} write letters" for _ in range(300)]
+    plain_hits = sum(any(f"={w}" in s.evidence for w in re.findall(r"\w+", t.lower())) for t in texts)
+    hits = sum(s.score(t) >= 0.7 for t in texts)
+    assert hits > 0.93 * 300 and plain_hits < 0.4 * 300, (hits, plain_hits)
+    assert not any(s.score(t) >= 0.7 for t in ["some other words that people write", "a b c d e f g", "1 2 3 4 5 6", "$100 + 5% = ok", "so - it - goes"])
+    for t in ["i d1ot", "i!d!i!o!t", "i|d|i|o|t", "w o r t h l e s s", "i" + "." * 4 + "d" + "-" * 30 + "i....o....t"]:
+        assert s.score(t) > 0.7, t
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").filter("held_out").toPandas()
@@ -204,6 +266,43 @@ def test_packing_prefers_lexical_neighbours(spark):
     assert np.mean(same) > 0.8
 
 
+def test_shards_hold_related_documents_and_do_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    topics = [[f"{a}{rng.choice('bdfgklm')}{rng.choice('aeiou')}{i}" for i in range(30)] for a in "pqrstvwxyz"]
+    rows = [(i, " ".join(rng.choices(topics[i % 10], k=80))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = pack_documents(frame, VOCAB, shard_tokens=20_000).collect()
+    check_packing(pieces, dict(rows))
+    own: dict = {}
+    for r in pieces:
+        own.setdefault(r.sequence_id, []).append(r.doc_id % 10)
+    same = np.mean([max(map(x.count, set(x))) / len(x) for x in own.values() if len(x) > 3])
+    assert same > 0.5  # by chance it would be about a fifth
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = pack_documents(frame, VOCAB, shard_tokens=20_000).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.doc_id, r.start, r.sequence_id, r.offset) for r in pieces) == sorted((r.doc_id, r.start, r.sequence_id, r.offset) for r in again)
+
+
+def test_bm25_ranks_as_the_plain_formula():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40, int(rng.integers(5, 30))) for _ in range(25)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=40)
+    index, mean = packing.Index(texts, df, 25), np.mean([len(t) for t in texts])
+
+    def score(q, d):
+        total = 0.0
+        for t in set(q.tolist()):
+            tf = int((d == t).sum())
+            total += np.log1p((25 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) if tf else 0.0
+        return total
+
+    for q in range(25):  # queries of fewer tokens than the limit
+        want = [score(texts[q], d) for d in texts]
+        got = index.ranked(q, np.zeros(25, bool))
+        assert sorted(got.tolist()) == [i for i, s in enumerate(want) if s > 0] and np.all(np.diff([want[i] for i in got]) <= 1e-9)
+
+
 # --- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -273,12 +372,46 @@ def test_flow_finds_the_cheapest_labelling():
         assert cost(html_mincut.max_flow_side(n, caps, ties)) == pytest.approx(best)
 
 
-def test_settled_blocks_do_not_change_the_cut():
-    rng = random.Random(6)
-    for _ in range(40):
-        found = [html_mincut.Block("word " * rng.randint(1, 30) + ".", 0, 100, rng.choice([-3, 0, 2]), False, "p", i, rng.randint(0, 2)) for i in range(rng.randint(1, 9))]
+def test_labels_cost_as_little_as_any_labelling():
+    """Blocks settled beforehand and the flow on the rest together: the cheapest of all 2^n labellings."""
+    rng, moved = random.Random(6), 0
+    for _ in range(60):
+        found = [html_mincut.Block("word " * rng.randint(1, 30) + ".", 0, 100, rng.choice([-3, 0, 0, 2]), False, rng.choice("pd"), rng.randint(0, 2), rng.randint(0, 2)) for _ in range(rng.randint(1, 9))]
+        caps, ties = [html_mincut.log_odds(b) for b in found], html_mincut.ties(found)
+
+        def cost(side):
+            return sum(max(c, 0) * (not s) + max(-c, 0) * s for c, s in zip(caps, side, strict=True)) + sum(c for u, v, c in ties if side[u] != side[v])
+
         side = html_mincut.label(found)
-        assert len(side) == len(found)
+        assert cost(side) == pytest.approx(min(cost([bool(m >> i & 1) for i in range(len(found))]) for m in range(1 << len(found))))
+        moved += sum((c > 0) != s for c, s in zip(caps, side, strict=True))
+    assert moved > 10  # the cut isn't just the sign of the costs
+
+
+def test_the_cut_overrules_the_classifier_for_the_better():
+    """A page without semantic elements: short answers between long paragraphs, short sentences in a list of links."""
+    long = "This paragraph is long enough, and it has sentences. It goes on for a while, as they do. It ends here."
+    page = f"<body><div><a href=a>Home</a></div><div><p>{long}</p><p>Yes, really.</p><p>{long}</p><p>No.</p><p>{long}</p></div><div><a href=b>More of this</a><a href=c>And more</a></div></body>"
+    found = html_mincut.blocks(page)
+    alone = " ".join(b.text for b in found if html_mincut.log_odds(b) > 0)
+    assert "No." not in alone and "Yes" not in alone
+    assert html_mincut.main_text(page) == f"{long} Yes, really. {long} No. {long}"
+
+
+def test_what_a_page_may_hold_besides():
+    p = "<p>One sentence of the article, long enough. Another one follows it here.</p>"
+    assert html_mincut.main_text(f"<article>{p}<svg viewBox='0 0 1 1'/>{p}</article>").count("Another") == 2
+    assert "x 2" in html_mincut.main_text(f"<article><p>The sum is <math><mi>x</mi> <mn>2</mn></math>, as it was said before. So it goes on.</p>{p}</article>")
+    assert html_mincut.main_text(f"<form action=x><div><article>{p}</article></div></form>").count("Another") == 1
+    assert html_mincut.main_text(f"<article>{p}<form>Your name please, so that we can write to you. Thank you.</form></article>").count("name") == 0
+
+
+def test_pages_odd(spark):
+    rows = [(1, "u", None), (1, "u", None), (None, None, ""), (2, "v", "<p>" + "Long text, with words. " * 20000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    got = html_mincut.extract_pages(frame).collect()
+    assert sorted(r.n_chars for r in got)[:3] == [0, 0, 0] and len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
+    assert html_mincut.extract_pages(frame.limit(0)).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site name</h1></header>
@@ -472,6 +605,27 @@ def test_recall_in_a_crowd_with_many_pivots(spark):
     assert 0.95 * link.sum() < found <= link.sum()
 
 
+@pytest.mark.parametrize("pivots", [64, 512, 2048])
+def test_recall_at_the_threshold_by_number_of_pivots(pivots):
+    """Pairs at a cosine of just 0.93, 64 dimensions: at least 0.97 are candidates at every size of the index."""
+    rng = np.random.default_rng(pivots)
+    points = pivot_index.spread(pivot_index.unit(rng.normal(size=(4 * pivots, 64))), pivots)
+    a = pivot_index.unit(rng.normal(size=(600, 64)))
+    o = rng.normal(size=a.shape)
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * pivot_index.unit(o - (o * a).sum(axis=1, keepdims=True) * a)
+    near = [pivot_index.describe(x, points).tolist() for x in (a, b)]
+    assert np.mean([pivot_index.candidates([x, y], pivot_index.SHARED)[0, 1] for x, y in zip(*near, strict=True)]) > 0.97
+
+
+def test_repeated_vectors_and_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b"), (None, [1.0, 0.02], "b"), (5, [0.0, 1.0], "a"), (1, [0.0, 1.0], "b")]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<double>, label string").withColumn("rep", F.lit(1)).withColumn("near", F.lit(1))
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in near_duplicates(frame).collect())
+        assert got == [(0, 1, 3), (1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (5, 0, 5)]
+    assert near_duplicates(frame.limit(0)).count() == 0
+
+
 def test_pivot_index_recall_and_components(spark):
     rng = np.random.default_rng(9)
     rows, n = [], 0
