@@ -1,7 +1,8 @@
 """As-of joins: what was known at a bar's time, and never later.
 
-Both sides are stacked and sorted once per key; the last auxiliary row at or before each bar is carried along by a running
-window. That is one exchange and one sort, with no range join.
+Both sides are stacked and sorted per key and block of time; the last auxiliary row at or before each bar is carried along by
+a running window, and into a block from the last row of the blocks before it. No range join, and no task holds a key's whole
+history.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(bars: DataFrame, aux: DataFrame, *, on: str = "available_time", by: list[str] | None = None, columns: list[str] | None = None, prefix: str = "aux_", tie: str | None = None) -> DataFrame:
+def asof_join(bars: DataFrame, aux: DataFrame, *, on: str = "available_time", by: list[str] | None = None, columns: list[str] | None = None, prefix: str = "aux_", tie: str | None = None, block_days: int = 30) -> DataFrame:
     """Bars with the latest auxiliary row at or before their time; equal times match.
 
-    by: columns that must be equal. columns: auxiliary ones to take (default: all others). The matched row's time comes as
+    block_days: how much of a key's history one task sorts. by: columns that must be equal. columns: auxiliary ones to take (default: all others). The matched row's time comes as
     `<prefix><on>`. Among auxiliary rows of one time, the one with the highest tie column wins. Bars without a match keep
     nulls; the number of bars doesn't change.
     """
@@ -23,9 +24,17 @@ def asof_join(bars: DataFrame, aux: DataFrame, *, on: str = "available_time", by
     columns = columns or [c for c in aux.columns if c not in (on, *by)]
     right = aux.select(*by, F.col(on).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(on).alias("_on"), *columns).alias("_aux"), (F.col(tie) if tie else F.lit(0)).cast("string").alias("_tie"))
     left = bars.select(*by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit("").alias("_tie"), F.struct(*bars.columns).alias("_bar"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_got", F.last("_aux", ignorenulls=True).over(w)).filter("_side = 1")
+    block = F.floor(F.unix_timestamp(F.col("_t").cast("timestamp")) / (block_days * 86400)).alias("_k")
+    both = left.unionByName(right, allowMissingColumns=True).select("*", block)
+    w = Window.partitionBy(*by, "_k").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumn("_in", F.last("_aux", ignorenulls=True).over(w)).filter("_side = 1")
+    ends = both.groupBy(*by, "_k").agg(F.max_by("_aux", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_end"))  # a row for each block
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_k").alias("_by_k"), before.alias("_carry")).filter("_carry is not null")
+    same = F.col("_k") == F.col("_by_k")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    carried = within.join(ends, same, "left").withColumn("_got", F.coalesce("_in", "_carry"))
     taken = [F.col(f"_got.{c}").alias(c) for c in columns]
     return carried.select("_bar.*", F.col("_got._on").alias(f"{prefix}{on}"), *taken)
 

@@ -40,6 +40,19 @@ def test_asof_sees_equal_times_and_never_later_ones(spark):
     assert list(got.values()) == [None, 2.0, 2.0]
 
 
+def test_asof_carries_rows_over_blocks(spark):
+    rng = np.random.default_rng(9)
+    at = lambda: T0 + timedelta(hours=int(rng.integers(0, 24 * 200)))
+    bars = [(rng.choice(["a", "b", None]), at(), i) for i in range(300)]
+    aux = [(rng.choice(["a", "b"]), at(), float(i)) for i in range(25)]
+    b = spark.createDataFrame([(None if k is None else str(k), t, n) for k, t, n in bars], "asset string, available_time timestamp_ntz, n int")
+    f = spark.createDataFrame([(str(k), t, v) for k, t, v in aux], "asset string, available_time timestamp_ntz, rate double")
+    want = {n: (sorted((u, str(v)) for a, u, v in aux if a == k and u <= t) or [(None, None)])[-1][0] for k, t, n in bars}
+    for days in (1, 7, 1000):
+        got = {r.n: r.aux_available_time for r in asof.asof_join(b, f, by=["asset"], block_days=days).collect()}
+        assert got == want
+
+
 def test_asof_empty_sides(spark):
     b = spark.createDataFrame([], "asset string, available_time timestamp_ntz")
     f = spark.createDataFrame([("a", T0, 1.0)], "asset string, available_time timestamp_ntz, rate double")
