@@ -28,7 +28,7 @@ PATTERNS = {
 }
 AROUND = 5  # words on either side of a mention that may disclose it
 REACH = 120  # characters in which they are sought
-WORD = r"\p{L}{4,}"
+WORD = r"\p{L}{2,}"  # how common a word is settles whether it says anything, not its length
 SUPPORT = 3  # distinct texts in which a term stands by an entity, at least
 GENERALISE, REMOVE = 0.75, 0.9  # of PMI / IC
 SPAN = "start:int,ord:int,end:int,kind:string"
@@ -77,8 +77,11 @@ def _near(text: Column, span: Column) -> Column:
     """Distinct words, in lower case, on either side of a span."""
     low = F.greatest(span["start"] - REACH, F.lit(0))
     clean = lambda x: F.regexp_replace(F.lower(x), r"\S*[@0-9]\S*", " ")  # noqa: E731  no parts of other identifiers
-    left = F.regexp_extract_all(clean(F.substring(text, low + 1, span["start"] - low)), F.lit(WORD), F.lit(0))
-    right = F.regexp_extract_all(clean(F.substring(text, span["end"] + 1, F.lit(REACH))), F.lit(WORD), F.lit(0))
+    before, after = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(REACH))
+    before = F.when(low > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # no word that the reach cuts
+    after = F.when(F.length(text) > span["end"] + REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    left = F.regexp_extract_all(clean(before), F.lit(WORD), F.lit(0))
+    right = F.regexp_extract_all(clean(after), F.lit(WORD), F.lit(0))
     left = F.when(F.size(left) > AROUND, F.slice(left, -AROUND, AROUND)).otherwise(left)
     return F.array_distinct(F.concat(left, F.slice(right, 1, AROUND)))
 
