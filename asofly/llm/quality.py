@@ -32,7 +32,7 @@ def shape(word: str) -> str:
     """A word's run-length-free outline: 'Don't!!' is 'Aa'a!'."""
     for rx, by in _SHAPE:
         word = rx.sub(by, word)
-    return re.sub(r"(.)\1+", r"\1", word)[:24]
+    return re.sub(r"(.)\1+", r"\1", word)
 
 
 def slots(word: str) -> tuple[int, int]:
@@ -161,12 +161,20 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, *, select_at: int = 1,
 
 
 def ratings(labels: DataFrame) -> DataFrame:
-    """Grades from the label columns: 0 poor, 1 readable but toxic, 2 good; null where a label is missing."""
+    """Grades from the label columns: 0 poor, 1 readable but toxic, 2 good; null where a label is missing.
+
+    The given labels rate quality in two steps only; what a training set would take is a third one between them, a text
+    that reads well and yet isn't wanted. Other ratings go to fit() as they are.
+    """
     return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labels outside the held-out fold and grade every document; selected: likelier than not above poor."""
+    """Fit on the labels outside the held-out fold and grade every document; selected: likelier than not above poor.
+
+    Without labels every document has the same grades, repeated rows are graded each by itself, of several labels of an id
+    the highest counts. An empty table gives an empty result.
+    """
     model = fit(docs, ratings(labels).filter(~held_out(F.col("doc_id"))), 3)
     out = grade_documents(docs, model, select_at=1)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *out.columns[1:])

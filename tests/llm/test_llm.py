@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from asofly.llm import html_mincut, packing, parity_join, pivot_index, queries, toxicity
+from asofly.llm import html_mincut, packing, parity_join, pii, pivot_index, queries, toxicity
 from asofly.llm.common import table
 from asofly.llm.components import connected_components
 from asofly.llm.decontamination import bound, contaminated, drop_contaminated, locate
@@ -348,6 +348,20 @@ def test_terms_that_reveal_an_entity_are_found_everywhere(spark):
     assert clean[900].lower().count("zanzibar") == 0 and "ann@mail.org" not in clean[0] and clean[100] == rows[6][1]
 
 
+def test_disclosure_is_pmi_over_information(spark):
+    """Against the definition, by hand over a small corpus: short names count, words cut by the reach don't."""
+    rows = [(i, f"note {i} from Kim at kim@x.org today") for i in range(4)] + [(10 + i, f"today the note {i} is plain") for i in range(20)] + [(40, "Kim is out"), (41, "and Kim again"), (50, "Kim" + "berley" * 30 + " bob@y.org")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: r.disclosure for r in pii.disclosing_terms(frame, pii._mentions(frame), threshold=0.0)[0].collect()}
+    texts = [t.lower() for _, t in rows]
+    n, e = len(texts), sum("kim@x.org" in t for t in texts)
+    for term in ("kim", "from", "at", "today", "note"):
+        n_t = sum(re.search(rf"(?<![a-z]){term}(?![a-z])", t) is not None for t in texts)
+        want = np.log2(e * n / (e * n_t)) / np.log2(n / e)
+        assert got[term] == pytest.approx(want), term
+    assert set(got) == {"kim", "from", "at", "today", "note"}
+
+
 def test_personal_data_odd(odd):
     assert personal_data(odd).count() == len(ODD) and personal_data(odd.limit(0)).count() == 0
     out = sanitise(odd)
