@@ -1,7 +1,7 @@
 """Lexical retrieval packing of documents into training windows.
 
 All documents are encoded once; how many documents hold a token is counted over the whole corpus. A document goes to others
-with the same weightiest token (by BM25): tokens in order, cut into shards of a bounded number of ids, one token's documents
+with the same weightiest token (by count and rarity): tokens in order, cut into shards of a bounded number of ids, one token's documents
 over as many shards as they fill. Each shard builds a BM25 inverted index over its documents' tokens. A window starts with a
 seed document; the unused documents that the index ranks highest for the seed's weightiest tokens fill it, the last one
 cut where the window is full. What is cut off opens the next window and is its seed. So windows hold no padding; a shard's
@@ -30,29 +30,40 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
-    """doc_id, n, ids (binary, little-endian unsigned 16 or 32 bits, `end` included); null text counts as empty.
+    """row (a number of its own), doc_id, n, key (its weightiest token), ids (binary, little-endian unsigned 16 or 32 bits, `end`
+    included); null text counts as empty.
 
     Each task adds a row with n = -1 whose ids hold, as 64-bit numbers, how many of its documents have each token.
     """
+    names = ["row", "doc_id", "n", "key", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        df = np.zeros(bpe.size, np.int64)
+        df, rarity = np.zeros(bpe.size, np.int64), np.log1p(np.arange(bpe.size))
         for b in batches:
             for i in range(0, len(b), CHUNK):
-                got = [np.append(x, bpe.kind(end)) for x in bpe.encode(b.column(1).slice(i, CHUNK).to_pylist())]
+                got, keys = bpe.encode(b.column(2).slice(i, CHUNK).to_pylist()), []
                 for x in got:
-                    df[np.unique(x)] += 1
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, CHUNK), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "n", "ids"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([df.tobytes()], pa.binary())], ["doc_id", "n", "ids"])
+                    u, c = np.unique(x, return_counts=True)
+                    df[u] += 1
+                    keys.append(weightiest(u, c, rarity) if len(u) else end)
+                df[end] += len(got)
+                got = [np.append(x, bpe.kind(end)) for x in got]
+                cols = [pa.array([len(x) for x in got], pa.int64()), pa.array(keys, pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, CHUNK), b.column(1).slice(i, CHUNK), *cols], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([end], pa.int32()), pa.array([df.tobytes()], pa.binary())], names)
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    # Rows are numbered once, as they are written: ids may be missing or repeated.
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, key int, ids binary")
 
 
-def weightiest(ids: np.ndarray, idf: np.ndarray) -> int:
-    """The token that says most about a text (the last id, its end, aside; ties: the smallest); of an empty one its end."""
-    u, c = np.unique(ids[:-1] if len(ids) > 1 else ids, return_counts=True)
-    return int(u[np.argmax(idf[u] * c / (c + K1))])
+def weightiest(tokens: np.ndarray, counts: np.ndarray, rarity: np.ndarray) -> int:
+    """The token that says most about a text: its count, saturated as in BM25, times its rarity (ties: the smallest).
+
+    Rarity is by the vocabulary's own order, in which frequent pieces come first, so no pass over the corpus comes before.
+    """
+    return int(tokens[np.argmax(rarity[tokens] * counts / (counts + K1))])
 
 
 class Index:
@@ -142,14 +153,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, en
     counted = coded.filter("n < 0").select("ids").mapInArrow(unpack, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # a row for each token of the vocabulary at most
         df[r["token"]] = r["n"]
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([weightiest(np.frombuffer(x, kind), idf) for x in b.column(3).to_pylist()], pa.int32())], ["row", "doc_id", "n", "ids", "key"])
-
-    numbered = coded.filter("n >= 0").select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "ids")
-    routed = stash(numbered.mapInArrow(route, "row long, doc_id long, n long, ids binary, key int"), "routed")
+    routed = coded.filter("n >= 0")
     spans, at = [], 0
     for r in sorted(routed.groupBy("key").agg(F.sum("n").alias("n")).collect()):  # a row for each token at most
         spans.append((r["key"], at // shard_tokens, (at + r["n"] - 1) // shard_tokens - at // shard_tokens + 1))
