@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asofly.llm import centroids, divergence
 from asofly.llm.common import table
 from asofly.llm.decontamination import contaminated
 from asofly.llm.html_mincut import extract_pages
@@ -16,6 +17,7 @@ from asofly.llm.parity_join import jaccard_components
 from asofly.llm.pii import personal_data
 from asofly.llm.pivot_index import near_duplicates
 from asofly.llm.quality import quality
+from asofly.llm.quality_rules import quality_rules
 from asofly.llm.sharding import shard_documents
 from asofly.llm.token_spans import attribute_tokens
 from asofly.llm.toxicity import toxicity
@@ -63,6 +65,18 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, rule="majority", unit="sentences")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -74,9 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_permutation": op8_pivot_permutation,
     "op9_vector_sharding": op9_vector_sharding,
     "op10_token_attribution": op10_token_attribution,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-#: op6: all pairs by shared shingles, and reachability. op8: all pairs of a label by cosine, and reachability.
+#: op6: all pairs by shared shingles, and reachability. op8: all pairs of a label by cosine, and reachability. op12, op13: beside
+#: their operators.
 ORACLE_SQL: dict[str, str] = {
     "op6_parity_sketch_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -92,4 +110,6 @@ WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM
  r AS (SELECT vec_id AS node, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node),
  m AS (SELECT node, min(c) AS c FROM r GROUP BY node)
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept FROM embeddings e JOIN m ON m.node = e.vec_id""",
+    "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_centroid_clustering": centroids.ORACLE_SQL,
 }
