@@ -34,6 +34,7 @@ KEEP = 0.5  # calibrated probability of good quality from which a document is ke
 
 _SYMBOL = np.zeros(128, bool)
 _SYMBOL[list(SYMBOLS)] = True
+SAME = np.uint32(0x5A5A5A5A)  # stands for a pair of equal words
 _K = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -95,13 +96,17 @@ class Texts:
         return [self.n_words, self.sums(self.char_doc[~blank]), self.sums(self.char_doc[symbol]), np.array([len(x) - len(set(x)) for x in lines], np.int64), self.sums(self.word_doc[repeat])]
 
     def features(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(document, bucket) of words, pairs of words and runs of three characters, buckets of each kind after the last's."""
+        """(document, bucket) of words, pairs of words and runs of three characters, buckets of each kind after the last's.
+
+        A word that follows itself is one feature, whatever the word.
+        """
         h, c = self.hashes, self.chars
         pair = self.word_doc[1:] == self.word_doc[:-1]
+        same = (self.ids[1:] == self.ids[:-1])[pair]
         run = self.char_doc[2:] == self.char_doc[:-2]
         found = [
             (self.word_doc, _bucket(h)),
-            (self.word_doc[1:][pair], _bucket(h[:-1][pair] * _K[0] + h[1:][pair])),
+            (self.word_doc[1:][pair], _bucket(np.where(same, SAME, h[:-1][pair] * _K[0] + h[1:][pair]))),
             (self.char_doc[2:][run], _bucket((c[:-2][run] * _K[0] + c[1:-1][run]) * _K[0] + c[2:][run])),
         ]
         return [(doc, bucket.astype(np.int64) + (kind << BITS)) for kind, (doc, bucket) in enumerate(found)]
