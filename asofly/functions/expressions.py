@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
+from asofly.operators.rolling import sliding_rank
+from asofly.operators.timeblocks import in_blocks
 
 COMMUTES = {"add", "multiply"}
 WINDOWED = {"lag", "delta", "percent_change", "rolling_mean", "rolling_std", "zscore", "rolling_rank"}
@@ -112,8 +114,6 @@ def _compile(node: Node, known: dict[str, str]) -> Column:
             return fx.full(F.stddev_samp, x[0], p[0])
         case "zscore":
             return fx.zscore(known[node.parts[0].text()], p[0])
-        case "rolling_rank":
-            return fx.rolling_rank(known[node.parts[0].text()], p[0])
     raise ValueError(f"unknown operation {node.op}")
 
 
@@ -137,15 +137,23 @@ def evaluate(frame: DataFrame, trees: dict[str, Node], *, allowed: frozenset[str
         collect(tree)
     known: dict[str, str] = {}
     columns = list(frame.columns)
-    for depth in sorted(levels):
-        new = {}
-        for text, node in levels[depth].items():
-            if node.op == "column":
-                known[text] = node.params[0]
-            else:
-                name = f"_x{len(known)}"
-                new[name] = _compile(node, known)
-                known[text] = name
-        if new:
-            frame = frame.withColumns(new)
+
+    def compute(f: DataFrame) -> DataFrame:
+        for depth in sorted(levels):
+            new = {}
+            for text, node in levels[depth].items():
+                if node.op == "column":
+                    known[text] = node.params[0]
+                    continue
+                known[text] = name = f"_x{len(known)}"
+                if node.op == "rolling_rank":
+                    f = sliding_rank(f, known[node.parts[0].text()], node.params[0], name)
+                else:
+                    new[name] = _compile(node, known)
+            if new:
+                f = f.withColumns(new)
+        return f
+
+    reach = max((tree.lookback for tree in trees.values()), default=0)
+    frame = in_blocks(frame, compute, before=reach) if reach else compute(frame)
     return frame.select(*columns, *(F.col(known[t.text()]).alias(n) for n, t in trees.items()))

@@ -65,13 +65,6 @@ def forward_log_return(close: str, n: int) -> Column:
     return F.ln(F.lead(close, n).over(W()) / F.nullif(F.col(close), F.lit(0.0)))
 
 
-def rolling_rank(x: str, n: int) -> Column:
-    """Percentile rank of the last value among the last n, ties averaged."""
-    vals = F.collect_list(x).over(rows(n))
-    rank = (F.size(F.filter(vals, lambda v: v < F.col(x))) + (F.size(F.filter(vals, lambda v: v == F.col(x))) + 1) / 2) / n
-    return F.when(F.count(x).over(rows(n)) == n, rank)
-
-
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank with ties averaged."""
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
@@ -80,20 +73,3 @@ def average_rank(x: str, by: list[str]) -> Column:
 def corr(x: str, y: str) -> Column:
     """Pearson correlation of a group's rows; null where either doesn't vary."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
-def drawdown(equity: str, w: WindowSpec | None = None) -> Column:
-    return F.try_divide(F.col(equity), F.max(equity).over((w or W()).rowsBetween(Window.unboundedPreceding, 0))) - 1
-
-
-def compounded(ret: str, initial: float = 1.0, w: WindowSpec | None = None) -> Column:
-    """initial times the running product of 1 + r; null from the first r <= -1 on."""
-    run = (w or W()).rowsBetween(Window.unboundedPreceding, 0)
-    ruined = F.max(F.when(F.col(ret) <= -1, 1).otherwise(0)).over(run) == 1
-    return F.when(~ruined, initial * F.exp(F.sum(F.when(F.col(ret) > -1, F.log1p(F.col(ret)))).over(run)))
-
-
-def episodes(label: str, w: WindowSpec | None = None) -> tuple[Column, Callable[[str], Column]]:
-    """Whether a row's label differs from the one before, and from that the number of its episode."""
-    changed = F.when(F.lag(label, 1).over(w or W()).isNull() | (F.lag(label, 1).over(w or W()) != F.col(label)), 1).otherwise(0)
-    return changed, lambda c: F.sum(c).over((w or W()).rowsBetween(Window.unboundedPreceding, 0))

@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 
 from asofly.functions.expressions import Node
+from asofly.operators.timeblocks import in_blocks
 
 
 #: Windowed operations of the grammar, in order.
@@ -15,21 +16,24 @@ GRAMMAR = ("lag", "delta", "percent_change", "rolling_mean", "rolling_std", "zsc
 
 
 class Registry:
-    """Named factors: the columns they need and a builder of their column. Rows are never dropped or reordered."""
+    """Named factors: the columns they need, a builder of their column, and how many of an asset's rows it reaches back and
+    ahead. Rows are never dropped or reordered."""
 
     def __init__(self):
-        self.known: dict[str, tuple[list[str], Callable[[], Column]]] = {}
+        self.known: dict[str, tuple[list[str], Callable[[], Column], int, int]] = {}
 
-    def add(self, name: str, needs: list[str], build: Callable[[], Column]) -> None:
+    def add(self, name: str, needs: list[str], build: Callable[[], Column], *, before: int = 0, after: int = 0) -> None:
         if name in self.known:
             raise ValueError(f"{name} is registered already")
-        self.known[name] = (needs, build)
+        self.known[name] = (needs, build, before, after)
 
     def compute(self, frame: DataFrame, names: list[str]) -> DataFrame:
         missing = {c for n in names for c in self.known[n][0]} - set(frame.columns)
         if missing:
             raise ValueError(f"missing columns: {sorted(missing)}")
-        return frame.withColumns({n: self.known[n][1]() for n in names})
+        columns = {n: self.known[n][1]() for n in names}
+        before, after = (max((self.known[n][i] for n in names), default=0) for i in (2, 3))
+        return in_blocks(frame, lambda f: f.withColumns(columns), before=before, after=after)
 
 
 def enumerate_trees(columns: list[str], windows: list[int], *, depth: int = 3, most: int = 100) -> list[Node]:

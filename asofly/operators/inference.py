@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from asofly.functions.factors import W, average_rank, corr, log_return, realized_volatility
 from asofly.operators.cross_section import taker_imbalance
 from asofly.operators.labels import open_to_open
+from asofly.operators.prefix import prefix_quantiles, prefix_sums
 from asofly.operators.regimes import QUANTILES
+from asofly.operators.timeblocks import POS, in_blocks, numbered
+from asofly.plans.shared import stash
 
 
 def research_holdout(bars: DataFrame, share: float) -> DataFrame:
     """Rows of each asset before and after a split by position, and how many lie in both (none)."""
-    w = Window.partitionBy("asset")
-    p = bars.withColumn("_rn", F.row_number().over(W())).withColumn("_n", F.count(F.lit(1)).over(w))
-    early = F.col("_rn") <= F.floor(share * F.col("_n"))
-    return p.groupBy("asset").agg(F.count_if(early).alias("research"), F.count_if(~early).alias("holdout"), F.count_if(early & ~early).alias("overlap"))
+    n = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("_n"))
+    early = F.col("pos") + 1 <= F.floor(share * F.col("_n"))
+    return numbered(bars).join(n, "asset").groupBy("asset").agg(F.count_if(early).alias("research"), F.count_if(~early).alias("holdout"), F.count_if(early & ~early).alias("overlap"))
 
 
 def weight_turnover(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -28,28 +30,40 @@ def weight_turnover(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.withColumn("turnover", F.abs(F.col("after") - F.col("before")))
 
 
-def walk_forward(frame: DataFrame, *, initial: int | Column, test: int | Column, purge: int = 0, embargo: int = 0) -> DataFrame:
+def walk_forward(frame: DataFrame, *, initial: int | Column, test: int | Column, purge: int = 0, embargo: int = 0, folds: int | None = None) -> DataFrame:
     """Rows with the folds they serve: fold k tests positions [initial + k test, + test), and trains on all before it
-    less the purge (label horizon) and the embargo. A row serves one test fold and all later train folds.
+    less the purge (label horizon) and the embargo.
 
-    initial and test may be columns that are constant within an asset (`rows_of_asset` of simple_folds, for instance).
+    A row serves one fold as a test row (test_fold) and all from train_from on as a training row (null: none), which is one
+    row, however many folds there are; last_fold is the asset's last. Statistics of training rows are those of a prefix:
+    fold_counts and operators.prefix merge them over the folds. initial and test may be made of `_n`, the asset's rows.
+    folds: so many at most. Assets without a whole fold are left out.
     """
-    p = frame.withColumn("pos", F.row_number().over(W()) - 1).withColumn("_initial", F.lit(initial) if isinstance(initial, int) else initial).withColumn("_test", F.lit(test) if isinstance(test, int) else test)
+    n = frame.groupBy("asset").agg(F.count(F.lit(1)).alias("_n"))
+    p = numbered(frame).join(n, "asset").withColumn("_initial", F.lit(initial) if isinstance(initial, int) else initial).withColumn("_test", F.lit(test) if isinstance(test, int) else test)
     initial, test = F.col("_initial"), F.col("_test")
-    last = F.floor((F.max("pos").over(Window.partitionBy("asset")) + 1 - initial) / test) - 1
-    p = p.withColumn("_last", last).filter("_last >= 0")
+    last = F.floor((F.col("_n") - initial) / test) - 1
+    p = p.withColumn("last_fold", last if folds is None else F.least(last, F.lit(folds - 1))).filter("last_fold >= 0")
     own = F.when(F.col("pos") >= initial, F.floor((F.col("pos") - initial) / test))
     first = F.greatest(F.ceil((F.col("pos") + 1 + purge + embargo - initial) / test), F.lit(0))
-    tests = p.withColumn("fold", own).filter("fold <= _last").withColumn("role", F.lit("test"))
-    trains = p.withColumn("_first", first).filter("_first <= _last").withColumn("fold", F.explode(F.sequence("_first", "_last"))).withColumn("role", F.lit("train")).drop("_first")
-    return tests.unionByName(trains).drop("_last", "_initial", "_test")
+    within = lambda c: F.when(c <= F.col("last_fold"), c)
+    return p.withColumn("test_fold", within(own)).withColumn("train_from", within(first)).drop("_initial", "_test", "_n")
 
 
 def simple_folds(frame: DataFrame, *, folds: int, purge: int = 0, embargo: int = 0) -> DataFrame:
     """walk_forward with so many equal test blocks after a first training block of the same length."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("asset"))
-    sized = frame.withColumn("_block", F.greatest(F.floor(n / (folds + 1)), F.lit(1)))
-    return walk_forward(sized, initial=F.col("_block"), test=F.col("_block"), purge=purge, embargo=embargo).filter(F.col("fold") < folds).drop("_block")
+    block = F.greatest(F.floor(F.col("_n") / (folds + 1)), F.lit(1))
+    return walk_forward(frame, initial=block, test=block, purge=purge, embargo=embargo, folds=folds)
+
+
+def fold_counts(rows: DataFrame) -> DataFrame:
+    """asset, fold, test_rows and train_rows of rows from walk_forward, training rows merged over the folds."""
+    last = rows.groupBy("asset").agg(F.max("last_fold").alias("last"))
+    test = rows.filter("test_fold is not null").select("asset", F.col("test_fold").alias("block"), F.lit(1).alias("test_rows"), F.lit(0).alias("train_rows"))
+    train = rows.filter("train_from is not null").select("asset", F.col("train_from").alias("block"), F.lit(0).alias("test_rows"), F.lit(1).alias("train_rows"))
+    tested = test.groupBy("asset", F.col("block").alias("fold")).agg(F.sum("test_rows").alias("test_rows"))
+    trained = prefix_sums(train, last, ["train_rows"], key="asset").withColumnRenamed("block", "fold")
+    return trained.join(tested, ["asset", "fold"], "left").fillna(0, ["test_rows"]).select("asset", "fold", "test_rows", "train_rows")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -232,9 +246,9 @@ def increment(train: DataFrame, valid: DataFrame, base: list[str], candidate: st
     rows, v = train.dropna(subset=columns), valid.dropna(subset=columns)
     fits = {"baseline": predicted(base, ridge(rows, base, target)) if base else F.lit(0.0), "extended": predicted([*base, candidate], ridge(rows, [*base, candidate], target))}
     figures = [corr(candidate, target).alias("_standalone"), F.count(F.lit(1)).alias("n_valid")]
-    for name, p in fits.items():
-        v = v.withColumn(f"_p_{name}", p).withColumn(f"_s_{name}", F.signum(p))
-        v = v.withColumn(f"_d_{name}", F.abs(F.col(f"_s_{name}") - F.lag(f"_s_{name}", 1).over(W())))
+    v = v.withColumns({f"_p_{name}": p for name, p in fits.items()} | {f"_s_{name}": F.signum(p) for name, p in fits.items()})
+    v = in_blocks(v, lambda f: f.withColumns({f"_d_{name}": F.abs(F.col(f"_s_{name}") - F.lag(f"_s_{name}", 1).over(W())) for name in fits}), before=1)
+    for name in fits:
         figures += [corr(f"_p_{name}", target).alias(f"_ic_{name}"), (F.avg(F.col(f"_s_{name}") * F.col(target)) - F.coalesce(F.avg(f"_d_{name}"), F.lit(0.0)) * cost_bps / 10000).alias(f"_return_{name}")]
     out = v.agg(*figures).crossJoin(rows.agg(F.count(F.lit(1)).alias("n_train")))  # one row each
     enough = (F.col("n_valid") >= 5) & (F.col("n_train") >= 5)
@@ -412,15 +426,18 @@ def gate_inputs(bars: DataFrame, *, horizons: tuple[int, ...], bar_hours: int, w
     an asset's rows to begin with, thirds of the rest to test) and a regime is high where volatility exceeds the quantile of
     the fold's own training rows. Assets with fewer than least_rows bars have no folds.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("asset"))
-    f = taker_imbalance(bars).withColumnRenamed("value", "signal").drop("reason").withColumn("_lr", log_return("close")).withColumn("volatility", realized_volatility("_lr", window))
+    f = numbered(taker_imbalance(bars).withColumnRenamed("value", "signal").drop("reason"), POS)
+    f = in_blocks(f, lambda g: g.withColumn("_lr", log_return("close")).withColumn("volatility", realized_volatility("_lr", window)), before=window)
     for k in horizons:
         f = open_to_open(f, holding_bars=k, bar_hours=bar_hours, least_volume=least_volume).withColumnRenamed("label", f"_y{k}").withColumnRenamed("reason", f"_r{k}")
-    f = f.withColumn("_n", n).filter(F.col("_n") >= least_rows)
+    enough = f.groupBy("asset").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least_rows).select("asset")
     initial = F.greatest(F.lit(60), F.floor(F.col("_n") / 4))
-    folds = walk_forward(f, initial=initial, test=F.greatest(F.lit(30), F.floor((F.col("_n") - initial) / 3)), purge=1, embargo=6)
-    limits = folds.filter("role = 'train'").groupBy("asset", "fold").agg(F.percentile("volatility", F.lit(QUANTILES["volatility"])).alias("_q"))
-    t = folds.filter("role = 'test'").join(limits, ["asset", "fold"]).withColumn("regime", F.when(F.coalesce(F.col("volatility") > F.col("_q"), F.lit(False)), "high_vol").otherwise("low_vol"))
+    folds = walk_forward(f.join(enough, "asset", "left_semi"), initial=initial, test=F.greatest(F.lit(30), F.floor((F.col("_n") - initial) / 3)), purge=1, embargo=6)
+    folds = stash(folds.select("asset", "event_time", "pos", "test_fold", "train_from", "last_fold", "signal", "volatility", *(f"_{x}{k}" for x in "yr" for k in horizons)), "folds")
+    last = folds.groupBy("asset").agg(F.max("last_fold").alias("last"))
+    train = folds.filter("train_from is not null").select("asset", F.col("train_from").alias("block"), "volatility")
+    limits = prefix_quantiles(train, last, {"volatility": QUANTILES["volatility"]}, key="asset", prefix="_q_").select("asset", F.col("block").alias("fold"), F.col("_q_volatility").alias("_q"))
+    t = folds.filter("test_fold is not null").withColumnRenamed("test_fold", "fold").join(limits, ["asset", "fold"]).withColumn("regime", F.when(F.coalesce(F.col("volatility") > F.col("_q"), F.lit(False)), "high_vol").otherwise("low_vol"))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"_y{k}").alias("y"), F.col(f"_r{k}").alias("why")) for k in horizons)))
     t = t.select("asset", "fold", "regime", "signal", each.alias("_h")).select("asset", "fold", "regime", "signal", "_h.*")
     by = ["asset", "fold", "regime", "horizon"]

@@ -99,7 +99,8 @@ def lineage_status(sources: DataFrame, catalog: DataFrame, key: list[str]) -> Da
 
 def next_bar_fill(signals: DataFrame, bars: DataFrame) -> DataFrame:
     """A signal at a bar fills at the next bar's open; reason where it can't. signals: asset, event_time, signal_id."""
-    b = bars.select("asset", "event_time", F.lead("open", 1).over(W()).alias("fill_price"), F.lead("event_time", 1).over(W()).alias("fill_time"), F.lit(True).alias("_in"))
+    after = {"fill_price": F.lead("open", 1).over(W()), "fill_time": F.lead("event_time", 1).over(W())}
+    b = in_blocks(bars.select("asset", "event_time", "open"), lambda f: f.withColumns(after), after=1).drop("open").withColumn("_in", F.lit(True))
     turn = F.row_number().over(Window.partitionBy("asset", "event_time").orderBy("signal_id"))
     j = signals.withColumn("_rn", turn).join(b, ["asset", "event_time"], "left")
     reason = F.when(F.col("_rn") > 1, "DUPLICATE_SIGNAL").when(F.col("_in").isNull(), "TIMESTAMP_NOT_IN_BARS").when(F.col("fill_time").isNull(), "NO_NEXT_BAR")

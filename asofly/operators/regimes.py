@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
 from asofly.operators.asof import asof_join
+from asofly.operators.prefix import prefix_quantiles
+from asofly.operators.timeblocks import in_blocks, numbered, with_episodes
+from asofly.plans.shared import stash
 
 #: Quantiles of the regime inputs; members of a full universe, gain of the sigmoid, least coverage and most effect of funding.
 QUANTILES = {"volatility": 0.75, "trend": 0.60, "illiquidity": 0.95}
@@ -20,8 +23,12 @@ def composite(bars: DataFrame) -> DataFrame:
 
 def inputs(frame: DataFrame, n: int = 48) -> DataFrame:
     """Volatility, trend strength and illiquidity over n rows."""
-    out = frame.withColumn("_lr", fx.log_return("close")).withColumn("_il", F.abs("_lr") / F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
-    out = out.withColumns({"volatility": fx.realized_volatility("_lr", n), "illiquidity": fx.amihud("_il", n), "_ret": F.abs(fx.change("close", n))})
+
+    def windows(f: DataFrame) -> DataFrame:
+        f = f.withColumn("_lr", fx.log_return("close")).withColumn("_il", F.abs("_lr") / F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
+        return f.withColumns({"volatility": fx.realized_volatility("_lr", n), "illiquidity": fx.amihud("_il", n), "_ret": F.abs(fx.change("close", n))})
+
+    out = in_blocks(frame, windows, before=n)
     return out.withColumn("trend", F.col("_ret") / F.nullif(F.col("volatility"), F.lit(0.0))).drop("_lr", "_il", "_ret")
 
 
@@ -41,20 +48,19 @@ def label() -> Column:
 def expanding_thresholds(frame: DataFrame, *, initial: int, every: int) -> DataFrame:
     """Thresholds of each block of `every` rows from all rows before the block, refitted block by block.
 
-    A row at position p serves every later block, so it's sent to those: rows times blocks over two, one grouped pass.
+    A row at position p counts from the first block after it on. No row is sent to the blocks it serves: prefix_quantiles
+    merges counts.
     """
-    pos = frame.withColumn("pos", F.row_number().over(fx.W()) - 1)
-    last = F.floor((F.max("pos").over(Window.partitionBy("asset")) - initial) / every).cast("int")
-    first = F.greatest(F.floor((F.col("pos") - initial) / every).cast("int") + 1, F.lit(0))
-    sent = pos.withColumn("_last", last).withColumn("_first", first).filter("_first <= _last").withColumn("block", F.explode(F.sequence("_first", "_last")))
-    return thresholds(sent, ["asset", "block"])
+    pos = stash(numbered(frame).select("asset", "pos", *QUANTILES), "positions")
+    last = pos.groupBy("asset").agg(F.floor((F.max("pos") - initial) / every).alias("last")).filter("last >= 0")
+    first = F.greatest(F.floor((F.col("pos") - initial) / every) + 1, F.lit(0)).alias("block")
+    return prefix_quantiles(pos.select("asset", first, *QUANTILES), last, QUANTILES, key="asset", prefix="q_")
 
 
 def episode_summary(frame: DataFrame, state: str, least: int = 30, volatility: str | None = None) -> DataFrame:
     """Rows of each state and whether they're enough; if so its episodes, their mean duration and the mean volatility."""
-    changed, number = fx.episodes(state)
     value = F.col(volatility) if volatility else F.lit(None).cast("double")
-    runs = frame.withColumn("_c", changed).withColumn("_e", number("_c")).groupBy("asset", state, "_e").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"), F.count(value).alias("_k"))
+    runs = with_episodes(frame, state, "_e").groupBy("asset", state, "_e").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"), F.count(value).alias("_k"))
     out = runs.groupBy("asset", state).agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("_ep"), F.avg("_n").alias("_d"), F.try_divide(F.sum("_v"), F.sum("_k")).alias("_mv"))
     enough = F.col("n_rows") >= least
     given = [F.when(enough, F.col(a)).alias(b) for a, b in (("_ep", "episodes"), ("_d", "mean_duration"), ("_mv", "mean_volatility"))]

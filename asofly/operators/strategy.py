@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.functions.factors import W, change, compounded, drawdown
+from asofly.functions.factors import W, change
+from asofly.operators.timeblocks import in_blocks, numbered, running, with_compounded, with_drawdown
 
 
 def vector_backtest(frame: DataFrame, *, cost_bps: float) -> DataFrame:
     """Position (the last signal, clipped to one), turnover, gross and net return of each bar. Needs signal and ret."""
     position = F.greatest(F.least(F.coalesce(F.lag("signal", 1).over(W()), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
-    out = frame.withColumn("position", position)
-    out = out.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(W()), F.lit(0.0))))
+    turnover = F.abs(F.col("position") - F.coalesce(F.lag("position", 1).over(W()), F.lit(0.0)))
+    out = in_blocks(frame, lambda f: f.withColumn("position", position).withColumn("turnover", turnover), before=2)
     out = out.withColumn("gross", F.col("position") * F.coalesce("ret", F.lit(0.0)))
     return out.withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 10000)
 
@@ -32,9 +33,9 @@ def variant_metrics(decisions: DataFrame, trades: DataFrame, *, initial: float |
     decisions: run_id, slot, seq, equity_after; trades: run_id, pnl (after fees), fee. Runs without trades have no win rate.
     """
     order = F.struct("slot", "seq")
-    w = Window.partitionBy("run_id").orderBy("slot", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("equity_after").over(w)
-    out = decisions.withColumn("_dd", F.when(peak > 0, F.try_divide(F.col("equity_after"), peak) - 1).otherwise(0.0))
+    peak = F.col("_peak")
+    out = running(decisions, {"_peak": ("max", F.col("equity_after"))}, by=["run_id"], order=["slot", "seq"])
+    out = out.withColumn("_dd", F.when(peak > 0, F.try_divide(F.col("equity_after"), peak) - 1).otherwise(0.0))
     first, last = F.lit(initial) if initial is not None else F.min_by("equity_after", order), F.max_by("equity_after", order)
     out = out.groupBy("run_id").agg(last.alias("final_equity"), (F.try_divide(last, first) - 1).alias("total_return"), F.least(F.min("_dd"), F.lit(0.0)).alias("max_drawdown"), F.count(F.lit(1)).alias("n"))
     t = trades.groupBy("run_id").agg(F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.count(F.lit(1)).alias("trade_count"), F.sum("fee").alias("fees_paid"), F.sum("pnl").alias("net_profit"))
@@ -42,7 +43,7 @@ def variant_metrics(decisions: DataFrame, trades: DataFrame, *, initial: float |
 
 
 def with_returns(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("ret", change("close", 1)).withColumn("dd", drawdown("close"))
+    return with_drawdown(in_blocks(prices, lambda f: f.withColumn("ret", change("close", 1)), before=1), "close", "dd")
 
 
 def equity_metrics(prices: DataFrame, days: int = 365) -> DataFrame:
@@ -82,9 +83,9 @@ def promotion(folds: DataFrame, *, positive: float = 0.70, median_sharpe: float
 
 
 def equal_weight(prices: DataFrame) -> DataFrame:
-    """Mean return across assets per time, and its compounded equity. One row per time, so one small window."""
+    """Mean return across assets per time, and its compounded equity."""
     r = with_returns(prices).filter("ret is not null").groupBy("event_time").agg(F.avg("ret").alias("ret"))
-    return r.withColumn("equity", compounded("ret", 1.0, Window.orderBy("event_time")))
+    return with_compounded(r, {"equity": "ret"}, by=[])
 
 
 def daily_pnl(trades: DataFrame) -> DataFrame:
@@ -93,9 +94,8 @@ def daily_pnl(trades: DataFrame) -> DataFrame:
 
 def portfolio_state(decisions: DataFrame, *, pause_at: float) -> DataFrame:
     """High-water mark, drawdown, change since the day's first decision, and the pause that a deep drawdown starts."""
-    run = Window.partitionBy("run_id").orderBy("slot", "seq").rowsBetween(Window.unboundedPreceding, 0)
     day = Window.partitionBy("run_id", F.date_trunc("day", F.col("slot"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = decisions.withColumn("high_water", F.max("equity_after").over(run)).withColumn("drawdown", F.try_divide(F.col("equity_after"), F.col("high_water")) - 1)
+    out = running(decisions, {"high_water": ("max", F.col("equity_after"))}, by=["run_id"], order=["slot", "seq"]).withColumn("drawdown", F.try_divide(F.col("equity_after"), F.col("high_water")) - 1)
     out = out.withColumn("day_change", F.col("equity_after") - F.first("equity_after").over(day))
     return out.withColumn("paused_until", F.when(F.col("drawdown") <= pause_at, F.expr("date_trunc('day', slot) + interval 1 day")))
 
@@ -120,7 +120,7 @@ def last_rows(frame: DataFrame, by: list[str], order: list[str], n: int) -> Data
 
 def every_kth(frame: DataFrame, k: int) -> DataFrame:
     """Every k-th row of each asset, the first one included."""
-    return frame.withColumn("_rn", F.row_number().over(W()) - 1).filter(F.col("_rn") % k == 0).drop("_rn")
+    return numbered(frame, "_rn").filter(F.col("_rn") % k == 0).drop("_rn")
 
 
 def ranked_signals(frame: DataFrame) -> DataFrame:
@@ -135,10 +135,9 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def compare_allocations(returns: DataFrame, *, cap: float, initial: float = 100.0) -> DataFrame:
-    """Equity of equal weights against volume weights under a cap. One row per time, so one small window."""
+    """Equity of equal weights against volume weights under a cap."""
     day = returns.groupBy("event_time").agg(F.avg("ret").alias("_e"), (cap * F.try_divide(F.sum(F.col("ret") * F.col("volume")), F.sum("volume"))).alias("_w"))
-    w = Window.orderBy("event_time")
-    return day.select("event_time", compounded("_e", initial, w).alias("equal_weight"), compounded("_w", initial, w).alias("weighted"))
+    return with_compounded(day, {"equal_weight": "_e", "weighted": "_w"}, initial, by=[]).select("event_time", "equal_weight", "weighted")
 
 
 def readiness(decisions: DataFrame, *, least_days: int = 30, floor: float, hours: int = 24) -> DataFrame:

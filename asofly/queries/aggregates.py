@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
 from asofly.operators import indicators, quality, regimes, strategy, universe
+from asofly.operators.timeblocks import in_blocks
 from asofly.queries.base import add, bars_sql, r8, rq, ts, tsq, with_
 from asofly.queries.research import CONF
 from asofly.sources import tables as t
@@ -179,7 +180,7 @@ def d25(spark, d):
 
 @add("D26_promotion_decision", with_("hist", more="f AS (SELECT asset, year(event_time) AS fold, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1 AS ret FROM hist), s AS (SELECT asset, fold, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END AS sharpe, sum(ret) AS total, min(ret) AS worst FROM f GROUP BY ALL), a AS (SELECT asset, avg(CASE WHEN total > 0 THEN 1.0 ELSE 0.0 END) AS pr, median(sharpe) AS ms, min(worst) AS wd FROM s GROUP BY asset)") + "SELECT asset, round(pr, 8) AS positive_ratio, round(ms, 8) AS median_sharpe, concat_ws(',', CASE WHEN pr < 0.70 THEN 'POSITIVE_FOLDS' END, CASE WHEN ms < 0.80 THEN 'MEDIAN_SHARPE' END, CASE WHEN wd < -0.25 THEN 'WORST_DRAWDOWN' END) AS reasons FROM a")
 def d26(spark, d):
-    frame = t.long_history(spark, d).withColumn("ret", fx.change("close", 1)).withColumn("fold", F.year("event_time"))
+    frame = in_blocks(t.long_history(spark, d), lambda f: f.withColumn("ret", fx.change("close", 1)), before=1).withColumn("fold", F.year("event_time"))
     return strategy.promotion(strategy.fold_metrics(frame)).select("asset", r8("positive_ratio"), r8("median_sharpe"), F.concat_ws(",", "reasons").alias("reasons"))
 
 

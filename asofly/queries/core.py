@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
 from asofly.operators import asof, filters, resample
+from asofly.operators.rolling import rolling_rank
+from asofly.operators.timeblocks import in_blocks, with_compounded, with_drawdown, with_episodes
 from asofly.queries.base import add, r8, rq, ts, tsq, with_
 from asofly.sources import tables as t
 
@@ -174,8 +176,8 @@ def _n(n):
     return f"OVER (PARTITION BY asset ORDER BY event_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def _factor(name, column, sql, more=None, hours=1):
-    """A factor over the bars, and its SQL."""
+def _factor(name, column, sql, more=None, hours=1, before=0, after=0):
+    """A factor over the bars that reaches so many rows back and ahead, and its SQL."""
     src = {1: "b1", 4: "b4"}[hours]
 
     @add(name, with_(src, *(("funding", "oi") if more == "snap" else ())) + f"SELECT asset, {tsq('event_time')}, round({sql}, 8) AS value FROM {SNAP if more == 'snap' else src} {WIN}")
@@ -185,36 +187,42 @@ def _factor(name, column, sql, more=None, hours=1):
             frame = asof.snapshot(frame, t.funding(spark, d), t.open_interest(spark, d))
         elif more is not None:
             frame = more(frame)
-        return frame.select("asset", ts("event_time"), F.round(column(), 8).alias("value"))
+        return in_blocks(frame, lambda f: f.withColumn("value", F.round(column(), 8)), before=before, after=after).select("asset", ts("event_time"), "value")
 
 
 SNAP = """(SELECT x.*, o.open_interest FROM (SELECT b.*, f.funding_rate, f.available_time AS f_at FROM b1 b ASOF LEFT JOIN funding f ON b.asset = f.asset AND b.available_time >= f.available_time) x
  ASOF LEFT JOIN oi o ON x.asset = o.asset AND x.available_time >= o.available_time)"""
 
-_factor("E1_momentum", lambda: fx.momentum("close", 24), "close / nullif(lag(close, 24) OVER w, 0) - 1")
-_factor("E2_reversal", lambda: fx.reversal("close", 12), "-(close / nullif(lag(close, 12) OVER w, 0) - 1)")
-_factor("E4_volume_surprise", lambda: fx.zscore("volume", 24), f"CASE WHEN count(volume) {_n(24)} = 24 THEN (volume - avg(volume) {_n(24)}) / nullif(stddev_samp(volume) {_n(24)}, 0) END")
-_factor("E6_funding_zscore", lambda: fx.zscore("funding_rate", 12), f"CASE WHEN count(funding_rate) {_n(12)} = 12 THEN (funding_rate - avg(funding_rate) {_n(12)}) / nullif(stddev_samp(funding_rate) {_n(12)}, 0) END", "snap")
-_factor("E7_oi_change", lambda: fx.change("open_interest", 6), "open_interest / nullif(lag(open_interest, 6) OVER w, 0) - 1", "snap")
-_factor("E12_forward_log_return", lambda: fx.forward_log_return("close", 4), "ln(lead(close, 4) OVER w / nullif(close, 0))")
-_factor("E15_rolling_rank", lambda: fx.rolling_rank("close", 12), f"CASE WHEN count(close) {_n(12)} = 12 THEN (len(list_filter(list(close) {_n(12)}, lambda v: v < close)) + (len(list_filter(list(close) {_n(12)}, lambda v: v = close)) + 1) / 2) / 12 END")
+_factor("E1_momentum", lambda: fx.momentum("close", 24), "close / nullif(lag(close, 24) OVER w, 0) - 1", before=24)
+_factor("E2_reversal", lambda: fx.reversal("close", 12), "-(close / nullif(lag(close, 12) OVER w, 0) - 1)", before=12)
+_factor("E4_volume_surprise", lambda: fx.zscore("volume", 24), f"CASE WHEN count(volume) {_n(24)} = 24 THEN (volume - avg(volume) {_n(24)}) / nullif(stddev_samp(volume) {_n(24)}, 0) END", before=24)
+_factor("E6_funding_zscore", lambda: fx.zscore("funding_rate", 12), f"CASE WHEN count(funding_rate) {_n(12)} = 12 THEN (funding_rate - avg(funding_rate) {_n(12)}) / nullif(stddev_samp(funding_rate) {_n(12)}, 0) END", "snap", before=12)
+_factor("E7_oi_change", lambda: fx.change("open_interest", 6), "open_interest / nullif(lag(open_interest, 6) OVER w, 0) - 1", "snap", before=6)
+_factor("E12_forward_log_return", lambda: fx.forward_log_return("close", 4), "ln(lead(close, 4) OVER w / nullif(close, 0))", after=4)
+
+
+@add("E15_rolling_rank", with_("b1") + f"SELECT asset, {tsq('event_time')}, round(CASE WHEN count(close) {_n(12)} = 12 THEN (len(list_filter(list(close) {_n(12)}, lambda v: v < close)) + (len(list_filter(list(close) {_n(12)}, lambda v: v = close)) + 1) / 2) / 12 END, 8) AS value FROM b1 {WIN}")
+def e15(spark, d):
+    return rolling_rank(t.bars(spark, d), "close", 12, "value").select("asset", ts("event_time"), r8("value"))
 
 
 @add("E3_realized_volatility", with_("b1", more="r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY event_time)) AS lr FROM b1)") + f"SELECT asset, {tsq('event_time')}, CASE WHEN count(lr) {_n(24)} = 24 THEN round(stddev_samp(lr) {_n(24)}, 8) END AS value FROM r")
 def e3(spark, d):
-    return t.bars(spark, d).withColumn("lr", fx.log_return("close")).select("asset", ts("event_time"), r8(fx.realized_volatility("lr", 24), "value"))
+    out = in_blocks(t.bars(spark, d), lambda f: f.withColumn("lr", fx.log_return("close")).withColumn("value", fx.realized_volatility("lr", 24)), before=24)
+    return out.select("asset", ts("event_time"), r8("value"))
 
 
 @add("E5_amihud_illiquidity", with_("b1", more="r AS (SELECT *, abs(ln(close / lag(close) OVER (PARTITION BY asset ORDER BY event_time))) / nullif(close * volume, 0) AS il FROM b1)") + f"SELECT asset, {tsq('event_time')}, CASE WHEN count(il) {_n(24)} = 24 THEN round(avg(il) {_n(24)}, 12) END AS value FROM r")
 def e5(spark, d):
     il = F.abs(fx.log_return("close")) / F.nullif(F.col("close") * F.col("volume"), F.lit(0.0))
-    return t.bars(spark, d).withColumn("il", il).select("asset", ts("event_time"), F.round(fx.amihud("il", 24), 12).alias("value"))
+    out = in_blocks(t.bars(spark, d), lambda f: f.withColumn("il", il).withColumn("value", fx.amihud("il", 24)), before=24)
+    return out.select("asset", ts("event_time"), F.round("value", 12).alias("value"))
 
 
 @add("E8_leverage_crowding", with_("b1", "funding", "oi", more=f"s AS (SELECT *, CASE WHEN count(funding_rate) {_n(12)} = 12 THEN (funding_rate - avg(funding_rate) {_n(12)}) / nullif(stddev_samp(funding_rate) {_n(12)}, 0) END AS z, open_interest / nullif(lag(open_interest, 6) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1 AS dd FROM {SNAP})") + f"SELECT asset, {tsq('event_time')}, round(z * CASE WHEN dd IS NOT NULL THEN greatest(dd, 0) END, 8) AS value FROM s")
 def e8(spark, d):
     frame = asof.snapshot(t.bars(spark, d), t.funding(spark, d), t.open_interest(spark, d))
-    return frame.withColumn("z", fx.zscore("funding_rate", 12)).withColumn("dd", fx.change("open_interest", 6)).select("asset", ts("event_time"), r8(fx.crowding("z", "dd"), "value"))
+    return in_blocks(frame, lambda f: f.withColumns({"z": fx.zscore("funding_rate", 12), "dd": fx.change("open_interest", 6)}), before=12).select("asset", ts("event_time"), r8(fx.crowding("z", "dd"), "value"))
 
 
 PEERS = """peer AS (SELECT *, median(CASE WHEN ok THEN x END) OVER (PARTITION BY available_time) AS med, count(CASE WHEN ok THEN x END) OVER (PARTITION BY available_time) AS n FROM src),
@@ -284,25 +292,27 @@ def e16(spark, d):
 
 @add("E19_drawdown", with_("b1") + f"SELECT asset, {tsq('event_time')}, round(close / max(close) OVER w - 1, 8) AS value FROM b1 {WIN}")
 def e19(spark, d):
-    return t.bars(spark, d).select("asset", ts("event_time"), r8(fx.drawdown("close"), "value"))
+    return with_drawdown(t.bars(spark, d), "close", "value").select("asset", ts("event_time"), r8("value"))
 
 
 @add("E20_compounded_equity", with_("hist", more="r AS (SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY event_time) - 1 AS r FROM hist)") + f"SELECT asset, {tsq('event_time')}, round(100 * exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER w), 6) AS equity FROM r {WIN}")
 def e20(spark, d):
-    return t.long_history(spark, d).withColumn("r", fx.change("close", 1)).select("asset", ts("event_time"), F.round(fx.compounded("r", 100.0), 6).alias("equity"))
+    r = in_blocks(t.long_history(spark, d), lambda f: f.withColumn("r", fx.change("close", 1)), before=1)
+    return with_compounded(r, {"equity": "r"}, 100.0).select("asset", ts("event_time"), F.round("equity", 6).alias("equity"))
 
 
 @add("E21_state_episodes", with_("b1", more="s AS (SELECT *, CASE WHEN close > open THEN 'up' ELSE 'down' END AS state FROM b1), c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY asset ORDER BY event_time) IS DISTINCT FROM state THEN 1 ELSE 0 END AS ch FROM s)") + f"SELECT asset, {tsq('event_time')}, state, sum(ch) OVER w AS episode FROM c {WIN}")
 def e21(spark, d):
-    changed, number = fx.episodes("state")
-    return t.bars(spark, d).withColumn("state", F.when(F.col("close") > F.col("open"), "up").otherwise("down")).withColumn("ch", changed).select("asset", ts("event_time"), "state", number("ch").alias("episode"))
+    frame = t.bars(spark, d).withColumn("state", F.when(F.col("close") > F.col("open"), "up").otherwise("down"))
+    return with_episodes(frame, "state", "episode").select("asset", ts("event_time"), "state", "episode")
 
 
 @add("E32_vector_backtest", with_("b1", more="s AS (SELECT *, CASE WHEN close > open THEN 1.0 ELSE -1.0 END AS signal, close / lag(close) OVER (PARTITION BY asset ORDER BY event_time) - 1 AS ret FROM b1), p AS (SELECT *, coalesce(lag(signal) OVER (PARTITION BY asset ORDER BY event_time), 0) AS position FROM s), q AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY asset ORDER BY event_time), 0)) AS turnover FROM p)") + f"SELECT asset, {tsq('event_time')}, position, turnover, round(position * coalesce(ret, 0), 8) AS gross, round(position * coalesce(ret, 0) - turnover * 10 / 10000, 8) AS net FROM q")
 def e32(spark, d):
     from asofly.operators.strategy import vector_backtest
 
-    frame = t.bars(spark, d).withColumn("signal", F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0)).withColumn("ret", fx.change("close", 1))
+    frame = t.bars(spark, d).withColumn("signal", F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0))
+    frame = in_blocks(frame, lambda f: f.withColumn("ret", fx.change("close", 1)), before=1)
     return vector_backtest(frame, cost_bps=10.0).select("asset", ts("event_time"), "position", "turnover", r8("gross"), r8("net"))
 
 
@@ -317,7 +327,7 @@ EVAL = f"""f AS (SELECT asset, event_time, {STATE} AS fold, CASE WHEN close > op
 def _evaluated(spark, d):
     from asofly.operators.evaluation import evaluate_factor
 
-    frame = t.bars(spark, d).withColumn("x", fx.momentum("close", 24)).withColumn("y", fx.forward_log_return("close", 1))
+    frame = in_blocks(t.bars(spark, d), lambda f: f.withColumns({"x": fx.momentum("close", 24), "y": fx.forward_log_return("close", 1)}), before=24, after=1)
     at = F.col("event_time")
     frame = frame.withColumns({
         "fold": F.when(at < F.lit("2024-01-15").cast("timestamp_ntz"), "train").when(at < F.lit("2024-01-23").cast("timestamp_ntz"), "first").otherwise("second"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from asofly.functions import factors as fx
 from asofly.functions import patterns
 from asofly.operators import asof, indicators, joins
+from asofly.operators.timeblocks import in_blocks
 from asofly.queries.base import add, r8, rq, ts, tsq, with_
 from asofly.queries.core import VIEWS
 from asofly.sources import tables as t
@@ -111,12 +112,13 @@ TR = "tr AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER
 
 @add("E17_ema", with_("b1") + f"SELECT asset, {tsq('event_time')}, round({_ewm_sql('close', 2 / 21)}, 8) AS ema20, round({_ewm_sql('close', 2 / 201)}, 8) AS ema200 FROM b1")
 def e17(spark, d):
-    return indicators.ema(indicators.ema(t.bars(spark, d), "close", 20, "ema20"), "close", 200, "ema200").select("asset", ts("event_time"), r8("ema20"), r8("ema200"))
+    return indicators.emas(t.bars(spark, d), "close", {"ema20": 20, "ema200": 200}).select("asset", ts("event_time"), r8("ema20"), r8("ema200"))
 
 
 @add("E18_sma_atr", with_("b1", more=TR) + f"SELECT asset, {tsq('event_time')}, CASE WHEN count(close) OVER v = 20 THEN round(avg(close) OVER v, 8) END AS sma20, round({_ewm_sql('tr', 1 / 14)}, 8) AS atr14 FROM tr WINDOW v AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def e18(spark, d):
-    return indicators.atr(t.bars(spark, d).withColumn("sma20", indicators.sma("close", 20)), 14, "atr14").select("asset", ts("event_time"), r8("sma20"), r8("atr14"))
+    out = in_blocks(t.bars(spark, d), lambda f: f.withColumns({"sma20": indicators.sma("close", 20), "_tr": indicators.true_range()}), before=20)
+    return indicators.ewm(out, "_tr", 1 / 14, "atr14").select("asset", ts("event_time"), r8("sma20"), r8("atr14"))
 
 
 SW = "sw AS (SELECT *, CASE WHEN count(*) OVER v = 7 AND low = min(low) OVER v THEN -1 WHEN count(*) OVER v = 7 AND high = max(high) OVER v THEN 1 ELSE 0 END AS swing FROM b1 WINDOW v AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"
@@ -124,13 +126,13 @@ SW = "sw AS (SELECT *, CASE WHEN count(*) OVER v = 7 AND low = min(low) OVER v T
 
 @add("E25_swing_points", with_("b1", more=SW) + f"SELECT asset, {tsq('event_time')}, swing, coalesce(lag(swing, 3) OVER (PARTITION BY asset ORDER BY event_time), 0) AS confirmed FROM sw")
 def e25(spark, d):
-    frame = t.bars(spark, d).withColumn("swing", indicators.swings(3))
-    return frame.withColumn("confirmed", F.coalesce(F.lag("swing", 3).over(fx.W()), F.lit(0))).select("asset", ts("event_time"), "swing", "confirmed")
+    both = {"swing": indicators.swings(3), "confirmed": indicators.swings(3, confirmed=True)}
+    return in_blocks(t.bars(spark, d), lambda f: f.withColumns(both), before=6, after=3).select("asset", ts("event_time"), "swing", "confirmed")
 
 
 @add("E26_trend_state", with_("b1", more=f"e AS (SELECT *, {_ewm_sql('close', 2 / 21)} AS f, {_ewm_sql('close', 2 / 51)} AS s FROM b1)") + f"SELECT asset, {tsq('event_time')}, CASE WHEN close > f AND f > s THEN 1 WHEN close < f AND f < s THEN -1 ELSE 0 END AS trend FROM e")
 def e26(spark, d):
-    out = indicators.ema(indicators.ema(t.bars(spark, d), "close", 20, "f"), "close", 50, "s")
+    out = indicators.emas(t.bars(spark, d), "close", {"f": 20, "s": 50})
     return out.select("asset", ts("event_time"), indicators.trend("f", "s").alias("trend"))
 
 
@@ -146,12 +148,12 @@ def e27(spark, d):
 
 @add("E28_engulfing", with_("b1", more="x AS (SELECT *, lag(open) OVER w AS po, lag(close) OVER w AS pc FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time))") + f"SELECT asset, {tsq('event_time')}, {ENGULF} AS engulfing FROM x")
 def e28(spark, d):
-    return t.bars(spark, d).select("asset", ts("event_time"), patterns.engulfing().alias("engulfing"))
+    return in_blocks(t.bars(spark, d), lambda f: f.withColumn("engulfing", patterns.engulfing()), before=1).select("asset", ts("event_time"), "engulfing")
 
 
 @add("E29_inside_bar", with_("b1") + f"SELECT asset, {tsq('event_time')}, CASE WHEN high <= lag(high) OVER w AND low >= lag(low) OVER w THEN 1 ELSE 0 END AS inside FROM b1 {WIN}")
 def e29(spark, d):
-    return t.bars(spark, d).select("asset", ts("event_time"), patterns.inside_bar().alias("inside"))
+    return in_blocks(t.bars(spark, d), lambda f: f.withColumn("inside", patterns.inside_bar()), before=1).select("asset", ts("event_time"), "inside")
 
 
 BOS = SW + """, lv AS (SELECT *, last_value(CASE WHEN swing = 1 THEN high END IGNORE NULLS) OVER w AS h, last_value(CASE WHEN swing = -1 THEN low END IGNORE NULLS) OVER w AS l FROM sw WINDOW w AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),

@@ -11,6 +11,7 @@ from asofly.functions.expressions import Node, evaluate, safe_ratio
 from asofly.operators import inference as inf
 from asofly.operators import strategy
 from asofly.operators.evaluation import information_coefficients
+from asofly.operators.timeblocks import in_blocks
 from asofly.queries.base import add, r8, rq, ts, tsq, with_
 from asofly.queries.core import PEERS
 from asofly.sources import tables as t
@@ -24,13 +25,17 @@ def rank_sql(c, by):
     return f"rank() OVER ({p}ORDER BY {c}) + (count(*) OVER ({q}) - 1) / 2"
 
 
+def _returns(spark, d, name):
+    return in_blocks(t.bars(spark, d), lambda f: f.withColumn(name, fx.change("close", 1)), before=1)
+
+
 def _xy(frame):
-    return frame.withColumn("x", fx.momentum("close", 24)).withColumn("y", fx.forward_log_return("close", 1))
+    return in_blocks(frame, lambda f: f.withColumns({"x": fx.momentum("close", 24), "y": fx.forward_log_return("close", 1)}), before=24, after=1)
 
 
 @add("D16_cross_section_ic", with_("wide", more="f AS (SELECT asset, event_time, close / nullif(lag(close, 6) OVER w, 0) - 1 AS x, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM wide WINDOW w AS (PARTITION BY asset ORDER BY event_time)), k AS (SELECT *, " + rank_sql("x", "event_time") + " AS rx, " + rank_sql("y", "event_time") + " AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT event_time, corr(rx, ry) AS ic FROM k GROUP BY event_time HAVING count(*) >= 3)") + "SELECT round(m, 8) AS mean_ic, round(s, 8) AS std_ic, n, round(t, 6) AS t, round(1 - exp(-x * x) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(x, 1e-12)) - lgamma(k + 1.5)))), 6) AS p FROM (SELECT *, abs(t) / sqrt(2) AS x FROM (SELECT avg(ic) AS m, stddev_samp(ic) AS s, count(*) AS n, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t FROM i WHERE ic IS NOT NULL AND NOT isnan(ic)))")
 def d16(spark, d):
-    frame = t.wide_bars(spark, d).withColumn("x", fx.momentum("close", 6)).withColumn("y", fx.forward_log_return("close", 1))
+    frame = in_blocks(t.wide_bars(spark, d), lambda f: f.withColumns({"x": fx.momentum("close", 6), "y": fx.forward_log_return("close", 1)}), before=6, after=1)
     return inf.cross_section_ic(frame, "x", "y").select(r8("mean_ic"), r8("std_ic"), "n", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
 
@@ -188,7 +193,7 @@ SCEN = "scen(scenario, fee_bps, slip_bps, delay) AS (VALUES ('base', 4.0, 5.0, 0
 
 @add("H18_cost_scenarios", with_("b1", more=SCEN + ", s AS (SELECT *, CASE WHEN close > open THEN 1.0 ELSE -1.0 END AS signal, close / nullif(lag(close) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1 AS ret FROM b1), p AS (SELECT *, coalesce(lag(signal) OVER (PARTITION BY asset ORDER BY event_time), 0) AS position FROM s), q AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY asset ORDER BY event_time), 0)) AS turnover FROM p)") + "SELECT scenario, asset, round(avg(position * coalesce(ret, 0) - turnover * (fee_bps + slip_bps) / 10000), 8) AS mean_net, round(sum(turnover), 4) AS turnover FROM q, scen GROUP BY ALL")
 def h18(spark, d):
-    frame = t.bars(spark, d).withColumn("signal", F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0)).withColumn("ret", fx.change("close", 1))
+    frame = _returns(spark, d, "ret").withColumn("signal", F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0))
     out = strategy.vector_backtest(frame, cost_bps=0.0).crossJoin(F.broadcast(sc.scenarios(spark)))  # eight fixed rows
     net = F.col("gross") - F.col("turnover") * (F.col("fee_bps") + F.col("slip_bps")) / 10000
     return out.groupBy("scenario", "asset").agg(r8(F.avg(net), "mean_net"), F.round(F.sum("turnover"), 4).alias("turnover"))
@@ -224,11 +229,12 @@ def i3(spark, d):
 
 @add("I4_circular_bootstrap")
 def i4(spark, d):
-    return inf.circular_bootstrap(t.bars(spark, d).withColumn("r", fx.change("close", 1)), "r", F.avg, block=42, samples=200).select("asset", r8("low"), r8("high"), "samples")
+    return inf.circular_bootstrap(_returns(spark, d, "r"), "r", F.avg, block=42, samples=200).select("asset", r8("low"), r8("high"), "samples")
 
 
 def _columns(spark, d):
-    return t.bars(spark, d).withColumns({"m6": fx.momentum("close", 6), "m24": fx.momentum("close", 24), "r6": fx.reversal("close", 6), "v24": fx.zscore("volume", 24), "y": fx.forward_log_return("close", 1)})
+    columns = {"m6": fx.momentum("close", 6), "m24": fx.momentum("close", 24), "r6": fx.reversal("close", 6), "v24": fx.zscore("volume", 24), "y": fx.forward_log_return("close", 1)}
+    return in_blocks(t.bars(spark, d), lambda f: f.withColumns(columns), before=24, after=1)
 
 
 @add("I5_redundancy", with_("b1", more="c AS (SELECT close / nullif(lag(close, 6) OVER w, 0) - 1 AS m6, close / nullif(lag(close, 24) OVER w, 0) - 1 AS m24, -(close / nullif(lag(close, 6) OVER w, 0) - 1) AS r6 FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)), l AS (SELECT 'm24' AS a, 'm6' AS b, m24 AS x, m6 AS y FROM c UNION ALL SELECT 'm24', 'r6', m24, r6 FROM c UNION ALL SELECT 'm6', 'r6', m6, r6 FROM c), k AS (SELECT *, " + rank_sql("x", "a, b") + " AS rx, " + rank_sql("y", "a, b") + " AS ry FROM l WHERE x IS NOT NULL AND y IS NOT NULL)") + "SELECT a, b, round(corr(rx, ry), 8) AS rho, count(*) AS n FROM k GROUP BY ALL")
@@ -265,13 +271,13 @@ def i6(spark, d):
 @add("I7_walk_forward_folds", with_("b1", more="p AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS n FROM b1), k AS (SELECT DISTINCT asset, unnest(generate_series(0, CAST(floor((n - 200) / 60) AS BIGINT) - 1)) AS fold FROM p)") + "SELECT k.asset, k.fold, count(*) FILTER (WHERE pos >= 200 + 60 * fold AND pos < 260 + 60 * fold) AS test_rows, count(*) FILTER (WHERE pos + 1 + 4 + 6 <= 200 + 60 * fold) AS train_rows FROM k JOIN p ON p.asset = k.asset GROUP BY ALL")
 def i7(spark, d):
     f = inf.walk_forward(t.bars(spark, d), initial=200, test=60, purge=4, embargo=6)
-    return f.groupBy("asset", "fold").agg(F.count_if(F.col("role") == "test").alias("test_rows"), F.count_if(F.col("role") == "train").alias("train_rows"))
+    return inf.fold_counts(f)
 
 
 @add("I7b_simple_folds", with_("b1", more="p AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS pos, greatest(count(*) OVER (PARTITION BY asset) // 5, 1) AS block FROM b1), k AS (SELECT DISTINCT asset, unnest([0, 1, 2, 3]) AS fold FROM p)") + "SELECT k.asset, k.fold, count(*) FILTER (WHERE pos >= block * (1 + fold) AND pos < block * (2 + fold)) AS test_rows, count(*) FILTER (WHERE pos + 1 + 2 <= block * (1 + fold)) AS train_rows FROM k JOIN p ON p.asset = k.asset GROUP BY ALL")
 def i7b(spark, d):
     f = inf.simple_folds(t.bars(spark, d), folds=4, purge=2)
-    return f.groupBy("asset", "fold").agg(F.count_if(F.col("role") == "test").alias("test_rows"), F.count_if(F.col("role") == "train").alias("train_rows"))
+    return inf.fold_counts(f)
 
 
 HW = """wt AS (SELECT event_time, asset, CASE WHEN close > open THEN 0.2 ELSE -0.2 END AS weight, lead(open) OVER (PARTITION BY asset ORDER BY event_time) / nullif(open, 0) - 1 AS ret FROM b4),
@@ -286,7 +292,7 @@ HW = """wt AS (SELECT event_time, asset, CASE WHEN close > open THEN 0.2 ELSE -0
 def _book(spark, d):
     b = t.bars(spark, d, 4)
     w = b.select("event_time", "asset", F.when(F.col("close") > F.col("open"), 0.2).otherwise(-0.2).alias("weight"))
-    r = b.select("event_time", "asset", (F.try_divide(F.lead("open", 1).over(fx.W()), F.col("open")) - 1).alias("ret"))
+    r = in_blocks(b, lambda f: f.withColumn("ret", F.try_divide(F.lead("open", 1).over(fx.W()), F.col("open")) - 1), after=1).select("event_time", "asset", "ret")
     return inf.held_weights(w, r, fee_bps=5.0)
 
 
@@ -389,7 +395,8 @@ def i15(spark, d):
 
     views = asof.delay_views(t.open_interest(spark, d), (5, 10, 15))
     wide = joins.delay_columns(asof.asof_by_delay(t.bars(spark, d), views, (5, 10, 15)), [5, 10, 15]).join(t.bars(spark, d).select("asset", "event_time", "close"), ["asset", "event_time"])
-    wide = wide.withColumns({**{f"x{k}": fx.change(f"oi_{k}m", 24) for k in (5, 10, 15)}, "y": fx.forward_log_return("close", 1)}).filter("event_time >= timestamp_ntz'2024-01-20'")
+    columns = {**{f"x{k}": fx.change(f"oi_{k}m", 24) for k in (5, 10, 15)}, "y": fx.forward_log_return("close", 1)}
+    wide = in_blocks(wide, lambda f: f.withColumns(columns), before=24, after=1).filter("event_time >= timestamp_ntz'2024-01-20'")
     out = inf.holdout_evaluation(wide, "x5", "y", direction=-1, delayed={5: "x5", 10: "x10", 15: "x15"})
     return out.select("assets", r8("mean_return"), r8("after_5bps"), r8("after_10bps"), F.concat_ws(",", "reasons").alias("reasons"))
 
@@ -449,8 +456,8 @@ def k1(spark, d):
     from asofly.functions.registry import Registry
 
     reg = Registry()
-    reg.add("momentum", ["close"], lambda: fx.momentum("close", 6))
-    reg.add("reversal", ["close"], lambda: fx.reversal("close", 3))
+    reg.add("momentum", ["close"], lambda: fx.momentum("close", 6), before=6)
+    reg.add("reversal", ["close"], lambda: fx.reversal("close", 3), before=3)
     return reg.compute(t.bars(spark, d, 4), ["momentum", "reversal"]).select("asset", ts("event_time"), r8("momentum"), r8("reversal"))
 
 
@@ -469,4 +476,4 @@ def k2(spark, d):
 
 @add("K3_user_statistic")
 def k3(spark, d):
-    return inf.circular_bootstrap(t.bars(spark, d).withColumn("r", fx.change("close", 1)), "r", F.median, block=24, samples=100, seed=7).select("asset", r8("low"), r8("high"), "samples")
+    return inf.circular_bootstrap(_returns(spark, d, "r"), "r", F.median, block=24, samples=100, seed=7).select("asset", r8("low"), r8("high"), "samples")
