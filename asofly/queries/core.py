@@ -346,11 +346,11 @@ def d15(spark, d):
 @add("D15b_factor_inference")
 def d15b(spark, d):
     """p-values and block-bootstrap bounds of the same slices, where they hold enough rows."""
-    from asofly.operators import inference
+    from asofly.operators import bootstrap, inference
 
     frame, out, by = _evaluated(spark, d)
     keyed = frame.withColumn("slice", F.concat_ws("|", *by))
-    bounds = inference.stationary_bootstrap(keyed, "x", "y", draws=200, by="slice")
+    bounds = bootstrap.stationary_bootstrap(keyed, "x", "y", draws=200, by="slice")
     p = out.withColumn("slice", F.concat_ws("|", *by)).withColumn("p", inference.spearman_p("rank_ic", "n"))
     enough = lambda c: F.when(F.col("p").isNotNull(), F.round(c, 8)).alias(c)
     return p.join(bounds, "slice", "left").select(*by, "n", r8("p"), enough("low"), enough("high"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
 from asofly.functions import scalars as sc
 from asofly.functions.expressions import Node, evaluate, safe_ratio
+from asofly.operators import bootstrap, strategy
 from asofly.operators import inference as inf
-from asofly.operators import strategy
 from asofly.operators.evaluation import information_coefficients
 from asofly.operators.timeblocks import in_blocks
 from asofly.queries.base import add, r8, rq, ts, tsq, with_
@@ -33,10 +34,10 @@ def _xy(frame):
     return in_blocks(frame, lambda f: f.withColumns({"x": fx.momentum("close", 24), "y": fx.forward_log_return("close", 1)}), before=24, after=1)
 
 
-@add("D16_cross_section_ic", with_("wide", more="f AS (SELECT asset, event_time, close / nullif(lag(close, 6) OVER w, 0) - 1 AS x, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM wide WINDOW w AS (PARTITION BY asset ORDER BY event_time)), k AS (SELECT *, " + rank_sql("x", "event_time") + " AS rx, " + rank_sql("y", "event_time") + " AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT event_time, corr(rx, ry) AS ic FROM k GROUP BY event_time HAVING count(*) >= 3)") + "SELECT round(m, 8) AS mean_ic, round(s, 8) AS std_ic, n, round(t, 6) AS t, round(1 - exp(-x * x) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(x, 1e-12)) - lgamma(k + 1.5)))), 6) AS p FROM (SELECT *, abs(t) / sqrt(2) AS x FROM (SELECT avg(ic) AS m, stddev_samp(ic) AS s, count(*) AS n, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t FROM i WHERE ic IS NOT NULL AND NOT isnan(ic)))")
+@add("D16_cross_section_ic", with_("wide", more="f AS (SELECT asset, event_time, close / nullif(lag(close, 6) OVER w, 0) - 1 AS x, ln(lead(close) OVER w / nullif(close, 0)) AS y FROM wide WINDOW w AS (PARTITION BY asset ORDER BY event_time)), k AS (SELECT *, " + rank_sql("x", "event_time") + " AS rx, " + rank_sql("y", "event_time") + " AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL), i AS (SELECT event_time, corr(rx, ry) AS ic FROM k GROUP BY event_time HAVING count(*) >= 3)") + "SELECT round(m, 8) AS mean_ic, round(s, 8) AS std_ic, n, round(t, 6) AS t, CASE WHEN x < 2 THEN round(1 - exp(-x * x) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(x, 1e-12)) - lgamma(k + 1.5)))), 6) ELSE exp(-x * x) / sqrt(pi()) / list_reduce([x] || list_transform(range(80, 0, -1), lambda n: n / 2.0), lambda f, h: x + h / f) END AS p FROM (SELECT *, abs(t) / sqrt(2) AS x FROM (SELECT avg(ic) AS m, stddev_samp(ic) AS s, count(*) AS n, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t FROM i WHERE ic IS NOT NULL AND NOT isnan(ic)))")
 def d16(spark, d):
     frame = in_blocks(t.wide_bars(spark, d), lambda f: f.withColumns({"x": fx.momentum("close", 6), "y": fx.forward_log_return("close", 1)}), before=6, after=1)
-    return inf.cross_section_ic(frame, "x", "y").select(r8("mean_ic"), r8("std_ic"), "n", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
+    return inf.cross_section_ic(frame, "x", "y").select(r8("mean_ic"), r8("std_ic"), "n", F.round("t", 6).alias("t"), F.when(F.abs("t") < 2 * 2**0.5, F.round("p", 6)).otherwise(F.col("p")).alias("p"))
 
 
 @add("E36_factor_direction", with_("b1", more=FXY.format("b1")) + "SELECT CAST(sign(median(r)) AS INTEGER) AS direction, round(median(r), 8) AS median_corr FROM (SELECT asset, corr(x, y) AS r FROM f WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY asset)")
@@ -224,12 +225,12 @@ def i2(spark, d):
 
 @add("I3_stationary_bootstrap")
 def i3(spark, d):
-    return inf.stationary_bootstrap(_xy(t.bars(spark, d)), "x", "y", draws=200).select("asset", r8("low"), r8("high"), "draws")
+    return bootstrap.stationary_bootstrap(_xy(t.bars(spark, d)), "x", "y", draws=200).select("asset", r8("low"), r8("high"), "draws")
 
 
 @add("I4_circular_bootstrap")
 def i4(spark, d):
-    return inf.circular_bootstrap(_returns(spark, d, "r"), "r", F.avg, block=42, samples=200).select("asset", r8("low"), r8("high"), "samples")
+    return bootstrap.circular_bootstrap(_returns(spark, d, "r"), "r", np.mean, column=F.avg, block=42, samples=200).select("asset", r8("low"), r8("high"), "samples")
 
 
 def _columns(spark, d):
@@ -476,4 +477,4 @@ def k2(spark, d):
 
 @add("K3_user_statistic")
 def k3(spark, d):
-    return inf.circular_bootstrap(_returns(spark, d, "r"), "r", F.median, block=24, samples=100, seed=7).select("asset", r8("low"), r8("high"), "samples")
+    return bootstrap.circular_bootstrap(_returns(spark, d, "r"), "r", np.median, column=F.median, block=24, samples=100, seed=7).select("asset", r8("low"), r8("high"), "samples")
