@@ -1,9 +1,10 @@
 """Vector bin packing of documents into shards that are level in bytes, tokens and rows at once.
 
-Documents with equal text form a group, and a group goes to one shard as long as it is small. Groups are first hashed
-into a fixed number of tiles, so what is packed has a fixed bound however large the corpus is; a group that holds more
-than a tile's share of the bytes, tokens or rows is dealt row by row into several tiles of its own. Tiles are placed,
-largest first, on the shard whose residual capacity has the highest dot product with the tile's (bytes, tokens, rows).
+Documents with equal text form a group, and a group goes to one shard unless it outweighs a whole one. Groups are first
+hashed into a fixed number of tiles, so what is packed has a fixed bound however large the corpus is; a group that holds
+more than a tile's share of the bytes, tokens or rows is an item of its own, worked on in pieces of a tile's size. Only a
+group with more than a shard's fair share of any of them is dealt out, piece by piece. Items are placed, largest first, on
+the shard whose residual capacity has the highest dot product with the item's (bytes, tokens, rows).
 """
 
 from __future__ import annotations
@@ -57,23 +58,27 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, tiles: int = 8192, id_
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")]
     total = rows.agg(*sums).first()
-    share = F.greatest(*(F.col(c) / F.lit(max(total[c] or 0, 1)) for c in ("size", "tokens", "n"))) * tiles
-    hot = rows.groupBy("grp").agg(*sums).select("grp", F.ceil(share).alias("parts")).filter("parts > 1")  # 3 x tiles at most
-    dealt = rows.join(F.broadcast(hot), "grp", "left").withColumn(
-        "tile",
-        F.when(F.col("parts").isNull(), F.pmod("grp", F.lit(tiles))).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("row"), "parts"))),
-    )
-    # At most `tiles` plain tiles and 6 x tiles parts of hot groups, so this fits the driver at any input size.
-    found = sorted(dealt.groupBy("tile").agg(*sums).collect(), key=lambda r: r["tile"])
-    placed = pack_vectors(np.array([[r["size"], r["tokens"], r["n"]] for r in found], float).reshape(-1, 3), shards)
+    share = F.greatest(*(F.col(c) / F.lit(max(total[c] or 0, 1)) for c in ("size", "tokens", "n")))
+    large = rows.groupBy("grp").agg(*sums).select("grp", F.ceil(share * tiles).alias("parts"), (share * shards <= 1).alias("whole")).filter("parts > 1")  # 3 x tiles at most
+    piece = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), "parts"))
+    item = F.when(F.col("parts").isNull(), F.pmod("grp", F.lit(tiles))).when(F.col("whole"), F.col("grp")).otherwise(F.xxhash64("grp", "piece"))
+    dealt = rows.join(F.broadcast(large), "grp", "left").withColumn("piece", piece).withColumn("item", item)
+    # At most `tiles` plain tiles and 6 x tiles pieces of large groups, so this fits the driver at any input size.
+    found = sorted(dealt.groupBy("item", "piece").agg(*sums).collect(), key=lambda r: (r["item"], r["piece"]))
+    names = sorted({r["item"] for r in found})
+    place, sizes = {x: i for i, x in enumerate(names)}, np.zeros((len(names), 3))
+    for r in found:
+        sizes[place[r["item"]]] += (r["size"], r["tokens"], r["n"])
+    placed = pack_vectors(sizes, shards).tolist()
     base, where = [0] * shards, []
-    for r, s in zip(found, placed.tolist(), strict=True):
-        where.append((r["tile"], s, base[s]))
+    for r in found:
+        s = placed[place[r["item"]]]
+        where.append((r["item"], r["piece"], s, base[s]))
         base[s] += r["n"]
-    spots = docs.sparkSession.createDataFrame(where, "tile long, shard int, base long")
-    turn = F.row_number().over(Window.partitionBy("tile").orderBy("doc_id", "row"))
+    spots = docs.sparkSession.createDataFrame(where, "item long, piece long, shard int, base long")
+    turn = F.row_number().over(Window.partitionBy("item", "piece").orderBy("doc_id", "row"))
     return (
         dealt.withColumn("turn", turn)
-        .join(F.broadcast(spots), "tile")
+        .join(F.broadcast(spots), ["item", "piece"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("turn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
