@@ -30,20 +30,50 @@ AROUND = 5  # words on either side of a mention that may disclose it
 REACH = 120  # characters in which they are sought
 WORD = r"\p{L}{2,}"  # how common a word is settles whether it says anything, not its length
 SUPPORT = 3  # distinct texts in which a term stands by an entity, at least
+PART = 64  # elements of an array that are put together at once
 GENERALISE, REMOVE = 0.75, 0.9  # of PMI / IC
 SPAN = "start:int,ord:int,end:int,kind:string"
 
 
-def found(text: Column, pattern: str | Column, type_: str = "array<struct<start:int,end:int,value:string>>") -> Column:
-    """All matches of a pattern with their code-point spans, end exclusive, from left to right without overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("i"), F.split(text, pattern, -1).alias("gaps"), F.expr(f"cast(array() as {type_})").alias("out"))
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with columns that later expressions find computed. Passing them through a generator keeps an array that a
+    lambda looks into from being computed anew for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(F.element_at(acc["gaps"], acc["i"]))
-        one = F.array(F.struct(a.alias("start"), (a + F.length(x)).alias("end"), x.alias("value")))
-        return F.struct((a + F.length(x)).alias("at"), (acc["i"] + 1).alias("i"), acc["gaps"].alias("gaps"), F.concat(acc["out"], one).alias("out"))
 
-    return F.aggregate(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), start, step, lambda acc: acc["out"])
+def matches(text: Column, pattern: str | Column) -> Column:
+    """All matches of a pattern, from left to right without overlap: how far each begins after the last one's end, and its text."""
+    hits = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
+    both = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x).alias("length"), x.alias("value")))
+    return F.filter(both, lambda m: m["value"].isNotNull())
+
+
+def in_parts(items: Column) -> Column:
+    """A settled array in parts of PART elements: whatever is put together step by step is bounded by a part."""
+    last = F.floor((F.size(items) - 1) / PART).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * PART + 1, PART))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def carried(values: Column, merge, first: int = 0) -> Column:
+    """What comes before each value of an array: the values before it merged, from `first` on."""
+    start = F.struct(F.lit(first).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(merge(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def located(found: Column) -> Column:
+    """start, end (code points, end exclusive) and value of settled matches."""
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+
+    def placed(part: Column, at: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + m["gap"]
+            one = F.struct(start.alias("start"), (start + m["length"]).alias("end"), m["value"].alias("value"))
+            return F.struct((start + m["length"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    totals = F.transform(in_parts(found), lambda p: F.aggregate(p, F.lit(0), lambda n, m: n + m["gap"] + m["length"]))
+    return F.flatten(F.zip_with(in_parts(found), carried(totals, lambda x, y: x + y), placed))
 
 
 def _digits(x: Column) -> Column:
@@ -60,26 +90,46 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _spans_of(i: int, kind: str, text: Column) -> Column:
+def _matches_of(kind: str, text: Column) -> Column:
     guard = F.contains(text, F.lit("@")) if kind == "email" else F.contains(text, F.lit("+")) if kind == "phone" else text.rlike(PATTERNS[kind])
+    return F.when(guard, matches(text, PATTERNS[kind])).otherwise(F.expr("cast(array() as array<struct<gap:int,length:int,value:string>>)"))
+
+
+def _spans_of(i: int, kind: str, found: Column) -> Column:
     value = F.lower if kind in ("email", "ip") else _digits
-    got = F.filter(found(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
-    named = F.transform(got, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), value(s["value"]).alias("value")))
-    return F.when(guard, named).otherwise(F.expr(f"cast(array() as array<struct<{SPAN},value:string>>)"))
+    got = F.filter(located(found), lambda s: _valid(kind, s["value"]))
+    return F.transform(got, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), value(s["value"]).alias("value")))
+
 
+def with_base_spans(rows: DataFrame) -> DataFrame:
+    """rows (text, not null) with base: direct identifiers as an array of start, ord, end, kind and normalised value, by start
+    and kind."""
+    found = settled(rows, **{f"_m_{kind}": _matches_of(kind, F.col("text")) for kind in KINDS})
+    spans = F.array_sort(F.concat(*(_spans_of(i, kind, F.col(f"_m_{kind}")) for i, kind in enumerate(KINDS))))
+    return settled(found, base=spans).drop(*(f"_m_{kind}" for kind in KINDS))
 
-def base_spans(text: Column) -> Column:
-    """Direct identifiers of a text: array of start, ord, end, kind and normalised value, by start and kind."""
-    return F.array_sort(F.concat(*(_spans_of(i, kind, text) for i, kind in enumerate(KINDS))))
 
+def cut_up(text: Column, length: Column) -> Column:
+    """step, and the text in blocks of so many code points, each with REACH more on either side: a place in a long text is
+    looked up in its block. The step grows with the root of the length, which makes cutting and looking up cost alike."""
+    step = F.greatest(F.lit(1024), F.ceil(F.sqrt(15 * length))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.floor(length / step).cast("int")), lambda k: F.substring(text, F.greatest(k * step - REACH, F.lit(0)) + 1, step + 2 * REACH))
+    return F.struct(step.alias("step"), length.alias("length"), cut.alias("cut"))
 
-def _near(text: Column, span: Column) -> Column:
+
+def _piece(blocks: Column, start: Column, length: Column) -> Column:
+    """So many code points (REACH at most) of a cut-up text from start on."""
+    k = F.floor(start / blocks["step"]).cast("int")
+    return F.substring(F.element_at(blocks["cut"], k + 1), start - F.greatest(k * blocks["step"] - REACH, F.lit(0)) + 1, length)
+
+
+def _near(blocks: Column, span: Column) -> Column:
     """Distinct words, in lower case, on either side of a span."""
     low = F.greatest(span["start"] - REACH, F.lit(0))
     clean = lambda x: F.regexp_replace(F.lower(x), r"\S*[@0-9]\S*", " ")  # noqa: E731  no parts of other identifiers
-    before, after = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(REACH))
+    before, after = _piece(blocks, low, span["start"] - low), _piece(blocks, span["end"], F.lit(REACH))
     before = F.when(low > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)  # no word that the reach cuts
-    after = F.when(F.length(text) > span["end"] + REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    after = F.when(blocks["length"] > span["end"] + REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
     left = F.regexp_extract_all(clean(before), F.lit(WORD), F.lit(0))
     right = F.regexp_extract_all(clean(after), F.lit(WORD), F.lit(0))
     left = F.when(F.size(left) > AROUND, F.slice(left, -AROUND, AROUND)).otherwise(left)
@@ -89,8 +139,9 @@ def _near(text: Column, span: Column) -> Column:
 def _mentions(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text) and its base spans, each with the words around it."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), _near(F.col("text"), s).alias("near")))
+    rows = with_base_spans(docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")))
+    rows = settled(rows, blocks=F.when(F.size("base") > 0, cut_up(F.col("text"), F.length("text"))))
+    near = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), _near(F.col("blocks"), s).alias("near")))
     return stash(rows.select("doc_id", "h", near.alias("base")), "mentions")
 
 
@@ -136,14 +187,33 @@ def find_spans(docs: DataFrame, *, support: int = SUPPORT, threshold: float = GE
     met = texts.join(right, same(texts, right)).select(texts["doc_id"], texts["h"], "text", "own").dropDuplicates(["doc_id", "h"])
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("own"), "|"), F.lit(r")(?!\p{L})"))
     spans = F.transform(
-        found(F.col("text"), pattern),
+        located(F.col("found")),
         lambda s: F.struct(s["start"].alias("start"), F.lit(TERM).alias("ord"), s["end"].alias("end"), F.lit("term").alias("kind"), F.try_element_at("own", F.lower(s["value"])).alias("disclosure")),
     )
-    located = met.select("doc_id", "h", spans.alias("terms"))
+    placed = settled(met, found=matches(F.col("text"), pattern)).select("doc_id", "h", spans.alias("terms"))
     base = mentions.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("base"))
-    out = base.join(located, same(base, located), "left").select(base["doc_id"], base["h"], "base", "terms")
-    free = F.filter(F.coalesce("terms", F.expr(f"cast(array() as array<struct<{SPAN},disclosure:double>>)")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("terms", free)
+    out = base.join(placed, same(base, placed), "left").select(base["doc_id"], base["h"], "base", "terms")
+    return free_terms(out.withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as array<struct<{SPAN},disclosure:double>>)"))))
+
+
+def free_terms(rows: DataFrame) -> DataFrame:
+    """rows (base, terms) without the terms that overlap a base span.
+
+    Base spans are listed by stretches of the text, about as many as the root of their number, and a term looks at those of
+    its own stretches only.
+    """
+    width = F.greatest(F.lit(256), F.ceil(F.array_max(F.transform("base", lambda b: b["end"])) / F.sqrt(F.size("base")))).cast("int")
+    some = (F.size("base") > 0) & (F.size("terms") > 0)
+    out = settled(rows, _width=F.when(some, width))
+    last = F.floor(F.array_max(F.transform("base", lambda b: b["end"])) / F.col("_width")).cast("int")
+    by = F.transform(F.sequence(F.lit(0), last), lambda k: F.filter("base", lambda b: (b["start"] < (k + 1) * F.col("_width")) & (b["end"] > k * F.col("_width"))))
+    out = settled(out, _by=F.when(some, by))
+
+    def free(t: Column) -> Column:
+        lo, hi = F.floor(t["start"] / F.col("_width")).cast("int"), F.floor((t["end"] - 1) / F.col("_width")).cast("int")
+        return ~F.exists(F.flatten(F.slice("_by", lo + 1, hi - lo + 1)), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+    return out.withColumn("terms", F.when(some, F.filter("terms", free)).otherwise(F.col("terms"))).drop("_width", "_by")
 
 
 def listed(spans: Column) -> Column:
@@ -180,12 +250,19 @@ def sanitise(docs: DataFrame, *, remove: float = REMOVE) -> DataFrame:
     few = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS // 20
     out = docs.join(F.broadcast(spans) if few else spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
 
-    def step(acc: Column, m: Column) -> Column:
-        free = m["start"] >= acc["at"]
-        text = F.when(free, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), m["by"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), text.alias("out"))
+    def replaced(marks: Column, at: Column) -> Column:
+        """A part of the marks: the text that it spans is taken out once, and cut from there."""
+        end = F.aggregate(marks, at, lambda e, m: F.greatest(e, m["end"]))
+        start = F.struct(at.alias("at"), F.substring(F.col("text"), at + 1, end - at).alias("own"), F.expr("cast(array() as array<string>)").alias("out"))
+
+        def step(acc: Column, m: Column) -> Column:
+            gap = F.substring(acc["own"], acc["at"] - at + 1, m["start"] - acc["at"])
+            return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["own"].alias("own"), F.when(m["start"] >= acc["at"], F.concat(acc["out"], F.array(F.concat(gap, m["by"])))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(marks, start, step, lambda acc: F.array_join(acc["out"], ""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_marks", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    ends = F.transform(in_parts(F.col("_marks")), lambda p: F.aggregate(p, F.lit(0), lambda e, m: F.greatest(e, m["end"])))
+    done = F.aggregate(F.col("_marks"), F.lit(0), lambda e, m: F.greatest(e, m["end"]))
+    clean = F.concat(F.array_join(F.zip_with(in_parts(F.col("_marks")), carried(ends, F.greatest), replaced), ""), F.substring(F.col("text"), done + 1, F.length("text")))
     out = out.withColumn("text", F.when(F.col("_marks").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
