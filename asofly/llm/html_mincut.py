@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,9 @@ POOR = frozenset(
 )
 GOOD = frozenset("article content post entry story text body main page blog prose".split())
 ROLES_POOR = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: Comments, declarations, tags; a tag with a quote that isn't closed ends at the next bracket, one without any at the page's end.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|["'][^>]*+(?:>|\Z)|\Z)""", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _WORD = re.compile(r"[a-z]+")
 _STOP = re.compile(r"[.!?…](?:[\s\"'”’)]|$)")
@@ -69,12 +72,65 @@ def _attributes(tag: str, raw: str) -> tuple[float, bool]:
     return odds, False
 
 
+class Forms:
+    """What the forms of a page hold: their ends, articles, paragraphs and share of the text, found in one pass."""
+
+    def __init__(self, page: str):
+        self.ends, self.articles, self.paragraphs = [], [], []
+        self.at, self.text = [0], [0]  # characters of text before a place
+        place = 0
+        while m := _TAG.search(page, place):
+            self.at.append(m.start())
+            self.text.append(self.text[-1] + m.start() - place)
+            place = m.end()
+            self.at.append(place)
+            self.text.append(self.text[-1])
+            tag = (m[2] or "").lower()
+            if tag == "form" and m[1]:
+                self.ends.append(m.start())
+            elif tag in INSIDE and not m[1]:
+                self.articles.append(m.start())
+            elif tag == "p" and not m[1]:
+                self.paragraphs.append(m.start())
+            elif tag in RAW and not m[1] and not m[3].endswith("/"):
+                place = raw_end(page, tag, place)
+        self.size = len(page)
+        self.all = self.before(self.size)
+
+    def before(self, place: int) -> int:
+        i = bisect_right(self.at, place) - 1
+        return self.text[i] + (place - self.at[i] if i % 2 == 0 and i == len(self.at) - 1 else 0)
+
+    def wraps(self, at: int) -> bool:
+        """Whether the form that opens before `at` is wrapped round a page's main part instead of asking for something: it
+        holds the article, or paragraphs and more than half of the page's text."""
+        k = bisect_left(self.ends, at)
+        end = self.ends[k] if k < len(self.ends) else self.size
+        held = lambda places: bisect_left(places, end) > bisect_left(places, at)
+        return held(self.articles) or held(self.paragraphs) and 2 * (self.before(end) - self.before(at)) > self.all
+
+
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where a raw element that opens before `at` is over; at the page's end if it isn't closed."""
+    end = _RAW_END[tag].search(page, at)
+    return len(page) if end is None else end.end()
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order, markup and raw elements removed, references decoded, white space made single."""
+    """Text blocks of a page in order, markup and raw elements removed, references decoded, white space made single.
+
+    What is open is counted by name, and the innermost elements that aren't inline are kept apart, so a page costs time in
+    proportion to its length however it is nested.
+    """
     out: list[Block] = []
     #: Open elements: name, id, log-odds so far, within an article, in an element that holds none.
     stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
+    solid = [0]  # places in the stack of elements that aren't inline
+    open_: Counter[str] = Counter()
+    runs: list[Counter[str]] = [Counter()]  # inline elements that are open in each of them
     parts: list[str] = []
+    forms: Forms | None = None
+    unclosed: set[str] = set()
     made = link = linked = 0
     at = 0
 
@@ -83,16 +139,23 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             total = max(len(text), 1)
-            owner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE)
+            owner = solid[-1]
             tag, own, odds, inside, never = stack[owner]
             out.append(Block(text, min(linked, total), total, -NEVER if never else odds, inside, tag, own, stack[owner - 1][1] if owner else 0))
         parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        if any(s[0] not in INLINE for s in stack[to:]):
+        if solid[-1] >= to:
             flush()
-        del stack[to:]
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            open_[tag] -= 1
+            if tag in INLINE:
+                runs[-1][tag] -= 1
+            else:
+                solid.pop()
+                runs.pop()
 
     while True:
         m = _TAG.search(page, at)
@@ -110,21 +173,22 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 link = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            else:
+            if not (runs[-1][tag] if tag in INLINE else open_[tag]):
                 if tag not in INLINE:
                     flush()
+                continue
+            i = len(stack) - 1
+            while stack[i][0] != tag:
+                i -= 1
+            pop(i)
             continue
         if tag == "svg" and m[3].endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
-            at = len(page) if end is None else end.end()
+            end = len(page) if tag in unclosed else raw_end(page, tag, at)
+            if end == len(page):
+                unclosed.add(tag)
+            at = end
             parts.append(" ")
             continue
         if tag in VOID:
@@ -137,12 +201,8 @@ def blocks(page: str) -> list[Block]:
             flush()
             link = 0
             shut = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("p",))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in shut:
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if stack[solid[-1]][0] in shut:
+                pop(solid[-1])
         if m[3].endswith("/") and tag not in INLINE:
             continue
         _, _, odds, inside, never = stack[-1]
@@ -151,25 +211,26 @@ def blocks(page: str) -> list[Block]:
             odds, inside = 3.0 + max(more, 0.0), True
         else:
             odds += more
-        if tag == "form" and holds_article(page, at):
+        if tag == "form" and forms is None:
+            forms = Forms(page)
+        if tag == "form" and forms.wraps(at):
             odds -= 1
         elif tag in OUTSIDE or hidden or tag == "header" and not inside:
             never = True
         elif tag == "header":
             odds -= 1
         made += 1
+        open_[tag] += 1
+        if tag in INLINE:
+            runs[-1][tag] += 1
+        else:
+            solid.append(len(stack))
+            runs.append(Counter())
         stack.append((tag, made, odds, inside, never))
     flush()
     return out
 
 
-def holds_article(page: str, at: int) -> bool:
-    """Whether the form that opens before `at` is wrapped round a page's main part instead of asking for something."""
-    end = page.lower().find("</form", at)
-    inner = page[at : end if end >= 0 else len(page)]
-    return re.search(r"<(?:article|main)\b", inner, re.I) is not None or len(re.findall(r"<p[\s>]", inner, re.I)) >= 3
-
-
 def log_odds(b: Block) -> float:
     """The classifier: positive if a block looks like article text."""
     words = b.text.count(" ") + 1
