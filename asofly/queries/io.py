@@ -193,7 +193,7 @@ def a16(spark, d):
     b = t.bars(spark, d)
     known = publish.write_new_partitions(b.filter("asset <> 'view'"), path, "asset")
     publish.write_new_partitions(b, path, "asset", known)  # only what's new is appended
-    return spark.read.parquet(path).groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
+    return streams.finished(spark, path, s.schema).groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("A17_publish_snapshot", with_("b1") + f"SELECT 'macro-1h' AS name, 'research' AS layer, count(*) AS row_count, {tsq('min(event_time)', 'first_event')}, {tsq('max(available_time)', 'last_available')} FROM b1")
@@ -259,9 +259,16 @@ def a23(spark, d):
     return spark.read.schema("name string, at string, value double, part string").json(path).select("part", "name", "at", r8("value"))
 
 
-@add("K4_archive_table_function", with_("b1") + "SELECT count(*) AS lines, count(DISTINCT asset || strftime(event_time, '%Y-%m-%d')) AS archives, CAST(0 AS BIGINT) AS errors FROM b1")
+@add("K4_archive_table_function", with_("b1") + f"SELECT asset, strftime(event_time, '%Y-%m-%d') AS day, CAST(row_number() OVER (PARTITION BY asset, date_trunc('day', event_time) ORDER BY event_time) - 1 AS INTEGER) AS line_no, {tsq('event_time')}, 12 AS fields, CAST(NULL AS VARCHAR) AS error FROM b1 UNION ALL SELECT DISTINCT asset, 'damaged', -1, NULL, CAST(NULL AS INTEGER), 'ARCHIVE_DAMAGED' FROM b1")
 def k4(spark, d):
-    return archives.zip_lines(_bar_zips(spark, d)).agg(F.count("line").alias("lines"), F.countDistinct("path").alias("archives"), F.count("error").alias("errors"))
+    """Every line of every archive; and, for each asset, one whose packed bytes are spoilt."""
+    good = _bar_zips(spark, d)
+    one = archives.pack(t.bars(spark, d).groupBy("asset").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("/raw/"), "asset", F.lit("-1h-damaged.zip")).alias("path"), F.array(F.repeat(F.lit("1,2,3,"), 500)).alias("lines")))
+    spoilt = F.concat(F.substring("content", 1, 60), F.unhex(F.lit("ffffffffffff")), F.expr("substring(content, 67)"))
+    lines = archives.zip_lines(good.unionByName(one.withColumn("content", spoilt)))
+    fields = F.split("line", ",")
+    day = F.regexp_extract("path", r"-1h-(.+)\.zip$", 1)
+    return lines.select(archives.asset_of(F.col("path")).alias("asset"), day.alias("day"), "line_no", ts(archives.moment(fields[0]), "event_time"), F.when(F.col("line").isNotNull(), F.size(fields)).alias("fields"), "error")
 
 
 FILES = 4  # of a slice of the stream, which is a micro-batch
@@ -305,9 +312,9 @@ def j1(spark, d):
 def j2(spark, d):
     s = _stream(spark, d, "intake")
     path, twice = scratch(spark, "table"), s.unionByName(s)
-    q = streams.once(twice, ["asset", "tie"], late="40 days").writeStream.foreachBatch(lambda b, _: streams.append_new(b, path, ["asset", "tie"])).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
+    q = streams.once(twice, ["asset", "tie"], late="40 days").writeStream.foreachBatch(lambda b, i: streams.append_new(b, i, path, ["asset", "tie"])).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return streams.finished(spark, path, s.schema).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @add("J3_record_routing", "SELECT coalesce(CASE WHEN value < 1 THEN 'MALFORMED' WHEN ts > TIMESTAMP '2024-01-20 00:01:00' THEN 'FUTURE' WHEN ts < TIMESTAMP '2024-01-20' - INTERVAL 5 DAY THEN 'STALE' END, 'ACCEPTED') AS reason, count(*) AS n FROM events GROUP BY 1")
@@ -330,5 +337,14 @@ def j4(spark, d):
         "position_id": F.concat(F.when(F.col("side") == 1, "long-").otherwise("short-"), "asset"), "opened": F.lit("2024-01-05").cast("timestamp_ntz"), "entry": F.lit(50.0),
         "stop": F.when(F.col("side") == 1, 0.5).otherwise(400.0), "target": F.when(F.col("side") == 1, 200.0).otherwise(0.8), "notional": F.lit(90.0), "stop_risk": F.lit(5.0),
     })
-    live = _slices(spark, b, scratch(spark, "exit-bars"))
-    return _drain(spark, streams.exits(live, p), "exits").select("position_id", ts("event_time"), "outcome", r8("price"), r8("pnl"))
+    at = lambda f, c: f.withColumn(c, F.col(c).cast("timestamp"))
+    beat = b.limit(1).withColumns({"asset": F.lit("heartbeat"), "event_time": F.lit("2024-03-01").cast("timestamp_ntz")})  # a later bar, which lets the last hits through
+    live = at(_slices(spark, b.unionByName(beat), scratch(spark, "exit-bars")), "event_time")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = _drain(spark, streams.exits(live, at(p, "opened")), "exits")
+    finally:
+        spark.conf.set(store, before)
+    return out.select("position_id", ts("event_time"), "outcome", r8("price"), r8("pnl"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 OHLCV = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote", "ignore")
 FUNDING = ("calc_time", "funding_interval_hours", "last_funding_rate")
 METRICS = ("create_time", "symbol", "sum_open_interest", "sum_open_interest_value", "count_toptrader_long_short_ratio", "sum_toptrader_long_short_ratio", "count_long_short_ratio", "sum_taker_long_short_vol_ratio")
+PIECE = 20_000  # rows that a worker hands on at once
 NEWER = {"count": "trades", "taker_buy_volume": "taker_buy_base", "taker_buy_quote_volume": "taker_buy_quote"}
 
 
@@ -23,68 +28,118 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
-def only_csv(content: bytes) -> str:
-    """Text of the one CSV file that an archive holds; ValueError with a code if it can't be had."""
+@contextmanager
+def only_csv(content: bytes) -> Iterator[io.TextIOWrapper]:
+    """The one CSV member of an archive as text that is unpacked while it's read; a byte-order mark isn't part of it.
+
+    What keeps it from being read, at the start or in the middle, is a ValueError with a code.
+    """
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             members = [m for m in z.infolist() if not m.is_dir() and m.filename[-4:].lower() == ".csv"]
-            if len(members) == 1:
-                return z.read(members[0]).decode()
-    except (zipfile.BadZipFile, UnicodeDecodeError) as e:
-        raise ValueError("ARCHIVE_UNREADABLE") from e
-    raise ValueError("ARCHIVE_NOT_ONE_CSV")
+            if len(members) != 1:
+                raise ValueError("ARCHIVE_NOT_ONE_CSV")
+            if members[0].flag_bits & 1:
+                raise ValueError("ARCHIVE_ENCRYPTED")
+            with z.open(members[0]) as f:
+                yield io.TextIOWrapper(f, encoding="utf-8-sig", newline="")
+    except UnicodeDecodeError as e:
+        raise ValueError("ARCHIVE_NOT_UTF8") from e
+    except NotImplementedError as e:
+        raise ValueError("ARCHIVE_COMPRESSION_UNKNOWN") from e
+    except csv.Error as e:
+        raise ValueError("ARCHIVE_NOT_CSV") from e
+    except (zlib.error, EOFError, OSError) as e:
+        raise ValueError("ARCHIVE_DAMAGED") from e
+    except (zipfile.BadZipFile, RuntimeError) as e:
+        raise ValueError("ARCHIVE_DAMAGED" if "CRC" in str(e) else "ARCHIVE_UNREADABLE") from e
+
+
+def _pieces(rows: Iterable[list], n: int = PIECE) -> Iterator[list[list]]:
+    rows = iter(rows)
+    while some := list(islice(rows, n)):
+        yield some
 
 
 def zip_lines(files: DataFrame) -> DataFrame:
     """path, line_no, line, error of every archive: a table function from bytes to rows.
 
-    An archive that can't be read, or holds other than one CSV, gives a single row with an error and no line.
+    Archives are read twice, so that one that turns out to be damaged gives a single row with an error and no line, and in
+    pieces, so that a worker never holds a whole text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("error", pa.string())])
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 try:
-                    lines = only_csv(content).splitlines()
-                    yield pd.DataFrame({"path": path, "line_no": range(len(lines)), "line": lines, "error": None})
+                    with only_csv(content) as text:
+                        for _ in text:
+                            pass
+                    with only_csv(content) as text:
+                        for part in _pieces((i, line.rstrip("\r\n")) for i, line in enumerate(text)):
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([i for i, _ in part], pa.int32()), pa.array([x for _, x in part], pa.string()), pa.nulls(len(part), pa.string())], schema=schema)
                 except ValueError as e:
-                    yield pd.DataFrame({"path": [path], "line_no": [-1], "line": [None], "error": [str(e)]})
+                    yield pa.RecordBatch.from_pylist([{"path": path, "line_no": -1, "line": None, "error": str(e)}], schema)
 
-    return files.select("path", "content").mapInPandas(run, "path string, line_no int, line string, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, line_no int, line string, error string")
 
 
 def parse(files: DataFrame, columns: tuple[str, ...], *, headless: bool = False) -> DataFrame:
     """path, error and the columns as text of every CSV row in the archives.
 
     A header may name the columns in any order, by newer names too; headless: a first row that starts with digits is data.
-    An archive that can't be read, has other columns or no rows gives a single row with an error, so nothing is lost unseen.
+    An archive that can't be read to its end, has other columns or no rows gives a single row with an error. Rows with
+    another number of fields are counted in a row of their own with an error, beside the good ones; blank lines don't
+    count. So nothing is lost unseen. Each archive is read once to check it and once for its rows, in pieces.
     """
     schema = ", ".join(["path string", "error string", *(f"{c} string" for c in columns)])
+    fields = pa.schema([(n, pa.string()) for n in ("path", "error", *columns)])
 
-    def table(content: bytes) -> pd.DataFrame:
-        rows = list(csv.reader(io.StringIO(only_csv(content))))
-        if headless and rows and len(rows[0]) == len(columns) and rows[0][0].isdigit():
-            names = list(columns)
-        else:
-            names, rows = [NEWER.get(n, n) for n in rows[0]] if rows else [], rows[1:]
-        if not rows:
+    def opened(text: io.TextIOWrapper) -> tuple[list[str], Iterator[list[str]]]:
+        """Names of the columns and the rows after the header; blank lines are left out."""
+        rows = (r for r in csv.reader(text) if r)
+        first = next(rows, None)
+        if first is None:
             raise ValueError("ARCHIVE_EMPTY")
-        if set(names) != set(columns):
-            raise ValueError(f"SCHEMA_CHANGED: missing={sorted(set(columns) - set(names))} unexpected={sorted(set(names) - set(columns))}")
-        return pd.DataFrame([r for r in rows if len(r) == len(names)], columns=names, dtype=object)[list(columns)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if headless and len(first) == len(columns) and first[0].isdigit():
+            return list(columns), chain([first], rows)
+        return [NEWER.get(n, n) for n in first], rows
+
+    def checked(content: bytes) -> tuple[int, int, int]:
+        """Good rows, rows of another length, and which row is the first of those (from 1)."""
+        with only_csv(content) as text:
+            names, rows = opened(text)
+            good = bad = first = 0
+            for i, r in enumerate(rows, 1):
+                if len(r) == len(names):
+                    good += 1
+                else:
+                    bad, first = bad + 1, first or i
+            if not good + bad:
+                raise ValueError("ARCHIVE_EMPTY")
+            if set(names) != set(columns) or len(names) != len(columns):
+                raise ValueError(f"SCHEMA_CHANGED: missing={sorted(set(columns) - set(names))} unexpected={sorted(set(names) - set(columns))}")
+            return good, bad, first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 try:
-                    found = table(content)
-                    found.insert(0, "error", None)
+                    good, bad, first = checked(content)
+                    error = f"ROWS_MALFORMED: {bad} of {good + bad}, the first is row {first}" if bad else None
+                    with only_csv(content) as text:
+                        names, rows = opened(text)
+                        place = [names.index(c) for c in columns]
+                        for part in _pieces(r for r in rows if len(r) == len(names)):
+                            data = [pa.array([r[i] for r in part], pa.string()) for i in place]
+                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.nulls(len(part), pa.string()), *data], schema=fields)
                 except ValueError as e:
-                    found = pd.DataFrame([[str(e)] + [None] * len(columns)], columns=["error", *columns], dtype=object)
-                found.insert(0, "path", path)
-                yield found
+                    error = str(e)
+                if error:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "error": error}], fields)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def moment(ms: Column) -> Column:
