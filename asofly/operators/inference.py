@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -299,10 +302,33 @@ def book_summary(book: DataFrame) -> DataFrame:
 SLICE = ["factor_id", "horizon", "q", "fold", "asset", "regime"]
 
 
+def with_bitmaps(rows: DataFrame, keys: list[str], position: str, *aggregates: Column) -> DataFrame:
+    """One row for each key: the aggregates, and bars, bitmaps of the positions that are not null: an array of bucket (of
+    32,768 positions) and bits."""
+    some = rows.filter(F.col(position).isNotNull()).groupBy(*keys, F.bitmap_bucket_number(position).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits"))
+    maps = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("bars"))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    own = rows.groupBy(*keys).agg(*aggregates) if aggregates else rows.select(*keys).distinct()
+    out = own.join(maps.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "bars"), reduce(and_, same), "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    return out.withColumn("bars", F.coalesce("bars", F.expr("cast(array() as array<struct<bucket:bigint,bits:binary>>)")))
+
+
+def overlapping(slices: DataFrame, key: str, within: str) -> DataFrame:
+    """Keys of slices (key, within, bars as bitmaps) that share a position with another one of the same `within`.
+
+    A slice overlaps those before it in some order if their union and it hold more positions than their union with it; and
+    likewise those after it. So bitmaps are merged along two windows, and neither positions nor pairs become rows.
+    """
+    maps = slices.select(key, within, F.inline("bars")).groupBy(within, "bucket", key).agg(F.bitmap_or_agg("bits").alias("bits"))
+    count = lambda order, last: F.bitmap_count(F.bitmap_or_agg("bits").over(Window.partitionBy(within, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, last)))
+    met = [F.coalesce(count(order, -1), F.lit(0)) + F.bitmap_count("bits") > count(order, 0) for order in (F.col(key).asc(), F.col(key).desc())]
+    return maps.withColumn("_met", met[0] | met[1]).filter("_met").select(key).distinct()
+
+
 def family_gate(slices: DataFrame, units: DataFrame, *, horizons: list[str], qs: list[float], primary: tuple[str, float], blocked: list[str] | None = None, direction: int = 1, alpha: float = 0.05, least_n: int = 30, least_family: int = 1) -> DataFrame:
     """One row: verdict (PASS, FAIL, INSUFFICIENT, BLOCKED), ordered reasons, and what they rest on.
 
-    slices: SLICE, p, direction_estimate, n_effective, bars (the positions it was tested on); units: fold, asset, regime,
+    slices: SLICE, p, direction_estimate, n_effective, bars (bitmaps of the positions it was tested on, by `with_bitmaps`); units: fold, asset, regime,
     effective, missing, infeasible: the cells that were registered beforehand, each with every factor, horizon and q. All
     slices of the family are adjusted together; the verdict looks at the primary horizon and q alone. Survivors of one asset
     that share bars aren't independent and don't count. Preconditions that failed (`blocked`) end it before anything is read.
@@ -323,9 +349,7 @@ def family_gate(slices: DataFrame, units: DataFrame, *, horizons: list[str], qs:
     u = units.agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("effective") == 0).alias("empty_units"), F.coalesce(F.try_divide(F.sum(F.col("missing") + F.col("infeasible")), F.sum(F.col("effective") + F.col("missing") + F.col("infeasible"))), F.lit(0.0)).alias("excluded"), (F.count(F.lit(1)) - F.countDistinct(*cells)).alias("double_units"))
     p = s.filter((F.col("horizon") == primary[0]) & (F.col("q") == primary[1]))
     strong = p.filter((F.col("n_effective") >= least_n) & (F.col("adjusted") < alpha))
-    bars = strong.select("_key", "asset", F.explode("bars").alias("_bar"))
-    shared = bars.groupBy("asset", "_bar").agg(F.countDistinct("_key").alias("_k")).filter("_k > 1")
-    left = strong.join(bars.join(shared, ["asset", "_bar"], "left_semi").select("_key").distinct(), "_key", "left_anti")
+    left = strong.join(overlapping(strong, "_key", "asset"), "_key", "left_anti")
     fits = F.signum("direction_estimate") == direction
     main = p.agg(F.count_if(F.col("n_effective") < least_n).alias("small_cells"), F.count_if((F.col("n_effective") >= least_n) & finite("direction_estimate")).alias("_eligible"), F.count_if((F.col("n_effective") >= least_n) & finite("direction_estimate") & fits).alias("_fits"))
     lives = left.agg(F.count(F.lit(1)).alias("survivors"), F.countDistinct("asset").alias("assets"))
@@ -389,9 +413,11 @@ def near_equivalents(correlations: DataFrame, factor: str, *, threshold: float =
     return correlations.filter((F.col("a") == factor) | (F.col("b") == factor)).select(other.alias("other_factor_id"), F.col("rho").alias("rank_ic"), label.alias("label"))
 
 
-def gate_inputs(bars: DataFrame, *, horizons: tuple[int, ...], bar_hours: int, window: int = 48, least_volume: float = 0.0, least_rows: int = 100) -> DataFrame:
-    """Per asset, fold, regime and horizon (bars held): the cell's rows with signal and label, rows without a next bar or with
-    one that can't be traded, and the slice's number and rank correlation of signal and label.
+def gate_inputs(bars: DataFrame, *, horizons: tuple[int, ...], qs: tuple[float, ...] = (0.2,), bar_hours: int, window: int = 48, least_volume: float = 0.0, least_rows: int = 100) -> DataFrame:
+    """Per asset, fold, regime, horizon (bars held) and q: the cell's rows with signal and label, rows without a next bar or
+    with one that can't be traded, the slice's number, rank correlation and p-value of signal and label (null under 30 rows
+    or where one of them doesn't vary), and bars, the positions of the cell as bitmaps. What family_gate takes is made of it
+    by gate_slices and gate_units.
 
     The signal is the cross-sectional taker imbalance, the label the open-to-open return; folds are anchored (a quarter of
     an asset's rows to begin with, thirds of the rest to test) and a regime is high where volatility exceeds the quantile of
@@ -410,13 +436,27 @@ def gate_inputs(bars: DataFrame, *, horizons: tuple[int, ...], bar_hours: int, w
     limits = prefix_quantiles(train, last, {"volatility": QUANTILES["volatility"]}, key="asset", prefix="_q_").select("asset", F.col("block").alias("fold"), F.col("_q_volatility").alias("_q"))
     t = folds.filter("test_fold is not null").withColumnRenamed("test_fold", "fold").join(limits, ["asset", "fold"]).withColumn("regime", F.when(F.coalesce(F.col("volatility") > F.col("_q"), F.lit(False)), "high_vol").otherwise("low_vol"))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("horizon"), F.col(f"_y{k}").alias("y"), F.col(f"_r{k}").alias("why")) for k in horizons)))
+    cells = with_bitmaps(t, ["asset", "fold", "regime"], "pos")
     t = t.select("asset", "fold", "regime", "signal", each.alias("_h")).select("asset", "fold", "regime", "signal", "_h.*")
     by = ["asset", "fold", "regime", "horizon"]
     both = F.col("signal").isNotNull() & F.col("y").isNotNull()
     units = t.groupBy(*by).agg(F.count_if(both).alias("effective"), F.count_if(F.col("why") == "MISSING_NEXT_BAR").alias("missing"), F.count_if(F.col("why") == "EXECUTION_BAR_INVALID").alias("infeasible"))
     r = t.filter(both).withColumn("_rx", average_rank("signal", by)).withColumn("_ry", average_rank("y", by))
     stats = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n_effective"), F.nullif(corr("_rx", "_ry"), F.lit(float("nan"))).alias("direction_estimate"))
-    return units.join(stats, by, "left").fillna(0, ["n_effective"])
+    out = units.join(stats, by, "left").fillna(0, ["n_effective"]).join(cells, ["asset", "fold", "regime"])
+    return out.withColumn("p", spearman_p("direction_estimate", "n_effective")).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+
+
+def gate_slices(inputs: DataFrame, factor: str) -> DataFrame:
+    """The slices of family_gate from gate_inputs; without a p-value there's no direction either."""
+    known = F.col("p").isNotNull()
+    return inputs.select(F.lit(factor).alias("factor_id"), F.concat(F.col("horizon").cast("string"), F.lit("h")).alias("horizon"), "q", F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("fold"), "asset", "regime", "p", F.when(known, F.col("direction_estimate")).alias("direction_estimate"), "n_effective", "bars")
+
+
+def gate_units(inputs: DataFrame, primary: int) -> DataFrame:
+    """The registered units of family_gate from gate_inputs: the cells of the primary horizon."""
+    one = inputs.filter(F.col("horizon") == primary).groupBy("asset", "fold", "regime").agg(*(F.first(c).alias(c) for c in ("effective", "missing", "infeasible")))
+    return one.withColumn("fold", F.concat(F.lit("fold_"), F.col("fold").cast("string")))
 
 
 def factor_run(frame: DataFrame, names: list[str], y: str, *, train: str, last: str, cost_bps: float) -> DataFrame:

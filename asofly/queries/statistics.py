@@ -361,8 +361,8 @@ FAMILY = """w AS (SELECT l_suppkey % {m} AS g, year(l_shipdate)::VARCHAR AS fold
 SELECT CASE WHEN thin <> '' OR survivors < 2 THEN 'INSUFFICIENT' WHEN bad <> '' THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN thin <> '' THEN thin WHEN survivors < 2 THEN 'SURVIVING_SLICES_BELOW_MINIMUM' ELSE bad END AS reasons, units, denominator, survivors, assets, round(coalesce(consistency, 0), 8) AS consistency, round(asset_share, 8) AS asset_share, round(regime_share, 8) AS regime_share FROM r""")
 def i12(spark, d):
     w = t.read(spark, d, "lineitem").select((F.col("l_suppkey") % 2).alias("g"), F.year("l_shipdate").cast("string").alias("fold"), F.col("l_returnflag").alias("asset"), F.col("l_linestatus").alias("regime"), F.expr("l_extendedprice * (l_discount - 0.05)").alias("v"), F.dayofmonth("l_shipdate").alias("day"))
-    s = w.groupBy(F.lit("flow").alias("factor_id"), F.when(F.col("g") == 0, "1h").otherwise("2h").alias("horizon"), F.lit(0.2).alias("q"), "fold", "asset", "regime").agg(
-        F.exp(-F.abs(F.avg("v")) / 4).alias("p"), F.avg("v").alias("direction_estimate"), F.count(F.lit(1)).alias("n_effective"), F.collect_set("day").alias("bars"))
+    keyed = w.withColumns({"factor_id": F.lit("flow"), "horizon": F.when(F.col("g") == 0, "1h").otherwise("2h"), "q": F.lit(0.2)})
+    s = inf.with_bitmaps(keyed, list(inf.SLICE), "day", F.exp(-F.abs(F.avg("v")) / 4).alias("p"), F.avg("v").alias("direction_estimate"), F.count(F.lit(1)).alias("n_effective"))
     u = w.groupBy("fold", "asset", "regime").agg(F.count(F.lit(1)).alias("effective"), F.count_if(F.col("day") == 1).alias("missing"), F.count_if(F.col("day") == 2).alias("infeasible"))
     out = inf.family_gate(s, u, horizons=["1h", "2h"], qs=[0.2], primary=("1h", 0.2))
     return out.select("verdict", F.concat_ws(",", "reasons").alias("reasons"), "units", "denominator", "survivors", "assets", r8("consistency"), r8("asset_share"), r8("regime_share"))
@@ -414,10 +414,25 @@ INPUTS = """src AS (SELECT *, taker_buy_base / nullif(volume, 0) AS x, coalesce(
  un AS (SELECT asset, fold, regime, horizon, count(*) FILTER (WHERE signal IS NOT NULL AND y IS NOT NULL) AS effective, count(*) FILTER (WHERE reason = 'MISSING_NEXT_BAR') AS missing, count(*) FILTER (WHERE reason = 'EXECUTION_BAR_INVALID') AS infeasible FROM te GROUP BY ALL)"""
 
 
-@add("I13_gate_inputs", with_("wide", more=INPUTS) + "SELECT un.asset, un.fold, un.regime, un.horizon, un.effective, un.missing, un.infeasible, coalesce(st.n_effective, 0) AS n_effective, round(CASE WHEN isnan(st.direction_estimate) THEN NULL ELSE st.direction_estimate END, 8) AS direction_estimate FROM un LEFT JOIN st ON st.asset = un.asset AND st.fold = un.fold AND st.regime = un.regime AND st.horizon = un.horizon")
+@add("I13_gate_inputs", with_("wide", more=INPUTS + ", ps AS (SELECT asset, fold, regime, count(DISTINCT pos) AS bars, min(pos) AS first_bar, max(pos) AS last_bar FROM te GROUP BY ALL)") + "SELECT un.asset, un.fold, un.regime, un.horizon, q, un.effective, un.missing, un.infeasible, coalesce(st.n_effective, 0) AS n_effective, round(CASE WHEN isnan(st.direction_estimate) THEN NULL ELSE st.direction_estimate END, 8) AS direction_estimate, coalesce(st.n_effective, 0) >= 30 AND NOT isnan(st.direction_estimate) AS tested, ps.bars FROM un LEFT JOIN st ON st.asset = un.asset AND st.fold = un.fold AND st.regime = un.regime AND st.horizon = un.horizon JOIN ps ON ps.asset = un.asset AND ps.fold = un.fold AND ps.regime = un.regime, (VALUES (0.1), (0.2), (0.3)) v(q)")
 def i13(spark, d):
-    out = inf.gate_inputs(t.wide_bars(spark, d), horizons=(1, 2), bar_hours=4, window=12)
-    return out.select("asset", "fold", "regime", "horizon", "effective", "missing", "infeasible", "n_effective", r8("direction_estimate"))
+    out = _inputs(spark, d)
+    held = F.aggregate("bars", F.lit(0).cast("long"), lambda n, b: n + F.bitmap_count(b["bits"]))
+    return out.select("asset", "fold", "regime", "horizon", F.col("q").cast("decimal(2,1)").alias("q"), "effective", "missing", "infeasible", "n_effective", r8("direction_estimate"), F.col("p").isNotNull().alias("tested"), held.alias("bars"))
+
+
+def _inputs(spark, d):
+    return inf.gate_inputs(t.wide_bars(spark, d), horizons=(1, 2), qs=(0.1, 0.2, 0.3), bar_hours=4, window=12)
+
+
+@add("I13b_gate_of_inputs")
+def i13b(spark, d):
+    """The family gate over what gate_inputs makes: the orderflow factor, three qs, one of them primary."""
+    from asofly.plans.shared import stash
+
+    found = stash(_inputs(spark, d), "gate-inputs")
+    out = inf.family_gate(inf.gate_slices(found, "taker_orderflow_imbalance"), inf.gate_units(found, 1), horizons=["1h", "2h"], qs=[0.1, 0.2, 0.3], primary=("1h", 0.2))
+    return out.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
 @add("I16_factor_run")
