@@ -14,7 +14,7 @@ from asofly.functions import factors as fx
 from asofly.functions import patterns, scalars
 from asofly.functions.expressions import Node, evaluate
 from asofly.functions.registry import enumerate_trees
-from asofly.operators import asof, indicators, inference, joins, labels, regimes, resample
+from asofly.operators import asof, bootstrap, indicators, inference, joins, labels, regimes, resample
 from asofly.plans import publish
 from asofly.sources import files
 
@@ -108,7 +108,7 @@ def test_bootstrap_is_repeatable_and_covers(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=200)
     frame = spark.createDataFrame([("a", T0 + timedelta(hours=i), float(v), float(v + rng.normal())) for i, v in enumerate(x)], "asset string, event_time timestamp_ntz, x double, y double")
-    a, b = (inference.stationary_bootstrap(frame.repartition(k), "x", "y", draws=100).collect()[0] for k in (1, 5))
+    a, b = (bootstrap.stationary_bootstrap(frame.repartition(k), "x", "y", draws=100).collect()[0] for k in (1, 5))
     assert (a.low, a.high) == (b.low, b.high) and 0.4 < a.low < a.high < 0.9
 
 
@@ -262,9 +262,9 @@ def test_spearman_p_and_normal_p(spark):
 
 def test_circular_bootstrap_blocks(spark):
     frame = spark.createDataFrame([("a", T0 + timedelta(hours=i), float(i)) for i in range(24)], "asset string, event_time timestamp_ntz, r double")
-    one, two = (inference.circular_bootstrap(frame.repartition(k), "r", F.avg, block=24, samples=20).collect()[0] for k in (1, 4))
+    one, two = (bootstrap.circular_bootstrap(frame.repartition(k), "r", np.mean, block=24, samples=20).collect()[0] for k in (1, 4))
     assert (one.low, one.high) == (two.low, two.high) == (11.5, 11.5)  # a block of all rows has their mean, wherever it starts
-    free = inference.circular_bootstrap(frame, "r", F.median, block=6, samples=60).collect()[0]
+    free = bootstrap.circular_bootstrap(frame, "r", np.median, block=6, samples=60).collect()[0]
     assert free.low < 11.5 < free.high and free.samples == 60
 
 
@@ -281,7 +281,7 @@ def test_factor_run_agrees_with_its_parts(spark):
 
 
 def test_blocked_family_is_not_judged(spark):
-    s = spark.createDataFrame([], "factor_id string, horizon string, q double, fold string, asset string, regime string, p double, direction_estimate double, n_effective long, bars array<int>")
+    s = spark.createDataFrame([], "factor_id string, horizon string, q double, fold string, asset string, regime string, p double, direction_estimate double, n_effective long, bars array<struct<bucket:bigint,bits:binary>>")
     u = spark.createDataFrame([], "fold string, asset string, regime string, effective long, missing long, infeasible long")
     r = inference.family_gate(s, u, horizons=["1h"], qs=[0.2], primary=("1h", 0.2), blocked=["PROTOCOL_SHA"]).collect()[0]
     assert r.verdict == "BLOCKED" and r.reasons == ["PROTOCOL_SHA"]
@@ -289,12 +289,18 @@ def test_blocked_family_is_not_judged(spark):
     assert r.verdict == "INSUFFICIENT" and r.reasons == ["BH_DENOMINATOR_BELOW_MINIMUM"]
 
 
+def with_bars(slices):
+    """Slices whose bars are lists, with bitmaps instead."""
+    values = [F.first(c).alias(c) for c in ("p", "direction_estimate", "n_effective")]
+    return inference.with_bitmaps(slices.withColumn("pos", F.explode_outer("bars")), inference.SLICE, "pos", *values)
+
+
 def test_family_passes_fails_and_finds_faults(spark):
     unit = [("f", a, g, 50, 0, 0) for a in "xy" for g in "uv"]
     good = [("t", "1h", 0.2, "f", a, g, 0.001, 0.3, 50, [i * 10]) for i, (a, g) in enumerate((a, g) for a in "xy" for g in "uv")]
     cols = "factor_id string, horizon string, q double, fold string, asset string, regime string, p double, direction_estimate double, n_effective long, bars array<int>"
     u = spark.createDataFrame(unit, "fold string, asset string, regime string, effective long, missing long, infeasible long")
-    judge = lambda rows: (lambda r: (r.verdict, r.reasons, r.survivors))(inference.family_gate(spark.createDataFrame(rows, cols), u, horizons=["1h"], qs=[0.2], primary=("1h", 0.2)).collect()[0])
+    judge = lambda rows: (lambda r: (r.verdict, r.reasons, r.survivors))(inference.family_gate(with_bars(spark.createDataFrame(rows, cols)), u, horizons=["1h"], qs=[0.2], primary=("1h", 0.2)).collect()[0])
     assert judge(good) == ("PASS", [], 4)
     assert judge(good[:3]) == ("INSUFFICIENT", ["PREREGISTERED_SLICE_MISSING"], 3)
     assert judge([*good[:3], (*good[3][:6], None, 0.3, 50, [30])]) == ("INSUFFICIENT", ["MISSING_P_VALUE"], 3)
