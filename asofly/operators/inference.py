@@ -173,7 +173,8 @@ def spread_rank(frame: DataFrame, x: str, by: list[str], name: str, buckets: int
 def rank_correlations(frame: DataFrame, names: list[str]) -> DataFrame:
     """Spearman correlation of every pair of factor columns over the rows that have both: one row per pair."""
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]))
-    long = frame.select(F.explode(pairs).alias("p")).select("p.*").filter("x is not null and y is not null")
+    known = stash(frame.select(*dict.fromkeys(names)), "factors")  # read several times
+    long = known.select(F.explode(pairs).alias("p")).select("p.*").filter("x is not null and y is not null")
     r = spread_rank(spread_rank(long, "x", ["a", "b"], "_rx"), "y", ["a", "b"], "_ry")
     return r.groupBy("a", "b").agg(corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
