@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofly.functions.factors import W
-from asofly.operators.timeblocks import in_blocks
+from asofly.operators.timeblocks import in_blocks, numbered
+from asofly.plans.shared import stash
 
 
 def source_plan(assets: DataFrame, datasets: list[tuple[str, str]], start: str, end: str) -> DataFrame:
@@ -81,6 +82,32 @@ def dependent_slices(slices: DataFrame) -> DataFrame:
     return x.join(y, ["asset", "bar"]).filter("slice_id < other").select("asset", "slice_id", "other").distinct()
 
 
+def missing_runs(assets: DataFrame, calendar: DataFrame, observed: DataFrame) -> DataFrame:
+    """asset, first and last position in the calendar (numbered in order of time, from 0) of every run of times that an
+    expected asset has no row at: a row for each run, however long.
+
+    assets: asset; calendar: event_time, pos; observed: asset, event_time. The grid itself is never made.
+    """
+    n = calendar.count()
+    at = observed.select("asset", "event_time").distinct().join(assets.select("asset").distinct(), "asset", "left_semi").join(calendar, "event_time").select("asset", "pos")
+    ends = assets.select("asset").distinct().select("asset", F.explode(F.array(F.lit(-1).cast("long"), F.lit(n).cast("long"))).alias("pos"))
+    was = F.lag("pos", 1).over(Window.partitionBy("asset").orderBy("pos"))
+    runs = in_blocks(at.unionByName(ends), lambda f: f.withColumn("_was", was), before=1, order="pos")
+    return runs.filter(F.col("pos") - F.col("_was") > 1).select("asset", (F.col("_was") + 1).alias("first"), (F.col("pos") - 1).alias("last"))
+
+
+def calendar_faults(assets: DataFrame, times: DataFrame, observed: DataFrame) -> DataFrame:
+    """grid_faults of every asset at every time, without the grid: gaps are found as runs and spelt out at the end."""
+    calendar = stash(numbered(times.select("event_time").distinct(), by=[]), "calendar")
+    n = stash(observed.groupBy("asset", "event_time").agg(F.count(F.lit(1)).alias("_n")), "cells")
+    assets = stash(assets.select("asset").distinct(), "assets")
+    runs = missing_runs(assets, calendar, n)
+    missing = runs.select("asset", F.explode(F.sequence("first", "last")).alias("pos")).join(calendar, "pos").select("asset", "event_time", F.lit("MISSING").alias("fault"))
+    n = n.join(assets.withColumn("_a", F.lit(True)), "asset", "left").join(calendar.withColumn("_t", F.lit(True)).drop("pos"), "event_time", "left")
+    faults = F.array(F.when(F.col("_a").isNull() | F.col("_t").isNull(), "UNEXPECTED"), F.when(F.col("_n") > 1, "DUPLICATE"))
+    return missing.unionByName(n.select("asset", "event_time", F.explode(F.array_compact(faults)).alias("fault")))
+
+
 def missing_slots(observed: DataFrame, *, hours: int, grace_minutes: int) -> DataFrame:
     """Slots strictly between a run's first and last decision with none within the grace period."""
     step = hours * 3600

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STABLE = ("USDCUSDT", "FDUSDUSDT", "TUSDUSDT", "USDPUSDT", "DAIUSDT", "BUSDUSDT")
 EXCLUSIONS = ("LISTING_METADATA_UNAVAILABLE", "LISTING_AGE_BELOW_180_DAYS", "OHLCV_DAYS_INSUFFICIENT", "FUNDING_DAYS_INSUFFICIENT", "METRICS_OI_DAYS_INSUFFICIENT", "MEDIAN_UNAVAILABLE")
@@ -28,12 +33,47 @@ def competition_rank(value: str, by: list[str]) -> Column:
 def trailing_stats(days: DataFrame, rows: DataFrame, value: str, window_days: int = 30) -> DataFrame:
     """Per selection time and asset: distinct days and the median of a value over the trailing days, strictly known before.
 
-    Each row is sent to the days whose window holds it, so the work is rows times window_days and one exchange.
+    selection times are midnights. A row enters the window on the first day that knows it and leaves it window_days after its
+    own, so it's sent to the stretch of days (at least four windows long) that it enters in and, at most, the next one; in a
+    stretch a sorted window takes rows in and gives them up again. Null values count for days, not for the median.
     """
-    span = F.sequence(F.expr("date_trunc('day', event_time) + interval 1 day").cast("timestamp"), F.expr(f"date_trunc('day', event_time) + interval {window_days} days").cast("timestamp"), F.expr("interval 1 day"))
-    sent = rows.withColumn("_s", F.explode(span)).withColumn("selection_time", F.col("_s").cast("timestamp_ntz")).filter("event_time < selection_time and available_time <= selection_time")
-    sent = sent.join(days.select("selection_time").distinct(), "selection_time", "left_semi")
-    return sent.groupBy("selection_time", "asset").agg(F.countDistinct(F.to_date("event_time")).alias("days"), F.median(value).alias("median"))
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    own = day(F.to_date("event_time"))
+    ready = day(F.to_date("available_time")) + F.when(F.col("available_time") > F.date_trunc("day", "available_time"), 1).otherwise(0)
+    span = max(4 * window_days, 120)
+    sent = rows.select("asset", own.alias("own"), F.greatest(own + 1, ready).alias("come"), (own + window_days).alias("go"), F.col(value).cast("double").alias("value")).filter("come <= go")
+    sent = sent.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("come") / span), F.floor(F.col("go") / span))))
+
+    def slide(table: pa.Table) -> pa.Table:
+        stretch, asset = table.column("stretch")[0].as_py(), table.column("asset").slice(0, 1)
+        come, go, when, values = (table.column(c).to_pylist() for c in ("come", "go", "own", "value"))
+        first, last = stretch * span, (stretch + 1) * span - 1
+        enter, leave = defaultdict(list), defaultdict(list)
+        for i in range(len(come)):
+            enter[max(come[i], first)].append(i)
+            leave[go[i] + 1].append(i)
+        held, seen, out = [], Counter(), []
+        for d in range(min(enter), min(max(go), last) + 1):
+            for i in enter.get(d, ()):
+                seen[when[i]] += 1
+                if values[i] is not None:
+                    insort(held, values[i])
+            for i in leave.get(d, ()):
+                seen[when[i]] -= 1
+                if not seen[when[i]]:
+                    del seen[when[i]]
+                if values[i] is not None:
+                    del held[bisect_left(held, values[i])]
+            if seen:
+                n = len(held)
+                out.append((d, len(seen), None if not n else held[n // 2] if n % 2 else (held[n // 2 - 1] + held[n // 2]) / 2))
+        columns = [pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64()))]
+        return pa.table([pa.chunked_array([asset.combine_chunks()]).take(pa.array([0] * len(out), pa.int64())), *columns], schema.names)
+
+    schema = T.StructType([T.StructField("asset", rows.schema["asset"].dataType), T.StructField("d", T.IntegerType()), T.StructField("days", T.LongType()), T.StructField("median", T.DoubleType())])
+    found = sent.groupBy("asset", "stretch").applyInArrow(slide, schema)
+    at = F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).cast("timestamp_ntz")
+    return found.select(at.alias("selection_time"), "asset", "days", "median").join(days.select("selection_time").distinct(), "selection_time", "left_semi")
 
 
 def select_universe(candidates: DataFrame, k: int, minimum: int) -> DataFrame:

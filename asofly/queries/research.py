@@ -37,8 +37,7 @@ def c10(spark, d):
 def c11(spark, d):
     b = t.bars(spark, d).select("asset", "event_time", "trades")
     seen = b.drop("trades").unionByName(b.filter("trades > 5").drop("trades")).unionByName(b.filter("trades > 5 and asset = 'click'").select(F.lit("ghost").alias("asset"), "event_time"))
-    grid = b.select("asset").distinct().crossJoin(b.select("event_time").distinct())  # assets are few, by configuration
-    return joins.grid_faults(grid, seen, ["asset", "event_time"]).select("asset", ts("event_time"), "fault")
+    return joins.calendar_faults(b.select("asset"), b.select("event_time"), seen).select("asset", ts("event_time"), "fault")
 
 
 @add("C12_delay_columns", with_("b1", "oi", more=VIEWS + ", j AS (SELECT b.asset, b.delay, b.event_time, v.open_interest FROM (SELECT b1.*, delay FROM b1 CROSS JOIN (VALUES (5), (10), (15)) x(delay)) b ASOF LEFT JOIN views v ON b.delay = v.delay AND b.asset = v.asset AND b.available_time >= v.available_time)") + f"SELECT asset, {tsq('event_time')}, {', '.join(f'round(max(CASE WHEN delay = {k} THEN open_interest END), 8) AS oi_{k}m' for k in (5, 10, 15))} FROM j GROUP BY asset, event_time")

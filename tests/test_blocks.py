@@ -16,7 +16,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofly.functions import factors as fx
-from asofly.operators import bootstrap, indicators, inference, labels, regimes, rolling, timeblocks
+from asofly.operators import bootstrap, indicators, inference, joins, labels, regimes, rolling, timeblocks, universe
 from asofly.operators.prefix import prefix_quantiles, prefix_sums
 from asofly.queries import catalog
 from asofly.sources import archives
@@ -292,3 +292,43 @@ def test_a_crashed_batch_leaves_nothing_behind(spark, tmp_path):
     streams.append_new(rows(2, 3), 1, path, ["id"])
     streams.append_new(rows(3, 60), 0, path, ["id"], writer="other")
     assert seen() == [1, 2, 3, 60]
+
+
+# --- calendars and trailing windows
+
+
+def test_calendar_faults_equal_the_grid(spark, small_blocks):
+    rng = np.random.default_rng(11)
+    times = [T0 + timedelta(hours=int(h)) for h in sorted(rng.choice(400, 60, replace=False))]
+    seen = [(str(a), times[int(i)]) for a in "abcx" for i in rng.choice(60, 45)] + [("a", T0 + timedelta(days=99)), ("b", times[0]), ("b", times[-1])]
+    observed = spark.createDataFrame(seen, "asset string, event_time timestamp_ntz")
+    assets = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "asset string")
+    calendar = spark.createDataFrame([(x,) for x in times], "event_time timestamp_ntz")
+    out = joins.calendar_faults(assets, calendar, observed)
+    want = joins.grid_faults(assets.crossJoin(calendar), observed, ["asset", "event_time"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    runs = joins.missing_runs(assets, timeblocks.numbered(calendar, by=[]), observed)
+    assert [(r.first, r.last) for r in runs.filter("asset = 'none'").collect()] == [(0, 59)]  # a run is one row, however long
+
+
+def test_trailing_medians_equal_a_plain_join(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for a, n in (("a", 120), ("b", 40), (None, 5)):
+        for d in rng.integers(0, 300, n):
+            at = T0 + timedelta(days=int(d), hours=int(rng.integers(0, 24)))
+            rows.append((a, at, at + timedelta(hours=int(rng.choice([0, 1, 30, 400]))), float(rng.integers(0, 9)) if rng.random() > 0.1 else None))
+    frame = spark.createDataFrame(rows, "asset string, event_time timestamp_ntz, available_time timestamp_ntz, v double")
+    days = spark.createDataFrame([(T0 + timedelta(days=i),) for i in range(0, 330, 3)], "selection_time timestamp_ntz")
+    got = {(r.asset, r.selection_time): (r.days, r.median) for r in universe.trailing_stats(days, frame, "v", 10).collect()}
+    want = {}
+    for i in range(0, 330, 3):
+        s = T0 + timedelta(days=i)
+        for a in ("a", "b", None):
+            own = [(e.date(), v) for k, e, av, v in rows if k == a and e < s and av <= s and e >= s - timedelta(days=10)]
+            if own:
+                values = [v for _, v in own if v is not None]
+                want[a, s] = (len({d for d, _ in own}), float(np.median(values)) if values else None)
+    assert got == want
