@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from asofly.plans.shared import stash
 
 BUCKETS = 256  # ranges of values of a key and column at most
+STEP = 16  # edges of ranges that are looked through at once
 RANGE = 4096  # values of a range, while there are fewer ranges than that
 
 
@@ -97,8 +98,11 @@ def prefix_quantiles(frame: DataFrame, last: DataFrame, quantiles: dict[str, flo
     long = long.select("k", "s.name", "block", "s.value").filter("value is not null and not isnan(value)")
     counts = stash(long.groupBy("k", "name", "value", "block").agg(F.count(F.lit(1)).alias("n")), "counts")  # read several times
     edges = counts.groupBy("k", "name").agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)]).alias("edges"), F.least(F.ceil(F.count(F.lit(1)) / rows), F.lit(buckets)).alias("ranges"))
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    counts = counts.join(edges, ["k", "name"]).withColumn("bucket", F.floor(below * F.col("ranges") / buckets).cast("int")).drop("edges", "ranges")
+    under = lambda some: F.size(F.filter(some, lambda e: e < F.col("value")))
+    edges = edges.withColumn("coarse", F.filter("edges", lambda e, i: i % STEP == STEP - 1))  # every STEP-th edge, then the few between two of them
+    counts = counts.join(edges, ["k", "name"]).withColumn("at", F.when(F.col("ranges") > 1, under("coarse") * STEP).otherwise(0))
+    below = F.when(F.col("ranges") > 1, F.col("at") + under(F.slice("edges", F.col("at") + 1, STEP - 1))).otherwise(0)
+    counts = counts.withColumn("bucket", F.floor(below * F.col("ranges") / buckets).cast("int")).drop("edges", "ranges", "coarse", "at")
 
     grid = last.select(F.struct(key).alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("block"))
     parts = counts.groupBy("k", "name", "bucket", "block").agg(F.sum("n").alias("n"))
