@@ -102,7 +102,7 @@ def prefix_quantiles(frame: DataFrame, last: DataFrame, quantiles: dict[str, flo
     edges = edges.withColumn("coarse", F.filter("edges", lambda e, i: i % STEP == STEP - 1))  # every STEP-th edge, then the few between two of them
     counts = counts.join(edges, ["k", "name"]).withColumn("at", F.when(F.col("ranges") > 1, under("coarse") * STEP).otherwise(0))
     below = F.when(F.col("ranges") > 1, F.col("at") + under(F.slice("edges", F.col("at") + 1, STEP - 1))).otherwise(0)
-    counts = counts.withColumn("bucket", F.floor(below * F.col("ranges") / buckets).cast("int")).drop("edges", "ranges", "coarse", "at")
+    counts = stash(counts.withColumn("bucket", F.floor(below * F.col("ranges") / buckets).cast("int")).drop("edges", "ranges", "coarse", "at"), "ranges")
 
     grid = last.select(F.struct(key).alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("block"))
     parts = counts.groupBy("k", "name", "bucket", "block").agg(F.sum("n").alias("n"))
