@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofly.functions.factors import W, change
+from asofly.operators.joins import first_touch
+from asofly.operators.prefix import prefix_sums
 from asofly.operators.timeblocks import in_blocks, numbered, running, with_compounded, with_drawdown
+from asofly.plans.shared import stash
 
 
 def vector_backtest(frame: DataFrame, *, cost_bps: float) -> DataFrame:
@@ -140,11 +143,64 @@ def compare_allocations(returns: DataFrame, *, cap: float, initial: float = 100.
     return with_compounded(day, {"equal_weight": "_e", "weighted": "_w"}, initial, by=[]).select("event_time", "equal_weight", "weighted")
 
 
-def readiness(decisions: DataFrame, *, least_days: int = 30, floor: float, hours: int = 24) -> DataFrame:
-    """Calendar days from a run's first decision to its last, breaches of an equity floor and slots without a decision, and
-    whether it's ready: days enough, no breach, no slot missing. Slots are counted, not listed."""
-    slot = F.floor(F.unix_timestamp(F.col("slot").cast("timestamp")) / (hours * 3600))
-    g = decisions.withColumn("_s", slot).groupBy("run_id").agg(
-        F.datediff(F.max("slot"), F.min("slot")).alias("days"), F.count_if(F.col("equity_after") < floor).alias("breaches"), (F.max("_s") - F.min("_s") + 1 - F.countDistinct("_s")).alias("missing_slots")
-    )
-    return g.withColumn("ready", (F.col("days") >= least_days) & (F.col("breaches") == 0) & (F.col("missing_slots") == 0))
+def review_summary(decisions: DataFrame, *, now: str | None = None, least_days: float = 30, floor: float, hours: int = 24) -> DataFrame:
+    """What an operator reviews of each run at `now` (without it, the run's last decision): days completed, to a tenth;
+    slots from the first decision's to now's without a decision, their number and the first of them; the current equity, the
+    high-water mark and the day's loss against the equity before the day (the day's first, where there's none); breaches
+    of an equity floor; and whether it's ready: days enough, no breach, no slot missing. Later decisions don't count.
+
+    decisions: run_id, slot, seq, equity_after. Missing slots are gaps between consecutive ones, so they are never listed.
+    """
+    at = F.col("slot").cast("timestamp_ntz")
+    d = decisions.select("run_id", at.alias("slot"), "seq", "equity_after")
+    if now is not None:
+        d = d.filter(F.col("slot") <= F.lit(now).cast("timestamp_ntz"))
+    number = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / (hours * 3600))
+    order = F.struct("slot", "seq")
+    end = F.lit(now).cast("timestamp_ntz") if now is not None else F.col("_last")
+    last = d.groupBy("run_id").agg(F.min("slot").alias("_first"), F.max("slot").alias("_last"), F.max("equity_after").alias("high_water_mark"), F.max_by("equity_after", order).alias("current_equity"), F.count_if(F.col("equity_after") < floor).alias("breaches")).withColumn("_end", end)
+
+    day = F.date_trunc("day", F.col("_end")).cast("timestamp_ntz")
+    days = d.join(last.select("run_id", day.alias("_day")), "run_id").groupBy("run_id").agg(F.max_by("equity_after", F.when(F.col("slot") < F.col("_day"), order)).alias("_before"), F.min_by("equity_after", F.when(F.col("slot") >= F.col("_day"), order)).alias("_own"))
+    start = F.coalesce("_before", "_own")
+
+    slots = d.select("run_id", number(F.col("slot")).alias("_s")).distinct().unionByName(last.select("run_id", (number(F.col("_end")) + 1).alias("_s")))  # the slot after now's closes the last gap
+    slots = in_blocks(slots, lambda f: f.withColumn("_p", F.lag("_s", 1).over(Window.partitionBy("run_id").orderBy("_s"))), before=1, by="run_id", order="_s")
+    gap = F.col("_s") - F.col("_p") - 1
+    gaps = slots.filter("_p is not null").groupBy("run_id").agg(F.sum(gap).alias("missing_slots"), F.min(F.when(gap > 0, F.col("_p") + 1)).alias("_m"))
+    out = last.join(days, "run_id").join(gaps, "run_id")
+    age = F.expr("timestampdiff(SECOND, _first, _end)") / 86400
+    first = F.timestamp_seconds(F.col("_m") * hours * 3600).cast("timestamp_ntz").alias("first_missing")
+    ready = (age >= least_days) & (F.col("breaches") == 0) & (F.col("missing_slots") == 0)
+    return out.select("run_id", F.round(age, 1).alias("completed_days"), "missing_slots", first, "current_equity", "high_water_mark", F.greatest(start - F.col("current_equity"), F.lit(0.0)).alias("daily_loss"), "breaches", ready.alias("review_ready"))
+
+
+def walk_forward_outcomes(bars: DataFrame, signals: DataFrame, variants: DataFrame, costs: DataFrame, *, delays: tuple[int, ...], horizon_hours: int) -> DataFrame:
+    """Outcomes of signals of both sides under each variant and cost scenario, by asset and fold, training and test rows apart.
+
+    bars: from inference.walk_forward; signals: asset, event_time, side (1 or -1); variants (few): variant, stop, target as
+    shares of the entry; costs (few): scenario, fee_bps, slip_bps, delay. A signal enters at the open of the bar `delay` bars after
+    the next, pays on both ways, and leaves at its first touch. Per variant, scenario, asset and fold: trades, longs, mean
+    net and win rate of the test rows; trades and mean net of the training rows before them, which end a purge and an
+    embargo earlier; and whether the variant has the highest mean there (`chosen`; ties, to ten decimals: the smaller name), so a choice
+    made on training rows is judged on test rows. Sums of training rows are merged over the folds.
+    """
+    after = {f"_{c}{k}": F.lead(c, k + o).over(W()) for k in delays for c, o in (("open", 1), ("event_time", 0))}
+    p = in_blocks(bars.select("asset", "event_time", "open", "test_fold", "train_from", "last_fold"), lambda f: f.withColumns(after), after=max(delays) + 1)
+    fills = F.explode(F.array(*(F.struct(F.lit(k).alias("delay"), F.col(f"_open{k}").alias("entry"), F.col(f"_event_time{k}").alias("start")) for k in delays))).alias("f")
+    s = p.join(signals, ["asset", "event_time"]).select("asset", F.col("event_time").alias("signal_time"), "side", "test_fold", "train_from", "last_fold", fills).select("*", "f.*").drop("f").filter("entry > 0")
+    s = s.crossJoin(F.broadcast(variants)).withColumns({"stop": F.col("entry") * (1 - F.col("side") * F.col("stop")), "target": F.col("entry") * (1 + F.col("side") * F.col("target"))}).withColumnRenamed("start", "event_time")
+    own = ["variant", "delay", "signal_time"]
+    s = stash(s, "signals")  # touched, and joined to what touched it
+    hit = first_touch(s.select(*own, "asset", "event_time", "side", "stop", "target"), bars, horizon_hours=horizon_hours, key=own)
+    done = hit.join(s.select(*own, "asset", "side", "entry", "test_fold", "train_from", "last_fold"), [*own, "asset"]).join(F.broadcast(costs), "delay")
+    net = F.col("side") * (F.col("exit_price") / F.col("entry") - 1) - 2 * (F.col("fee_bps") + F.col("slip_bps")) / 10000
+    done = done.select(F.struct("variant", "scenario", "asset").alias("key"), "side", "test_fold", "train_from", net.alias("net"))
+    part = stash(done.groupBy("key", "test_fold", "train_from").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 1).alias("longs"), F.count_if(F.col("net") > 0).alias("wins"), F.sum("net").alias("net")), "outcomes")
+    last = part.select("key", F.col("key.asset").alias("asset")).distinct().join(bars.groupBy("asset").agg(F.max("last_fold").alias("last")), "asset").select("key", "last")
+    trained = prefix_sums(part.filter("train_from is not null").withColumnRenamed("train_from", "block"), last, ["n", "net"], key="key")
+    trained = trained.select("key", F.col("block").alias("fold"), F.col("n").alias("train_n"), F.try_divide("net", "n").alias("train_mean"))
+    tested = part.filter("test_fold is not null").groupBy("key", F.col("test_fold").alias("fold")).agg(*(F.sum(c).alias(c) for c in ("n", "longs", "wins", "net")))
+    out = trained.join(tested, ["key", "fold"], "left").select("key.*", "fold", "train_n", "train_mean", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("longs", F.lit(0)).alias("longs"), F.try_divide("net", "n").alias("mean_net"), F.try_divide("wins", "n").alias("win_rate"))
+    best = F.row_number().over(Window.partitionBy("scenario", "asset", "fold").orderBy(F.round("train_mean", 10).desc_nulls_last(), "variant"))  # a group is the variants
+    return out.withColumn("chosen", (best == 1) & F.col("train_mean").isNotNull())

@@ -316,25 +316,25 @@ def e32(spark, d):
     return vector_backtest(frame, cost_bps=10.0).select("asset", ts("event_time"), "position", "turnover", r8("gross"), r8("net"))
 
 
-STATE = "CASE WHEN event_time < TIMESTAMP '2024-01-15' THEN 'train' WHEN event_time < TIMESTAMP '2024-01-23' THEN 'first' ELSE 'second' END"
-EVAL = f"""f AS (SELECT asset, event_time, {STATE} AS fold, CASE WHEN close > open THEN 'up' ELSE 'down' END AS regime, close / nullif(lag(close, 24) OVER w, 0) - 1 AS raw, ln(lead(close, 1) OVER w / nullif(close, 0)) AS y FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
- lim AS (SELECT quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM f WHERE fold = 'train'), ff AS (SELECT f.*, CASE WHEN raw IS NOT NULL THEN least(greatest(raw, lo), hi) END AS x FROM f, lim WHERE fold <> 'train'),
+EVAL = """f AS (SELECT asset, event_time, row_number() OVER w - 1 AS pos, greatest(count(*) OVER (PARTITION BY asset) // 4, 1) AS block, CASE WHEN close > open THEN 'up' ELSE 'down' END AS regime, close / nullif(lag(close, 24) OVER w, 0) - 1 AS raw, ln(lead(close, 1) OVER w / nullif(close, 0)) AS y FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
+ fo AS (SELECT DISTINCT asset, block, unnest([0, 1, 2]) AS fold FROM f), lim AS (SELECT fo.asset, fo.fold, quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM fo LEFT JOIN f ON f.asset = fo.asset AND f.pos + 1 + 1 + 4 <= f.block * (1 + fo.fold) GROUP BY ALL),
+ ff AS (SELECT f.*, lim.fold, CASE WHEN raw IS NOT NULL THEN least(greatest(raw, lo), hi) END AS x FROM f JOIN lim ON lim.asset = f.asset AND f.pos >= f.block * (1 + lim.fold) AND f.pos < f.block * (2 + lim.fold)),
  tot AS (SELECT asset, fold, regime, count(*) AS total FROM ff GROUP BY ALL),
  k AS (SELECT *, rank() OVER (PARTITION BY asset, fold, regime ORDER BY x) + (count(*) OVER (PARTITION BY asset, fold, regime, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY asset, fold, regime ORDER BY y) + (count(*) OVER (PARTITION BY asset, fold, regime, y) - 1) / 2 AS ry,
   abs(x - lag(x) OVER (PARTITION BY asset, fold, regime ORDER BY event_time)) AS step FROM ff WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 
 def _evaluated(spark, d):
+    """Three test folds after a first training block, one bar of purge and four of embargo; each fold has limits of its own."""
     from asofly.operators.evaluation import evaluate_factor
+    from asofly.operators.inference import simple_folds
+    from asofly.plans.shared import stash
 
     frame = in_blocks(t.bars(spark, d), lambda f: f.withColumns({"x": fx.momentum("close", 24), "y": fx.forward_log_return("close", 1)}), before=24, after=1)
-    at = F.col("event_time")
-    frame = frame.withColumns({
-        "fold": F.when(at < F.lit("2024-01-15").cast("timestamp_ntz"), "train").when(at < F.lit("2024-01-23").cast("timestamp_ntz"), "first").otherwise("second"),
-        "regime": F.when(F.col("close") > F.col("open"), "up").otherwise("down"),
-    })
+    frame = frame.withColumn("regime", F.when(F.col("close") > F.col("open"), "up").otherwise("down"))
+    rows = stash(simple_folds(frame, folds=3, purge=1, embargo=4), "folds")  # limits, totals and ranks read it
     by = ["asset", "fold", "regime"]
-    return frame.filter("fold <> 'train'"), evaluate_factor(frame.filter("fold <> 'train'"), "x", "y", train=frame.filter("fold = 'train'"), by=by), by
+    return rows.filter("test_fold is not null").withColumn("fold", F.col("test_fold")), evaluate_factor(rows, "x", "y", by=by), by
 
 
 @add("D15_factor_evaluation", with_("b1", more=EVAL) + "SELECT k.asset, k.fold, k.regime, count(*) AS n, round(count(*) / any_value(total), 8) AS coverage, round(coalesce(avg(step), 0), 8) AS turnover, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN round(corr(x, y), 8) END AS ic, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN round(corr(rx, ry), 8) END AS rank_ic FROM k JOIN tot ON tot.asset = k.asset AND tot.fold = k.fold AND tot.regime = k.regime GROUP BY ALL HAVING count(*) >= 2")

@@ -172,12 +172,17 @@ def a13(spark, d):
     return files.narrow(spark.read.parquet(path), ["asset", "event_time", "close", "not_there"], ["asset", "close"]).select("asset", ts("event_time"), r8("close"))
 
 
-@add("A14_universe_documents", with_("members") + f"SELECT asset, {tsq('selection_time')}, rank FROM members")
+@add("A14_universe_documents", with_("members", more="g AS (SELECT *, strftime(selection_time, 'u-%Y-%m-%d') AS artifact_id, CASE WHEN day(selection_time) % 7 IN (3, 5) THEN 'POPULAR_UNIVERSE_ARTIFACT_MISSING' END AS error FROM members)") + f"SELECT artifact_id, asset, {tsq('selection_time')}, rank, error FROM g WHERE error IS NULL UNION ALL SELECT DISTINCT artifact_id, NULL, NULL, CAST(NULL AS INTEGER), error FROM g WHERE error IS NOT NULL")
 def a14(spark, d):
+    """A document a day, all wanted; two of each seven days are without one: of the one there's none, the other is damaged."""
     path = scratch(spark, "universe")
     m = t.membership(spark, d).groupBy("selection_time").agg(F.collect_list(F.struct("asset", "rank")).alias("members"))
-    m.select(F.to_json(F.struct(iso("selection_time").alias("selection_time"), "members")).alias("value")).write.text(path)
-    return files.universe_days(spark.read.text(path).withColumnRenamed("value", "payload")).select("asset", ts("selection_time"), "rank")
+    m = m.withColumn("artifact_id", F.date_format("selection_time", "'u-'yyyy-MM-dd"))
+    payload = F.to_json(F.struct("artifact_id", iso("selection_time").alias("selection_time"), "members"))
+    left = F.dayofmonth("selection_time") % 7
+    m.filter(left != 3).select(F.when(left == 5, F.substring(payload, 1, 40)).otherwise(payload).alias("value")).write.text(path)
+    out = files.universe_days(spark.read.text(path).withColumnRenamed("value", "payload"), m.select("artifact_id"))
+    return out.select("artifact_id", "asset", ts("selection_time"), "rank", "error")
 
 
 @add("A15_gated_write", with_("b1") + f"SELECT {BARQ} FROM b1")
@@ -237,26 +242,40 @@ def a21(spark, d):
     return j.select("asset", "row_count", (F.col("fingerprint") == F.col("_f")).alias("stable"))
 
 
-@add("A22_exclusion_lists", "SELECT DISTINCT event_type || '|' || strftime(ts, '%Y-%m-%d') AS identity FROM events WHERE event_id % 97 = 0")
+LISTED = """l AS (SELECT DISTINCT event_type AS asset, CAST(ts AS DATE) AS day FROM events), g AS (SELECT *, CASE asset WHEN 'view' THEN 'CANONICAL_INPUT_EXCLUSIONS_INVALID' WHEN 'click' THEN 'CANONICAL_INPUT_EXCLUSIONS_DUPLICATE' END AS error FROM l)"""
+
+
+@add("A22_exclusion_lists", f"WITH {LISTED} SELECT asset, asset || '|' || strftime(day, '%Y-%m-%d') AS identity_key, 'SOURCE_ARCHIVE_404' AS reason_code, strftime(day, '%Y-%m-%d') AS observed_on, error FROM g WHERE error IS NULL UNION ALL SELECT DISTINCT asset, NULL, NULL, NULL, error FROM g WHERE error IS NOT NULL")
 def a22(spark, d):
-    e = t.read(spark, d, "events").filter("event_id % 97 = 0").select(F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("i"), (F.col("event_id") % 5).alias("k"))
-    p = e.groupBy("k").agg(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.collect_list("i").alias("exclusions"))).alias("payload"))
-    return files.exclusions(p)
+    """A list for each asset, of every day with events: one of another version and one with a day twice are refused as a whole."""
+    days = t.read(spark, d, "events").select(F.col("event_type").alias("asset"), F.to_date("ts").alias("day")).distinct()
+    again = days.filter("asset = 'click'").groupBy("asset").agg(F.min("day").alias("day"))
+    key = F.concat_ws("|", "asset", F.date_format("day", "yyyy-MM-dd"))
+    entry = F.struct(key.alias("identity_key"), F.lit(files.EXCLUDED_STATUS).alias("status"), F.lit(files.EXCLUDED_REASON).alias("reason_code"), F.concat(F.lit("https://example.org/"), key).alias("source_url"), key.alias("evidence_ref"), F.date_format("day", "yyyy-MM-dd").alias("observed_on"))
+    version = F.when(F.col("asset") == "view", "v0").otherwise(files.EXCLUSIONS_VERSION)
+    lists = days.unionByName(again).groupBy("asset").agg(F.collect_list(entry).alias("exclusions"))
+    p = lists.select(F.col("asset").alias("path"), F.to_json(F.struct(version.alias("schema_version"), "exclusions")).alias("payload"))
+    return files.exclusions(p).select(F.col("path").alias("asset"), "identity_key", "reason_code", F.date_format("observed_on", "yyyy-MM-dd").alias("observed_on"), "error")
+
+
+METRICS = ("n_trades", "win_rate", "avg_win", "avg_loss", "profit_factor", "total", "best", "worst")
 
 
-@add("A23_result_export", with_("b1", "trades") + f"""SELECT 'curve' AS part, asset AS name, {tsq('event_time', 'at')}, round(close, 8) AS value FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS rn FROM b1) WHERE rn % 6 = 0
- UNION ALL SELECT 'trade', outcome, {tsq('exit_time', 'at')}, round(pnl, 8) FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY exit_time DESC, trade_id DESC, leg DESC) AS rn FROM trades) WHERE rn <= 50
- UNION ALL SELECT 'metric', outcome, NULL, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 8) FROM trades GROUP BY outcome""")
+@add("A23_result_export", with_("b1", "trades") + f"""SELECT 'curve' AS part, asset AS name, CAST(NULL AS VARCHAR) AS metric, {tsq('event_time', 'at')}, round(close, 8) AS value FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS rn FROM b1) WHERE rn % 6 = 0
+ UNION ALL SELECT 'trade', outcome, NULL, {tsq('exit_time', 'at')}, round(pnl, 8) FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY exit_time DESC, trade_id DESC, leg DESC) AS rn FROM trades) WHERE rn <= 50
+ UNION ALL SELECT 'metric', outcome, metric, NULL, value FROM (SELECT outcome, unnest(['n_trades', 'win_rate', 'avg_win', 'avg_loss', 'profit_factor', 'total', 'best', 'worst']) AS metric, unnest([count(*), round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 8), round(avg(CASE WHEN pnl > 0 THEN pnl END), 4), round(avg(CASE WHEN pnl <= 0 THEN pnl END), 4), round(sum(CASE WHEN pnl > 0 THEN pnl END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl END), 0), 8), round(sum(pnl), 4), round(max(pnl), 4), round(min(pnl), 4)]) AS value FROM trades GROUP BY outcome)""")
 def a23(spark, d):
-    """One JSON document set: every sixth bar, the last fifty trades and the win rate of each group."""
+    """One JSON document set: every sixth bar, and of each group the last fifty trades and all metrics."""
     from asofly.operators import strategy
 
     path = scratch(spark, "export")
-    curve = strategy.every_kth(t.bars(spark, d), 6).select(F.lit("curve").alias("part"), F.col("asset").alias("name"), iso().alias("at"), F.col("close").alias("value"))
-    tail = strategy.last_rows(t.trades(spark, d), ["outcome"], ["exit_time", "trade_id", "leg"], 50).select(F.lit("trade").alias("part"), F.col("outcome").alias("name"), iso("exit_time").alias("at"), F.col("pnl").alias("value"))
-    metric = strategy.trade_metrics(t.trades(spark, d), ["outcome"]).select(F.lit("metric").alias("part"), F.col("outcome").alias("name"), F.lit(None).cast("string").alias("at"), F.col("win_rate").alias("value"))
+    none = F.lit(None).cast("string")
+    curve = strategy.every_kth(t.bars(spark, d), 6).select(F.lit("curve").alias("part"), F.col("asset").alias("name"), none.alias("metric"), iso().alias("at"), F.col("close").alias("value"))
+    tail = strategy.last_rows(t.trades(spark, d), ["outcome"], ["exit_time", "trade_id", "leg"], 50).select(F.lit("trade").alias("part"), F.col("outcome").alias("name"), none.alias("metric"), iso("exit_time").alias("at"), F.col("pnl").alias("value"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double"), 8 if m in ("win_rate", "profit_factor") else 4).alias("value")) for m in METRICS))).alias("m")
+    metric = strategy.trade_metrics(t.trades(spark, d), ["outcome"]).select("outcome", each).select(F.lit("metric").alias("part"), F.col("outcome").alias("name"), "m.metric", none.alias("at"), "m.value")
     curve.unionByName(tail).unionByName(metric).write.partitionBy("part").json(path)
-    return spark.read.schema("name string, at string, value double, part string").json(path).select("part", "name", "at", r8("value"))
+    return spark.read.schema("name string, metric string, at string, value double, part string").json(path).select("part", "name", "metric", "at", r8("value"))
 
 
 @add("K4_archive_table_function", with_("b1") + f"SELECT asset, strftime(event_time, '%Y-%m-%d') AS day, CAST(row_number() OVER (PARTITION BY asset, date_trunc('day', event_time) ORDER BY event_time) - 1 AS INTEGER) AS line_no, {tsq('event_time')}, 12 AS fields, CAST(NULL AS VARCHAR) AS error FROM b1 UNION ALL SELECT DISTINCT asset, 'damaged', -1, NULL, CAST(NULL AS INTEGER), 'ARCHIVE_DAMAGED' FROM b1")

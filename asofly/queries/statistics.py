@@ -13,6 +13,7 @@ from asofly.operators import bootstrap, strategy
 from asofly.operators import inference as inf
 from asofly.operators.evaluation import information_coefficients
 from asofly.operators.timeblocks import in_blocks
+from asofly.plans.shared import stash
 from asofly.queries.base import add, r8, rq, ts, tsq, with_
 from asofly.queries.core import PEERS
 from asofly.sources import tables as t
@@ -443,28 +444,40 @@ def i16(spark, d):
     return inf.factor_run(c, names, "y", train="train", last="second", cost_bps=5.0).select("factor_id", "asset", "fold", "n", r8("rank_ic"), r8("p"), r8("adjusted"), "reject", "cluster", "representative", r8("delta_return"), "incremental")
 
 
-PATHS = """sc2(scenario, fee_bps, slip_bps) AS (VALUES ('base', 4.0, 5.0), ('fee_x2', 8.0, 5.0), ('slip_x2', 4.0, 10.0), ('stress', 8.0, 10.0), ('free', 0.0, 0.0)), pa(params, lo, hi) AS (VALUES ('narrow', 0.95, 1.05), ('wide', 0.9, 1.1)),
- s AS (SELECT params, asset, event_time, close * lo AS stop, close * hi AS target, close FROM b1, pa), j AS (SELECT s.params, s.asset, s.event_time, s.close AS entry, b.event_time AS t, b.close, s.stop, s.target, CASE WHEN b.low <= s.stop THEN 'STOP' WHEN b.high >= s.target THEN 'TARGET' END AS o FROM s JOIN b1 b ON b.asset = s.asset AND b.event_time > s.event_time AND b.event_time <= s.event_time + INTERVAL 24 HOUR),
- r AS (SELECT params, asset, event_time, any_value(entry) AS entry, coalesce(arg_min(CASE WHEN o = 'STOP' THEN stop ELSE target END, t) FILTER (WHERE o IS NOT NULL), arg_max(close, t)) AS px FROM j GROUP BY ALL)"""
+PATHS = """sc2(scenario, fee_bps, slip_bps, delay) AS (VALUES ('base', 4.0, 5.0, 0), ('fee_x2', 8.0, 5.0, 0), ('slip_x2', 4.0, 10.0, 0), ('stress', 8.0, 10.0, 0), ('delay_1', 4.0, 5.0, 1), ('delay_2', 4.0, 5.0, 2), ('free', 0.0, 0.0, 0), ('stress_delay', 8.0, 10.0, 1)),
+ pa(variant, stop, target) AS (VALUES ('down', 0.045, 0.09), ('normal', 0.05, 0.1), ('up', 0.055, 0.11)),
+ p AS (SELECT asset, event_time, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY asset) AS total, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 END AS side, [lead(open, 1) OVER w, lead(open, 2) OVER w, lead(open, 3) OVER w] AS entries, [event_time, lead(event_time, 1) OVER w, lead(event_time, 2) OVER w] AS starts FROM b1 WINDOW w AS (PARTITION BY asset ORDER BY event_time)),
+ e AS (SELECT asset, event_time, pos, side, delay, entries[delay + 1] AS entry, starts[delay + 1] AS start FROM p, (VALUES (0), (1), (2)) k(delay) WHERE side IS NOT NULL AND entries[delay + 1] > 0),
+ s AS (SELECT e.*, variant, entry * (1 - side * stop) AS stop, entry * (1 + side * target) AS target FROM e, pa),
+ j AS (SELECT s.*, b.event_time AS t, b.close, CASE WHEN (side = 1 AND b.low <= stop) OR (side = -1 AND b.high >= stop) THEN 'STOP' WHEN (side = 1 AND b.high >= target) OR (side = -1 AND b.low <= target) THEN 'TARGET' END AS o FROM s JOIN b1 b ON b.asset = s.asset AND b.event_time > s.start AND b.event_time <= s.start + INTERVAL 24 HOUR),
+ r AS (SELECT variant, delay, asset, pos, any_value(side) AS side, any_value(entry) AS entry, coalesce(arg_min(CASE WHEN o = 'STOP' THEN stop ELSE target END, t) FILTER (WHERE o IS NOT NULL), arg_max(close, t)) AS px FROM j GROUP BY ALL),
+ net AS (SELECT variant, scenario, asset, pos, side, side * (px / entry - 1) - 2 * (fee_bps + slip_bps) / 10000 AS net FROM r JOIN sc2 USING (delay)),
+ fo AS (SELECT asset, unnest([0, 1, 2, 3]) AS fold, greatest(max(total) // 5, 1) AS block FROM p GROUP BY asset), ks AS (SELECT DISTINCT variant, scenario, asset FROM net),
+ g AS (SELECT ks.*, fold, count(*) FILTER (WHERE pos + 1 + 24 + 6 <= block * (1 + fold)) AS train_n, avg(net) FILTER (WHERE pos + 1 + 24 + 6 <= block * (1 + fold)) AS train_mean, count(*) FILTER (WHERE pos >= block * (1 + fold) AND pos < block * (2 + fold)) AS n, count(*) FILTER (WHERE pos >= block * (1 + fold) AND pos < block * (2 + fold) AND side = 1) AS longs, avg(net) FILTER (WHERE pos >= block * (1 + fold) AND pos < block * (2 + fold)) AS mean_net, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE pos >= block * (1 + fold) AND pos < block * (2 + fold)) AS win_rate FROM ks JOIN fo USING (asset) JOIN net USING (variant, scenario, asset) GROUP BY ALL)"""
 
 
-@add("I17_strategy_walk_forward", with_("b1", more=PATHS) + "SELECT params, scenario, asset, CAST(floor(extract('day' FROM event_time) / 6) AS BIGINT) AS fold, count(*) AS n, round(avg(px / nullif(entry, 0) - 1 - (fee_bps + slip_bps) / 10000), 8) AS mean_net, round(avg(CASE WHEN px / nullif(entry, 0) - 1 - (fee_bps + slip_bps) / 10000 > 0 THEN 1.0 ELSE 0.0 END), 8) AS win_rate FROM r, sc2 GROUP BY ALL")
+@add("I17_strategy_walk_forward", with_("b1", more=PATHS) + "SELECT variant, scenario, asset, fold, train_n, round(train_mean, 8) AS train_mean, n, longs, round(mean_net, 8) AS mean_net, round(win_rate, 8) AS win_rate, train_mean IS NOT NULL AND row_number() OVER (PARTITION BY scenario, asset, fold ORDER BY round(train_mean, 10) DESC NULLS LAST, variant) = 1 AS chosen FROM g")
 def i17(spark, d):
-    """Every bar a signal, under two sets of parameters; each outcome under every cost scenario without a delay."""
-    from asofly.operators.joins import first_touch
-
+    """Each bar signals its own direction; three scales of the exits, all cost and delay scenarios, four anchored folds."""
     b = t.bars(spark, d)
-    sets = F.explode(F.array(*(F.struct(F.lit(n).alias("params"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in (("narrow", 0.95, 1.05), ("wide", 0.9, 1.1)))))
-    s = b.select("asset", "event_time", "close", sets.alias("p")).select("asset", "event_time", "p.params", F.lit(1).alias("side"), (F.col("close") * F.col("p.lo")).alias("stop"), (F.col("close") * F.col("p.hi")).alias("target"), F.col("close").alias("entry"))
-    out = first_touch(s, b, horizon_hours=24, key=["params"]).join(s.select("params", "asset", "event_time", "entry"), ["params", "asset", "event_time"]).withColumn("fold", F.floor(F.dayofmonth("event_time") / 6))
-    out = out.crossJoin(F.broadcast(sc.scenarios(spark).filter("delay = 0")))  # five fixed rows
-    net = F.try_divide(F.col("exit_price"), F.col("entry")) - 1 - (F.col("fee_bps") + F.col("slip_bps")) / 10000
-    return out.groupBy("params", "scenario", "asset", "fold").agg(F.count(F.lit(1)).alias("n"), r8(F.avg(net), "mean_net"), r8(F.avg(F.when(net > 0, 1.0).otherwise(0.0)), "win_rate"))
+    side = F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1)
+    signals = b.select("asset", "event_time", side.alias("side")).filter("side is not null")
+    variants = spark.createDataFrame([("down", 0.045, 0.09), ("normal", 0.05, 0.1), ("up", 0.055, 0.11)], "variant string, stop double, target double")
+    folds = inf.simple_folds(b, folds=4, purge=24, embargo=6)
+    out = strategy.walk_forward_outcomes(stash(folds, "folds"), signals, variants, sc.scenarios(spark), delays=(0, 1, 2), horizon_hours=24)
+    return out.select("variant", "scenario", "asset", "fold", "train_n", r8("train_mean"), "n", "longs", r8("mean_net"), r8("win_rate"), "chosen")
+
+
+REVIEW = """d AS (SELECT run_id, CAST(slot AS TIMESTAMP) AS slot, seq, equity_after FROM decisions), l AS (SELECT run_id, min(slot) AS f, max(slot) AS e, max(equity_after) AS high_water_mark, arg_max(equity_after, (slot, seq)) AS current_equity, count(*) FILTER (WHERE equity_after < 1000) AS breaches FROM d GROUP BY run_id),
+ dl AS (SELECT l.run_id, coalesce(arg_max(equity_after, (slot, seq)) FILTER (WHERE slot < date_trunc('day', e)), arg_min(equity_after, (slot, seq)) FILTER (WHERE slot >= date_trunc('day', e))) AS s FROM l JOIN d ON d.run_id = l.run_id GROUP BY l.run_id),
+ sl AS (SELECT DISTINCT run_id, CAST(slot AS DATE) AS day FROM d), gp AS (SELECT run_id, day, date_diff('day', lag(day) OVER (PARTITION BY run_id ORDER BY day), day) - 1 AS gap, lag(day) OVER (PARTITION BY run_id ORDER BY day) AS p FROM sl),
+ ms AS (SELECT run_id, coalesce(sum(gap), 0) AS missing_slots, min(CASE WHEN gap > 0 THEN p + INTERVAL 1 DAY END) AS first_missing FROM gp GROUP BY run_id)"""
 
 
-@add("I18_paper_readiness", with_("decisions") + "SELECT run_id, date_diff('day', min(slot), max(slot)) AS days, count(*) FILTER (WHERE equity_after < 1000) AS breaches, date_diff('day', min(slot), max(slot)) + 1 - count(DISTINCT CAST(slot AS DATE)) AS missing_slots, date_diff('day', min(slot), max(slot)) >= 30 AND count(*) FILTER (WHERE equity_after < 1000) = 0 AND date_diff('day', min(slot), max(slot)) + 1 = count(DISTINCT CAST(slot AS DATE)) AS ready FROM decisions GROUP BY run_id")
+@add("I18_paper_readiness", with_("decisions", more=REVIEW) + f"SELECT l.run_id, round(date_diff('second', f, e) / 86400, 1) AS completed_days, missing_slots, {tsq('first_missing')}, round(current_equity, 8) AS current_equity, round(high_water_mark, 8) AS high_water_mark, round(greatest(s - current_equity, 0), 8) AS daily_loss, breaches, date_diff('second', f, e) >= 30 * 86400 AND breaches = 0 AND missing_slots = 0 AS review_ready FROM l JOIN dl ON dl.run_id = l.run_id JOIN ms ON ms.run_id = l.run_id")
 def i18(spark, d):
-    return strategy.readiness(t.decisions(spark, d), floor=1000.0)
+    out = strategy.review_summary(t.decisions(spark, d), floor=1000.0)
+    return out.select("run_id", "completed_days", "missing_slots", ts("first_missing"), r8("current_equity"), r8("high_water_mark"), r8("daily_loss"), "breaches", "review_ready")
 
 
 @add("K1_factor_registry", with_("b4") + f"SELECT asset, {tsq('event_time')}, round(close / nullif(lag(close, 6) OVER w, 0) - 1, 8) AS momentum, round(-(close / nullif(lag(close, 3) OVER w, 0) - 1), 8) AS reversal FROM b4 WINDOW w AS (PARTITION BY asset ORDER BY event_time)")
@@ -477,17 +490,28 @@ def k1(spark, d):
     return reg.compute(t.bars(spark, d, 4), ["momentum", "reversal"]).select("asset", ts("event_time"), r8("momentum"), r8("reversal"))
 
 
-K2 = "lag(close, 6) OVER w AS f0, lag(close, 12) OVER w AS f1, close - lag(close, 6) OVER w AS f2, close - lag(close, 12) OVER w AS f3, close / nullif(lag(close, 6) OVER w, 0) - 1 AS f4, close / nullif(lag(close, 12) OVER w, 0) - 1 AS f5, CASE WHEN count(close) OVER a = 6 THEN avg(close) OVER a END AS f6, CASE WHEN count(close) OVER b = 12 THEN avg(close) OVER b END AS f7, CASE WHEN count(close) OVER a = 6 THEN stddev_samp(close) OVER a END AS f8, CASE WHEN count(close) OVER b = 12 THEN stddev_samp(close) OVER b END AS f9"
+def _candidate_sql():
+    """SQL of the twenty candidates: five templates for each of the first four windows."""
+    out = []
+    for n in (6, 12, 24, 48):
+        w = f"OVER (PARTITION BY asset ORDER BY event_time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        whole = lambda c, x: f"CASE WHEN count({c}) {w} = {n} THEN {x} END"  # noqa: B023, E731
+        out.append(f"close / nullif(lag(close, {n}) OVER (PARTITION BY asset ORDER BY event_time), 0) - 1")
+        out.append(whole("close", f"stddev_samp(close) {w}"))
+        out.append(whole("volume", f"avg(volume) {w}"))
+        out.append(whole("close", f"(close - avg(close) {w}) / nullif(stddev_samp(close) {w}, 0)"))
+        out.append(whole("close", f"(len(list_filter(list(close) {w}, lambda v: v < close)) + (len(list_filter(list(close) {w}, lambda v: v = close)) + 1) / 2) / {n}"))
+    return ", ".join(f"round({x}, 8) AS f{i}" for i, x in enumerate(out))
 
 
-@add("K2_generated_factors", with_("b4", more="k AS (SELECT asset, event_time, " + K2 + " FROM b4 WINDOW w AS (PARTITION BY asset ORDER BY event_time), a AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (PARTITION BY asset ORDER BY event_time ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))") + f"SELECT asset, {tsq('event_time')}, " + ", ".join(f"round(f{i}, 8) AS f{i}" for i in range(10)) + " FROM k")
+@add("K2_generated_factors", with_("b4") + f"SELECT asset, {tsq('event_time')}, {_candidate_sql()} FROM b4")
 def k2(spark, d):
-    """The first ten trees of the grammar over close and volume that aren't columns themselves."""
-    from asofly.functions.registry import enumerate_trees
+    """The candidates of the whole search space (five windows, trees up to depth 3), of which twenty are kept."""
+    from asofly.functions.registry import SearchSpace, candidates
 
-    trees = [x for x in enumerate_trees(["close", "volume"], [6, 12], depth=2, most=60) if x.op != "column"][:10]
-    out = evaluate(t.bars(spark, d, 4), {f"f{i}": x for i, x in enumerate(trees)})
-    return out.select("asset", ts("event_time"), *(r8(f"f{i}") for i in range(10)))
+    found = candidates(SearchSpace())
+    out = evaluate(t.bars(spark, d, 4), {f"f{i}": c.tree for i, c in enumerate(found)})
+    return out.select("asset", ts("event_time"), *(r8(f"f{i}") for i in range(len(found))))
 
 
 @add("K3_user_statistic")

@@ -107,16 +107,48 @@ def klines(payloads: DataFrame, *, now: str | None = None) -> DataFrame:
     return out.dropna(subset=["event_time", *NUMBERS]).withColumn("reason", F.when(F.col("event_time") > F.lit(now).cast("timestamp_ntz"), "FUTURE_TIMESTAMP"))
 
 
-def universe_days(documents: DataFrame) -> DataFrame:
-    """asset, selection_time, rank of universe documents {selection_time, members: [{asset, rank}]}."""
-    r = documents.select(F.from_json("payload", "selection_time string, members array<struct<asset:string,rank:int>>").alias("d")).select("d.selection_time", F.explode("d.members").alias("m"))
-    return r.select("m.asset", F.col("selection_time").try_cast("timestamp_ntz").alias("selection_time"), "m.rank")
+def universe_days(documents: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """artifact_id, asset, selection_time, rank, error of universe documents {artifact_id, selection_time, members: [{asset, rank}]}.
+
+    wanted (artifact_id): only those are read, and each that no readable document holds is a row with an error. Without it,
+    a document that can't be read is such a row.
+    """
+    r = documents.select(F.from_json("payload", "artifact_id string, selection_time string, members array<struct<asset:string,rank:int>>").alias("d"))
+    r = r.select("d.artifact_id", F.col("d.selection_time").try_cast("timestamp_ntz").alias("selection_time"), "d.members")
+    whole = F.col("artifact_id").isNotNull() & F.col("selection_time").isNotNull() & F.col("members").isNotNull()
+    if wanted is None:
+        out = r.withColumn("error", F.when(~whole, "POPULAR_UNIVERSE_ARTIFACT_INVALID"))
+    else:
+        out = wanted.select("artifact_id").distinct().join(r.filter(whole), "artifact_id", "left").withColumn("error", F.when(F.col("members").isNull(), "POPULAR_UNIVERSE_ARTIFACT_MISSING"))
+    members = F.when(F.col("error").isNull(), F.col("members"))  # an empty universe has no rows
+    kept = out.filter(F.col("error").isNotNull() | (F.size("members") > 0))
+    return kept.select("artifact_id", "selection_time", "error", F.explode_outer(members).alias("m")).select("artifact_id", "m.asset", "selection_time", "m.rank", "error")
+
+
+#: What an exclusion list and its entries must say.
+EXCLUSIONS_VERSION = "canonical-input-exclusions-v1"
+EXCLUDED_STATUS, EXCLUDED_REASON = "permanently_unavailable", "SOURCE_ARCHIVE_404"
+ENTRY = "struct<identity_key:string,status:string,reason_code:string,source_url:string,evidence_ref:string,observed_on:string>"
 
 
 def exclusions(documents: DataFrame) -> DataFrame:
-    """Identity keys of exclusion lists {schema_version, exclusions: [..]}, each once; a wrong version gives none."""
-    r = documents.select(F.from_json("payload", "schema_version int, exclusions array<string>").alias("d")).filter("d.schema_version = 1")
-    return r.select(F.explode("d.exclusions").alias("identity")).distinct()
+    """path, identity_key, reason_code, source_url, evidence_ref, observed_on, error of exclusion lists {schema_version, exclusions: [..]}.
+
+    A list is taken or refused as a whole: of another version, without a list, or with an entry that lacks a field or says
+    another status or reason, it is one row CANONICAL_INPUT_EXCLUSIONS_INVALID; with an identity twice, one row
+    CANONICAL_INPUT_EXCLUSIONS_DUPLICATE. A list without entries excludes nothing. documents: path, payload.
+    """
+    text = F.from_json("payload", f"schema_version string, exclusions array<{ENTRY}>")
+    r = documents.select("path", text.alias("d"), F.get_json_object("payload", "$.exclusions").alias("given"))
+    entries = F.coalesce("d.exclusions", F.array().cast(f"array<{ENTRY}>"))
+    fields = ("identity_key", "source_url", "evidence_ref")
+    bad = F.exists(entries, lambda e: e.isNull() | ~F.coalesce((e["status"] == EXCLUDED_STATUS) & (e["reason_code"] == EXCLUDED_REASON), F.lit(False)) | F.coalesce(*(F.when(e[c].isNull(), True) for c in fields), F.lit(False)) | e["observed_on"].try_cast("date").isNull())
+    keys = F.transform(entries, lambda e: e["identity_key"])
+    invalid = ~F.coalesce(F.col("d.schema_version") == EXCLUSIONS_VERSION, F.lit(False)) | (F.col("given").isNotNull() & F.col("d.exclusions").isNull()) | bad
+    error = F.when(invalid, "CANONICAL_INPUT_EXCLUSIONS_INVALID").when(F.size(keys) > F.size(F.array_distinct(keys)), "CANONICAL_INPUT_EXCLUSIONS_DUPLICATE")
+    out = r.select("path", error.alias("error"), entries.alias("entries")).filter("error is not null or size(entries) > 0")
+    out = out.select("path", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("entries"))).alias("e"))
+    return out.select("path", "e.identity_key", "e.reason_code", "e.source_url", "e.evidence_ref", F.col("e.observed_on").try_cast("date").alias("observed_on"), "error")
 
 
 def lake(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
