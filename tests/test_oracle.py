@@ -48,7 +48,7 @@ def test_equals_sql(spark, small, duck, name):
 
 
 #: Statistics, tails of distributions, quantiles, windows over several blocks, grids: what a small table may hide.
-LARGER = ("C11_grid_faults", "C18_next_bar_fill", "D9_trailing_medians", "D15_factor_evaluation", "D16_cross_section_ic", "D21_equity_metrics", "E15_rolling_rank", "E17_ema", "E24_expanding_thresholds", "E30_break_of_structure", "I5_redundancy", "I6_incremental_value", "I7_walk_forward_folds", "I12_family_gate", "I13_gate_inputs", "I15_holdout_evaluation", "J4_exit_monitor")
+LARGER = ("C11_grid_faults", "C18_next_bar_fill", "D9_trailing_medians", "D15_factor_evaluation", "D16_cross_section_ic", "D21_equity_metrics", "E15_rolling_rank", "E17_ema", "E24_expanding_thresholds", "E30_break_of_structure", "I5_redundancy", "I6_incremental_value", "I7_walk_forward_folds", "I12_family_gate", "I13_gate_inputs", "I15_holdout_evaluation", "I17_strategy_walk_forward", "I18_paper_readiness", "J4_exit_monitor", "K2_generated_factors")
 
 
 @pytest.mark.parametrize("name", LARGER)
