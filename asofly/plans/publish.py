@@ -37,15 +37,17 @@ def write_gated(frame: DataFrame, path: str, *, step_hours: int) -> None:
 def write_new_partitions(frame: DataFrame, path: str, key: str, known: DataFrame | None = None) -> DataFrame:
     """Append the partitions that aren't known yet; the same content again is a no-op, other content is an error.
 
-    known: key and fingerprint of what's there. Returns the fingerprints after the write.
+    known: key and fingerprint of what's there; a null key is a partition like others. Returns the fingerprints after the write.
     """
     now = fingerprint(frame, [key]).select(key, "fingerprint")
     if known is not None:
-        clash = now.join(known.withColumnRenamed("fingerprint", "_f"), key).filter("fingerprint <> _f").limit(1).count()
+        old = known.select(F.col(key).alias("_k"), F.col("fingerprint").alias("_f"))
+        there = F.col(key).eqNullSafe(F.col("_k"))
+        clash = now.join(old, there).filter("fingerprint <> _f").limit(1).count()
         if clash:
             raise ValueError("PARTITION_CONTENT_CHANGED")
-        fresh = now.join(known, key, "left_anti")
-        frame = frame.join(fresh.select(key), key, "left_semi")
+        fresh = now.join(old, there, "left_anti")
+        frame = frame.join(old, there, "left_anti")
         now = known.select(key, "fingerprint").unionByName(fresh)
     frame.write.mode("append").partitionBy(key).option("compression", "zstd").parquet(path)
     return now

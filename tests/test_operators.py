@@ -153,6 +153,17 @@ def test_register_conflicts(spark):
         publish.register(a.withColumn("fingerprint", F.lit("other")), a).count()
 
 
+def test_new_partitions_are_appended_once_null_keys_included(spark, tmp_path):
+    path = f"file://{tmp_path}/parts"
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0), (None, 3.0)], "asset string, v double")
+    known = publish.write_new_partitions(rows.filter("asset = 'a'"), path, "asset")
+    known = publish.write_new_partitions(rows, path, "asset", known)
+    publish.write_new_partitions(rows, path, "asset", known)  # a no-op, for the null key too
+    assert sorted(map(str, spark.read.schema("v double, asset string").parquet(path).collect())) == sorted(map(str, rows.select("v", "asset").collect()))
+    with pytest.raises(ValueError, match="PARTITION_CONTENT_CHANGED"):
+        publish.write_new_partitions(rows.dropDuplicates(), path, "asset", known)
+
+
 def test_empty_frames(spark):
     e = series(spark, [])
     assert e.withColumn("m", fx.momentum("close", 3)).count() == 0
