@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofly.functions.factors import W
-from asofly.operators.timeblocks import in_blocks, numbered
+from asofly.operators.timeblocks import in_blocks, numbered, running
 from asofly.plans.shared import stash
 
 
@@ -64,15 +64,40 @@ def first_touch(signals: DataFrame, bars: DataFrame, *, horizon_hours: int, key:
     return best.select(*(key or []), "asset", "event_time", "r.outcome", F.col("r.price").alias("exit_price"), F.col("r.t").alias("exit_time"))
 
 
-def funding_cashflow(positions: DataFrame, funding: DataFrame) -> DataFrame:
+def funding_cashflow(positions: DataFrame, funding: DataFrame, *, days: float = 0.25) -> DataFrame:
     """Funding paid over each position's interval, both ends included: minus notional times sign times rate.
 
-    positions: position_id, asset, entry, exit, notional, sign. Days the position spans are the equi-join key.
+    positions: position_id, asset, entry, exit, notional, sign. Entries and exits are stacked with the rates and take the
+    rates' running sums at their place, so no position meets single rates; what lies between is the difference. Sums are
+    of decimals (18 places at least), so what lies before an interval leaves no rounding in it. Rates too large for them or
+    not finite are counted and summed apart, and count where an interval holds one. days: the width of blocks of time.
     """
-    p = positions.withColumn("_d", F.explode(F.sequence(F.to_date("entry"), F.to_date("exit"))))
-    f = funding.select("asset", F.to_date("event_time").alias("_d"), F.col("event_time").alias("_t"), "funding_rate")
-    j = p.join(f, ["asset", "_d"]).filter((F.col("_t") >= F.col("entry")) & (F.col("_t") <= F.col("exit")))
-    return j.groupBy("position_id").agg(F.sum(-F.col("notional") * F.col("sign") * F.col("funding_rate")).alias("cashflow"), F.count(F.lit(1)).alias("events"))
+    same = ["position_id", "asset", "entry", "exit", "notional", "sign"]
+    some = positions.select(*same).filter(F.col("asset").isNotNull() & (F.col("entry") <= F.col("exit")))
+    some = some.groupBy(*same).agg(F.count(F.lit(1)).alias("_m"))  # rows that are equal are one, taken so many times
+    ends = F.explode(F.array(F.struct(F.col("entry").alias("_t"), F.lit(0).alias("_o")), F.struct(F.col("exit").alias("_t"), F.lit(2).alias("_o"))))  # before and after rates of the same time
+    ends = some.withColumn("_e", ends).select(*same, "_m", "_e.*")
+    rate = F.col("funding_rate").cast("double")
+    rates = funding.filter(F.col("asset").isNotNull() & F.col("event_time").isNotNull()).select("asset", F.col("event_time").alias("_t"), F.lit(1).alias("_o"), rate.alias("_r"))
+    stacked = rates.unionByName(ends, allowMissingColumns=True)
+
+    r, one = F.col("_r"), F.lit(1).cast("long")
+    finite = ~F.isnan(r) & (F.abs(r) < float("inf"))
+    exact = finite & (F.abs(r) < 1e6)
+    parts = {
+        "_n": ("sum", F.when(F.col("_o") == 1, one)), "_some": ("sum", F.when(r.isNotNull(), one)), "_sum": ("sum", F.when(exact, r).cast("decimal(28,20)")),
+        "_far": ("sum", F.when(finite & ~exact, one)), "_farsum": ("sum", F.when(finite & ~exact, r)),
+        "_up": ("sum", F.when(r == float("inf"), one)), "_down": ("sum", F.when(r == float("-inf"), one)), "_nan": ("sum", F.when(F.isnan(r), one)),
+    }
+    at = running(stacked, parts, order=["_t", "_o"], days=days).filter("_o <> 1")
+    zero = F.lit(0)
+    between = lambda c: F.coalesce(F.max(F.when(F.col("_o") == 2, F.col(c))), zero) - F.coalesce(F.max(F.when(F.col("_o") == 0, F.col(c))), zero)
+    out = at.groupBy(*same, "_m").agg(*(between(c).alias(c) for c in parts)).filter("_n > 0")
+    total = F.col("_sum").cast("double") + F.when(F.col("_far") > 0, F.col("_farsum")).otherwise(0.0)
+    for c, v in (("_up", "inf"), ("_down", "-inf"), ("_nan", "nan")):
+        total = total + F.when(F.col(c) > 0, float(v)).otherwise(0.0)
+    paid = F.when(F.col("_some") > 0, -F.col("notional") * F.col("sign") * total * F.col("_m"))
+    return out.groupBy("position_id").agg(F.sum(paid).alias("cashflow"), F.sum(F.col("_n") * F.col("_m")).alias("events"))
 
 
 def dependent_slices(slices: DataFrame) -> DataFrame:

@@ -22,13 +22,13 @@ ROWS = 4096  # consecutive rows of a key in a chunk, at least as many as a frame
 _KINDS = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
-def _keyed(frame: DataFrame, by: Sequence[str], order: str, days: int) -> DataFrame:
+def _keyed(frame: DataFrame, by: Sequence[str], order: str, days: float) -> DataFrame:
     """Rows with `_b`: the key and the block of time. A struct, so that null keys and times are equal to each other."""
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     return frame.withColumn("_b", F.struct(key.alias("key"), F.floor(F.unix_timestamp(F.col(order).cast("timestamp")) / (days * 86400)).alias("k")))
 
 
-def running(frame: DataFrame, columns: dict[str, tuple[str, Column]], *, by: Sequence[str] = ("asset",), order: Sequence[str] = ("event_time",), days: int | None = None) -> DataFrame:
+def running(frame: DataFrame, columns: dict[str, tuple[str, Column]], *, by: Sequence[str] = ("asset",), order: Sequence[str] = ("event_time",), days: float | None = None) -> DataFrame:
     """The frame with running sums, maxima, minima or last values (nulls left out) of a key's rows up to each row.
 
     columns: name to (kind, expression of the row). order: a time first, by which blocks are cut. Null times come first.

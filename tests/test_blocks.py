@@ -332,3 +332,22 @@ def test_trailing_medians_equal_a_plain_join(spark):
                 values = [v for _, v in own if v is not None]
                 want[a, s] = (len({d for d, _ in own}), float(np.median(values)) if values else None)
     assert got == want
+
+
+def test_funding_cashflow_equals_all_pairs_without_making_them(spark):
+    rng = np.random.default_rng(13)
+    at = lambda: T0 + timedelta(minutes=30 * int(rng.integers(0, 200)))
+    odd = {3: None, 50: float("nan"), 90: float("inf"), 120: float("-inf"), 150: 1e17}
+    rates = [(str(rng.choice(["a", "b"])), at(), odd.get(i, float(rng.normal(0, 1e-4)))) for i in range(400)] + [(None, T0, 1.0), ("c", T0, None)]
+    spans = [(i // 2, str(rng.choice(["a", "b"])), s, s + timedelta(minutes=30 * int(rng.integers(-2, 60))), float(rng.integers(-5, 90)), int(rng.choice([-1, 1]))) for i in range(300) for s in [at()]]
+    spans += spans[:40] + [(900, "c", T0, T0, 5.0, 1), (901, None, T0, T0, 5.0, 1), (902, "a", T0, T0 + timedelta(days=9), None, 1), (903, "a", None, T0, 1.0, 1)]
+    p = spark.createDataFrame(spans, "position_id long, asset string, entry timestamp_ntz, exit timestamp_ntz, notional double, sign int")
+    f = spark.createDataFrame(rates, "asset string, event_time timestamp_ntz, funding_rate double")
+    out = joins.funding_cashflow(p, f)
+    assert "sequence(" not in out._jdf.queryExecution().toString()  # days spelt out and joined: pairs of rows
+    pairs = p.join(f, (p.asset == f.asset) & f.event_time.between(p.entry, p.exit)).groupBy("position_id").agg(F.sum(-F.col("notional") * F.col("sign") * F.col("funding_rate")).alias("cashflow"), F.count(F.lit(1)).alias("events"))
+    got, want = ({r.position_id: (r.cashflow, r.events) for r in x.collect()} for x in (out, pairs))
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] for k in want)
+    for k, (w, _) in want.items():
+        g = got[k][0]
+        assert (g is None) == (w is None) and (w is None or g == pytest.approx(w, rel=1e-9, abs=1e-15, nan_ok=True)), (k, g, w)
