@@ -21,15 +21,15 @@ def composite(bars: DataFrame) -> DataFrame:
     return bars.groupBy("event_time").agg(F.avg("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.avg("close").alias("close"), F.sum("volume").alias("volume"))
 
 
-def inputs(frame: DataFrame, n: int = 48) -> DataFrame:
-    """Volatility, trend strength and illiquidity over n rows."""
+def _inputs(f: DataFrame, n: int) -> DataFrame:
+    f = f.withColumn("_lr", fx.log_return("close")).withColumn("_il", F.abs("_lr") / F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
+    f = f.withColumns({"volatility": fx.realized_volatility("_lr", n), "illiquidity": fx.amihud("_il", n), "_ret": F.abs(fx.change("close", n))})
+    return f.withColumn("trend", F.col("_ret") / F.nullif(F.col("volatility"), F.lit(0.0))).drop("_lr", "_il", "_ret")
 
-    def windows(f: DataFrame) -> DataFrame:
-        f = f.withColumn("_lr", fx.log_return("close")).withColumn("_il", F.abs("_lr") / F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
-        return f.withColumns({"volatility": fx.realized_volatility("_lr", n), "illiquidity": fx.amihud("_il", n), "_ret": F.abs(fx.change("close", n))})
 
-    out = in_blocks(frame, windows, before=n)
-    return out.withColumn("trend", F.col("_ret") / F.nullif(F.col("volatility"), F.lit(0.0))).drop("_lr", "_il", "_ret")
+def inputs(frame: DataFrame, n: int = 48, *, sizes: DataFrame | None = None) -> DataFrame:
+    """Volatility, trend strength and illiquidity over n rows. sizes: see timeblocks.by_length."""
+    return in_blocks(frame, lambda f: _inputs(f, n), before=n, sizes=sizes)
 
 
 def thresholds(frame: DataFrame, by: list[str]) -> DataFrame:

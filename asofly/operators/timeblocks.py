@@ -4,6 +4,9 @@ Running values (`running`, `numbered`) are scans: each block of time is summed u
 over the few blocks of a key, and every row takes its block's carry. Bounded frames (`in_blocks`) run over chunks of so many
 consecutive rows, each with copies of the rows before and after that a frame can reach.
 
+Keys of a few rows gain nothing by that: where their sizes are known, `by_length` computes the keys that fit into a chunk by
+plain windows and only the others in blocks.
+
 A frame that several of these steps work on is numbered once: `numbered(frame, POS)` leaves the positions in a column that
 all of them take, as long as no row is dropped or added in between; drop it at the end.
 """
@@ -15,6 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofly.plans.shared import stash
+
 DAYS = 30  # of a key's history that one task sorts
 POS = "_pos"  # positions that later steps take
 ROWS = 4096  # consecutive rows of a key in a chunk, at least as many as a frame reaches
@@ -60,13 +65,29 @@ def numbered(frame: DataFrame, name: str = "pos", *, by: Sequence[str] = ("asset
     return running(frame, {name: ("sum", F.lit(1).cast("long"))}, by=by, order=order, days=days).withColumn(name, F.col(name) - 1)
 
 
-def in_blocks(frame: DataFrame, compute: Callable[[DataFrame], DataFrame], *, before: int = 0, after: int = 0, by: str = "asset", order: str = "event_time", rows: int | None = None, days: int | None = None) -> DataFrame:
+def by_length(frame: DataFrame, sizes: DataFrame | None, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], *, by: str = "asset", rows: int | None = None) -> DataFrame:
+    """short(rows of keys that fit into a chunk) and long(rows of the others), which give the same columns.
+
+    sizes: the key and n, at least as many as its rows; a key that's not in it is a short one. Without sizes all are long.
+    """
+    if sizes is None:
+        return long(frame)
+    large = stash(sizes.filter(F.col("n") > (rows or ROWS)).select(F.col(by).alias("_large")), "large")
+    if large.isEmpty():
+        return short(frame)
+    same = F.col(by).eqNullSafe(F.col("_large"))
+    return short(frame.join(large, same, "left_anti")).unionByName(long(frame.join(large, same, "left_semi")))
+
+
+def in_blocks(frame: DataFrame, compute: Callable[[DataFrame], DataFrame], *, before: int = 0, after: int = 0, by: str = "asset", order: str = "event_time", rows: int | None = None, days: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """compute(frame), whose windows within `by` reach at most so many rows back and ahead, chunk by chunk.
 
     Within compute the column `by` holds the key and the chunk, so that windows over it see a chunk and the rows copied to
-    it. It adds columns (windows over anything else would see the copies, and belong outside).
+    it. It adds columns (windows over anything else would see the copies, and belong outside). sizes: see by_length.
     """
     size = max(rows or ROWS, before, after)
+    if sizes is not None:
+        return by_length(frame, sizes, compute, lambda f: in_blocks(f, compute, before=before, after=after, by=by, order=order, rows=rows, days=days), by=by, rows=size)
     out = numbered(frame, "_at", by=[by], order=[order], days=days)
     chunk, place = F.floor(F.col("_at") / size), F.col("_at") % size
     to = [F.struct(chunk.alias("chunk"), F.lit(True).alias("own"))]

@@ -233,7 +233,7 @@ REG = """r AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM hist WINDOW w
 
 @add("E22_regime_inputs", with_("hist", more=REG) + f"SELECT asset, {tsq('event_time')}, round(vol, 8) AS volatility, round(trend, 6) AS trend, round(illiq, 12) AS illiquidity FROM z")
 def e22(spark, d):
-    return regimes.inputs(t.long_history(spark, d)).select("asset", ts("event_time"), r8("volatility"), F.round("trend", 6).alias("trend"), F.round("illiquidity", 12).alias("illiquidity"))
+    return regimes.inputs(t.long_history(spark, d), sizes=t.long_history_sizes(spark, d)).select("asset", ts("event_time"), r8("volatility"), F.round("trend", 6).alias("trend"), F.round("illiquidity", 12).alias("illiquidity"))
 
 
 @add("E23_regime_labels", with_("hist", more=REG + ", th AS (SELECT asset, quantile_cont(vol, 0.75) AS qv, quantile_cont(trend, 0.60) AS qt, quantile_cont(illiq, 0.95) AS qi FROM z WHERE event_time < TIMESTAMP '1997-01-01' GROUP BY asset)") + f"""SELECT z.asset, {tsq('event_time')}, CASE WHEN coalesce(illiq > qi, false) THEN 'liquidity_stress' WHEN coalesce(trend > qt, false) AND coalesce(vol > qv, false) THEN 'trend_high_vol' WHEN coalesce(trend > qt, false) THEN 'trend_low_vol' WHEN coalesce(vol > qv, false) THEN 'range_high_vol' ELSE 'range_low_vol' END AS regime FROM z JOIN th USING (asset)""")

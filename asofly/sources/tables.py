@@ -49,6 +49,11 @@ def long_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").alias("event_time")).agg(F.avg(F.expr("l_extendedprice / l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
 
 
+def long_history_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset, n: at least as many as its rows in long_history."""
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.expr("l_extendedprice * (l_discount - 0.05)").alias("pnl"), F.col("l_returnflag").alias("outcome"), F.col("l_shipdate").alias("exit_time"), F.col("l_suppkey").alias("asset"), F.col("l_orderkey").alias("trade_id"), F.col("l_linenumber").alias("leg"))
 

@@ -351,3 +351,27 @@ def test_funding_cashflow_equals_all_pairs_without_making_them(spark):
     for k, (w, _) in want.items():
         g = got[k][0]
         assert (g is None) == (w is None) and (w is None or g == pytest.approx(w, rel=1e-9, abs=1e-15, nan_ok=True)), (k, g, w)
+
+
+@pytest.fixture(scope="module")
+def histories(spark):
+    """Daily rows of assets of several lengths (one null), with their sizes."""
+    rng = np.random.default_rng(14)
+    rows = [(a, T0 + timedelta(days=i), float(rng.uniform(90, 110)), float(rng.integers(0, 5))) for a, n in ((1, 90), (2, 40), (3, 12), (None, 33), (None, 0)) for i in range(n)]
+    rows += [(4, T0 + timedelta(days=70 + i), 100.0, 1.0) for i in range(30)]
+    frame = spark.createDataFrame(rows, "asset long, event_time timestamp_ntz, close double, volume double")
+    return frame, frame.groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_asset(frame, order):
+    return frame.toPandas().sort_values(["asset", order], na_position="first").reset_index(drop=True)
+
+
+@pytest.mark.parametrize("rows", [8, 35, 4096])
+def test_regime_inputs_of_short_and_long_assets_equal_those_in_blocks(histories, monkeypatch, rows):
+    frame, sizes = histories
+    want = by_asset(regimes.inputs(frame, 6), "event_time")
+    monkeypatch.setattr(timeblocks, "ROWS", rows)
+    out = regimes.inputs(frame, 6, sizes=sizes)
+    same(by_asset(out, "event_time")[want.columns], want)
+    assert ("_to" in out._jdf.queryExecution().analyzed().toString()) == (rows < 90)  # rows are copied only where an asset exceeds a chunk
