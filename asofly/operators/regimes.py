@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofly.functions import factors as fx
 from asofly.operators.asof import asof_join
 from asofly.operators.prefix import prefix_quantiles
-from asofly.operators.timeblocks import in_blocks, numbered, with_episodes
+from asofly.operators.timeblocks import by_length, in_blocks, numbered, with_episodes
 from asofly.plans.shared import stash
 
 #: Quantiles of the regime inputs; members of a full universe, gain of the sigmoid, least coverage and most effect of funding.
@@ -37,6 +37,24 @@ def thresholds(frame: DataFrame, by: list[str]) -> DataFrame:
     return frame.groupBy(*by).agg(*(F.percentile(c, F.lit(q)).alias(f"q_{c}") for c, q in QUANTILES.items()))
 
 
+def with_thresholds(frame: DataFrame, until: Column, n: int = 48, *, sizes: DataFrame | None = None) -> DataFrame:
+    """The frame with its inputs and their thresholds over the asset's rows before `until`; assets without such rows, and rows
+    without an asset, are left out. sizes: see timeblocks.by_length."""
+    fit = F.col("event_time") < until
+
+    def short(f: DataFrame) -> DataFrame:
+        w = Window.partitionBy("asset")
+        f = _inputs(f.filter("asset is not null"), n)
+        f = f.withColumns({"_fit": F.max(fit).over(w), **{f"q_{c}": F.percentile(F.when(fit, F.col(c)), F.lit(q)).over(w) for c, q in QUANTILES.items()}})
+        return f.filter("_fit").drop("_fit")
+
+    def long(f: DataFrame) -> DataFrame:
+        f = stash(inputs(f, n), "inputs")
+        return f.join(thresholds(f.filter(fit), ["asset"]), "asset")
+
+    return by_length(frame, sizes, short, long)
+
+
 def label() -> Column:
     """Regime by thresholds; stress overrides, and a null input counts as not above."""
     above = lambda c: F.coalesce(F.col(c) > F.col(f"q_{c}"), F.lit(False))

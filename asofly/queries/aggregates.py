@@ -238,9 +238,8 @@ def e22(spark, d):
 
 @add("E23_regime_labels", with_("hist", more=REG + ", th AS (SELECT asset, quantile_cont(vol, 0.75) AS qv, quantile_cont(trend, 0.60) AS qt, quantile_cont(illiq, 0.95) AS qi FROM z WHERE event_time < TIMESTAMP '1997-01-01' GROUP BY asset)") + f"""SELECT z.asset, {tsq('event_time')}, CASE WHEN coalesce(illiq > qi, false) THEN 'liquidity_stress' WHEN coalesce(trend > qt, false) AND coalesce(vol > qv, false) THEN 'trend_high_vol' WHEN coalesce(trend > qt, false) THEN 'trend_low_vol' WHEN coalesce(vol > qv, false) THEN 'range_high_vol' ELSE 'range_low_vol' END AS regime FROM z JOIN th USING (asset)""")
 def e23(spark, d):
-    frame = regimes.inputs(t.long_history(spark, d))
-    limits = regimes.thresholds(frame.filter("event_time < timestamp_ntz'1997-01-01'"), ["asset"])
-    return frame.join(limits, "asset").select("asset", ts("event_time"), regimes.label().alias("regime"))
+    frame = regimes.with_thresholds(t.long_history(spark, d), F.lit("1997-01-01").cast("timestamp_ntz"), sizes=t.long_history_sizes(spark, d))
+    return frame.select("asset", ts("event_time"), regimes.label().alias("regime"))
 
 
 @add("E24_expanding_thresholds", with_("hist", more=REG + ", p AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS pos FROM z), bl AS (SELECT DISTINCT asset, (pos - 200) // 100 AS block FROM p WHERE pos >= 200)") + "SELECT bl.asset, bl.block, round(quantile_cont(vol, 0.75), 8) AS q_volatility, round(quantile_cont(trend, 0.60), 6) AS q_trend, round(quantile_cont(illiq, 0.95), 12) AS q_illiquidity FROM bl JOIN p ON p.asset = bl.asset AND p.pos < 200 + 100 * bl.block GROUP BY ALL")

@@ -375,3 +375,16 @@ def test_regime_inputs_of_short_and_long_assets_equal_those_in_blocks(histories,
     out = regimes.inputs(frame, 6, sizes=sizes)
     same(by_asset(out, "event_time")[want.columns], want)
     assert ("_to" in out._jdf.queryExecution().analyzed().toString()) == (rows < 90)  # rows are copied only where an asset exceeds a chunk
+
+
+@pytest.mark.parametrize("rows", [8, 35, 4096])
+def test_thresholds_of_short_and_long_assets_equal_a_join(histories, monkeypatch, rows):
+    frame, sizes = histories
+    monkeypatch.setattr(timeblocks, "ROWS", rows)
+    until = T0 + timedelta(days=60)
+    out = regimes.with_thresholds(frame, F.lit(until).cast("timestamp_ntz"), 6, sizes=sizes)
+    plain = regimes.inputs(frame, 6)
+    want = plain.join(regimes.thresholds(plain.filter(F.col("event_time") < until), ["asset"]), "asset")
+    want = by_asset(want, "event_time")
+    assert set(want.asset) == {1, 2, 3}  # neither rows without an asset nor assets without earlier rows
+    same(by_asset(out, "event_time")[want.columns], want)
