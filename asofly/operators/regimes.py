@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from asofly.functions import factors as fx
 from asofly.operators.asof import asof_join
@@ -63,18 +68,66 @@ def label() -> Column:
     )
 
 
-def expanding_thresholds(frame: DataFrame, *, initial: int, every: int) -> DataFrame:
+def expanding_thresholds(frame: DataFrame, *, initial: int, every: int, sizes: DataFrame | None = None) -> DataFrame:
     """Thresholds of each block of `every` rows from all rows before the block, refitted block by block.
 
     A row at position p counts from the first block after it on. No row is sent to the blocks it serves: prefix_quantiles
-    merges counts.
+    merges counts. An asset that fits into a chunk is looked through where its rows lie (sizes: see timeblocks.by_length).
     """
+    if sizes is not None:
+        return by_length(frame, sizes, lambda f: _short_thresholds(f, initial, every), lambda f: expanding_thresholds(f, initial=initial, every=every))
     pos = stash(numbered(frame).select("asset", "pos", *QUANTILES), "positions")
     last = pos.groupBy("asset").agg(F.floor((F.max("pos") - initial) / every).alias("last")).filter("last >= 0")
     first = F.greatest(F.floor((F.col("pos") - initial) / every) + 1, F.lit(0)).alias("block")
     return prefix_quantiles(pos.select("asset", first, *QUANTILES), last, QUANTILES, key="asset", prefix="q_")
 
 
+def _short_thresholds(frame: DataFrame, initial: int, every: int) -> DataFrame:
+    """expanding_thresholds of assets of a few thousand rows at most: the window leaves each in one task, in order."""
+    names = ["asset", "block", *(f"q_{c}" for c in QUANTILES)]
+
+    def quantile(x: np.ndarray, q: float) -> float:
+        x = x[~np.isnan(x)]
+        if not len(x):
+            return np.nan
+        place = (len(x) - 1) * q
+        low = int(place)
+        if low == place:
+            return np.partition(x, low)[low]
+        x = np.partition(x, (low, low + 1))
+        return (1 - (place - low)) * x[low] + (place - low) * x[low + 1]
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        starts = np.flatnonzero(rows.column("pos").to_numpy() == 0)
+        values = [rows.column(c).to_numpy() for c in QUANTILES]
+        at, blocks, out = [], [], []
+        for lo, hi in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            for block in range((hi - lo - 1 - initial) // every + 1):
+                end = lo + initial + every * block
+                at.append(lo)
+                blocks.append(block)
+                out.append([quantile(v[lo:end], q) for v, q in zip(values, QUANTILES.values(), strict=True)])
+        found = np.array(out, float).reshape(-1, len(QUANTILES))
+        assets = rows.column("asset").take(pa.array(at, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([assets, pa.array(blocks, pa.int64()), *(pa.array(found[:, i], from_pandas=True) for i in range(len(QUANTILES)))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            starts = np.flatnonzero(b.column(1).to_numpy() == 0)
+            if len(starts):
+                done, held = [*held, b.slice(0, starts[-1])], [b.slice(starts[-1])]
+                yield solved(pa.Table.from_batches(done))
+            else:
+                held.append(b)
+        if held:
+            yield solved(pa.Table.from_batches(held))
+
+    rows = frame.withColumn("pos", (F.row_number().over(fx.W()) - 1).cast("long")).select("asset", "pos", *(F.col(c).cast("double").alias(c) for c in QUANTILES))
+    kinds = [frame.schema["asset"].dataType, T.LongType(), *(T.DoubleType() for _ in QUANTILES)]
+    return rows.sortWithinPartitions("asset", "pos").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+
 def episode_summary(frame: DataFrame, state: str, least: int = 30, volatility: str | None = None) -> DataFrame:
     """Rows of each state and whether they're enough; if so its episodes, their mean duration and the mean volatility."""
     value = F.col(volatility) if volatility else F.lit(None).cast("double")

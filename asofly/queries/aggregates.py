@@ -244,7 +244,8 @@ def e23(spark, d):
 
 @add("E24_expanding_thresholds", with_("hist", more=REG + ", p AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY event_time) - 1 AS pos FROM z), bl AS (SELECT DISTINCT asset, (pos - 200) // 100 AS block FROM p WHERE pos >= 200)") + "SELECT bl.asset, bl.block, round(quantile_cont(vol, 0.75), 8) AS q_volatility, round(quantile_cont(trend, 0.60), 6) AS q_trend, round(quantile_cont(illiq, 0.95), 12) AS q_illiquidity FROM bl JOIN p ON p.asset = bl.asset AND p.pos < 200 + 100 * bl.block GROUP BY ALL")
 def e24(spark, d):
-    out = regimes.expanding_thresholds(regimes.inputs(t.long_history(spark, d)), initial=200, every=100)
+    sizes = t.long_history_sizes(spark, d)
+    out = regimes.expanding_thresholds(regimes.inputs(t.long_history(spark, d), sizes=sizes), initial=200, every=100, sizes=sizes)
     return out.select("asset", "block", r8("q_volatility"), F.round("q_trend", 6).alias("q_trend"), F.round("q_illiquidity", 12).alias("q_illiquidity"))
 
 

@@ -388,3 +388,12 @@ def test_thresholds_of_short_and_long_assets_equal_a_join(histories, monkeypatch
     want = by_asset(want, "event_time")
     assert set(want.asset) == {1, 2, 3}  # neither rows without an asset nor assets without earlier rows
     same(by_asset(out, "event_time")[want.columns], want)
+
+
+@pytest.mark.parametrize("rows", [8, 35, 4096])
+def test_expanding_thresholds_of_short_and_long_assets_equal_merged_counts(histories, monkeypatch, rows):
+    frame, sizes = histories
+    frame = regimes.inputs(frame, 6)
+    want = by_asset(regimes.expanding_thresholds(frame, initial=3, every=5), "block")
+    monkeypatch.setattr(timeblocks, "ROWS", rows)
+    same(by_asset(regimes.expanding_thresholds(frame, initial=3, every=5, sizes=sizes), "block")[want.columns], want)
