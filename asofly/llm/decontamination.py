@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import BROADCAST_ROWS, bounded_batches, stash
+from asofly.llm.common import BROADCAST_ROWS, bounded_batches, lean, stash
 from asofly.llm.words import WordHasher, ngrams
 
 SEED = 4  # words of a seed
@@ -121,7 +121,7 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "th", "at", "what", "words"])
 
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    hits = stash(rows.mapInArrow(scan, "doc_id long, th long, at array<int>, what array<long>, words binary"), "seed-hits")
+    hits = stash(rows.mapInArrow(lean(scan), "doc_id long, th long, at array<int>, what array<long>, words binary"), "seed-hits")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, max(len(whole), 1), SLICE)):
@@ -147,7 +147,7 @@ def _block(docs: DataFrame, rows: list[tuple[int, str | None]], seed: int, thres
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return hits.mapInArrow(score, SCHEMA)
+    return hits.mapInArrow(lean(score), SCHEMA)
 
 
 def _aligned(docs: DataFrame, benchmark: DataFrame, threshold: float, seed: int) -> DataFrame:

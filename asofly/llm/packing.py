@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import bounded_batches, stash
+from asofly.llm.common import bounded_batches, give_back, lean, stash
 from asofly.llm.word_bpe import word_bpe
 
 WINDOW = 4096
@@ -55,7 +55,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end: int = END) -> DataFr
 
     # Rows are numbered once, as they are written: ids may be missing or repeated.
     rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n long, key int, ids binary")
+    return rows.mapInArrow(lean(run), "row long, doc_id long, n long, key int, ids binary")
 
 
 def weightiest(tokens: np.ndarray, counts: np.ndarray, rarity: np.ndarray) -> int:
@@ -162,6 +162,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, en
     where = docs.sparkSession.createDataFrame(spans, "key int, first long, many long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_bpe.cache_clear()  # a worker that has encoded remembers its words, of which packing needs none
+        give_back()
         now, ids, texts = None, [], []
         for b in batches:
             for shard, d, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -182,7 +184,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, en
         yield _batch(rows)
 
     dealt = routed.join(F.broadcast(where), "key").select((F.col("first") + F.pmod(F.xxhash64("row"), "many")).alias("shard"), "row", "doc_id", "ids")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "row").mapInArrow(run, SCHEMA)
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "row").mapInArrow(lean(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.llm.common import BROADCAST_ROWS, bounded_batches, keep_ids, stash
+from asofly.llm.common import BROADCAST_ROWS, bounded_batches, keep_ids, lean, stash
 from asofly.llm.components import connected_components
 from asofly.llm.words import WordHasher, mix, shingle_set
 
@@ -264,11 +264,11 @@ def jaccard_classes(docs: DataFrame, *, n_words: int, num: int, den: int) -> tup
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     # Rows are numbered once, as they are written: ids may be missing or repeated.
-    feats = stash(source.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(_features(n_words, bands), FEATURES), "parity")
+    feats = stash(source.select(F.monotonically_increasing_id().alias("row"), "*").mapInArrow(lean(_features(n_words, bands)), FEATURES), "parity")
     classes = stash(feats.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best")), "classes")
     wide = keep_ids(feats.filter("n > 0"), classes.select("row"), "row")
-    keyed = wide.filter(F.length("keys") > 0).select("row", "keys").mapInArrow(_keys, "key long, row long")
-    shared = keyed.repartition(parts, "key").sortWithinPartitions("key", "row").mapInArrow(_shared, "key long, row long, n int")
+    keyed = wide.filter(F.length("keys") > 0).select("row", "keys").mapInArrow(lean(_keys), "key long, row long")
+    shared = keyed.repartition(parts, "key").sortWithinPartitions("key", "row").mapInArrow(lean(_shared), "key long, row long, n int")
     band = F.shiftright(F.col("key").bitwiseAND(255), 1).cast("int")
     spare = wide.select("row", F.explode(F.arrays_zip("bands", "spare")).alias("x")).select("row", F.col("x.bands").alias("band"), F.col("x.spare").alias("spare"))
     last = Window.partitionBy("row", "band").orderBy(F.col("key").bitwiseAND(1).desc(), F.desc("n"), F.desc("key"))
@@ -288,14 +288,14 @@ def jaccard_classes(docs: DataFrame, *, n_words: int, num: int, den: int) -> tup
     def pairs(frame: DataFrame, across: bool) -> DataFrame:
         frame = frame.join(sketches, "row").select("key", "cell", "row", "n", "sketch", "comp")
         frame = frame.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "row")
-        return stash(frame.mapInArrow(_candidates(num, den, across=across), "a long, b long").distinct(), "pairs")
+        return stash(frame.mapInArrow(lean(_candidates(num, den, across=across)), "a long, b long").distinct(), "pairs")
 
     def linked(found: DataFrame) -> DataFrame:
         ids = found.select(F.col("a").alias("row")).union(found.select("b")).distinct()
         named = stash(feats.select("row", "doc_id", "th").join(ids, "row"), "named").withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
         few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         met = source.join(F.broadcast(named) if few else named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("row", "text").dropDuplicates(["row"])
-        sets = stash(met.mapInArrow(_exact_sets(n_words), "row long, elements array<long>"), "sets")
+        sets = stash(met.mapInArrow(lean(_exact_sets(n_words)), "row long, elements array<long>"), "sets")
         left, right = (sets.select(F.col("row").alias(k), F.col("elements").alias(f"{k}_set")) for k in "ab")
         both = F.size(F.array_intersect("a_set", "b_set")).cast("long")
         alike = F.lit(den) * both >= F.lit(num) * (F.size("a_set") + F.size("b_set") - both)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asofly.llm.common import bounded_batches, held_out
+from asofly.llm.common import bounded_batches, held_out, lean
 from asofly.llm.words import WordHasher, mix, shingle_set
 
 #: What a sign may stand for besides itself.
@@ -344,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> di
     At most max_train labelled documents are used, those whose ids hash lowest. Equal texts among them (case and white
     space apart) and near copies, told by the sketches of their five-word runs, count once a label. No labels: no evidence, and every document gets the base score.
     """
-    letters = bounded_batches(docs).select("text").mapInArrow(_letter_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letters = bounded_batches(docs).select("text").mapInArrow(lean(_letter_counts), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = np.zeros(N**3, np.int64)
     for r in letters.collect():  # N*N*N rows at most
         counts[r["code"]] = r["n"]
@@ -356,14 +356,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> di
         .groupBy("signature", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
         .select("signature", "toxic", "text").persist()
     )
-    rows = [(r["signature"], r["toxic"], bytes(r["sketch"])) for r in one.mapInArrow(_sketches, "signature long, toxic int, sketch binary").collect()]  # of max_train documents
+    rows = [(r["signature"], r["toxic"], bytes(r["sketch"])) for r in one.mapInArrow(lean(_sketches), "signature long, toxic int, sketch binary").collect()]  # of max_train documents
     copies = near_copies(rows)
     n1, n0 = (sum(r[1] == t for r in rows) - sum(c[1] == t for c in copies) for t in (1, 0))
     texts = lambda toxic: one.filter(F.col("toxic") == toxic).select("text", "signature")
-    found = texts(1).mapInArrow(_feature_counts("a", {c for c, t in copies if t}), "feature string, a long").groupBy("feature").agg(F.sum("a").alias("a")).filter("a >= 3")
+    found = texts(1).mapInArrow(lean(_feature_counts("a", {c for c, t in copies if t})), "feature string, a long").groupBy("feature").agg(F.sum("a").alias("a")).filter("a >= 3")
     base = n1 / (n1 + n0) if n1 + n0 else 0.0
     keep = {r["feature"]: r["a"] for r in found.orderBy(F.desc("a"), "feature").limit(10 * MAX_EVIDENCE).collect()}
-    clean = texts(0).mapInArrow(_feature_counts("b", {c for c, t in copies if not t}, set(keep)), "feature string, b long").groupBy("feature").agg(F.sum("b").alias("b"))
+    clean = texts(0).mapInArrow(lean(_feature_counts("b", {c for c, t in copies if not t}, set(keep))), "feature string, b long").groupBy("feature").agg(F.sum("b").alias("b"))
     lows = {r["feature"]: r["b"] for r in clean.collect()}  # no more than the names above
     one.unpersist()
     bar, scored = 2 * math.log(len(keep) + 1) + 1, []  # about one feature passes by chance
@@ -393,7 +393,7 @@ def score_documents(docs: DataFrame, model: dict, *, threshold: float = 0.7, kee
             cols = b.columns if keep else [b.column(b.schema.get_field_index("doc_id"))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())], names=schema.names)
 
-    return bounded_batches(docs if keep else docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return bounded_batches(docs if keep else docs.select("doc_id", "text")).mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: dict, *, threshold: float = 0.7) -> DataFrame:
@@ -407,7 +407,7 @@ def drop_toxic(docs: DataFrame, model: dict, *, threshold: float = 0.7) -> DataF
                 b = whole.slice(i, 1000)
                 yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:

@@ -752,3 +752,16 @@ def test_pipeline_stages_on_odd_documents(spark, odd, small):
 
 def test_shingle_sets():
     assert len(shingle_set(np.zeros(0, np.uint64), 4)) == 0 and len(shingle_set(np.array([5], np.uint64), 4)) == 1
+
+
+def test_packing_forgets_the_words_of_encoding(spark, monkeypatch):
+    """Workers outlive their tasks: what encoding remembers must not lie beside the packing."""
+    vocabulary, runs = P.path("word_bpe_49k.json"), []
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(40)], "doc_id long, text string")
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (runs.append(f), plain(self, f, *a, **k))[1])
+    pack_documents(docs, vocabulary)
+    word_bpe(vocabulary)
+    assert not list(runs[0](iter([])))[0].column(1)[0].is_valid and word_bpe.cache_info().currsize  # further encoding tasks keep it
+    list(runs[-1](iter([])))
+    assert not word_bpe.cache_info().currsize
