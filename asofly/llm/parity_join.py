@@ -14,7 +14,8 @@ Sets that keep a block together are candidates. A folded sketch (twice as many b
 can't link, and what remains is verified on the exact sets. Equal sets are one class from the start, and within a block a
 set that comes near an earlier one is tested against that one only; sets of one block that end in different components
 are then tested against each other, so no link between components is lost while no group is expanded into all its pairs.
-Blocks that many sets share are split into cells of a grid.
+Near sets share many blocks: a pair is named by the first of them only (of two in a lower block, each set's FIRST lowest are
+looked at, so a pair that shares none of these may be named again). Blocks that many sets share are split into cells of a grid.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from asofly.llm.words import WordHasher, mix, shingle_set
 
 RATIO = 1.5  # of one size band's lower end to the one below
 CELL = 2048  # sets of a block that are compared in one place
+FIRST = 16  # lowest blocks of a set that go with it
 SLICE = 500  # documents handled at once
 FLUSH = 20_000  # pairs held by a task before they are handed on
 LONGEST_RUN = 1 << 18  # sets that hold a block, counted no further
@@ -200,17 +202,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(num: int, den: int, *, across: bool):
-    """Pairs (a, b) to verify among rows sorted by cell: key, cell, row, n, sketch, comp.
+    """Pairs (a, b) to verify among rows sorted by cell: key, cell, row, n, sketch, comp, side, lows.
 
     First look (across false): a set near earlier leaders of its cell is paired with the first; one near none leads itself.
-    Second look: pairs of near sets in different components.
+    Second look: pairs of near sets in different components. Whether two sets are near and in different components is the
+    same in all their cells, so a pair is left to a lower block that both sets are known to have, and two sets of the same
+    side of a grid to the cell of that side alone.
     """
 
-    def pairs(rows: np.ndarray, sizes: np.ndarray, sketches: list[bytes], comp: np.ndarray) -> Iterator[tuple[int, int]]:
-        own, lead = Cell(sizes, sketches, num, den), np.zeros(0, np.int64)
+    def pairs(key: int, rows: np.ndarray, sizes: np.ndarray, sketches: list[bytes], comp: np.ndarray, side: np.ndarray, lows: np.ndarray) -> Iterator[tuple[int, int]]:
+        own, lead, two = Cell(sizes, sketches, num, den), np.zeros(0, np.int64), bool((side != side[0]).any())
         for i in range(len(rows)):
-            got = own.near(i, np.flatnonzero(comp[:i] != comp[i]) if across else lead)
-            for j in got if across else got[:1]:
+            got = own.near(i, np.flatnonzero((comp[:i] != comp[i]) & ~(two & (side[:i] == side[i]))) if across else lead)
+            named = got if across else got[:1]
+            for j in named[~np.isin(lows[named], lows[i][lows[i] < key]).any(axis=1)].tolist():
                 yield min(int(rows[i]), int(rows[j])), max(int(rows[i]), int(rows[j]))
             if not across and not len(got):
                 lead = np.append(lead, i)
@@ -221,13 +226,14 @@ def _candidates(num: int, den: int, *, across: bool):
             whole = held if b is None else pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]) if len(b) else held
             if whole is None or not len(whole):
                 continue
-            key, cell, row, n, comp = (whole.column(c).to_numpy() for c in ("key", "cell", "row", "n", "comp"))
+            key, cell, row, n, comp, side = (whole.column(c).to_numpy() for c in ("key", "cell", "row", "n", "comp", "side"))
+            lows = whole.column("lows").combine_chunks().flatten().to_numpy().reshape(-1, FIRST)
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]), [True]])).tolist()
             if b is not None:  # the last cell may go on
                 held, cut = whole.slice(cut[-2]), cut[:-1]
             for x, y in zip(cut[:-1], cut[1:], strict=True):
                 if y - x > 1:
-                    for pair in pairs(row[x:y], n[x:y], whole.column("sketch").slice(x, y - x).to_pylist(), comp[x:y]):
+                    for pair in pairs(key[x], row[x:y], n[x:y], whole.column("sketch").slice(x, y - x).to_pylist(), comp[x:y], side[x:y], lows[x:y]):
                         out.add(pair)
                         if len(out) >= FLUSH:
                             yield made(out)
@@ -282,11 +288,13 @@ def jaccard_classes(docs: DataFrame, *, n_words: int, num: int, den: int) -> tup
         "cell",
         F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(own, j) * F.col("g") + F.greatest(own, j)))),
     )
-    cells = stash(grid.select("key", "cell", "row"), "cells")
-    sketches = wide.select("row", "n", "sketch")
+    cells = stash(grid.select("key", "cell", "row", F.coalesce(own, F.lit(0)).alias("side")), "cells")
+    lows = cells.groupBy("row").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("k"))
+    lows = lows.select("row", F.concat("k", F.array_repeat(F.lit((1 << 63) - 1), FIRST - F.size("k"))).alias("lows"))
+    sketches = stash(wide.select("row", "n", "sketch").join(lows, "row"), "sketches")
 
     def pairs(frame: DataFrame, across: bool) -> DataFrame:
-        frame = frame.join(sketches, "row").select("key", "cell", "row", "n", "sketch", "comp")
+        frame = frame.join(sketches, "row").select("key", "cell", "row", "n", "sketch", "comp", "side", "lows")
         frame = frame.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "row")
         return stash(frame.mapInArrow(lean(_candidates(num, den, across=across)), "a long, b long").distinct(), "pairs")
 
@@ -301,11 +309,12 @@ def jaccard_classes(docs: DataFrame, *, n_words: int, num: int, den: int) -> tup
         alike = F.lit(den) * both >= F.lit(num) * (F.size("a_set") + F.size("b_set") - both)
         return stash(found.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "links")
 
-    links = linked(pairs(cells.withColumn("comp", F.lit(0).cast("long")), False))
+    first = pairs(cells.withColumn("comp", F.lit(0).cast("long")), False)
+    links = linked(first)
     comps = stash(connected_components(links), "components").withColumnRenamed("node", "row")
     labelled = cells.join(comps, "row", "left").withColumn("comp", F.coalesce("component", "row"))
     mixed = labelled.groupBy("key", "cell").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 < c2 and m > 2").select("key", "cell")
-    more = pairs(labelled.join(mixed, ["key", "cell"], "left_semi"), True).join(links, ["a", "b"], "left_anti")
+    more = pairs(labelled.join(mixed, ["key", "cell"], "left_semi"), True).join(first, ["a", "b"], "left_anti")
     links = links.unionByName(linked(more))
     comps = stash(connected_components(links), "components").withColumnRenamed("node", "row")
     named = classes.join(comps, "row", "left").select("n", "h1", "h2", F.coalesce("component", "row").alias("component"), "best")

@@ -529,6 +529,50 @@ def test_counts_of_a_block_follow_its_rows(monkeypatch):
         assert sorted(got) == [(k, r, min(n, 50)) for k, r in zip(keys.tolist(), rows.tolist()) if (n := int((keys == k).sum())) > 1]
 
 
+def test_a_pair_of_near_copies_is_named_once_though_they_share_many_blocks(spark, monkeypatch):
+    """A large group, some of whose sets are near others but not linked: rows made follow its sets, not their blocks or pairs."""
+    rng, stashed, lean, stash, parts = random.Random(3), [], parity_join.lean, parity_join.stash, spark.conf.get("spark.sql.shuffle.partitions")
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for j in rng.sample(range(200), rng.choice([1, 2, 4, 6])):
+            w[j] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(run):
+        def out(batches):
+            for b in run(batches):
+                if b.schema.names == ["a", "b"]:
+                    made.add(len(b))
+                yield b
+
+        return lean(out)
+
+    def kept(frame, tag="step"):
+        out = stash(frame, tag)
+        if tag == "pairs":
+            stashed.append(out)
+        return out
+
+    monkeypatch.setattr(parity_join, "lean", counted)
+    monkeypatch.setattr(parity_join, "stash", kept)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    want = components(sorted(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    for cell in (2048, 40):  # blocks whole, and in cells of a grid
+        monkeypatch.setattr(parity_join, "CELL", cell)
+        made.value = 0
+        stashed.clear()
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", "32")
+            got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n_words=5, num=80, den=100).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < 200
+        assert 0 < made.value <= 1.2 * sum(p.count() for p in stashed)
+
+
 def test_jaccard_odd(spark, odd):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(odd).collect()}
     assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (None, 2, None), (7, 2, 7)}
