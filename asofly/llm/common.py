@@ -17,6 +17,16 @@ BROADCAST_ROWS = 1_000_000
 
 #: Bytes of a batch that goes to a Python worker at most (one row at least), where the session keeps Spark's own default.
 BATCH_BYTES = 4 << 20
+VECTORED = "parquet.hadoop.vectored.io.enabled"
+
+
+def plain_reads(spark: SparkSession) -> None:
+    """From now on the session reads Parquet without vectored reads, unless it sets them itself.
+
+    These fetch a column's whole chunk at once, through buffers outside the heap that each reading thread keeps.
+    """
+    if spark.conf.get(VECTORED, None) is None:
+        spark.conf.set(VECTORED, "false")
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -27,6 +37,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) in ("64MB", "67108864b", "67108864"):
         conf.set(name, str(BATCH_BYTES))
+    plain_reads(df.sparkSession)
     return df
 
 
@@ -66,6 +77,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it again, which cuts its lineage and survives lost executors."""
+    plain_reads(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/asofly-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

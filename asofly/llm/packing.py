@@ -71,22 +71,25 @@ class Index:
 
     def __init__(self, texts: list[np.ndarray], df: np.ndarray, n_docs: int):
         size, lengths = len(df), np.array([len(t) for t in texts], float)
-        doc, term, tf = [], [], []
-        for i, t in enumerate(texts):
-            u, c = np.unique(t, return_counts=True)
-            doc.append(np.full(len(u), i, np.int32))
-            term.append(u.astype(np.int64))
-            tf.append(c)
-        doc, term, tf = np.concatenate(doc), np.concatenate(term), np.concatenate(tf).astype(float)
+        found = [np.unique(t, return_counts=True) for t in texts]
+        term = np.concatenate([u for u, _ in found]).astype(np.int32)
+        tf = np.concatenate([c.astype(np.int32) for _, c in found])
+        starts = np.cumsum([0, *(len(u) for u, _ in found)])
+        del found
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = np.empty(len(term))
+        for i, (a, z) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            weight[a:z] = idf[term[a:z]] * tf[a:z] * (K1 + 1) / (tf[a:z] + norm[i])
+        del tf
         self.n = len(texts)
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
-        self.edges = np.searchsorted(term[order], np.arange(size + 1))
-        starts = np.searchsorted(doc, np.arange(self.n + 1))
         self.queries = [term[a:z][np.argsort(-weight[a:z], kind="stable")[:QUERY_TERMS]] for a, z in zip(starts[:-1], starts[1:], strict=True)]
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+        del term
+        self.weights = weight[order]
+        del weight
+        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order]
 
     def ranked(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a query token with the seed, best first, ties by position."""
@@ -159,7 +162,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, en
         spans.append((r["key"], at // shard_tokens, (at + r["n"] - 1) // shard_tokens - at // shard_tokens + 1))
         at += r["n"]
     shards = max(1, -(-at // shard_tokens))
-    where = docs.sparkSession.createDataFrame(spans, "key int, first long, many long")
+    # By Arrow: rows of Python objects would start a second daemon and further workers on the executors, only to hand them on.
+    cols = zip(*spans, strict=True) if spans else ([], [], [])
+    where = docs.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "first", "many"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_bpe.cache_clear()  # a worker that has encoded remembers its words, of which packing needs none

@@ -16,7 +16,7 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-KNOWN = 500_000  # words remembered by a task
+KNOWN = 100_000  # words remembered by a task in each of two generations
 #: Characters whose class, case and composition need no Unicode tables beyond the standard library's.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«¬®-±´-¸»¿À-įı-ž‐-‧‰-⁞€]*")
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -46,6 +46,7 @@ class WordBpe:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.words = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         found = [_PIECES.findall(w) for w in words]
@@ -61,9 +62,12 @@ class WordBpe:
         """Ids of each text, without special tokens; null and empty texts have none."""
         plain = [bool(t) and "<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
         parts = [t.lower().split() if ok else None for t, ok in zip(texts, plain, strict=True)]
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if len(self.known) > KNOWN:  # what is met again soon comes back from the older generation
+            self.known, self.older = {}, self.known
         new = set().union(*(p for p in parts if p)).difference(self.known)
+        if new and self.older:
+            self.known.update((w, self.older[w]) for w in new.intersection(self.older))
+            new.difference_update(self.older)
         if new:
             self._learn(list(new))
         known, out = self.known.__getitem__, []

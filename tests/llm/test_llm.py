@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from asofly.llm import html_mincut, packing, parity_join, pii, pivot_index, queries, toxicity
-from asofly.llm.common import table
+from asofly.llm.common import stash, table
 from asofly.llm.components import connected_components
 from asofly.llm.decontamination import bound, contaminated, drop_contaminated, locate
 from asofly.llm.packing import pack_documents
@@ -26,7 +26,7 @@ from asofly.llm.pivot_index import near_duplicates
 from asofly.llm.quality import fit_ordinal, grade_documents, quality
 from asofly.llm.sharding import pack_vectors, shard_documents
 from asofly.llm.token_spans import allocate, attribute_tokens
-from asofly.llm.word_bpe import word_bpe
+from asofly.llm.word_bpe import WordBpe, word_bpe
 from asofly.llm.words import shingle_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -809,3 +809,30 @@ def test_packing_forgets_the_words_of_encoding(spark, monkeypatch):
     assert not list(runs[0](iter([])))[0].column(1)[0].is_valid and word_bpe.cache_info().currsize  # further encoding tasks keep it
     list(runs[-1](iter([])))
     assert not word_bpe.cache_info().currsize
+
+
+def test_packing_starts_no_second_kind_of_worker(spark):
+    """Rows of Python objects would be handed on by Python workers of their own on the executors."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('words of text ', id) AS text")
+    plan = pack_documents(docs, P.path("word_bpe_49k.json"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ExistingRDD" not in plan
+
+
+def test_reads_keep_no_whole_chunks_outside_the_heap(spark):
+    name = "parquet.hadoop.vectored.io.enabled"
+    spark.conf.unset(name)
+    stash(spark.range(3))
+    assert spark.conf.get(name) == "false"
+    spark.conf.set(name, "true")  # a session's own setting stays
+    stash(spark.range(3))
+    assert spark.conf.get(name) == "true"
+    spark.conf.unset(name)
+
+
+def test_word_cache_is_bounded_and_ids_stay(monkeypatch):
+    texts = [" ".join(f"w{j}x" for j in range(i, i + 30)) for i in range(0, 600, 10)] * 2
+    whole, bpe = Tokenizer.from_file(VOCAB), WordBpe(VOCAB)
+    monkeypatch.setattr("asofly.llm.word_bpe.KNOWN", 50)
+    for t in texts:
+        assert bpe.encode([t])[0].tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert len(bpe.known) + len(bpe.older) <= 2 * (50 + 30)
